@@ -105,9 +105,9 @@ def lagged_product(iq: DataFrame, lag: int, indexes: list[int], lags: int, keys:
     return both.groupBy(*keys, "j").agg(F.hypot(F.sum(re), F.sum(im)).alias("s")).select(*keys, "j", (F.col("s") / len(indexes)).alias("r"))
 
 
-def contiguous_segments(df: DataFrame, order: str, by: tuple[str, ...] = (), threshold: float = 7.0) -> DataFrame:
+def contiguous_segments(df: DataFrame, order: str, by: tuple[str, ...] = (), threshold: float = 7.0, ties: tuple[str, ...] = ()) -> DataFrame:
     """``segment``: a new one where the step to the row before exceeds ``threshold`` times the median step."""
-    w = Window.partitionBy(*by).orderBy(order)
+    w = Window.partitionBy(*by).orderBy(order, *ties)
     stepped = df.withColumn("__step", F.col(order) - F.lag(order).over(w))
     median = stepped.groupBy(*by).agg(F.median("__step").alias("__median"))
     joined = stepped.join(median, list(by)) if by else stepped.crossJoin(F.broadcast(median))
