@@ -87,8 +87,8 @@ def env_power(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register(f"""WITH {IQ_SQL}, b AS (SELECT capture_id, port, n // 8 AS bin, avg(re * re + im * im) AS rms, max(re * re + im * im) AS peak FROM iq GROUP BY ALL)
-SELECT capture_id, port, 'rms' AS power_detector, bin * 0.25 AS time_elapsed, round(10 * log10(rms), 6) AS value FROM b
-UNION ALL SELECT capture_id, port, 'peak', bin * 0.25, round(10 * log10(peak), 6) FROM b""")
+SELECT capture_id, port, 'rms' AS power_detector, CAST(bin * 0.25 AS DOUBLE) AS time_elapsed, round(10 * log10(rms), 6) AS value FROM b
+UNION ALL SELECT capture_id, port, 'peak', CAST(bin * 0.25 AS DOUBLE), round(10 * log10(peak), 6) FROM b""")
 def bin_power_rms_peak(spark: SparkSession, d: str) -> DataFrame:
     return stats.channel_power_time_series(iq(spark, d), 8, 8 / FS).withColumn("value", r6("value"))
 
@@ -132,7 +132,7 @@ def histogram_catchall(spark: SparkSession, d: str) -> DataFrame:
 EDGES = [1.0, 5.0, 10.0, 50.0, 100.0, 200.0, 400.0]
 
 
-@register("SELECT event_type, edge, round(avg(CASE WHEN value > edge THEN 1.0 ELSE 0.0 END), 9) AS ccdf FROM events, (SELECT unnest([1.0, 5.0, 10.0, 50.0, 100.0, 200.0, 400.0])::DOUBLE AS edge) GROUP BY ALL")
+@register("SELECT event_type, edge, round(avg(CASE WHEN value > edge THEN CAST(1 AS DOUBLE) ELSE 0 END), 9) AS ccdf FROM events, (SELECT unnest([1.0, 5.0, 10.0, 50.0, 100.0, 200.0, 400.0])::DOUBLE AS edge) GROUP BY ALL")
 def ccdf(spark: SparkSession, d: str) -> DataFrame:
     return stats.ccdf(read_table(spark, d, "events"), "value", EDGES, ("event_type",)).withColumn("ccdf", r6("ccdf", 9))
 
@@ -189,7 +189,7 @@ def tdd_mask_histogram(spark: SparkSession, d: str) -> DataFrame:
     return out.drop("capture_id").withColumn("fraction", r6("fraction", 9))
 
 
-@register("SELECT o_orderkey, gain, center_frequency, CASE o_orderpriority WHEN '1-URGENT' THEN 20.0 ELSE 10.0 END AS sample_rate FROM orders, (SELECT unnest([-10.0, 0.0, 10.0])::DOUBLE AS gain), (SELECT unnest([100.0, 150.0, 200.0])::DOUBLE AS center_frequency) WHERE o_orderkey % 10 = 1")
+@register("SELECT o_orderkey, gain, center_frequency, CAST(CASE o_orderpriority WHEN '1-URGENT' THEN 20.0 ELSE 10.0 END AS DOUBLE) AS sample_rate FROM orders, (SELECT unnest([-10.0, 0.0, 10.0])::DOUBLE AS gain), (SELECT unnest([100.0, 150.0, 200.0])::DOUBLE AS center_frequency) WHERE o_orderkey % 10 = 1")
 def loop_expand(spark: SparkSession, d: str) -> DataFrame:
     rate = F.when(F.col("o_orderpriority") == "1-URGENT", 20.0).otherwise(10.0)
     captures = read_table(spark, d, "orders").where(F.pmod("o_orderkey", F.lit(10)) == 1).select("o_orderkey", "o_orderpriority")
