@@ -1,0 +1,475 @@
+"""Edge cases and brute force for the corpus operators."""
+
+import hashlib
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from iqlake.llm import chat, components, decontam, html, language, linededup, neardup, packing, sharding, shingles, topk, toxicity
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+
+
+def prose(rng, n, vocabulary=400):
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+def clashing(df):
+    """Extra columns whose names the operators use inside."""
+    return df.withColumns({c: F.lit("x") for c in ("sig", "key", "id", "th", "words", "part", "ids", "n", "score", "component_id", "vslot")})
+
+
+EDGES = [(1, None), (2, ""), (3, "   \n\t "), (4, "one"), (5, "one two three four five six"), (5, "one two three four five six"), (6, "Ünïcode “quotes” — é İΣ ς end.\n" * 3), (7, "word " * 20_000)]
+
+
+# packing ---------------------------------------------------------------------------------------------------------------
+
+
+def plain_ids(text):
+    from tokenizers import Tokenizer
+
+    return [*Tokenizer.from_file(packing.tokenizer_path(None)).encode(text or "", add_special_tokens=False).ids, 2]
+
+
+def test_packing_is_an_exact_round_trip(spark):
+    rng = random.Random(1)
+    rows = EDGES + [(100 + i, prose(rng, rng.randrange(400)) + rng.choice([" don't", " I'll!?.. 12 34", "<|endoftext|> x", " 日本語 text"])) for i in range(40)]
+    got = packing.pack(clashing(frame(spark, rows)).repartition(3), length=256).collect()
+    by_doc, by_seq = defaultdict(list), defaultdict(list)
+    for r in got:
+        by_doc[r.doc_id].append(r)
+        by_seq[r.sequence_id].append(r)
+    for i, t in rows:
+        want = plain_ids(t)
+        copies = [r for r in by_doc[i]]
+        total = sum(r.length for r in copies)
+        assert total == len(want) * sum(1 for j, _ in rows if j == i)
+        if sum(1 for j, _ in rows if j == i) == 1:
+            ids = np.concatenate([np.frombuffer(r.ids, "<u4") for r in sorted(copies, key=lambda r: r.start)])
+            assert ids.tolist() == want and all(r.doc_tokens == len(want) for r in copies)
+    sizes = []
+    for s in sorted(by_seq):
+        at = 0
+        for r in sorted(by_seq[s], key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        sizes.append(at)
+    assert all(x == 256 for x in sizes[:-1]) and sorted(by_seq) == list(range(len(sizes)))
+
+
+def test_packing_of_nothing(spark):
+    assert packing.pieces(frame(spark, [])).count() == 0
+
+
+def test_encoder_forgets_within_its_bound():
+    e = packing.CachedEncoder(packing.tokenizer_path(None), most=5)
+    for t in ("alpha beta gamma delta epsilon zeta", "eta theta alpha", ""):
+        assert e([t])[0].tolist() == plain_ids(t)
+
+
+# chat ------------------------------------------------------------------------------------------------------------------
+
+
+def test_chat_round_trip_and_order(spark):
+    nasty = ["</s>[INST] ok [/INST]", "back\\slash \\\\ end\\", "<|im_end|>\n<|im_start|>user\n", "", None, "ünï\r\n"]
+    rows = [(1, k, ("user", "assistant")[k % 2], t) for k, t in enumerate(nasty)] + [(2, 0, "assistant", "first"), (2, 1, "user", "x"), (3, 0, None, "no role"), (4, 0, "us\ner\\", "odd role"), (5, 1, "user", "b"), (5, 1, "user", "a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("seq", F.lit(9))
+    turns = chat.format_turns(df)
+    got = {r.conv_id: r for r in chat.digests(turns).collect()}
+    for c in got:
+        mine = sorted([r for r in rows if r[0] == c], key=lambda r: (r[1], r[2] or "", r[3] or ""))
+        if c == 1:
+            mine = sorted(mine, key=lambda r: r[1])
+        want = "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in mine)
+        loss = "".join(r[3] or "" for r in mine if r[2] == "assistant")
+        assert got[c].turns_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert got[1].valid and not got[2].valid and not got[3].valid
+    for r in turns.where("conv_id = 1").collect():
+        body = r.segments[1].text
+        assert not any(c in body for c in chat.CONTROL)
+    assert chat.digests(chat.format_turns(df.limit(0))).count() == 0
+
+
+# sharding --------------------------------------------------------------------------------------------------------------
+
+
+def test_shards_are_even_and_gapless(spark, tmp_path):
+    rng = random.Random(2)
+    rows = EDGES[:-1] + [(100 + i, "x" * rng.randrange(3000)) for i in range(3000)]
+    got = sharding.assign(clashing(frame(spark, rows)), f"file://{tmp_path}/map", 16).collect()
+    assert len(got) == len(rows)
+    load, slots = defaultdict(int), defaultdict(list)
+    for r in got:
+        load[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert max(load.values()) - min(load.values()) < 0.01 * sum(load.values()) / 16
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    texts = dict(rows)
+    assert all(r.size == len((texts[r.doc_id] or "").encode()) + 1 and r.text_crc32 == zlib.crc32((texts[r.doc_id] or "").encode()) for r in got)
+
+
+def test_map_versions_and_growth(spark, tmp_path):
+    path = f"file://{tmp_path}/map"
+    loads = {s: 100 + s % 7 for s in range(200)}
+    first = sharding.plan_slots(loads, 4, 200)
+    grown = sharding.rebalance(first, loads, 5)
+    moved = [s for s in first if first[s] != grown[s]]
+    assert moved and all(grown[s] == 4 for s in moved)
+    assert sharding.rebalance(first, loads, 4) == first
+    assert sharding.store_map(spark, path, first) == 1 and sharding.store_map(spark, path, grown) == 2
+    assert {r.vslot: r.shard for r in sharding.load_map(spark, path).collect()} == grown
+    assert {r.vslot: r.shard for r in sharding.load_map(spark, path, 1).collect()} == first
+
+
+# top-k -----------------------------------------------------------------------------------------------------------------
+
+
+def brute_topk(rows, k):
+    v = {i: np.floor(64 * np.array(e, float)).astype(int) for i, e in rows if e is not None and len(e) == 8 and all(x is not None and np.isfinite(x) for x in e)}
+    out = set()
+    for q in v:
+        if q % 5 == 0:
+            best = sorted(((-int(v[q] @ v[j]), j) for j in v if j != q))[:k]
+            out |= {(q, n + 1, j, -s) for n, (s, j) in enumerate(best)}
+    return out
+
+
+@pytest.mark.parametrize("shard_rows", [16_384, 20])
+def test_topk_equals_brute_force(spark, monkeypatch, shard_rows):
+    monkeypatch.setattr(topk, "SHARD_ROWS", shard_rows)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(0, 0.2, 8).tolist()) for i in range(150)] + [(200 + i, [0.5] * 8) for i in range(12)]
+    rows += [(300, None), (305, [None] * 8), (310, [float("nan")] * 8), (315, [float("inf")] * 8), (320, [1.0]), (325, [0.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(1)).withColumn("score", F.lit(1))
+    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(df, F.col("vec_id") % 5 == 0, 20, 8).collect()}
+    assert got == brute_topk(rows, 20)
+
+
+def test_topk_with_few_candidates(spark):
+    df = spark.createDataFrame([(0, [1.0] * 8), (5, [2.0] * 8)], "vec_id long, embedding array<double>")
+    assert topk.search(df, F.col("vec_id") % 5 == 0, 20, 8).count() == 2
+    assert topk.search(df.limit(0), F.col("vec_id") % 5 == 0, 20, 8).count() == 0
+
+
+def test_maxscore_prunes_without_loss():
+    rng = np.random.default_rng(5)
+    m = (rng.normal(size=(9000, 8)) * np.array([30, 20, 10, 4, 2, 1, 1, 1])).astype(np.int32)
+    p = topk.Postings(np.arange(9000), m)
+    for q in m[:20]:
+        ids, score = p.search(-1, q, 5, -np.inf)
+        want = sorted((-int(q @ x), i) for i, x in enumerate(m))[:5]
+        assert [(-int(round(s)), i) for s, i in zip(score, ids, strict=True)] == want
+
+
+# HTML ------------------------------------------------------------------------------------------------------------------
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
+<header class="site-header"><a href=/>Home</a></header><nav><ul><li>Menu</ul></nav><div class="cookie-notice">We use cookies</div>
+<article><h1>Head &amp; line</h1><p>First <b>bold</b>
+ para<br>graph &copy; one.<p>Second &#8212; paragraph.</p><form><input>Subscribe now</form><div class="ad">Buy</div>
+<ul><li>item one</li><li>item two</li></ul><aside>Side</aside></article>
+<section id="comments"><p>Nice post, I liked this a lot and will come back.</p></section><footer>Copyright</footer></body></html>"""
+TEXT = "Head & line First bold para graph © one. Second — paragraph. item one item two"
+
+
+def test_html_main_text(spark):
+    assert html.extract(PAGE) == TEXT
+    assert html.extract(None) == html.extract("") == html.extract("<nav>x</nav>") == ""
+    assert html.extract("just  text &lt;3") == "just text <3"
+    bare = "<div class=menu><a>One</a><a>Two</a></div><div id=content><p>" + "Long running text of an old page. " * 9 + "</p><p>" + "More of it follows here. " * 9 + "</p></div><div class=footer>end</div>"
+    assert html.extract(bare).startswith("Long running") and "Two" not in html.extract(bare) and html.extract(bare).endswith("follows here.")
+    df = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None)], "page_id long, url string, html string").withColumn("n_chars", F.lit("x"))
+    got = sorted((r.page_id, r.text, r.n_chars) for r in html.extract_pages(df).collect())
+    assert got == [(1, TEXT, len(TEXT))] * 2 + [(2, "", 0)]
+
+
+def test_html_survives_broken_markup():
+    assert html.extract("<article><p><b>one<p>two</div></article><p>") == "one two"
+    assert "deep" in html.extract("<div>" * 3000 + "deep")
+    assert html.extract("<article>" + "<p>x y</p>" * 20_000 + "</article>").count("x y") == 20_000
+
+
+# language --------------------------------------------------------------------------------------------------------------
+
+
+def language_rows(rng, n):
+    syllables = {"aa": ["the", "ing", "er", "on", "ly"], "bb": ["que", "eau", "oi", "ment", "les"], "cc": ["sch", "ung", "ich", "der", "keit"]}
+    out = []
+    for i in range(n):
+        lang = rng.choice(sorted(syllables))
+        out.append((i, " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(4, 60))), lang, "s", 1))
+    return out
+
+
+def test_language_on_held_out_rows(spark):
+    rows = language_rows(random.Random(4), 400)
+    docs = spark.createDataFrame(rows, DOCS)
+    model = language.fit(docs.where(~language.held_out()))
+    got = {r.doc_id: r for r in language.predict(docs, model).where(language.held_out()).collect()}
+    assert got and sum(got[i].lang_pred == lang for i, _, lang, _, _ in rows if i in got) >= 0.97 * len(got)
+    odd = {r.doc_id: r for r in language.predict(clashing(frame(spark, EDGES + [(9, "123 !?"), (10, "the ing " * 5 + "sch ung " * 5)])), model).collect()}
+    assert all(odd[i].lang_pred == "und" and odd[i].score == 0 and odd[i].rejected for i in (1, 2, 3, 9))
+    assert odd[5].lang_pred in model
+    assert language.fit(docs.limit(0)) == {}
+    assert language.predict(docs, {}).select("lang_pred").distinct().collect()[0][0] == "und"
+    mixed = "the ing er on ly " * 60 + "que eau oi ment les " * 60
+    assert isinstance(language.Classifier(model)(mixed)[2], bool)
+
+
+# toxicity --------------------------------------------------------------------------------------------------------------
+
+
+def test_toxicity_folds_and_learns(spark):
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(300):
+        toxic = i % 4 == 0
+        words = prose(rng, 60).split()
+        if toxic:
+            for _ in range(3):
+                words.insert(rng.randrange(60), rng.choice(["grobian", "lumpazi"]))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs = frame(spark, rows)
+    marked = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, marked.where("doc_id % 3 <> 0"))
+    s = toxicity.Scorer(model)
+    assert all((s.score(t) >= 0.5) == bool(y) for (_, t), (_, y) in zip(rows, labels, strict=True))
+    clean = prose(random.Random(8), 30)
+    assert s.score(clean + " gr0b1an lump@zi grobian") > 0.5 > s.score(clean)
+    assert toxicity.folded("gr0b1an іdiot") == " grobian idiot "
+    seed = toxicity.Scorer(toxicity.Model(toxicity.SEED))
+    assert seed.score("a sore loser here") == seed.score("a b c d") < seed.score("a loser here now")
+    assert toxicity.fit(docs, marked.limit(0)).weights == toxicity.SEED
+    got = toxicity.score(clashing(frame(spark, EDGES)), model).collect()
+    assert len(got) == len(EDGES) and all(0 <= r.score <= 1 for r in got)
+
+
+# line dedup ------------------------------------------------------------------------------------------------------------
+
+
+def test_units_rebuild_the_text():
+    for t in ("", "\n\n", "One. Two! Three\nfour  five.\n", "no end", "a.b. c.\n\n d", "é. " * 50):
+        assert "".join(linededup.units(t)) == t
+
+
+def brute_blocks(a, b):
+    best = 0
+    for i in range(len(a)):
+        for j in range(len(b)):
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            best = max(best, n)
+    return best
+
+
+def test_patience_blocks_are_common_and_ordered():
+    rng = random.Random(9)
+    for _ in range(200):
+        a = [rng.randrange(30) for _ in range(rng.randrange(25))]
+        b = [rng.randrange(30) for _ in range(rng.randrange(25))]
+        if rng.random() < 0.5 and a:
+            b = b[:5] + a[2:15] + b[5:]
+        blocks = linededup.common_blocks(a, b)
+        assert all(a[i : i + n] == b[j : j + n] for i, j, n in blocks)
+        assert all(x[0] + x[2] <= y[0] and x[1] + x[2] <= y[1] for x, y in zip(blocks, blocks[1:], strict=False))
+        assert max((n for *_, n in blocks), default=0) <= brute_blocks(a, b)
+    assert linededup.common_blocks([1, 2, 3], [1, 2, 3]) == [(0, 0, 3)]
+
+
+@pytest.mark.parametrize("copies", [3, 30])
+def test_repeated_passages_leave_later_documents(spark, copies):
+    rng = random.Random(10)
+    passage = ". ".join(prose(rng, 15, 10**6) for _ in range(5)) + "."
+    rows = [(i, "\n".join([prose(rng, 20, 10**6), passage, prose(rng, 20, 10**6) + "."])) for i in range(copies)] + [(1000, passage), (1001, prose(rng, 40, 10**6))]
+    rows += [(2000, None), (2001, ""), (2002, "short line\nshort line"), (2003, "short line")]
+    got = {r.doc_id: r for r in linededup.dedup_lines(frame(spark, rows)).collect()}
+    assert passage in got[0].text and got[0].removed_words == 0
+    for i in range(1, copies):
+        assert passage not in got[i].text and got[i].removed_words >= 70
+        assert got[i].text.split("\n")[0] == rows[i][1].split("\n")[0]
+    assert got[1000].text == "" and got[1001].text == dict(rows)[1001]
+    assert got[2000].text is None and got[2001].text == "" and got[2002].text == dict(rows)[2002]
+    assert linededup.dedup_lines(frame(spark, [])).count() == 0
+
+
+def test_line_dedup_keeps_columns_and_rows(spark):
+    df = clashing(frame(spark, EDGES))
+    got = linededup.dedup_lines(df, removed="gone")
+    assert got.columns == [*df.columns, "gone"] and got.count() == len(EDGES)
+
+
+# near-dedup ------------------------------------------------------------------------------------------------------------
+
+
+def brute_groups(rows):
+    def words(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {i: words(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            both = len(sets[i] & sets[j])
+            if i < j and both and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def near_rows(rng):
+    rows = [(i, prose(rng, rng.randrange(1, 90))) for i in range(60)]
+    n = 100
+    for size in (2, 5, 60):
+        base = prose(rng, 120, 10**6).split()
+        for _ in range(size):
+            w = list(base)
+            for _ in range(rng.randrange(4)):
+                w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
+            rows.append((n, " ".join(w)))
+            n += 1
+    return rows + [(500 + i, rows[70][1]) for i in range(10)] + [(900, None), (901, ""), (902, " \n"), (903, "a b"), (904, "A  B"), (905, "x " * 3000)]
+
+
+def test_groups_equal_brute_force(spark):
+    rows = near_rows(random.Random(11))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.groups(clashing(frame(spark, rows)).repartition(4)).collect()}
+    assert got == brute_groups(rows)
+
+
+def test_groups_in_cells_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CELL_BYTES", 3000)
+    rows = near_rows(random.Random(12))
+    out = neardup.groups(frame(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_groups(rows)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in out)
+
+
+def test_groups_of_nothing_and_of_repeated_rows(spark):
+    assert neardup.groups(frame(spark, [])).count() == 0
+    got = neardup.groups(frame(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")])).collect()
+    assert len(got) == 3 and {r.component_id for r in got} == {1}
+
+
+def test_shingle_hashes_tell_words_apart():
+    assert len(shingles.shingle_set("a b c d e f g")) == 3
+    assert np.array_equal(shingles.shingle_set("A\tB c\nd e"), shingles.shingle_set("a b C D E"))
+    assert not np.array_equal(shingles.shingle_set("É b c d e"), shingles.shingle_set("é b c d e"))
+    assert len(shingles.shingle_set("a b c")) == 1 and len(shingles.word_hashes("a b c")) == 2
+    words = [f"{a}{b}{c}" for a in "abcdefgh" for b in "abcdefgh" for c in ["", "x", "xy", "longer-tail" * 12]]
+    assert len(set(shingles.word_hashes(" ".join(words)).tolist())) == len(words)
+
+
+def test_components_of_long_paths(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(200, 100), (200, 300), (7, 7)], "a long, b long")
+    got = {r.node: r.component for r in components.connected(edges).collect()}
+    assert all(got[i] == 0 for i in range(61)) and got[100] == got[200] == got[300] == 100
+    assert components.connected(edges.limit(0)).count() == 0
+
+
+# decontamination -------------------------------------------------------------------------------------------------------
+
+
+def brute_leaks(docs, items):
+    import math
+    import re
+
+    def words(t):
+        return [w for w in re.sub(r"[^\w\s]|_", "", (t or "").lower()).split() if w]
+
+    def cut(w, k):
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+    item_words = {i: words(t) for i, t in items if words(t)}
+    sets = {i: cut(w, min(5, len(w))) for i, w in item_words.items()}
+    df = defaultdict(int)
+    for s in sets.values():
+        for x in s:
+            df[x] += 1
+    weight = lambda x: math.log(1 + len(sets) / max(1, df.get(x, 1)))
+    out = set()
+    for d, t in docs:
+        w = words(t)
+        for i, s in sets.items():
+            n, k = len(item_words[i]), min(5, len(item_words[i]))
+            for at in range(max(1, len(w) - k + 1)):
+                win = cut(w[at : at + n], k)
+                both = sum(weight(x) for x in win & s)
+                if both and both >= 0.75 * (sum(map(weight, win)) + sum(map(weight, s)) - both):
+                    out.add((d, i))
+                    break
+    return out
+
+
+def test_leaks_equal_brute_force(spark):
+    rng = random.Random(13)
+    items = [(i, prose(rng, rng.randrange(15, 60), 10**6)) for i in range(12)] + [(50, "tiny item here"), (51, None), (52, "")]
+    docs = []
+    for d in range(60):
+        body = prose(rng, 120, 10**6).split()
+        if d % 3 == 0:
+            w = items[rng.randrange(12)][1].split()
+            if d % 6 == 0 and len(w) > 45:
+                w[len(w) // 2] = "changed"
+            if d % 9 == 0:
+                w = [x.upper() + "," for x in w]
+            at = rng.choice([0, 50, 120])
+            body[at:at] = w
+        docs.append((d, " ".join(body)))
+    docs += [(100, None), (101, ""), (102, items[3][1]), (102, items[3][1]), (103, "so tiny item here indeed"), (104, " ".join(items[4][1].split()[:8]))]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("x"))
+    got = decontam.find_leaks(clashing(frame(spark, docs)), bench)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == brute_leaks(docs, items)
+    assert decontam.find_leaks(frame(spark, []), bench).count() == 0
+    assert decontam.find_leaks(frame(spark, docs), bench.limit(0)).count() == 0
+
+
+def test_simhash_blocks_find_all_within_the_radius(spark):
+    rng = random.Random(14)
+    fps = [rng.getrandbits(64) for _ in range(30)]
+    near = []
+    for f in fps:
+        for bit in rng.sample(range(64), rng.randrange(decontam.RADIUS + 1)):
+            f ^= 1 << bit
+        near.append(f)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    a = spark.createDataFrame([(i, signed(f)) for i, f in enumerate(fps)], "i int, f long")
+    b = spark.createDataFrame([(i, signed(f)) for i, f in enumerate(near)], "j int, g long")
+    x = a.select("i", "f", decontam.blocks("f", decontam.RADIUS).alias("x")).select("i", "x.*")
+    y = b.select("j", "g", decontam.blocks("g", decontam.RADIUS).alias("x")).select("j", "x.*")
+    pairs = {(r.i, r.j) for r in x.join(y, ["block", "value"]).select("i", "j").distinct().collect()}
+    assert {(i, i) for i in range(30)} <= pairs
+
+
+@pytest.mark.parametrize("n", [40, 200, 40_000])
+def test_simhash_is_the_majority(spark, n):
+    words = [f"w{i * 7 % 5000}" for i in range(n)]
+    df = spark.createDataFrame([(words,)], "words array<string>")
+    got = df.select(decontam.simhash("words", decontam.lane_width(n)).alias("f")).first().f & ((1 << 64) - 1)
+    hs = [r.h & ((1 << 64) - 1) for r in df.select(F.explode("words").alias("w")).select(F.xxhash64("w").alias("h")).collect()]
+    assert got == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > n)
+
+
+def test_decontamination_runs_no_python(spark):
+    docs = frame(spark, [(1, "a b c d e f g h")])
+    bench = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
+    plan = decontam.find_leaks(docs, bench)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
