@@ -3,7 +3,8 @@
 The standard library's streaming parser turns a page into blocks (lines): the text between two block-level tags. Each block has a
 text-to-tag ratio, the ratios are smoothed by a Gaussian along the page, and two-means clustering gives the threshold between
 content and the rest. The smoothed ratios choose the content region: among the page's article or main elements the one that
-gathers most content, or without such an element the blocks of the content cluster and what stands between them. Elements that
+gathers most content, or without such an element the blocks of the content cluster and what stands between them; blocks of
+links alone don't begin or end it. Elements that
 never hold main text (menus, headers, footers, sidebars, forms, scripts, notices, adverts, reader comments) are left out.
 
 Defined results: null or empty html gives an empty text; text outside tags is a block; very long pages are read whole;
@@ -35,6 +36,8 @@ MARKS = frozenset(
 )
 #: Compounds whose parts are not marks on their own.
 HELD = frozenset("article content main post entry story body text page".split())
+#: A smoothed ratio of so many characters a tag is content, wherever the clusters meet.
+SPARSE = 12.0
 SPACE = re.compile(r"\s+")
 WORDS = re.compile(r"[a-z]+")
 
@@ -65,16 +68,17 @@ class Blocks(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int]] = []  # tag, left out, region
-        self.rows: list[tuple[str, int, int]] = []  # text, tags, region
+        self.rows: list[tuple[str, int, int, bool]] = []  # text, tags, region, links alone
         self.parts: list[str] = []
-        self.tags = self.regions = 0
+        self.tags = self.regions = self.links = 0
+        self.linked = True
 
     def end_block(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.rows.append((text, self.tags, self.open[-1][2] if self.open else 0))
+            self.rows.append((text, self.tags, self.open[-1][2] if self.open else 0, self.linked))
             self.tags = 0
-        self.parts = []
+        self.parts, self.linked = [], True
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -84,6 +88,7 @@ class Blocks(HTMLParser):
             self.end_block()
         if tag in VOID:
             return
+        self.links += tag == "a"
         _, out, region = self.open[-1] if self.open else ("", False, 0)
         if tag == "p" and self.open and any(x[0] == "p" for x in self.open[-4:]):
             self.shut("p")
@@ -112,11 +117,14 @@ class Blocks(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
             self.end_block()
+        if tag == "a":
+            self.links = max(0, self.links - 1)
         self.shut(tag)
 
     def handle_data(self, data: str) -> None:
         if not (self.open and self.open[-1][1]):
             self.parts.append(data)
+            self.linked = self.linked and (self.links > 0 or not data.strip())
 
 
 def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -150,17 +158,19 @@ def extract(html: str | None) -> str:
     rows = p.rows
     if not rows:
         return ""
-    ratio = smoothed(np.array([len(t) / max(1, n) for t, n, _ in rows], float))
-    region = np.array([r for _, _, r in rows])
+    ratio = smoothed(np.array([len(t) / max(1, n) for t, n, *_ in rows], float))
+    region = np.array([r for _, _, r, _ in rows])
     if region.any():
-        weight = np.bincount(region, weights=ratio * np.array([len(t) for t, _, _ in rows]))
+        weight = np.bincount(region, weights=ratio * np.array([len(t) for t, *_ in rows]))
         weight[0] = -1
         chosen = region == int(weight.argmax())
     else:
         chosen = np.zeros(len(rows), bool)
-        content = np.flatnonzero(ratio >= threshold(ratio))
-        chosen[content.min() : content.max() + 1] = True
-    return " ".join(t for (t, _, _), c in zip(rows, chosen, strict=True) if c)
+        content = (ratio >= min(threshold(ratio), SPARSE)) & ~np.array([x for *_, x in rows])
+        at = np.flatnonzero(content)
+        if len(at):
+            chosen[at.min() : at.max() + 1] = True
+    return " ".join(t for (t, *_), c in zip(rows, chosen, strict=True) if c)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
