@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from iqlake.plans import catalog
+from iqlake.plans import catalog, catalog_shapes  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
