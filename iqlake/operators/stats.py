@@ -81,7 +81,7 @@ def ccdf(df: DataFrame, value: str, edges: list[float], by: tuple[str, ...] = ()
     spark = df.sparkSession
     place = F.size(F.filter(F.array(*(F.lit(float(e)) for e in edges)), lambda e: e < F.col(value)))
     counts = df.where(~F.isnan(value)).groupBy(*by, place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
-    groups = counts.groupBy(*by).agg(F.sum("n").alias("total"), F.collect_list(F.struct("place", "n")).alias("c"))  # one entry an edge
+    groups = counts.groupBy(*by).agg(F.sum("n").alias("total"), F.collect_list(F.struct("place", "n")).alias("c")).where("total is not null")  # one entry an edge
     table = edge_table(spark, edges)
     over = F.aggregate(F.filter("c", lambda x: x["place"] > F.col("i")), F.lit(0).cast("long"), lambda a, x: a + x["n"])
     out = groups.crossJoin(F.broadcast(table)).select(*by, "edge", over.alias("n"), "total")

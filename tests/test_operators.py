@@ -37,8 +37,8 @@ def test_pulse_is_flat(spark):
 
 
 def test_sawtooth_mean_power(spark):
-    iq = synthetic.sawtooth(spark, 1000, 1000.0, 0.1)
-    assert abs(iq.agg(F.avg(F.col("re") ** 2)).first()[0] - np.mean((np.arange(100) / 100) ** 2)) < 1e-9
+    iq = synthetic.sawtooth(spark, 1024, 1024.0, 0.125)
+    assert abs(iq.agg(F.avg(F.col("re") ** 2)).first()[0] - np.mean((np.arange(128) / 128) ** 2)) < 1e-9
 
 
 def test_blocks_cut_at_overlaps_give_the_same_frames(spark):
