@@ -113,14 +113,15 @@ def removals(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS, id_c
     postings = rows.select("id", "th", F.explode(F.array_distinct(F.arrays_zip("hs", "ws"))).alias("u")).select("id", "th", F.col("u.hs").alias("h"), F.col("u.ws").alias("w")).where("h <> 0")
     me = F.struct("id", "th")
     shared = materialize(postings.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min(me).alias("first")).where("df > 1"), "shared")
-    kept = materialize(postings.join(shared, "h"), "repeated")
+    # Joins are by shuffle at every size: no side is bounded, and a merge join lets Spark split a hot unit or document.
+    kept = materialize(postings.join(shared.hint("merge"), "h"), "repeated")
     few = kept.where(F.col("df") <= rare).groupBy("h").agg(F.first("w").alias("w"), F.array_sort(F.collect_list(me)).alias("at"))
     few = few.select("w", F.posexplode("at").alias("k", "d"), "at").select("w", "d", F.explode(F.slice("at", 1, F.col("k"))).alias("a"))
     many = kept.where((F.col("df") > rare) & (me > F.col("first"))).select("w", me.alias("d"), F.col("first").alias("a"))
     pairs = few.select("d", "a", "w").unionByName(many.select("d", "a", "w")).groupBy("d", "a").agg(F.sum("w").alias("words")).where(F.col("words") >= min_words)
     pairs = materialize(pairs.select(F.col("d.id").alias("id"), F.col("d.th").alias("th"), F.col("a.id").alias("ai"), F.col("a.th").alias("at")), "pairs")
-    both = pairs.join(rows.select(F.col("id").alias("ai"), F.col("th").alias("at"), F.col("hs").alias("ah")), ["ai", "at"]).select("id", "th", "ah")
-    both = both.join(rows, ["id", "th"]).select("id", "th", "ah", "hs", "ws")
+    both = pairs.join(rows.select(F.col("id").alias("ai"), F.col("th").alias("at"), F.col("hs").alias("ah")).hint("merge"), ["ai", "at"]).select("id", "th", "ah")
+    both = both.join(rows.hint("merge"), ["id", "th"]).select("id", "th", "ah", "hs", "ws")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -146,7 +147,7 @@ def dedup_lines(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS, i
     at_id, at_text = names.index(id_col), names.index(text_col)
     marked = body.select("row", F.col(f"row.`{id_col}`").cast("long").alias("id"))
     some = cuts.select("id", F.struct("th", "cuts").alias("c")).groupBy("id").agg(F.collect_list("c").alias("cs"))
-    joined = marked.join(some, "id", "left").select("row.*", F.col("cs").alias("__cuts"))
+    joined = marked.join(some.hint("shuffle_hash"), "id", "left").select("row.*", F.col("cs").alias("__cuts"))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

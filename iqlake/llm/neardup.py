@@ -4,11 +4,14 @@ A document's set is its distinct 5-word shingles. Equal sets form one class; the
 signature. The forest holds the signatures in several sorted orders, each starting at other hash functions. In an order, a row's
 candidates are its neighbours: those in a window before it that share a prefix of the order of at least ``DEPTH`` values. Where a
 region is dense, the window spans only the longest common prefixes, so the prefix depth adapts to the region and no bucket grows.
-Candidates whose signatures agree enough are linked loosely, loose components are the regions in which full sets are compared,
-and the exact links (100 * intersection >= 75 * union) make the groups. Full sets of a region meet in one task while they are small;
-a larger region is cut into cells, and a document goes only to the cells that hold one of its candidates.
 
-Nothing is dropped or capped beyond the forest's own neighbour window; orders that start at other functions make up for it.
+The forest is searched twice. First each row proposes its best neighbour on either side in every order; these pairs are compared
+on full sets (100 * intersection >= 75 * union), and links join rows into groups. Then every neighbour pair between different groups
+whose signatures agree loosely is compared too. Pairs inside a group can't change the result, so a dense group costs a few
+comparisons a document and not one a pair; no partner is dropped for a count.
+
+Full sets meet by region (a component of the pairs to compare): in one task while a region's texts are small; a larger region is cut
+into cells, and a document goes only to the cells that hold one of its pairs.
 Defined results: a null or word-less text has an empty set and stays alone; fewer words than five are one shingle; equal texts are
 one group; ties go to the smallest id; rows that repeat an id with other texts count as one document per id and set; an empty table
 gives no rows; columns other than id and text are ignored.
@@ -28,9 +31,9 @@ from .common import drop_table, materialize
 from .components import connected
 from .shingles import shingle_set, similar
 
-HASHES, ORDERS, DEPTH, WINDOW = 128, 24, 3, 40
-#: Loose agreement of signatures: four standard deviations under 0.75.
-LOOSE = 0.60
+HASHES, ORDERS, DEPTH, WINDOW = 256, 32, 4, 40
+#: Loose agreement of signatures: 3.5 standard deviations under 0.75.
+LOOSE = 0.655
 #: Bytes of text in a region's task before the region is cut into cells.
 CELL_BYTES = 24 << 20
 _RNG = np.random.RandomState(20240229)
@@ -46,7 +49,7 @@ def orders(count: int = ORDERS, hashes: int = HASHES) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    """16 bits of each hash function's minimum, big-endian, so that bytes sort as values."""
+    """Eight bits of each hash function's minimum."""
     h = (shingles >> np.uint64(32)).astype(np.uint32) ^ shingles.astype(np.uint32)
     out = np.empty(HASHES, np.uint32)
     for i in range(0, HASHES, 16):
@@ -54,7 +57,7 @@ def signature(shingles: np.ndarray) -> bytes:
         for s in range(0, len(h), 4096):
             low = np.minimum(low, (h[None, s : s + 4096] * MULTIPLY[i : i + 16, None] + ADD[i : i + 16, None]).min(axis=1))
         out[i : i + 16] = low
-    return ((out * np.uint32(0x85EBCA6B)) >> np.uint32(16)).astype(">u2").tobytes()
+    return ((out * np.uint32(0x85EBCA6B)) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
 def sketched(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,29 +77,37 @@ def sketched(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, bytes long, key binary, sig binary")
 
 
-def neighbours(reps: DataFrame, window: int = WINDOW, depth: int = DEPTH, loose: float = LOOSE) -> DataFrame:
-    """Candidate pairs (a, b), a < b: loosely agreeing neighbours in some order of the forest."""
-    spark = reps.sparkSession
-    perms = orders()
-    prefix = F.array(*(F.xxhash64(F.substring("sig", int(2 * p[0]) + 1, 2 * depth)) for p in perms))
-    # Signatures alone with their prefix in every order have no candidate; a count per prefix finds them before rows are widened.
+def dense_rows(reps: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """The ids that share a prefix with another one in some order; the others have no candidate. Counting prefixes finds them early."""
+    prefix = F.array(*(F.xxhash64(F.concat(*(F.substring("sig", int(i) + 1, 1) for i in p[:depth]))) for p in orders()))
     keys = reps.select("doc_id", F.posexplode(prefix).alias("t", "p"))
-    shared = keys.groupBy("t", "p").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("d")).where("n > 1")
-    paired = materialize(keys.join(shared.select("t", "p").hint("shuffle_hash"), ["t", "p"], "left_semi").select("doc_id").distinct(), "paired")
-    dense = reps.select("doc_id", "sig").join(paired.hint("shuffle_hash"), "doc_id", "left_semi")
+    shared = keys.groupBy("t", "p").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return keys.join(shared.select("t", "p").hint("shuffle_hash"), ["t", "p"], "left_semi").select("doc_id").distinct()
+
+
+def neighbours(dense: DataFrame, best_only: bool, window: int = WINDOW, depth: int = DEPTH, loose: float = LOOSE) -> DataFrame:
+    """Pairs (a, b), a < b, of neighbours in some order of (doc_id, sig, grp): loosely agreeing ones of different groups.
+
+    With ``best_only`` a row proposes the neighbour that agrees most among those before it and among those after it.
+    """
+    perms = orders()
 
     def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in range(0, b.num_rows, 1000):
                 c = b.slice(s, 1000)
-                sigs = np.frombuffer(b"".join(c.column(1).to_pylist()), ">u2").reshape(-1, HASHES)
+                if not c.num_rows:
+                    continue
+                sigs = np.frombuffer(b"".join(c.column(1).to_pylist()), np.uint8).reshape(-1, HASHES)
                 for t, p in enumerate(perms):
                     rows = np.ascontiguousarray(sigs[:, p])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t, np.int32)), pa.array([r.tobytes() for r in rows], pa.binary()), c.column(0)], names=["t", "label", "doc_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t, np.int32)), pa.array([r.tobytes() for r in rows], pa.binary()), c.column(0), c.column(2)], names=["t", "label", "doc_id", "grp"])
 
-    trees = materialize(dense.mapInArrow(widen, "t int, label binary, doc_id long"), "trees")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = trees.repartitionByRange(parts, "t", "label", "doc_id").sortWithinPartitions("t", "label", "doc_id")
+    def best(at: np.ndarray, score: np.ndarray) -> np.ndarray:
+        order = np.lexsort((-score, at))
+        first = np.ones(len(at), bool)
+        first[1:] = at[order][1:] != at[order][:-1]
+        return order[first]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
@@ -105,41 +116,47 @@ def neighbours(reps: DataFrame, window: int = WINDOW, depth: int = DEPTH, loose:
                 b = batch.slice(s, 2000)
                 if not b.num_rows:
                     continue
-                t = b.column(0).to_numpy()
-                sig = np.frombuffer(b"".join(b.column(1).to_pylist()), ">u2").reshape(-1, HASHES).astype(np.uint16)
-                ids = b.column(2).to_numpy()
-                new = len(ids)
-                if held is not None:
-                    t, sig, ids = np.concatenate([held[0], t]), np.concatenate([held[1], sig]), np.concatenate([held[2], ids])
-                first = len(ids) - new
-                found: list[tuple[np.ndarray, np.ndarray]] = []
-                head = sig[:, :depth]
+                now = (b.column(0).to_numpy(), np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, HASHES), b.column(2).to_numpy(), b.column(3).to_numpy())
+                new = len(now[0])
+                t, sig, ids, grp = now if held is None else tuple(np.concatenate(x) for x in zip(held, now, strict=True))
+                first, head = len(ids) - new, sig[:, :depth]
+                found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
                 for k in range(1, min(window, len(ids) - 1) + 1):
                     i = np.arange(max(k, first), len(ids))
                     i = i[(t[i] == t[i - k]) & (head[i] == head[i - k]).all(axis=1)]
                     if not len(i):
                         break
-                    i = i[(sig[i] == sig[i - k]).mean(axis=1) >= loose]
-                    found.append((ids[i], ids[i - k]))
-                held = (t[-window:], sig[-window:], ids[-window:])
+                    i = i[grp[i] != grp[i - k]]
+                    agree = (sig[i] == sig[i - k]).mean(axis=1)
+                    ok = agree >= loose
+                    found.append((i[ok], i[ok] - k, agree[ok]))
+                held = tuple(x[-window:] for x in (t, sig, ids, grp))
                 if found:
-                    x, y = (np.concatenate(v) for v in zip(*found, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-    return ordered.mapInArrow(scan, "a long, b long").where("a <> b").distinct()
+                    x, y, agree = (np.concatenate(v) for v in zip(*found, strict=True))
+                    if best_only and len(x):
+                        kept = np.union1d(best(x, agree), best(y, agree))
+                        x, y = x[kept], y[kept]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], names=["a", "b"])
+
+    trees = dense.select("doc_id", "sig", "grp").mapInArrow(widen, "t int, label binary, doc_id long, grp long")
+    trees = materialize(trees, "trees")
+    parts = int(dense.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = trees.repartitionByRange(parts, "t", "label", "doc_id").sortWithinPartitions("t", "label", "doc_id")
+    pairs = materialize(ordered.mapInArrow(scan, "a long, b long").where("a <> b").distinct(), "pairs")
+    drop_table(trees)
+    return pairs
 
 
-def verified(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Exact links (a, b) that span the groups: full sets are compared region by region until a region's links are known."""
+def verified(texts: DataFrame, pairs: DataFrame, percent: int = 75, n: int = 5) -> DataFrame:
+    """Exact links (a, b) among the pairs, enough to join all that the pairs link; ``texts`` is (doc_id, text, bytes)."""
     regions = materialize(connected(pairs, "regions"), "region")
-    loads = materialize(regions.join(sizes, regions.node == sizes.doc_id).groupBy("component").agg(F.sum("bytes").alias("total")).select("component", F.ceil(F.col("total") / CELL_BYTES).cast("int").alias("cells")), "loads")
-    placed = materialize(regions.join(loads, "component").select("node", "component", "cells", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int").alias("c")), "placed")
+    loads = materialize(regions.join(texts.select("doc_id", "bytes"), regions.node == texts.doc_id).groupBy("component").agg(F.greatest(F.ceil(F.sum("bytes") / CELL_BYTES), F.lit(1)).cast("int").alias("cells")), "loads")
+    placed = materialize(regions.join(loads, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int").alias("c")), "placed")
     one, two = placed.select(F.col("node").alias("a"), F.col("component").alias("region"), F.col("c").alias("ca")), placed.select(F.col("node").alias("b"), F.col("c").alias("cb"))
     celled = materialize(pairs.join(one, "a").join(two, "b").select("a", "b", "region", F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")), "celled")
     wanted = celled.select(F.col("a").alias("doc_id"), "region", "x", "y").unionByName(celled.select(F.col("b").alias("doc_id"), "region", "x", "y")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sent = texts.join(wanted.hint("shuffle_hash"), "doc_id")
-    links = celled.groupBy("region", "x", "y", "a").agg(F.collect_list("b").alias("bs"))
+    sent = texts.select("doc_id", "text").join(wanted.hint("shuffle_hash"), "doc_id")
+    links = celled.groupBy("region", "x", "y", "a").agg(F.collect_list("b").alias("bs"))  # neighbours of one row: bounded by the windows
     rows = sent.select("region", "x", "y", F.col("doc_id").alias("a"), "text", F.lit(None).cast("array<long>").alias("bs")).unionByName(links.select("region", "x", "y", "a", F.lit(None).cast("string").alias("text"), "bs"))
 
     def compare(t: pa.Table) -> pa.Table:
@@ -168,16 +185,27 @@ def verified(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, percent: int =
                     out.append((a, b))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return rows.groupBy("region", "x", "y").applyInArrow(compare, "a long, b long")
+    found = materialize(rows.groupBy("region", "x", "y").applyInArrow(compare, "a long, b long"), "links")
+    for df in (regions, loads, placed, celled):
+        drop_table(df)
+    return found
 
 
 def groups(docs: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id of the group), kept (that id is the document's own)."""
     sketches = materialize(sketched(docs, n, id_col, text_col), "sketches")
-    classes = materialize(sketches.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.max("bytes").alias("bytes")), "classes")
-    pairs = materialize(neighbours(classes), "pairs")
-    links = materialize(verified(docs, pairs, classes.select("doc_id", "bytes"), percent, n, id_col, text_col), "links")
-    merged = connected(links, "groups")
+    classes = materialize(sketches.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "classes")
+    paired = materialize(dense_rows(classes), "paired")
+    dense = materialize(classes.select("doc_id", "sig").join(paired.hint("shuffle_hash"), "doc_id", "left_semi"), "dense")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = materialize(own.join(paired.hint("shuffle_hash"), "doc_id", "left_semi").withColumn("bytes", F.octet_length("text")), "texts")
+
+    links = verified(texts, neighbours(dense.withColumn("grp", F.col("doc_id")), True), percent, n)
+    so_far = materialize(connected(links, "groups"), "groups")
+    grouped = dense.join(so_far, dense.doc_id == so_far.node, "left").select("doc_id", "sig", F.coalesce("component", "doc_id").alias("grp"))
+    more = verified(texts, neighbours(grouped, False), percent, n)
+    merged = connected(links.unionByName(more), "groups")
     named = materialize(classes.select("key", F.col("doc_id").alias("rep")).join(merged, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component_id")), "named")
+    drop_table(texts)
     out = sketches.select("doc_id", "n_shingles", "key").join(named, "key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("component_id", "doc_id") == F.col("doc_id")).alias("kept"))
