@@ -23,8 +23,9 @@ from .common import materialize
 
 #: The pre-tokeniser's pattern in word_bpe_49k.json (a fixed value of that public file).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Texts of other characters than these go through the tokeniser whole: normalisation may change them.
-PLAIN = "[^\\x00-\\u024f\\u2010-\\u2027\\u20ac]"
+#: Texts of other characters than these go through the tokeniser whole: normalisation may change them, or they are separators that
+#: only some pattern libraries count as white space.
+PLAIN = "[^\\x00-\\x1b\\x20-\\x84\\x86-\\u024f\\u2010-\\u2027\\u20ac]"
 END_ID = 2
 #: Offsets are 16 bytes a partition: up to this many rows (16 MB) they are broadcast, beyond it they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
