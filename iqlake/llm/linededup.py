@@ -1,10 +1,10 @@
 """Line deduplication by pairwise alignment.
 
-A text is cut into units: lines, and sentences inside long lines. Units are hashed. A unit that few documents share (up to
-``RARE``) pairs each of them with each earlier one; a unit that more share pairs them with the earliest document that has it, so a
-hot unit costs one pair a document. Pairs that share enough words are aligned by patience diff over their unit hashes, and aligned
-common blocks of at least ``MIN_WORDS`` words are deleted from the later document (the larger id). The earliest document with a
-block keeps it.
+A text is cut into units: lines, and sentences inside long lines. Units are hashed, and so is the shortest run of units from each unit
+on that has ``MIN_WORDS`` words: two texts have a common block to delete only if they share such a run. A run that few documents share
+(up to ``RARE``) pairs each of them with each earlier one; a run that more share pairs them with the earliest document that has it,
+so a hot line costs one pair a document. Pairs are aligned by patience diff over their unit hashes, and aligned common blocks of at
+least ``MIN_WORDS`` words are deleted from the later document (the larger id). The earliest document with a block keeps it.
 
 Only hashes and word counts travel to the alignment. Defined results: a null text stays null, an empty one empty; rows that repeat
 an id and its text are one document; an id with two texts counts as two documents, ordered by a hash; an empty table stays empty;
@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .shingles import mix
 
-RARE, MIN_WORDS = 8, 30
+RARE, MIN_WORDS = 8, 20
 #: A unit ends after a line break, or after a sentence's end and the white space behind it.
 UNIT = re.compile(r"[^\n]*?(?:[.!?][ \t]+|\n|\Z)|\n")
 
@@ -42,6 +43,25 @@ def hashed(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array([xxhash.xxh3_64_intdigest(u) >> 1 if u else 0 for u in found], np.int64), np.array([len(u.split()) for u in found], np.int32)
 
 
+#: An odd multiplier and its inverse among 64-bit words.
+STEP = 0x9E3779B97F4A7C15
+BACK = pow(STEP, -1, 1 << 64)
+
+
+def runs(hs: np.ndarray, ws: np.ndarray, min_words: int = MIN_WORDS) -> np.ndarray:
+    """Distinct hashes of the shortest runs of units with ``min_words`` words, one for each unit that isn't blank."""
+    upto = np.concatenate([[0], np.cumsum(ws, dtype=np.int64)])
+    start = np.flatnonzero(hs != 0)
+    end = np.searchsorted(upto, upto[start] + min_words)
+    start, end = start[end <= len(hs)], end[end <= len(hs)]
+    up, down = np.full(len(hs) + 1, STEP, np.uint64), np.full(len(hs) + 1, BACK, np.uint64)
+    up[0] = down[0] = 1
+    up, down = np.cumprod(up), np.cumprod(down)
+    sums = np.zeros(len(hs) + 1, np.uint64)
+    np.cumsum(mix(hs.astype(np.uint64)) * up[:-1], out=sums[1:])
+    return np.unique(mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
+
+
 def text_key(text: str | None) -> int:
     return xxhash.xxh3_64_intdigest(text or "") >> 1
 
@@ -95,30 +115,31 @@ def common_blocks(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     return out
 
 
-def unit_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, th, hs, ws): unit hashes and word counts of each text."""
+def unit_table(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, th, hs, ws, rs): unit hashes and word counts of each text, and the hashes of its runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, text_key(t), *hashed(t or "")) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            rows = [(i, text_key(t), *u, runs(*u, min_words)) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for u in (hashed(t or ""),)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())), strict=True)], names=["id", "th", "hs", "ws"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())), strict=True)], names=["id", "th", "hs", "ws", "rs"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "id long, th long, hs array<long>, ws array<int>")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "id long, th long, hs array<long>, ws array<int>, rs array<long>")
 
 
 def removals(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, cuts): unit ranges to delete, as an array of (start, end)."""
-    rows = materialize(unit_table(docs, id_col, text_col).dropDuplicates(["id", "th"]), "units")
-    postings = rows.select("id", "th", F.explode(F.array_distinct(F.arrays_zip("hs", "ws"))).alias("u")).select("id", "th", F.col("u.hs").alias("h"), F.col("u.ws").alias("w")).where("h <> 0")
-    me = F.struct("id", "th")
-    shared = materialize(postings.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min(me).alias("first")).where("df > 1"), "shared")
+    rows = materialize(unit_table(docs, min_words, id_col, text_col).dropDuplicates(["id", "th"]), "units")
+    shared = materialize(rows.select(F.explode("rs").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
     # Joins are by shuffle at every size: no side is bounded, and a merge join lets Spark split a hot unit or document.
-    kept = materialize(postings.join(shared.hint("merge"), "h"), "repeated")
-    few = kept.where(F.col("df") <= rare).groupBy("h").agg(F.first("w").alias("w"), F.array_sort(F.collect_list(me)).alias("at"))
-    few = few.select("w", F.posexplode("at").alias("k", "d"), "at").select("w", "d", F.explode(F.slice("at", 1, F.col("k"))).alias("a"))
-    many = kept.where((F.col("df") > rare) & (me > F.col("first"))).select("w", me.alias("d"), F.col("first").alias("a"))
-    pairs = few.select("d", "a", "w").unionByName(many.select("d", "a", "w")).groupBy("d", "a").agg(F.sum("w").alias("words")).where(F.col("words") >= min_words)
+    me = F.struct("id", "th")
+    kept = materialize(rows.select("id", "th", F.explode("rs").alias("h")).join(shared.hint("merge"), "h").select("h", "df", me.alias("d")), "repeated")
+    few = kept.where(F.col("df") <= rare).groupBy("h").agg(F.array_sort(F.collect_list("d")).alias("at"))  # at most ``rare``
+    few = few.select(F.posexplode("at").alias("k", "d"), "at").select("d", F.explode(F.slice("at", 1, F.col("k"))).alias("a"))
+    hot = kept.where(F.col("df") > rare).select("h", "d")
+    first = materialize(hot.groupBy("h").agg(F.min("d").alias("a")), "first")
+    many = hot.join(first.hint("merge"), "h").where(F.col("d") > F.col("a")).select("d", "a")
+    pairs = few.unionByName(many).distinct()
     pairs = materialize(pairs.select(F.col("d.id").alias("id"), F.col("d.th").alias("th"), F.col("a.id").alias("ai"), F.col("a.th").alias("at")), "pairs")
     both = pairs.join(rows.select(F.col("id").alias("ai"), F.col("th").alias("at"), F.col("hs").alias("ah")).hint("merge"), ["ai", "at"]).select("id", "th", "ah")
     both = both.join(rows.hint("merge"), ["id", "th"]).select("id", "th", "ah", "hs", "ws")

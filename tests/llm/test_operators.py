@@ -288,6 +288,17 @@ def test_patience_blocks_are_common_and_ordered():
     assert linededup.common_blocks([1, 2, 3], [1, 2, 3]) == [(0, 0, 3)]
 
 
+def test_runs_are_the_shortest_with_enough_words():
+    rng = random.Random(3)
+    for _ in range(200):
+        hs = [rng.choice([0, rng.randrange(1, 6)]) for _ in range(rng.randrange(40))]
+        want = {tuple(hs[i:j]) for i, h in enumerate(hs) if h for j in [next((j for j in range(i, len(hs) + 1) if 3 * sum(hs[i:j]) >= 20), None)] if j}
+        assert len(linededup.runs(np.array(hs, np.int64), np.array([3 * h for h in hs], np.int32))) == len(want)
+    a = np.arange(1, 30)
+    tail = linededup.runs(np.concatenate([[99], a[5:]]), np.full(25, 7, np.int32))
+    assert len(set(tail) & set(linededup.runs(a, np.full(29, 7, np.int32)))) == 22
+
+
 @pytest.mark.parametrize("copies", [3, 30])
 def test_repeated_passages_leave_later_documents(spark, copies):
     rng = random.Random(10)
