@@ -59,6 +59,78 @@ class Numerology:
         return np.add.outer(np.add.outer(base, picked).ravel(), np.arange(self.prefixes[1])).ravel()
 
 
+#: Fixed values of IEEE 802.16, 8.4: transform sizes, prefix ratios, frame durations in seconds, and the sampling factor 28/25 of
+#: channel bandwidths that are multiples of these (in Hz) but not of 1.75 MHz; others have 8/7.
+OFDMA_SIZES, OFDMA_PREFIXES = (128, 512, 1024, 2048), (1 / 32, 1 / 16, 1 / 8, 1 / 4)
+OFDMA_FRAMES = (2e-3, 2.5e-3, 4e-3, 5e-3, 8e-3, 10e-3, 12.5e-3, 20e-3, 25e-3, 40e-3, 50e-3)
+OFDMA_STEPS = (1.25e6, 1.5e6, 2e6, 2.75e6)
+
+
+def whole_number(x: float, what: str) -> int:
+    if abs(x - round(x)) > 1e-6:
+        raise ValueError(f"{what} must be a whole number; it is {x}")
+    return round(x)
+
+
+@dataclass(frozen=True)
+class OfdmaNumerology:
+    """Sample counts of IEEE 802.16 OFDMA, at the standard sample rate or a whole multiple or divisor of it.
+
+    ``factor`` replaces the standard's sampling factor, for recordings of equipment that uses one factor for every bandwidth.
+    """
+
+    bandwidth: float
+    size: int = 2048
+    prefix_ratio: float = 1 / 8
+    frame_duration: float = 5e-3
+    recorded_rate: float | None = None
+    factor: float | None = None
+
+    def __post_init__(self) -> None:
+        if self.bandwidth < 1.25e6 or abs(self.bandwidth / 125e3 - round(self.bandwidth / 125e3)) > 1e-9:
+            raise ValueError("the channel bandwidth must be a multiple of 125 kHz from 1.25 MHz on")
+        for value, known, what in ((self.size, OFDMA_SIZES, "transform size"), (self.prefix_ratio, OFDMA_PREFIXES, "prefix ratio"), (self.frame_duration, OFDMA_FRAMES, "frame duration")):
+            if value not in known:
+                raise ValueError(f"the {what} must be one of {known}")
+        if min(abs(x - round(x)) for x in (self.scale, 1 / self.scale)) > 1e-6:
+            raise ValueError("the recorded rate must be a whole multiple or divisor of the standard one")
+        whole_number(self.scale * self.prefix_ratio * self.size, "the prefix size")
+
+    @property
+    def standard_rate(self) -> float:
+        steps = lambda step: abs(self.bandwidth / step - round(self.bandwidth / step)) < 1e-9
+        factor = self.factor or (28 / 25 if any(map(steps, OFDMA_STEPS)) and not steps(1.75e6) else 8 / 7)
+        return float(np.floor(factor * self.bandwidth / 8000 + 1e-9) * 8000)
+
+    @property
+    def scale(self) -> float:
+        return (self.recorded_rate or self.standard_rate) / self.standard_rate
+
+    @property
+    def nfft(self) -> int:
+        return round(self.size * self.scale)
+
+    @property
+    def prefix(self) -> int:
+        return round(self.prefix_ratio * self.size * self.scale)
+
+    @property
+    def symbols_per_frame(self) -> int:
+        return int(self.frame_duration * self.standard_rate / round((1 + self.prefix_ratio) * self.size) + 1e-9)
+
+    @property
+    def frame_size(self) -> int:
+        return round(self.frame_duration * self.standard_rate * self.scale)
+
+    def prefix_indexes(self, frames: tuple[int, ...] = (0,), symbols: tuple[int, ...] | None = None) -> np.ndarray:
+        """Sample indexes of cyclic prefixes, one axis each for symbol, frame and place in the prefix."""
+        at = np.array(symbols if symbols is not None else range(self.symbols_per_frame))
+        if len(at) and (at.min() < 0 or at.max() >= self.symbols_per_frame):
+            raise ValueError(f"a frame has {self.symbols_per_frame} symbols")
+        starts = at * (self.prefix + self.nfft)
+        return np.add.outer(np.add.outer(starts, np.array(frames) * self.frame_size), np.arange(self.prefix))
+
+
 def lfsr(seed: list[int], taps: tuple[int, int], size: int = 127) -> np.ndarray:
     """A binary recursion x[i] = x[i - a] + x[i - b] modulo 2."""
     x = list(seed)

@@ -58,6 +58,71 @@ def confined_gaussian(n: int, sigma: float) -> np.ndarray:
     return w / w.max()
 
 
+def chebyshev(n: int, attenuation: float) -> np.ndarray:
+    """Dolph-Chebyshev window with side lobes ``attenuation`` decibels down, peak one: the transform of a Chebyshev polynomial."""
+    m = n  # the periodic window of n samples is a symmetric one of n + 1 samples without its last
+    edge = np.cosh(np.arccosh(10 ** (abs(attenuation) / 20)) / m)
+    x = edge * np.cos(np.pi * np.arange(m + 1) / (m + 1))
+    with np.errstate(invalid="ignore"):
+        poly = np.where(np.abs(x) <= 1, np.cos(m * np.arccos(np.clip(x, -1, 1))), np.cosh(m * np.arccosh(np.maximum(np.abs(x), 1))) * np.where(x < 0, (-1.0) ** m, 1.0))
+    half = np.exp(1j * np.pi * np.arange(m + 1) / (m + 1)) if (m + 1) % 2 == 0 else 1.0
+    w = np.fft.fft(poly * half).real
+    first = (m + 1) // 2 + 1 if (m + 1) % 2 == 0 else m // 2 + 1
+    w = np.concatenate([w[first - 1 : 0 : -1], w[1:first]]) if (m + 1) % 2 == 0 else np.concatenate([w[first - 1 : 0 : -1], w[:first]])
+    return (w / w.max())[:n]
+
+
+def taylor(n: int, bars: int = 4, level: float = 30.0) -> np.ndarray:
+    """Taylor window: ``bars`` nearly equal side lobes ``level`` decibels down, mean one in its middle."""
+    a = np.arccosh(10 ** (level / 20)) / np.pi
+    widen = bars**2 / (a**2 + (bars - 0.5) ** 2)
+    k = np.arange(1, bars)
+    terms = np.empty(bars - 1)
+    for i, m in enumerate(k):
+        top = np.prod(1 - m**2 / widen / (a**2 + (k - 0.5) ** 2))
+        terms[i] = -((-1) ** m) * top / (2 * np.prod([1 - m**2 / j**2 for j in k if j != m]))
+    shape = lambda t: 1 + 2 * np.cos(2 * np.pi * np.multiply.outer(t, k)) @ terms
+    return shape((np.arange(n) - n / 2) / (n + 1)) / shape(np.array([0.0]))
+
+
+def slepian(n: int, half_bandwidth: float) -> np.ndarray:
+    """First discrete prolate spheroidal sequence of time-half-bandwidth product ``half_bandwidth``, peak one.
+
+    The commuting tridiagonal matrix has it as its top eigenvector; inverse iteration from the top of the spectrum finds it in O(n).
+    """
+    m = n + 1
+    k = np.arange(m)
+    diagonal = ((m - 1 - 2 * k) / 2) ** 2 * np.cos(2 * np.pi * half_bandwidth / m)
+    off = k[1:] * (m - k[1:]) / 2
+    radius = np.zeros(m)
+    radius[:-1] += off
+    radius[1:] += off
+    low, high = diagonal.min() - radius.max(), (diagonal + radius).max()
+    for _ in range(200):  # bisection by the sign count of the pivots: the largest eigenvalue
+        mid = (low + high) / 2
+        pivot, above = 1.0, 0
+        for i in range(m):
+            pivot = diagonal[i] - mid - (off[i - 1] ** 2 / pivot if i else 0.0)
+            pivot = pivot or 1e-300
+            above += pivot > 0
+        low, high = (mid, high) if above else (low, mid)
+        if high - low <= 1e-14 * max(1.0, abs(high)):
+            break
+    v = np.ones(m)
+    for _ in range(4):
+        c, d = np.zeros(m), np.zeros(m)
+        for i in range(m):
+            den = diagonal[i] - high - (off[i - 1] * c[i - 1] if i else 0.0)
+            den = den or 1e-300
+            c[i] = off[i] / den if i < m - 1 else 0.0
+            d[i] = (v[i] - (off[i - 1] * d[i - 1] if i else 0.0)) / den
+        for i in range(m - 2, -1, -1):
+            d[i] -= c[i] * d[i + 1]
+        v = d / np.abs(d).max()
+    v = np.abs(v + v[::-1])
+    return (v / v.max())[:n]
+
+
 MAKERS = {
     "rect": lambda n: np.ones(n),
     "hamming": lambda n: _cosine_sum(n, 0.54, 0.46),
@@ -69,6 +134,9 @@ MAKERS = {
     "cosh": cosh,
     "modified_bessel": modified_bessel,
     "acg": confined_gaussian,
+    "chebwin": chebyshev,
+    "taylor": taylor,
+    "dpss": slepian,
 }
 
 

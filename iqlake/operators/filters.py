@@ -61,6 +61,77 @@ def filtered(blocks: DataFrame, bandwidth: float, fs: float, taps: int = 4001, t
     return kernel(blocks, lambda x: convolve_same(x, h))
 
 
+def _landen(k: float) -> list[float]:
+    """Descending moduli of Landen's transformation."""
+    out = []
+    while k > 1e-16 and len(out) < 40:
+        k = (k / (1 + np.sqrt(1 - k * k))) ** 2
+        out.append(float(k))
+    return out
+
+
+def _jacobi(start: np.ndarray, k: float) -> np.ndarray:
+    """cd or sn of a quarter-period argument from its cosine or sine."""
+    for v in reversed(_landen(k)):
+        start = (1 + v) * start / (1 + v * start**2)
+    return start
+
+
+def _arc_sn(w: complex, k: float) -> complex:
+    """Quarter-period argument of an sn value."""
+    before = k
+    for v in _landen(k):
+        w = 2 * w / ((1 + np.sqrt(1 - (w * before) ** 2)) * (1 + v))
+        before = v
+    return 2 * np.arcsin(w + 0j) / np.pi
+
+
+def elliptic(passband: float, stopband: float, ripple: float, attenuation: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Zeros, poles and gain of the digital elliptic low-pass of least order; edges in cycles a sample, losses in decibels."""
+    if not 0 < passband < stopband < 0.5:
+        raise ValueError("0 < passband < stopband < half the sample rate is needed")
+    e_pass, e_stop = (np.sqrt(10 ** (x / 10) - 1) for x in (ripple, attenuation))
+    edge, k1 = np.tan(np.pi * passband), e_pass / e_stop
+    selectivity = edge / np.tan(np.pi * stopband)
+    other = np.sqrt(1 - k1 * k1)
+    for order in range(1, 60):
+        u = (2 * np.arange(1, order // 2 + 1) - 1) / order
+        away = other**order * np.prod(_jacobi(np.sin(u * np.pi / 2), other)) ** 4
+        k = float(np.sqrt(1 - min(1.0, away) ** 2))
+        if k >= selectivity:
+            break
+    v0 = -1j / order * _arc_sn(1j / e_pass, k1)
+    zeros = 1j / (k * _jacobi(np.cos(u * np.pi / 2), k))
+    poles = 1j * _jacobi(np.cos((u - 1j * v0) * np.pi / 2), k)
+    zeros, poles = np.concatenate([zeros, zeros.conj()]), np.concatenate([poles, poles.conj()])
+    if order % 2:
+        poles = np.append(poles, 1j * _jacobi(np.sin(1j * v0 * np.pi / 2), k))
+    bilinear = lambda s: (1 + s * edge) / (1 - s * edge)
+    z, p = np.append(bilinear(zeros), -np.ones(order % 2)), bilinear(poles)
+    level = 1.0 if order % 2 else 10 ** (-ripple / 20)
+    return z, p, float(level * abs(np.prod(1 - p) / np.prod(1 - z)))
+
+
+def iir_response(passband: float, stopband: float, ripple: float, attenuation: float, floor: float = 1e-10) -> np.ndarray:
+    """Impulse response of :func:`elliptic` up to where it stays under ``floor``: convolution with it is the recursion, without its state."""
+    z, p, gain = elliptic(passband, stopband, ripple, attenuation)
+    size = 1 << max(8, int(np.log(floor / 1e6) / np.log(np.abs(p).max())).bit_length())
+    w = np.exp(-2j * np.pi * np.arange(size) / size)
+    h = np.fft.ifft(gain * np.prod(1 - np.multiply.outer(w, z), axis=1) / np.prod(1 - np.multiply.outer(w, p), axis=1)).real
+    return h[: int(np.flatnonzero(np.abs(h) > floor * np.abs(h).max())[-1]) + 1]
+
+
+def iir_lowpass(blocks: DataFrame, bandwidth: float, fs: float, ripple: float = 0.1, attenuation: float = 60.0, transition: float = 250e3) -> DataFrame:
+    """Causal elliptic low-pass of each block, at rest before it; blocks should overlap by the response's length."""
+    h = iir_response(bandwidth / 2 / fs, (bandwidth / 2 + transition) / fs, ripple, attenuation)
+
+    def causal(x: np.ndarray) -> np.ndarray:
+        n = 1 << (len(x) + len(h) - 2).bit_length()
+        return np.fft.ifft(np.fft.fft(x, n) * np.fft.fft(h, n))[: len(x)]
+
+    return kernel(blocks, causal)
+
+
 def resample(x: np.ndarray, num: int, shift: int = 0, scale: float = 1.0) -> np.ndarray:
     """Fourier resampling: the spectrum is cut or padded around ``shift`` bins."""
     if len(x) % 2:

@@ -205,3 +205,63 @@ def test_files_and_units(spark, tmp_path):
 def test_overload_rule(spark):
     df = spark.createDataFrame([(0, 1e9, 0.0, 5), (0, 1e9, -30.0, 5)], "port int, center_frequency double, gain double, headroom int")
     assert calibration.overload(df).count() == 1
+
+
+def side_lobes(w):
+    """Highest side lobe in decibels of a periodic window's symmetric form."""
+    full = np.append(w, w[0])
+    level = 20 * np.log10(np.abs(np.fft.fft(full, 8192)) / abs(full.sum()) + 1e-30)[:4096]
+    return level[int(np.argmax(np.diff(level) > 0)) :].max()
+
+
+@pytest.mark.parametrize("n", [16, 17, 64, 65])
+def test_windows_with_a_shape_parameter(n):
+    assert abs(side_lobes(windows.chebyshev(n, 60)) + 60) < 1e-3
+    assert abs(side_lobes(windows.taylor(n, 4, 35)) + 35) < 0.5
+    m = n + 1
+    d = np.subtract.outer(np.arange(m), np.arange(m))
+    kernel = np.where(d == 0, 5 / m, np.sin(5 * np.pi * d / m) / np.where(d == 0, 1, np.pi * d))
+    top = np.abs(np.linalg.eigh(kernel)[1][:, -1])
+    assert np.abs(windows.slepian(n, 2.5) - (top / top.max())[:n]).max() < 1e-9
+
+
+@pytest.mark.parametrize("name", ["kaiser", "chebwin", "dpss"])
+def test_window_parameter_gives_the_bandwidth(name):
+    low = 30.0 if name == "chebwin" else 0.5
+    found = windows.parameter_for_bandwidth(name, 1.6, 256, low, 100.0 if name == "chebwin" else 12.0)
+    assert abs(windows.noise_bandwidth((name, found), 256) - 1.6) < 1e-5
+
+
+@pytest.mark.parametrize(("edge", "stop", "ripple", "loss"), [(0.1, 0.12, 0.1, 60), (0.2, 0.25, 0.5, 80), (0.05, 0.2, 1, 40)])
+def test_elliptic_filter_keeps_its_bounds_and_equals_the_recursion(spark, edge, stop, ripple, loss):
+    z, p, gain = filters.elliptic(edge, stop, ripple, loss)
+    f = np.linspace(0, 0.5, 4001)
+    w = np.exp(-2j * np.pi * f)
+    h = 20 * np.log10(np.abs(gain * np.prod(1 - np.multiply.outer(w, z), axis=1) / np.prod(1 - np.multiply.outer(w, p), axis=1)) + 1e-30)
+    assert np.abs(p).max() < 1 and h[f <= edge].min() > -ripple - 1e-6 and h[f <= edge].max() < 1e-6 and h[f >= stop].max() < -loss + 1e-3
+    x = np.random.default_rng(4).normal(size=200)
+    b, a, want = np.real(np.poly(z)) * gain, np.real(np.poly(p)), np.zeros(200)
+    for n in range(200):
+        want[n] = sum(b[k] * x[n - k] for k in range(len(b)) if n >= k) - sum(a[k] * want[n - k] for k in range(1, len(a)) if n >= k)
+    got = filters.iir_lowpass(block(spark, x), 2 * edge, 1.0, ripple, loss, stop - edge).first()
+    assert np.abs(np.array(got.re) - want).max() < 1e-8
+
+
+def test_elliptic_filter_refuses_bad_edges():
+    with pytest.raises(ValueError, match="passband"):
+        filters.elliptic(0.3, 0.2, 1, 40)
+
+
+def test_ofdma_numerology():
+    phy = ofdm.OfdmaNumerology(10e6, size=1024)
+    assert (phy.standard_rate, phy.nfft, phy.prefix, phy.symbols_per_frame, phy.frame_size) == (11.2e6, 1024, 128, 48, 56_000)
+    assert ofdm.OfdmaNumerology(7e6).standard_rate == 8e6 and ofdm.OfdmaNumerology(7e6, factor=28 / 25).standard_rate == 7.84e6
+    half = ofdm.OfdmaNumerology(10e6, size=1024, recorded_rate=5.6e6)
+    at = half.prefix_indexes(frames=(0, 2), symbols=(0, 3))
+    assert at.shape == (2, 2, 64) and at[1, 1, 5] == 3 * (512 + 64) + 2 * 28_000 + 5
+
+
+@pytest.mark.parametrize("bad", [{"bandwidth": 1e6}, {"bandwidth": 10.01e6}, {"bandwidth": 10e6, "size": 1000}, {"bandwidth": 10e6, "prefix_ratio": 0.3}, {"bandwidth": 10e6, "frame_duration": 1.0}, {"bandwidth": 10e6, "recorded_rate": 10e6}])
+def test_ofdma_numerology_refuses(bad):
+    with pytest.raises(ValueError, match="must be"):
+        ofdm.OfdmaNumerology(**bad)
