@@ -1,6 +1,8 @@
 """Closed forms and edge cases of the signal operators."""
 
 import math
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -265,3 +267,54 @@ def test_ofdma_numerology():
 def test_ofdma_numerology_refuses(bad):
     with pytest.raises(ValueError, match="must be"):
         ofdm.OfdmaNumerology(**bad)
+
+
+def mat_element(kind, body):
+    return struct.pack("<II", kind, len(body)) + body + b"\0" * (-len(body) % 8)
+
+
+def mat_file(name, z, packed):
+    parts = mat_element(6, struct.pack("<II", 6 | 0x800, 0)) + mat_element(5, struct.pack("<ii", 1, len(z))) + (mat_element(1, name.encode()) if len(name) > 4 else struct.pack("<HH4s", 1, len(name), name.encode()))
+    parts += mat_element(9, z.real.tobytes()) + mat_element(9, z.imag.tobytes())
+    body = mat_element(14, parts)
+    if packed:
+        body = zlib.compress(body)
+        body = struct.pack("<II", 15, len(body)) + body
+    return b"MATLAB 5.0".ljust(124) + struct.pack("<H", 0x0100) + b"IM" + body
+
+
+def tdms_text(s):
+    return struct.pack("<I", len(s)) + s.encode()
+
+
+def tdms_segment(channels, interleaved=False, again=False):
+    meta = struct.pack("<I", len(channels))
+    for path, x in channels:
+        code = {"i2": 2, "f8": 10, "i4": 3}[x.dtype.str[1:]]
+        meta += tdms_text(path) + (struct.pack("<I", 0) if again else struct.pack("<IIIQ", 20, code, 1, len(x)))
+        meta += struct.pack("<I", 2) + tdms_text("unit") + struct.pack("<I", 0x20) + tdms_text("V") + tdms_text("gain") + struct.pack("<Id", 10, 1.5)
+    raw = np.stack([x for _, x in channels], axis=1).tobytes() if interleaved else b"".join(x.tobytes() for _, x in channels)
+    return b"TDSm" + struct.pack("<IIQQ", 0xA | (0x4 if not again else 0) | (0x20 if interleaved else 0), 4713, len(meta) + len(raw), len(meta)) + meta + raw
+
+
+@pytest.mark.parametrize("packed", [False, True])
+@pytest.mark.parametrize("name", ["iq", "waveform"])
+def test_mat_files(spark, tmp_path, packed, name):
+    z = np.arange(5) + 1j * np.arange(5, 10)
+    (tmp_path / "a.mat").write_bytes(mat_file(name, z, packed))
+    got = files.read_iq_files(spark, f"file://{tmp_path}", block=3, key=name).orderBy("n0").collect()
+    assert [r.n0 for r in got] == [0, 3] and np.allclose(np.concatenate([np.array(r.re) + 1j * np.array(r.im) for r in got]), z)
+    with pytest.raises(KeyError, match=name):
+        files.mat_variable(mat_file(name, z, packed), "other")
+
+
+@pytest.mark.parametrize("interleaved", [False, True])
+def test_tdms_files(spark, tmp_path, interleaved):
+    i, q = np.arange(6, dtype="<i2"), np.arange(10, 16, dtype="<i2")
+    head = tdms_segment([("/'head'/'total_samples'", np.array([11], "<i4")), ("/'head'/'reference_level_dBm'", np.array([20.0]))])
+    data = [("/'iq'/'I'", i), ("/'iq'/'Q'", q)]
+    raw = head + tdms_segment(data, interleaved) + tdms_segment(data, interleaved, again=True)
+    (tmp_path / "a.tdms").write_bytes(raw)
+    got = files.read_iq_files(spark, f"file://{tmp_path}").first()
+    want = np.concatenate([i + 1j * q] * 2)[:11] * (10 / 32767)
+    assert np.allclose(np.array(got.re) + 1j * np.array(got.im), want)
