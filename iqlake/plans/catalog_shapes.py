@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions import ofdm
+from ..functions import ofdm, windows
 from ..operators import calibration, filters, frames, spectrum, stats
 from ..sources.tables import read_table
 from . import results, sweep
@@ -157,3 +157,25 @@ def quantised_range(spark: SparkSession, d: str) -> DataFrame:
 def iq_waveform(spark: SparkSession, d: str) -> DataFrame:
     lo, hi = int(0.25 * FS), int(0.75 * FS)
     return iq(spark, d).where((F.col("n") >= lo) & (F.col("n") < hi)).withColumn("re", r6("re", 9)).withColumn("im", r6("im", 9))
+
+
+@register(f"""WITH {IQ_SQL}, h AS (
+  SELECT CAST(range - 4 AS BIGINT) AS k, CASE WHEN range = 4 THEN 0.5 ELSE (cos(2 * pi() * 0.1875 * (range - 4)) - cos(2 * pi() * 0.3125 * (range - 4))) / (2 * pi() * pi() * (range - 4) * (range - 4) * 0.125) END AS h FROM range(9))
+SELECT capture_id, port, n + k AS n, round(sum(re * h), 6) AS re, round(sum(im * h), 6) AS im FROM iq, h WHERE n + k >= 0 AND n + k < 32 GROUP BY ALL""")
+def fir_filter(spark: SparkSession, d: str) -> DataFrame:
+    out = frames.samples(filters.filtered(blocks(spark, d), 16.0, FS, 9, 4.0))
+    return out.select("capture_id", "port", "n", r6(F.col("re") + 0.0).alias("re"), r6(F.col("im") + 0.0).alias("im"))
+
+
+@register("""SELECT 'hamming' AS name, CAST(range AS INTEGER) AS i, round(0.54 - 0.46 * cos(2 * pi() * range / 64), 9) AS w FROM range(64)
+UNION ALL SELECT 'blackman', CAST(range AS INTEGER), round(0.42 - 0.5 * cos(2 * pi() * range / 64) + 0.08 * cos(4 * pi() * range / 64), 9) FROM range(64)
+UNION ALL SELECT 'taylor', CAST(i AS INTEGER), round((1 + 2 * sum(f * cos(2 * pi() * m * (i - 32) / 65.0))) / any_value(1 + 2 * total), 9)
+FROM (SELECT range AS i FROM range(64)) AS i,
+     (SELECT m, f, sum(f) OVER () AS total FROM (
+        SELECT m, -pow(-1, m) * (SELECT product(1 - m * m / s / (a * a + (j - 0.5) * (j - 0.5))) FROM range(1, 4) AS t(j))
+                  / (2 * (SELECT product(1 - m * m / CAST(j * j AS DOUBLE)) FROM range(1, 4) AS t(j) WHERE j <> m)) AS f
+        FROM (SELECT a, 16 / (a * a + 12.25) AS s FROM (SELECT acosh(pow(10, 30 / 20.0)) / pi() AS a)), (SELECT range AS m FROM range(1, 4)))) AS f
+GROUP BY i""")
+def window_values(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(name, i, float(w)) for name in ("hamming", "blackman", "taylor") for i, w in enumerate(windows.window(name, 64, normalise=False))]
+    return spark.createDataFrame(rows, "name string, i int, w double").withColumn("w", r6("w", 9))
