@@ -61,6 +61,15 @@ def filtered(blocks: DataFrame, bandwidth: float, fs: float, taps: int = 4001, t
     return kernel(blocks, lambda x: convolve_same(x, h))
 
 
+def shaped(spectra: DataFrame, taps: np.ndarray, nfft: int) -> DataFrame:
+    """Power per centred bin ``k`` behind a filter of at most ``nfft`` taps; the table that is broadcast has ``nfft`` rows."""
+    if len(taps) > nfft:
+        raise ValueError("the filter is longer than the transform")
+    gain = np.abs(np.fft.fftshift(np.fft.fft(taps, nfft))) ** 2
+    table = spectra.sparkSession.createDataFrame([(k, float(g)) for k, g in enumerate(gain)], "k long, __gain double")
+    return spectra.join(F.broadcast(table), "k").withColumn("power", F.col("power") * F.col("__gain")).select(*spectra.columns)
+
+
 def _landen(k: float) -> list[float]:
     """Descending moduli of Landen's transformation."""
     out = []

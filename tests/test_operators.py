@@ -318,3 +318,15 @@ def test_tdms_files(spark, tmp_path, interleaved):
     got = files.read_iq_files(spark, f"file://{tmp_path}").first()
     want = np.concatenate([i + 1j * q] * 2)[:11] * (10 / 32767)
     assert np.allclose(np.array(got.re) + 1j * np.array(got.im), want)
+
+
+def test_shaped_spectrum_is_that_of_circular_filtering(spark):
+    x = np.random.default_rng(8).normal(size=64) + 1j * np.random.default_rng(9).normal(size=64)
+    taps = filters.fir_lowpass(16.0, 64.0, 9, 8.0)
+    round_trip = np.fft.ifft(np.fft.fft(x) * np.fft.fft(taps, 64))
+    want = {r.k: r.power for r in spectrum.stft_power(block(spark, round_trip), 64, 0, "rect").collect()}
+    power = spectrum.stft_power(block(spark, x), 64, 0, "rect")
+    got = filters.shaped(power, taps, 64)
+    assert got.columns == power.columns and all(abs(r.power - want[r.k]) < 1e-12 for r in got.collect())
+    with pytest.raises(ValueError, match="longer"):
+        filters.shaped(power, np.ones(65), 64)
