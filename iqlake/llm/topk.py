@@ -8,7 +8,7 @@ terms are probed, largest bound first, only for vectors that can still compete.
 
 Vectors are packed into shards of a bounded number of rows, queries into blocks; a block meets each shard in a task of its own,
 keyed by the shard. Defined results: null vectors and those with null or non-finite components take no part, nor do vectors whose
-length differs from ``dim``; a query's own row (same id) is no candidate; repeated rows with other ids are candidates; ties go to
+length differs from ``dim`` or whose scaled components reach ``LARGEST``, beyond which scores in doubles aren't exact; a query's own row (same id) is no candidate; repeated rows with other ids are candidates; ties go to
 the smaller id; a query with fewer candidates than k returns all; an empty table gives no rows; other columns are ignored.
 """
 
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SHARD_ROWS = 16_384
+LARGEST = 1 << 23
 BLOCK_ROWS = 2_048
 #: A shard is traversed in steps; each step's scores raise the threshold of the next.
 STEP = 4_096
@@ -32,7 +33,7 @@ STEP = 4_096
 def quantised(vectors: DataFrame, dim: int = 64, scale: float = 64.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(vec_id, v): integer components of the vectors that take part."""
     e = F.transform(F.col(vec_col), lambda x: x.cast("double"))
-    ok = (F.size(e) == dim) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    ok = (F.size(e) == dim) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) * scale < LARGEST))
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), e.alias("e")).where(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & F.coalesce(ok, F.lit(False))).select("vec_id", F.transform("e", lambda x: F.floor(x * scale).cast("int")).alias("v"))
 
 
