@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Labelled rows per label that fitting sees at most, and entries of the lexicon.
 SAMPLE, ENTRIES = 6000, 4000
 #: A feature needs this many toxic documents, and this share of toxic among the documents that have it.
@@ -104,7 +106,7 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int = ENTRIES) -> Model:
     """Lexicon weights and calibration from labelled rows; a training filter belongs before this call."""
-    rows = sampled(docs, labels, sample)
+    rows = materialize(sampled(docs, labels, sample), "labelled")  # read twice below
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
