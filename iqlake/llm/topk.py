@@ -28,6 +28,8 @@ LARGEST = 1 << 23
 BLOCK_ROWS = 2_048
 #: A shard is traversed in steps; each step's scores raise the threshold of the next.
 STEP = 4_096
+#: Non-essential terms are probed so many at a time, the largest bounds first.
+PROBE = 8
 
 
 def quantised(vectors: DataFrame, dim: int = 64, scale: float = 64.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -50,44 +52,54 @@ def packed(rows: DataFrame, key: str, name: str) -> DataFrame:
 
 
 class Postings:
-    """Impacts of one shard per signed dimension."""
+    """Impacts of one shard per dimension: how far each vector is over the shard's least value."""
 
     def __init__(self, ids: np.ndarray, m: np.ndarray):
-        self.ids, self.m = ids, m
+        self.ids = ids
         cols = np.ascontiguousarray(m.T).astype(np.float64)
         self.low, self.high = cols.min(axis=1), cols.max(axis=1)
-        self.up, self.down = cols - self.low[:, None], self.high[:, None] - cols
+        wide = cols - self.low[:, None]
+        self.impacts = {np.float64: wide, np.float32: wide.astype(np.float32)}
 
     def search(self, qid: int, q: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
         """Ids and exact scores of the best k candidates; those below ``floor`` may be left out."""
         terms = np.flatnonzero(q)
-        weight = np.abs(q[terms]).astype(np.float64)
-        base = float(np.where(q[terms] > 0, q[terms] * self.low[terms], q[terms] * self.high[terms]).sum())
-        bound = weight * (self.high - self.low)[terms]
+        weight = q[terms].astype(np.float64)
+        base = float(np.where(weight > 0, weight * self.low[terms], weight * self.high[terms]).sum())
+        bound = np.abs(weight) * (self.high - self.low)[terms]
         order = np.argsort(bound, kind="stable")
         terms, weight, bound = terms[order], weight[order], bound[order]
         sums = np.concatenate([[0.0], np.cumsum(bound)])  # sums[i]: bound of the i weakest terms together
+        lift = np.where(weight < 0, bound, 0.0)  # a negative weight counts down from its bound
+        # Integers under 2**24 are exact in single precision, partial sums included.
+        kind = np.float32 if sums[-1] < 1 << 24 else np.float64
+        impact, signed = self.impacts[kind], weight.astype(kind)
         best_s, best_i = np.zeros(0), np.zeros(0, np.int64)
         for lo in range(0, len(self.ids), STEP):
             hi = min(lo + STEP, len(self.ids))
             need = max(floor, best_s[-1] if len(best_s) == k else -np.inf) - base
             split = int(np.searchsorted(sums, need, side="left")) - 1 if need > 0 else 0
             split = max(0, min(split, len(terms)))
-            score = np.zeros(hi - lo)
-            for t, w in zip(terms[split:], weight[split:], strict=True):
-                score += w * (self.up if q[t] > 0 else self.down)[t, lo:hi]
+            score = signed[split:] @ impact[terms[split:], lo:hi] + lift[split:].sum()
             at = np.flatnonzero(score + sums[split] >= need)
             score = score[at]
-            for j in range(split - 1, -1, -1):
+            for j in range(split, 0, -PROBE):
                 if not len(at):
                     break
-                t = terms[j]
-                score = score + weight[j] * (self.up if q[t] > 0 else self.down)[t, lo + at]
-                left = score + sums[j] >= need
+                g = slice(max(0, j - PROBE), j)
+                if 4 * len(at) > hi - lo:  # many still compete: a run over the postings is cheaper than picking from them
+                    more = (signed[g] @ impact[terms[g], lo:hi])[at]
+                else:
+                    more = signed[g] @ impact[terms[g, None], lo + at]
+                score = score + more + lift[g].sum()
+                left = score + sums[g.start] >= need
                 at, score = at[left], score[left]
             ids = self.ids[lo + at]
             keep = ids != qid
             s, i = np.concatenate([best_s, score[keep] + base]), np.concatenate([best_i, ids[keep]])
+            if len(s) > k:  # rows at the k-th score stay: ties go by id below
+                fair = s >= np.partition(s, len(s) - k)[len(s) - k]
+                s, i = s[fair], i[fair]
             top = np.lexsort((i, -s))[:k]
             best_s, best_i = s[top], i[top]
         return best_i, best_s
