@@ -204,7 +204,7 @@ def groups(docs: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id
     so_far = materialize(connected(links, "groups"), "groups")
     grouped = dense.join(so_far, dense.doc_id == so_far.node, "left").select("doc_id", "sig", F.coalesce("component", "doc_id").alias("grp"))
     more = verified(texts, neighbours(grouped, False), percent, n)
-    merged = connected(links.unionByName(more), "groups")
+    merged = connected(so_far.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "groups")
     named = materialize(classes.select("key", F.col("doc_id").alias("rep")).join(merged, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component_id")), "named")
     drop_table(texts)
     out = sketches.select("doc_id", "n_shingles", "key").join(named, "key", "left")

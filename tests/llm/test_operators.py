@@ -159,6 +159,8 @@ def test_topk_with_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0] * 8), (5, [2.0] * 8)], "vec_id long, embedding array<double>")
     assert topk.search(df, F.col("vec_id") % 5 == 0, 20, 8).count() == 2
     assert topk.search(df.limit(0), F.col("vec_id") % 5 == 0, 20, 8).count() == 0
+    huge = spark.createDataFrame([(0, [1e30] * 8), (5, [-2.0**17] * 8), (10, [2.0**16] * 8)], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in topk.quantised(huge, 8).collect()] == [10]
 
 
 def test_maxscore_prunes_without_loss():
@@ -396,6 +398,22 @@ def test_components_of_long_paths(spark):
     assert components.connected(edges.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [3, 200_000])
+def test_components_of_random_graphs(spark, monkeypatch, chunk):
+    monkeypatch.setattr(components, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000, 1000 + i) for i in range(50)] + [(5, 5)]
+    near = {x: {x} for p in pairs for x in p}
+    for a, b in pairs:
+        if near[a] is not near[b]:
+            near[a] |= near[b]
+            for x in near[b]:
+                near[x] = near[a]
+    rows = components.connected(spark.createDataFrame(pairs, "a long, b long").repartition(5)).collect()
+    got = {r.node: r.component for r in rows}
+    assert len(got) == len(rows) and got == {x: min(s) for x, s in near.items() if len(s) > 1}
+
+
 # decontamination -------------------------------------------------------------------------------------------------------
 
 
