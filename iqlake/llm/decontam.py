@@ -7,8 +7,8 @@ of ``RADIUS + 1`` blocks, so an equality join on blocks returns all items within
 exact weighted Jaccard similarity of their shingles; a shingle that many items share weighs less.
 
 The item side is broadcast while its row count is under ``BROADCAST_ROWS`` and joined by shuffle beyond. Defined results: null and
-word-less texts match nothing; items with fewer than five words are one shingle; ties go to the earlier window; repeated rows count
-as one document; empty tables give no rows; other columns are ignored.
+word-less texts match nothing, nor do rows and items without an id; items with fewer than five words are one shingle; ties go to the
+earlier window; repeated rows count as one document; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -59,7 +59,7 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, similarity: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, start (word offset of the best window), n_words, similarity: a row per document and item found in it."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), words_of(F.col(item_text_col)).alias("words")).where(F.size("words") > 0)
+    items = benchmark.select(F.col(item_col).alias("item_id"), words_of(F.col(item_text_col)).alias("words")).where((F.size("words") > 0) & F.col("item_id").isNotNull())
     items = materialize(items.dropDuplicates(["item_id"]).withColumn("n", F.size("words")).withColumn("k", F.least("n", F.lit(SHINGLE))).withColumn("hs", shingles("words", "k")), "items")
     size = items.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.collect_set("k").alias("ks"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
     width = lane_width(size["most"])
@@ -68,7 +68,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, simi
     weights = materialize(weights, "weights")
     top = F.log(F.lit(1.0 + size["items"]))
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), words_of(F.col(text_col)).alias("words"))
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), words_of(F.col(text_col)).alias("words"))
     found = []
     for k in sorted(size["ks"]) or [SHINGLE]:
         at = texts.where(F.size("words") >= k).select("doc_id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - k)).alias("p"))

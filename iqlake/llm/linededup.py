@@ -7,8 +7,9 @@ so a hot line costs one pair a document. Pairs are aligned by patience diff over
 least ``MIN_WORDS`` words are deleted from the later document (the larger id). The earliest document with a block keeps it.
 
 Only hashes and word counts travel to the alignment. Defined results: a null text stays null, an empty one empty; rows that repeat
-an id and its text are one document; an id with two texts counts as two documents, ordered by a hash; an empty table stays empty;
-all columns come back unchanged but for the text, and the columns added are named by the caller, so nothing clashes.
+an id and its text are one document; an id with two texts counts as two documents, ordered by a hash; a row without an id has no place in the order and stays as it is; an
+empty table stays empty; all columns come back unchanged but for the text, and the columns added are named by the caller, so
+nothing clashes.
 """
 
 from __future__ import annotations
@@ -129,7 +130,7 @@ def unit_table(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> D
 
 def removals(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, cuts): unit ranges to delete, as an array of (start, end)."""
-    rows = materialize(unit_table(docs, min_words, id_col, text_col).dropDuplicates(["id", "th"]), "units")
+    rows = materialize(unit_table(docs.where(F.col(id_col).isNotNull()), min_words, id_col, text_col).dropDuplicates(["id", "th"]), "units")
     shared = materialize(rows.select(F.explode("rs").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
     # Joins are by shuffle at every size: no side is bounded, and a merge join lets Spark split a hot unit or document.
     me = F.struct("id", "th")

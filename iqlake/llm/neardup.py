@@ -13,8 +13,8 @@ comparisons a document and not one a pair; no partner is dropped for a count.
 Full sets meet by region (a component of the pairs to compare): in one task while a region's texts are small; a larger region is cut
 into cells, and a document goes only to the cells that hold one of its pairs.
 Defined results: a null or word-less text has an empty set and stays alone; fewer words than five are one shingle; equal texts are
-one group; ties go to the smallest id; rows that repeat an id with other texts count as one document per id and set; an empty table
-gives no rows; columns other than id and text are ignored.
+one group; ties go to the smallest id; rows that repeat an id with other texts count as one document per id and set; a row without an
+id takes the group of an equal text, else null, and isn't kept; an empty table gives no rows; columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -194,7 +194,7 @@ def verified(texts: DataFrame, pairs: DataFrame, percent: int = 75, n: int = 5)
 def groups(docs: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id of the group), kept (that id is the document's own)."""
     sketches = materialize(sketched(docs, n, id_col, text_col), "sketches")
-    classes = materialize(sketches.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "classes")
+    classes = materialize(sketches.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "classes")
     paired = materialize(dense_rows(classes), "paired")
     dense = materialize(classes.select("doc_id", "sig").join(paired.hint("shuffle_hash"), "doc_id", "left_semi"), "dense")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -208,4 +208,4 @@ def groups(docs: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id
     named = materialize(classes.select("key", F.col("doc_id").alias("rep")).join(merged, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component_id")), "named")
     drop_table(texts)
     out = sketches.select("doc_id", "n_shingles", "key").join(named, "key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("component_id", "doc_id") == F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(False)).alias("kept"))

@@ -382,6 +382,17 @@ def test_groups_of_nothing_and_of_repeated_rows(spark):
     assert len(got) == 3 and {r.component_id for r in got} == {1}
 
 
+def test_rows_without_an_id(spark):
+    text = prose(random.Random(21), 60) + ". " + prose(random.Random(22), 40) + "."
+    rows = [(None, text), (None, prose(random.Random(23), 50)), *((i, text) for i in range(3, 15))]
+    groups = {(r.doc_id, r.component_id, r.kept) for r in neardup.groups(frame(spark, rows)).collect()}
+    assert groups == {(None, 3, False), (None, None, False), (3, 3, True), *((i, 3, False) for i in range(4, 15))}
+    lines = linededup.dedup_lines(frame(spark, rows)).collect()
+    assert len(lines) == len(rows) and all((r.removed_words > 0) == (r.doc_id is not None and r.doc_id > 3) for r in lines)
+    bench = spark.createDataFrame([(1, text), (None, text)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(frame(spark, rows), bench).collect()} == {(i, 1) for i in range(3, 15)}
+
+
 def test_shingle_hashes_tell_words_apart():
     assert len(shingles.shingle_set("a b c d e f g")) == 3
     assert np.array_equal(shingles.shingle_set("A\tB c\nd e"), shingles.shingle_set("a b C D E"))
