@@ -11,6 +11,7 @@ ignored, so their names can't clash. Only the last sequence of the corpus can be
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -23,9 +24,10 @@ from .common import materialize
 
 #: The pre-tokeniser's pattern in word_bpe_49k.json (a fixed value of that public file).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Texts of other characters than these go through the tokeniser whole: normalisation may change them, or they are separators that
-#: only some pattern libraries count as white space.
-PLAIN = "[^\\x00-\\x1b\\x20-\\x84\\x86-\\u024f\\u2010-\\u2027\\u20ac]"
+#: Texts of other characters than these go through the tokeniser whole: normalisation may change them.
+PLAIN = "[^\\x00-\\x84\\x86-\\u024f\\u2010-\\u2027\\u20ac]"
+#: So do texts with separators that only some libraries count as white space.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 END_ID = 2
 #: Offsets are 16 bytes a partition: up to this many rows (16 MB) they are broadcast, beyond it they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -33,10 +35,11 @@ _ENCODERS: dict[str, Callable] = {}
 
 
 class CachedEncoder:
-    """Ids of texts under a word-level BPE tokeniser, each distinct pre-token being encoded once.
+    """Ids of texts under a word-level BPE tokeniser, each distinct word (a run without white space) being encoded once.
 
-    The tokeniser lower-cases and never merges over pre-tokens, so a text's ids are its pre-tokens' ids in a row. The last
-    id of each pre-token is one whose string ends in ``</w>``: that splits the ids of a joined string of new pre-tokens.
+    The tokeniser lower-cases, drops white space and never merges over pre-tokens, so a text's ids are its words' ids in a row. The
+    last id of each pre-token is one whose string ends in ``</w>``: with the number of pre-tokens in each new word that splits the
+    ids of a joined string of new words.
     """
 
     def __init__(self, path: str, most: int = 600_000):
@@ -44,11 +47,11 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tok, self.most = Tokenizer.from_file(path), most
-        self.find, self.odd = regex.compile(PRE_TOKEN).findall, regex.compile(PLAIN).search
+        self.find, self.odd = regex.compile(PRE_TOKEN).findall, re.compile(PLAIN).search
         self.ends = np.zeros(self.tok.get_vocab_size(), bool)
         for word, i in self.tok.get_vocab().items():
             self.ends[i] = word.endswith("</w>")
-        self.specials = [x.content for x in self.tok.get_added_tokens_decoder().values()]
+        self.whole = [*SEPARATORS, *(x.content for x in self.tok.get_added_tokens_decoder().values())]
         self.forget()
 
     def forget(self) -> None:
@@ -56,10 +59,12 @@ class CachedEncoder:
         self.starts, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
 
     def learn(self, words: list[str]) -> None:
-        ids = np.array(self.tok.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(words):
+        ids = np.array(self.tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        upto = np.cumsum([len(self.find(w)) for w in words])
+        if len(stops) != upto[-1]:
             raise ValueError("pre-tokens and word ends don't match; the tokeniser isn't a word-end BPE")
+        cuts = np.concatenate([[0], stops])[upto]
         n, total = len(self.place), self.used + len(ids)
         while len(self.starts) < n + len(words) + 1:
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
@@ -76,10 +81,10 @@ class CachedEncoder:
             self.forget()
         split: list = []
         for t in texts:
-            if t and (self.odd(t) or any(s in t for s in self.specials)):
+            if t and (not t.isascii() and self.odd(t) or any(s in t for s in self.whole)):
                 split.append(np.array([*self.tok.encode(t, add_special_tokens=False).ids, END_ID], np.uint32))
             else:
-                split.append(self.find(t.lower()) if t else [])
+                split.append(t.lower().split() if t else [])
         known = self.place
         new = {w for ws in split if isinstance(ws, list) for w in ws if w not in known}
         if new:
