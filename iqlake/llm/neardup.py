@@ -4,6 +4,7 @@ A document's set is its distinct 5-word shingles. Equal sets form one class; the
 signature. The forest holds the signatures in several sorted orders, each starting at other hash functions. In an order, a row's
 candidates are its neighbours: those in a window before it that share a prefix of the order of at least ``DEPTH`` values. Where a
 region is dense, the window spans only the longest common prefixes, so the prefix depth adapts to the region and no bucket grows.
+Orders are cut into ranges, a task each; rows within the window on either side of a cut are compared after that.
 
 The forest is searched twice. First each row proposes its best neighbour on either side in every order; these pairs are compared
 on full sets (100 * intersection >= 75 * union), and links join rows into groups. Then every neighbour pair between different groups
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ HASHES, ORDERS, DEPTH, WINDOW = 256, 32, 4, 40
 LOOSE = 0.655
 #: Bytes of text in a region's task before the region is cut into cells.
 CELL_BYTES = 24 << 20
+#: What the scan of a range gives: pairs, and the rows at its ends.
+SCANNED = {"a": pa.int64(), "b": pa.int64(), "number": pa.int64(), "at": pa.int64(), "rows": pa.int64(), "t": pa.int32(), "label": pa.binary(), "doc_id": pa.int64(), "grp": pa.int64()}
 _RNG = np.random.RandomState(20240229)
 MULTIPLY = (_RNG.randint(0, 1 << 31, HASHES, dtype=np.int64) * 2 + 1).astype(np.uint32)
 ADD = _RNG.randint(0, 1 << 31, HASHES, dtype=np.int64).astype(np.uint32)
@@ -109,8 +113,34 @@ def neighbours(dense: DataFrame, best_only: bool, window: int = WINDOW, depth: i
         first[1:] = at[order][1:] != at[order][:-1]
         return order[first]
 
+    def pairs_of(t: np.ndarray, sig: np.ndarray, grp: np.ndarray, first: int, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Later row, earlier row and agreement of the neighbours of sorted rows, the later one from ``first`` on; with ``apart``, of rows that differ in it."""
+        head = sig[:, :depth]
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for k in range(1, min(window, len(t) - 1) + 1):
+            i = np.arange(max(k, first), len(t))
+            i = i[(t[i] == t[i - k]) & (head[i] == head[i - k]).all(axis=1)]
+            if not len(i):
+                break
+            i = i[grp[i] != grp[i - k]]
+            if apart is not None:
+                i = i[apart[i] != apart[i - k]]
+            agree = (sig[i] == sig[i - k]).mean(axis=1)
+            ok = agree >= loose
+            found.append((i[ok], i[ok] - k, agree[ok]))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        x, y, agree = (np.concatenate(v) for v in zip(*found, strict=True))
+        if best_only and len(x):
+            kept = np.union1d(best(x, agree), best(y, agree))
+            x, y, agree = x[kept], y[kept], agree[kept]
+        return x, y, agree
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs inside a range, then the range's first and last ``window`` rows with their place and the range's row count."""
         held: tuple | None = None
+        begin: list[tuple] = []
+        seen, number = 0, TaskContext.get().partitionId()
         for batch in batches:
             for s in range(0, batch.num_rows, 2000):
                 b = batch.slice(s, 2000)
@@ -118,32 +148,58 @@ def neighbours(dense: DataFrame, best_only: bool, window: int = WINDOW, depth: i
                     continue
                 now = (b.column(0).to_numpy(), np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, HASHES), b.column(2).to_numpy(), b.column(3).to_numpy())
                 new = len(now[0])
+                if seen < window:
+                    begin.append(tuple(x[: window - seen] for x in now))
+                seen += new
                 t, sig, ids, grp = now if held is None else tuple(np.concatenate(x) for x in zip(held, now, strict=True))
-                first, head = len(ids) - new, sig[:, :depth]
-                found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                for k in range(1, min(window, len(ids) - 1) + 1):
-                    i = np.arange(max(k, first), len(ids))
-                    i = i[(t[i] == t[i - k]) & (head[i] == head[i - k]).all(axis=1)]
-                    if not len(i):
-                        break
-                    i = i[grp[i] != grp[i - k]]
-                    agree = (sig[i] == sig[i - k]).mean(axis=1)
-                    ok = agree >= loose
-                    found.append((i[ok], i[ok] - k, agree[ok]))
-                held = tuple(x[-window:] for x in (t, sig, ids, grp))
-                if found:
-                    x, y, agree = (np.concatenate(v) for v in zip(*found, strict=True))
-                    if best_only and len(x):
-                        kept = np.union1d(best(x, agree), best(y, agree))
-                        x, y = x[kept], y[kept]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], names=["a", "b"])
+                x, y, _ = pairs_of(t, sig, grp, len(ids) - new)
+                held = tuple(v[-window:] for v in (t, sig, ids, grp))
+                if len(x):
+                    yield mixed(a=np.minimum(ids[x], ids[y]), b=np.maximum(ids[x], ids[y]))
+        if held is not None:
+            rest = min(len(held[0]), max(0, seen - window))  # rows of the end that aren't in the beginning
+            t, sig, ids, grp = (np.concatenate([*v, h[len(h) - rest :]]) for v, h in zip(zip(*begin, strict=True), held, strict=True))
+            at = np.concatenate([np.arange(min(window, seen)), np.arange(seen - rest, seen)])
+            yield mixed(number=np.full(len(t), number), at=at, rows=np.full(len(t), seen), t=t, label=[r.tobytes() for r in sig], doc_id=ids, grp=grp)
+
+    def mixed(**columns: np.ndarray | list) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in SCANNED.items()], names=[*SCANNED])
+
+    def across(rows: pa.Table) -> pa.Table:
+        """Pairs of a range's first rows and the rows before the range."""
+        rows = rows.sort_by("place")
+        sig = np.frombuffer(b"".join(rows["label"].to_pylist()), np.uint8).reshape(-1, HASHES)
+        ids, own = rows["doc_id"].to_numpy(), rows["number"].to_numpy() == rows["range"].to_numpy()
+        x, y, _ = pairs_of(rows["t"].to_numpy(), sig, rows["grp"].to_numpy(), 1, own)
+        return pa.table({"a": pa.array(np.minimum(ids[x], ids[y]), pa.int64()), "b": pa.array(np.maximum(ids[x], ids[y]), pa.int64())})
 
     trees = dense.select("doc_id", "sig", "grp").mapInArrow(widen, "t int, label binary, doc_id long, grp long")
     trees = materialize(trees, "trees")
     parts = int(dense.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = trees.repartitionByRange(parts, "t", "label", "doc_id").sortWithinPartitions("t", "label", "doc_id")
-    pairs = materialize(ordered.mapInArrow(scan, "a long, b long").where("a <> b").distinct(), "pairs")
+    scanned = materialize(ordered.mapInArrow(scan, "a long, b long, number long, at long, rows long, t int, label binary, doc_id long, grp long"), "scanned")
     drop_table(trees)
+    # A range's first rows meet the rows before it, from as many ranges as these stand in. The driver sees one number a range.
+    ends = scanned.where("number is not null")
+    lengths = sorted((r["number"], r["rows"]) for r in ends.select("number", "rows").distinct().collect())
+    inside = scanned.where("a is not null").select("a", "b")
+    if len(lengths) > 1:
+        starts = np.cumsum([0, *(n for _, n in lengths)])
+        sent = []
+        for i, (number, n) in enumerate(lengths):
+            sent.append((number, number, int(starts[i]), int(starts[i])))
+            for j in range(i + 1, len(lengths)):
+                if starts[j] - starts[i + 1] >= window:
+                    break
+                sent.append((number, lengths[j][0], int(starts[i]), int(starts[j])))
+        to = dense.sparkSession.createDataFrame(sent, "number long, range long, start long, cut long")
+        met = ends.join(F.broadcast(to), "number").withColumn("place", F.col("start") + F.col("at"))
+        met = met.where(F.when(F.col("number") == F.col("range"), F.col("at") < window).otherwise(F.col("place") >= F.col("cut") - window))
+        met = met.select("range", "number", "place", "t", "label", "doc_id", "grp")
+        inside = inside.unionByName(met.groupBy("range").applyInArrow(across, "a long, b long"))
+    pairs = materialize(inside.where("a <> b").distinct(), "pairs")
+    drop_table(scanned)
     return pairs
 
 

@@ -376,6 +376,23 @@ def test_groups_in_cells_equal_brute_force(spark, monkeypatch):
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
 
 
+def test_neighbours_do_not_depend_on_the_ranges(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, neardup.HASHES)
+    rows = [(i, bytes(np.where(rng.random(neardup.HASHES) < 0.02, rng.integers(0, 256, neardup.HASHES), base).astype(np.uint8).tolist()), i) for i in range(60)]
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), {}
+    try:
+        for parts in (1, 7, 60):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            for n in (3, 60):
+                dense = spark.createDataFrame(rows[:n], "doc_id long, sig binary, grp long")
+                found[parts, n] = {(r.a, r.b) for r in neardup.neighbours(dense, False, window=5).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[1, 3] == {(0, 1), (0, 2), (1, 2)} and len(found[1, 60]) > 500
+    assert all(pairs == found[1, n] for (_, n), pairs in found.items())
+
+
 def test_groups_of_nothing_and_of_repeated_rows(spark):
     assert neardup.groups(frame(spark, [])).count() == 0
     got = neardup.groups(frame(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")])).collect()
