@@ -4,7 +4,9 @@ A text is cut into units: lines, and sentences inside long lines. Units are hash
 on that has ``MIN_WORDS`` words: two texts have a common block to delete only if they share such a run. A run that few documents share
 (up to ``RARE``) pairs each of them with each earlier one; a run that more share pairs them with the earliest document that has it,
 so a hot line costs one pair a document. Pairs are aligned by patience diff over their unit hashes, and aligned common blocks of at
-least ``MIN_WORDS`` words are deleted from the later document (the larger id). The earliest document with a block keeps it.
+least ``MIN_WORDS`` words are deleted from the later document (the larger id). A passage that stands several times has no unique unit to
+align by; so runs of ``MIN_WORDS`` words that the rest of the later document still shares with the earlier one, anywhere in it, are
+deleted until none is left. The earliest document with a block keeps it.
 
 Only hashes and word counts travel to the alignment. Defined results: a null text stays null, an empty one empty; rows that repeat
 an id and its text are one document; an id with two texts counts as two documents, ordered by a hash; a row without an id has no place in the order and stays as it is; an
@@ -116,6 +118,63 @@ def common_blocks(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     return out
 
 
+def shortest_runs(hs: list[int], words: dict[int, int], min_words: int) -> list[tuple[int, int]]:
+    """(start, end) of the shortest run with ``min_words`` words from each unit on and up to each unit; a unit that ``words`` lacks is in none."""
+    out = []
+    start = words_in = 0
+    last = -1
+    for end, h in enumerate(hs, 1):
+        if h and h not in words:
+            start, words_in, last = end, 0, -1
+            continue
+        words_in += words.get(h, 0)
+        # Each start whose shortest run ends here, then the shortest run that ends here.
+        while words_in >= min_words:
+            if hs[start]:
+                out.append((start, end))
+                last = start
+            words_in -= words.get(hs[start], 0)
+            start += 1
+        if h and last >= 0:
+            x, n = end, 0
+            while n < min_words:
+                x -= 1
+                n += words.get(hs[x], 0)
+            out.append((x, end))
+    return out
+
+
+def shared_ranges(a: list[int], b: list[int], ws: list[int], min_words: int) -> list[tuple[int, int]]:
+    """Unit ranges (start, end) of b, given with its word counts, after which b shares no run of ``min_words`` words with a.
+
+    The aligned blocks come first. A passage that stands several times in a text has no unique unit and may be aligned nowhere; so the
+    runs of what is left of b that stand anywhere in a go too, until there are none.
+    """
+    gone = [False] * len(b)
+    out = []
+    for _, j, n in common_blocks(a, b):
+        if sum(ws[j : j + n]) >= min_words:
+            out.append((j, j + n))
+            gone[j : j + n] = [True] * n
+    known = set(a)
+    while True:
+        left = [j for j, x in enumerate(gone) if not x]
+        if sum(ws[j] for j in left if b[j] in known) < min_words:
+            return out
+        words = {b[j]: ws[j] for j in left if b[j] and b[j] in known}
+        there = {tuple(a[i:e]) for i, e in shortest_runs(a, words, min_words)}
+        rest = [b[j] for j in left]
+        found = [j for x, e in shortest_runs(rest, words, min_words) if tuple(rest[x:e]) in there for j in left[x:e]] if there else []
+        if not found:
+            return out
+        for j in sorted(set(found)):
+            gone[j] = True
+            if out and out[-1][1] == j:
+                out[-1] = (out[-1][0], j + 1)
+            else:
+                out.append((j, j + 1))
+
+
 def unit_table(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
     """(id, th, hs, ws, rs): unit hashes and word counts of each text, and the hashes of its runs."""
 
@@ -149,7 +208,7 @@ def removals(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS, id_c
         for b in batches:
             out: list[tuple] = []
             for i, th, ah, hs, ws in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                cuts = [{"s": j, "e": j + n} for _, j, n in common_blocks(ah, hs) if sum(ws[j : j + n]) >= min_words]
+                cuts = [{"s": s, "e": e} for s, e in shared_ranges(ah, hs, ws, min_words)]
                 if cuts:
                     out.append((i, th, cuts))
             if out:

@@ -301,6 +301,23 @@ def test_runs_are_the_shortest_with_enough_words():
     assert len(set(tail) & set(linededup.runs(a, np.full(29, 7, np.int32)))) == 22
 
 
+def test_no_shared_run_is_left_of_the_later_document():
+    rng = random.Random(31)
+    a, b = [1, 2, 3, 10, 11, 12, 4, 10, 11, 12, 5], [6, 10, 11, 12, 7, 10, 11, 12, 8]
+    assert sum(n for *_, n in linededup.common_blocks(a, b)) == 0
+    assert linededup.shared_ranges(a, b, [7] * 9, 20) == [(1, 4), (5, 8)]
+    for _ in range(600):
+        words = {h: rng.randrange(1, 9) if h else 0 for h in range(12)}
+        a, b = ([rng.randrange(12) for _ in range(rng.randrange(40))] for _ in range(2))
+        ws = [words[h] for h in b]
+        cut = {j for s, e in linededup.shared_ranges(a, b, ws, 20) for j in range(s, e)}
+        left = [h for j, h in enumerate(b) if j not in cut]
+        stretches = lambda x: {tuple(x[i:j]) for i in range(len(x)) for j in range(i + 1, len(x) + 1)}
+        assert not any(sum(map(words.get, r)) >= 20 for r in stretches(a) & stretches(left))
+        if not any(sum(map(words.get, r)) >= 20 for r in stretches(a) & stretches(b)):
+            assert not cut
+
+
 @pytest.mark.parametrize("copies", [3, 30])
 def test_repeated_passages_leave_later_documents(spark, copies):
     rng = random.Random(10)
