@@ -3,8 +3,9 @@
 Words are lower-cased runs of letters and digits. Windows have the size of a benchmark item and stand where a document shares a
 5-word shingle with an item, at the offset that the shingle has there; a window without a shared shingle has similarity 0, so none is
 lost. Each window and each item has a 64-bit SimHash of its words. Two fingerprints within ``RADIUS`` bits agree in at least one
-of ``RADIUS + 1`` blocks, so an equality join on blocks returns all items within the radius of a window. Candidates are verified by the
-exact weighted Jaccard similarity of their shingles; a shingle that many items share weighs less.
+of ``RADIUS + 1`` blocks, so an equality join on blocks returns all items within the radius of a window. An edit can leave a similarity
+of ``SIMILAR`` and yet move more bits than the radius; so all windows of a document are candidates for each item of whose shingle
+weight the document holds ``SIMILAR`` or more, which no leak falls short of. Candidates are verified by the exact weighted Jaccard similarity of their shingles; a shingle that many items share weighs less.
 
 The item side is broadcast while its row count is under ``BROADCAST_ROWS`` and joined by shuffle beyond. Defined results: null and
 word-less texts match nothing, nor do rows and items without an id; items with fewer than five words are one shingle; ties go to the
@@ -73,24 +74,32 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, simi
     for k in sorted(size["ks"]) or [SHINGLE]:
         at = texts.where(F.size("words") >= k).select("doc_id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - k)).alias("p"))
         hit = at.withColumn("h", F.xxhash64(*(F.col("words")[F.col("p") + j] for j in range(k)))).join(bounded(held.where(F.col("k") == k), size["words"]), "h")
-        found.append(hit.select("doc_id", F.greatest(F.col("p") - F.col("at"), F.lit(0)).alias("start"), "n", "k", "words").select("doc_id", "start", "n", "k", F.expr("slice(words, start + 1, n)").alias("window")))
+        found.append(hit.select("doc_id", F.greatest(F.col("p") - F.col("at"), F.lit(0)).alias("start"), "n", "k", "item_id", "h", "words").select("doc_id", "start", "n", "k", "item_id", "h", F.expr("slice(words, start + 1, n)").alias("window")))
     seeds = found[0]
     for x in found[1:]:
         seeds = seeds.unionByName(x)
+    # Hashes of one item at one place: at most its shingles.
+    seeds = materialize(seeds.groupBy("doc_id", "start", "n", "k", "item_id").agg(F.first("window").alias("window"), F.collect_set("h").alias("hs")), "seeds")
     windows = seeds.groupBy("doc_id", "start", "n", "k").agg(F.first("window").alias("window"))
     windows = materialize(windows.withColumn("fp", simhash("window", width)), "windows")
 
     index = items.withColumn("item_fp", simhash("words", width)).select("item_id", F.col("k").alias("item_k"), "item_fp", blocks("item_fp", radius).alias("x")).select("item_id", "item_k", "item_fp", "x.*")
     near = windows.select("doc_id", "start", "n", "k", "fp", blocks("fp", radius).alias("x")).select("doc_id", "start", "n", "k", "fp", "x.*")
     near = near.join(bounded(index, size["items"] * (radius + 1)), ["block", "value"]).where((F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius) & (F.col("k") == F.col("item_k")))
-    near = materialize(near.select("doc_id", "start", "n", "k", "item_id").distinct(), "near")
+    totals = items.select("item_id", F.explode("hs").alias("h")).join(weights, "h").groupBy("item_id").agg(F.sum("w").alias("total"))
+    totals = materialize(totals, "totals")
+    # A window can't share more of an item's weight than its document does, and shares ``similarity`` of it if it is a leak.
+    held_weight = seeds.select("doc_id", "item_id", "k", F.explode("hs").alias("h")).distinct().join(bounded(weights, size["words"]), "h").groupBy("doc_id", "item_id", "k").agg(F.sum("w").alias("both"))
+    enough = held_weight.join(bounded(totals, size["items"]), "item_id").where(F.col("both") >= similarity * F.col("total") - 1e-9).select("doc_id", "item_id", "k")
+    beyond = windows.select("doc_id", "start", "n", "k").join(enough.hint("shuffle_hash"), ["doc_id", "k"])
+    near = near.select("doc_id", "start", "n", "k", "item_id").unionByName(beyond.select("doc_id", "start", "n", "k", "item_id"))
+    near = materialize(near.distinct(), "near")
 
     pairs = near.join(windows.select("doc_id", "start", "n", "k", "window"), ["doc_id", "start", "n", "k"])
     parts = pairs.select("doc_id", "start", "n", "item_id", F.explode(shingles("window", "k")).alias("h"))
     own = items.select("item_id", F.explode("hs").alias("h"), F.lit(True).alias("own"))
     parts = parts.join(bounded(weights, size["words"]), "h", "left").join(bounded(own, size["words"]), ["item_id", "h"], "left").withColumn("w", F.coalesce("w", top))
     sums = parts.groupBy("doc_id", "start", "n", "item_id").agg(F.sum("w").alias("wide"), F.sum(F.when(F.col("own"), F.col("w")).otherwise(0.0)).alias("both"))
-    totals = items.select("item_id", F.explode("hs").alias("h")).join(weights, "h").groupBy("item_id").agg(F.sum("w").alias("total"))
     scored = sums.join(bounded(totals, size["items"]), "item_id").withColumn("similarity", F.col("both") / (F.col("wide") + F.col("total") - F.col("both")))
     good = scored.where(F.col("similarity") >= similarity - 1e-9)
     best = F.max_by(F.struct("start", "n", "similarity"), F.struct("similarity", -F.col("start"))).alias("b")

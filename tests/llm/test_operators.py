@@ -516,6 +516,22 @@ def test_leaks_equal_brute_force(spark):
     assert decontam.find_leaks(frame(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_leaks_beyond_the_radius_are_found(spark):
+    rng = random.Random(41)
+    items = [(i, prose(rng, 25 + i % 10, 10**6)) for i in range(300)]
+    docs = []
+    for i, t in items:
+        w = t.split()
+        n = len(w) - 4
+        # The last words change: of n shingles n - edit are left, and (n - edit) / (n + edit) is 0.75 at least.
+        edit = n // 7
+        w[len(w) - edit :] = prose(rng, edit, 10**6).split()
+        docs.append((i, " ".join([prose(rng, 30, 10**6), *w, prose(rng, 30, 10**6)])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(frame(spark, docs), bench).collect()}
+    assert got == {(i, i) for i, _ in items}
+
+
 def test_simhash_blocks_find_all_within_the_radius(spark):
     rng = random.Random(14)
     fps = [rng.getrandbits(64) for _ in range(30)]
