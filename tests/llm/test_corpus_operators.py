@@ -133,13 +133,15 @@ def test_map_versions_and_growth(spark, tmp_path):
 # top-k -----------------------------------------------------------------------------------------------------------------
 
 
-def brute_topk(rows, k):
-    v = {i: np.floor(64 * np.array(e, float)).astype(int) for i, e in rows if e is not None and len(e) == 8 and all(x is not None and np.isfinite(x) for x in e)}
+def brute_topk(rows, k, dim=8):
+    import math
+
+    v = {i: [math.floor(64 * x) for x in e[:dim]] + [0] * (dim - len(e)) for i, e in rows if e is not None and all(x is not None and math.isfinite(x) for x in e)}
     out = set()
     for q in v:
         if q % 5 == 0:
-            best = sorted(((-int(v[q] @ v[j]), j) for j in v if j != q))[:k]
-            out |= {(q, n + 1, j, -s) for n, (s, j) in enumerate(best)}
+            best = sorted((-sum(a * b for a, b in zip(v[q], v[j], strict=True)), j) for j in v if j != q)[:k]
+            out |= {(q, n + 1, j, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, j) in enumerate(best)}
     return out
 
 
@@ -147,10 +149,15 @@ def brute_topk(rows, k):
 def test_topk_equals_brute_force(spark, monkeypatch, shard_rows):
     monkeypatch.setattr(topk, "SHARD_ROWS", shard_rows)
     monkeypatch.setattr(topk, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(topk, "STEP", 11)
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(0, 0.2, 8).tolist()) for i in range(150)] + [(200 + i, [0.5] * 8) for i in range(12)]
-    rows += [(300, None), (305, [None] * 8), (310, [float("nan")] * 8), (315, [float("inf")] * 8), (320, [1.0]), (325, [0.0] * 8)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(1)).withColumn("score", F.lit(1))
+    rows += [(300, None), (305, [None] * 8), (310, [float("nan")] * 8), (315, [float("inf")] * 8), (320, [1.0]), (325, [0.0] * 8), (330, []), (331, [0.3] * 11)]
+    # Finite vectors of any size: beyond 2^17, beyond exact doubles, beyond 64-bit scores; near-equal ones, ties and both signs.
+    for n, size in enumerate((2.0**17, 3e5, 1e9, 1e12, 1e30, 1e200)):
+        rows += [(400 + 20 * n + i, (rng.normal(0, 1, 8) * size).tolist()) for i in range(9)]
+        rows += [(410 + 20 * n + i, [size, -size, 1.5, size / 3 + i // 2, -0.25, 0.0, 64.0, 1.0]) for i in range(7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(1)).withColumn("score", F.lit(1)).withColumn("shard", F.lit("x"))
     got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(df, F.col("vec_id") % 5 == 0, 20, 8).collect()}
     assert got == brute_topk(rows, 20)
 
@@ -159,18 +166,28 @@ def test_topk_with_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0] * 8), (5, [2.0] * 8)], "vec_id long, embedding array<double>")
     assert topk.search(df, F.col("vec_id") % 5 == 0, 20, 8).count() == 2
     assert topk.search(df.limit(0), F.col("vec_id") % 5 == 0, 20, 8).count() == 0
-    huge = spark.createDataFrame([(0, [1e30] * 8), (5, [-2.0**17] * 8), (10, [2.0**16] * 8)], "vec_id long, embedding array<double>")
-    assert [r.vec_id for r in topk.quantised(huge, 8).collect()] == [10]
+    two = spark.createDataFrame([(0, [1.0] * 8), (0, [2.0] * 8), (0, [2.0] * 8), (1, [1.0] * 8), (1, [1.0] * 8)], "vec_id long, embedding array<double>")
+    assert sorted((r["rank"], r.vec_id, r.score) for r in topk.search(two, F.col("vec_id") % 5 == 0, 5, 8).collect()) == [(i, 1, 8 * 64 * 128) for i in range(1, 5)] + [(5, 1, 8 * 64 * 64)]
 
 
 def test_maxscore_prunes_without_loss():
     rng = np.random.default_rng(5)
-    m = (rng.normal(size=(9000, 8)) * np.array([30, 20, 10, 4, 2, 1, 1, 1])).astype(np.int32)
+    m = np.floor(rng.normal(size=(9000, 8)) * np.array([30, 20, 10, 4, 2, 1, 1, 1]))
     p = topk.Postings(np.arange(9000), m)
     for q in m[:20]:
-        ids, score = p.search(-1, q, 5, -np.inf)
+        ids, score = p.search(-1, q, 5)
         want = sorted((-int(q @ x), i) for i, x in enumerate(m))[:5]
-        assert [(-int(round(s)), i) for s, i in zip(score, ids, strict=True)] == want
+        assert [(-s, i) for s, i in zip(score, ids, strict=True)] == want
+        floored = p.search(-1, q, 5, score[-1])
+        assert floored == (ids, score)
+    assert p.skipped > 0.5 * p.seen
+
+
+def test_orders_of_scores_beyond_a_long():
+    scores = sorted([0, 1, -1, 2**63 - 1, -(2**63), 2**63, -(2**63) - 1, 2**64, 2**64 + 1, -(2**64), -(2**64) - 1, 2**700, -(2**700), 2**700 + 1])
+    shown = [(max(-(1 << 63), min((1 << 63) - 1, s)), topk.order_key(s)) for s in scores]
+    assert shown == sorted(shown) and len(set(shown)) == len(scores)
+    assert topk.scaled_down(2**700 + 1, 650) == 2.0**50 and topk.scaled_down(-(2**63) - 1, 0) < -(2.0**63)
 
 
 # HTML ------------------------------------------------------------------------------------------------------------------
