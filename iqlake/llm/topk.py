@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 
 from .common import drop_table, materialize
 
-SHARD_ROWS, BLOCK_ROWS = 8_192, 512
+SHARD_ROWS, BLOCK_ROWS = 16_384, 512
 #: Query blocks that a task meets with one shard, whose postings it builds once.
 GROUP_BLOCKS = 4
 #: A shard is traversed in steps; each has bounds of its own, and its scores raise the threshold of the next.
-STEP = 1_024
+STEP = 4_096
 #: Non-essential terms are probed so many at a time, the largest bounds first.
 PROBE = 8
 #: Sums under it are exact in doubles, and under the square root of it in single precision.
