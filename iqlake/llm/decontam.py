@@ -1,26 +1,39 @@
 """Benchmark decontamination with SimHash windows, in DataFrame functions only.
 
-Words are lower-cased runs of letters and digits. Windows have the size of a benchmark item and stand where a document shares a
-5-word shingle with an item, at the offset that the shingle has there; a window without a shared shingle has similarity 0, so none is
-lost. Each window and each item has a 64-bit SimHash of its words. Two fingerprints within ``RADIUS`` bits agree in at least one
+Words are lower-cased runs of letters and digits. Windows have the size of a benchmark item. They stand where a document shares a
+5-word shingle with an item, at the offset (alignment) that the shingle has there, and at every offset between two alignments of an
+item that lie close together. No other window of the document can be more similar to the item: one whose first shared shingle is aligned at or behind its
+start holds only foreign words before it, so the window at that alignment shares as much or more; so it is at the end, with the
+last shared shingle; and one between the two alignments is in the set, since a gap of more than a seventh of the item's shingles
+leaves less than ``SIMILAR``.
+
+Each window and each item has a 64-bit SimHash of its words. Two fingerprints within ``RADIUS`` bits agree in at least one
 of ``RADIUS + 1`` blocks, so an equality join on blocks returns all items within the radius of a window. An edit can leave a similarity
-of ``SIMILAR`` and yet move more bits than the radius; so all windows of a document are candidates for each item of whose shingle
-weight the document holds ``SIMILAR`` or more, which no leak falls short of. Candidates are verified by the exact weighted Jaccard similarity of their shingles; a shingle that many items share weighs less.
-
-The item side is broadcast while its row count is under ``BROADCAST_ROWS`` and joined by shuffle beyond. Defined results: null and
-word-less texts match nothing, nor do rows and items without an id; items with fewer than five words are one shingle; ties go to the
+of ``SIMILAR`` and yet move more bits than the radius; so all windows at an item's own alignments are candidates too if the document holds
+``SIMILAR`` or more of the item's shingle weight, which no leak falls short of. Candidates are verified by the exact
+weighted Jaccard similarity of their shingles; a shingle that many items share weighs less.
+
+Documents and items are keyed by id and a hash of their words up to the last aggregation, and only keys, offsets and hashes travel; texts
+with a window are read once more to cut it. The item side is broadcast while its row count is under ``BROADCAST_ROWS`` and joined by shuffle
+beyond; results are the same. Defined results: null and word-less texts match nothing, nor do rows and items without an id; items with
+fewer than five words are one shingle; an id that repeats with other texts stands for all of them, and the best window counts; ties go to the
 earlier window; repeated rows count as one document; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_table, materialize
 
 RADIUS, SHINGLE, SIMILAR = 11, 5, 0.75
 BROADCAST_ROWS = 400_000
+#: A document, a window of it, an item.
+DOC, ITEM = ["doc_id", "th"], ["item_id", "ih"]
+PLACE = [*DOC, "start", "n", "k"]
 
 
 def words_of(text: Column) -> Column:
@@ -37,70 +50,103 @@ def simhash(words: str, width: int) -> Column:
     """64-bit majority of the word hashes' bits: ``width`` packed sums of every ``width``-th bit, then one comparison a bit."""
     mask = sum(1 << (width * k) for k in range(64 // width))
     mask = mask - (1 << 64) if mask >= 1 << 63 else mask
-    lanes = f"transform(sequence(0, {width - 1}), k -> aggregate(transform({words}, w -> xxhash64(w)), 0L, (s, h) -> s + (shiftrightunsigned(h, k) & {mask}L)))"
+    hashes = f"transform({words}, w -> xxhash64(w))"
+    lanes = f"transform(sequence(0, {width - 1}), k -> aggregate({hashes}, 0L, (s, h) -> s + (shiftrightunsigned(h, k) & {mask}L)))"
     lane = (1 << width) - 1
     bit = f"(shiftrightunsigned(x.l[b % {width}], cast((b div {width}) * {width} as int)) & {lane}L) * 2 > x.n"
-    return F.expr(f"aggregate(sequence(0, 63), named_struct('l', {lanes}, 'n', cast(size({words}) as bigint), 'f', 0L), (x, b) -> named_struct('l', x.l, 'n', x.n, 'f', if({bit}, x.f | shiftleft(1L, b), x.f)), x -> x.f)")
+    start = f"named_struct('l', {lanes}, 'n', cast(size({words}) as bigint), 'f', 0L)"
+    step = f"named_struct('l', x.l, 'n', x.n, 'f', if({bit}, x.f | shiftleft(1L, b), x.f))"
+    return F.expr(f"aggregate(sequence(0, 63), {start}, (x, b) -> {step}, x -> x.f)")
 
 
 def blocks(fp: str, radius: int) -> Column:
     """(block, value) pairs of a fingerprint, ``radius + 1`` of them."""
     cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
-    return F.explode(F.array(*(F.struct(F.lit(i).alias("block"), F.expr(f"shiftrightunsigned({fp}, {lo}) & {(1 << (hi - lo)) - 1}L").alias("value")) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)))))
+    value = lambda lo, hi: F.expr(f"shiftrightunsigned({fp}, {lo}) & {(1 << (hi - lo)) - 1}L").alias("value")
+    return F.explode(F.array(*(F.struct(F.lit(i).alias("block"), value(lo, hi)) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)))))
 
 
 def shingles(words: str, k: str) -> Column:
-    return F.expr(f"if(size({words}) < {k}, cast(array() as array<bigint>), array_distinct(transform(sequence(0, size({words}) - {k}), i -> xxhash64(slice({words}, i + 1, {k})))))")
+    hashes = f"transform(sequence(0, size({words}) - {k}), i -> xxhash64(slice({words}, i + 1, {k})))"
+    return F.expr(f"if(size({words}) < {k}, cast(array() as array<bigint>), array_distinct({hashes}))")
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if its measured row count allows it."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
+
+
+def item_table(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """item_id, ih, words, n (words), k (words a shingle), hs (distinct shingles)."""
+    items = benchmark.select(F.col(item_col).alias("item_id"), words_of(F.col(text_col)).alias("words")).where((F.size("words") > 0) & F.col("item_id").isNotNull())
+    items = items.withColumn("ih", F.xxhash64("words")).dropDuplicates(ITEM).withColumn("n", F.size("words"))
+    return items.withColumn("k", F.least("n", F.lit(SHINGLE))).withColumn("hs", shingles("words", "k"))
+
+
+def alignments(texts: DataFrame, items: DataFrame, ks: list[int], n_words: int) -> DataFrame:
+    """doc, start, n, k, item, hs: the offsets that shared shingles give an item in a document, and the shingles' hashes."""
+    held = items.select(*ITEM, "n", "k", F.posexplode(F.expr("transform(sequence(0, n - k), i -> xxhash64(slice(words, i + 1, k)))")).alias("at", "h"))
+    found = []
+    for k in ks:
+        at = texts.where(F.size("words") >= k).select(*DOC, "words", F.explode(F.sequence(F.lit(0), F.size("words") - k)).alias("p"))
+        at = at.select(*DOC, "p", F.xxhash64(*(F.col("words")[F.col("p") + j] for j in range(k))).alias("h"))
+        found.append(at.join(bounded(held.where(F.col("k") == k), n_words), "h"))
+    hits = reduce(DataFrame.unionByName, found).select(*DOC, F.greatest(F.col("p") - F.col("at"), F.lit(0)).alias("start"), "n", "k", *ITEM, "h")
+    # Hashes of one item at one place: at most its shingles.
+    return hits.groupBy(*PLACE, *ITEM).agg(F.collect_set("h").alias("hs"))
+
+
+def places(seeds: DataFrame) -> DataFrame:
+    """Windows by item: its alignments, and the offsets between two that lie close together."""
+    before = F.lag("start").over(Window.partitionBy(*DOC, *ITEM).orderBy("start"))
+    # A gap of more shingles than this leaves less than three quarters: (N - g) / (N + g) >= 3/4 ends at N / 7.
+    near = F.col("start") - F.col("before") <= F.greatest(F.ceil((F.col("n") - F.col("k") + 1) / 7), F.lit(1))
+    first = F.when(F.col("before").isNotNull() & near, F.col("before") + 1).otherwise(F.col("start"))
+    return seeds.withColumn("before", before).withColumn("start", F.explode(F.sequence(first, F.col("start")))).select(*PLACE, *ITEM)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, similarity: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, start (word offset of the best window), n_words, similarity: a row per document and item found in it."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), words_of(F.col(item_text_col)).alias("words")).where((F.size("words") > 0) & F.col("item_id").isNotNull())
-    items = materialize(items.dropDuplicates(["item_id"]).withColumn("n", F.size("words")).withColumn("k", F.least("n", F.lit(SHINGLE))).withColumn("hs", shingles("words", "k")), "items")
+    items = materialize(item_table(benchmark, item_col, item_text_col), "items")
     size = items.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.collect_set("k").alias("ks"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
     width = lane_width(size["most"])
-    held = items.select("item_id", "n", "k", F.posexplode(F.expr("transform(sequence(0, n - k), i -> xxhash64(slice(words, i + 1, k)))")).alias("at", "h"))
     weights = items.select(F.explode("hs").alias("h")).groupBy("h").agg(F.log(1 + size["items"] / F.count(F.lit(1))).alias("w"))
     weights = materialize(weights, "weights")
     top = F.log(F.lit(1.0 + size["items"]))
+    totals = items.select(*ITEM, F.explode("hs").alias("h")).join(weights, "h").groupBy(*ITEM).agg(F.sum("w").alias("total"))
+    totals = materialize(totals, "totals")
 
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), words_of(F.col(text_col)).alias("words"))
-    found = []
-    for k in sorted(size["ks"]) or [SHINGLE]:
-        at = texts.where(F.size("words") >= k).select("doc_id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - k)).alias("p"))
-        hit = at.withColumn("h", F.xxhash64(*(F.col("words")[F.col("p") + j] for j in range(k)))).join(bounded(held.where(F.col("k") == k), size["words"]), "h")
-        found.append(hit.select("doc_id", F.greatest(F.col("p") - F.col("at"), F.lit(0)).alias("start"), "n", "k", "item_id", "h", "words").select("doc_id", "start", "n", "k", "item_id", "h", F.expr("slice(words, start + 1, n)").alias("window")))
-    seeds = found[0]
-    for x in found[1:]:
-        seeds = seeds.unionByName(x)
-    # Hashes of one item at one place: at most its shingles.
-    seeds = materialize(seeds.groupBy("doc_id", "start", "n", "k", "item_id").agg(F.first("window").alias("window"), F.collect_set("h").alias("hs")), "seeds")
-    windows = seeds.groupBy("doc_id", "start", "n", "k").agg(F.first("window").alias("window"))
+    texts = texts.select("doc_id", F.xxhash64("words").alias("th"), "words")
+    seeds = materialize(alignments(texts, items, sorted(size["ks"]) or [SHINGLE], size["words"]), "seeds")
+    asked = materialize(places(seeds), "places")
+
+    # The windows' words: texts with a window are read again, and cut where they stand.
+    where = asked.select(*PLACE).distinct()
+    hit = materialize(seeds.select("doc_id").distinct(), "hit")
+    again = texts.join(bounded(hit, hit.count()), "doc_id", "left_semi").dropDuplicates(DOC)
+    windows = again.join(where.hint("merge"), DOC).select(*PLACE, F.expr("slice(words, start + 1, n)").alias("window"))
     windows = materialize(windows.withColumn("fp", simhash("window", width)), "windows")
 
-    index = items.withColumn("item_fp", simhash("words", width)).select("item_id", F.col("k").alias("item_k"), "item_fp", blocks("item_fp", radius).alias("x")).select("item_id", "item_k", "item_fp", "x.*")
-    near = windows.select("doc_id", "start", "n", "k", "fp", blocks("fp", radius).alias("x")).select("doc_id", "start", "n", "k", "fp", "x.*")
+    index = items.withColumn("item_fp", simhash("words", width)).select(*ITEM, F.col("k").alias("item_k"), "item_fp", blocks("item_fp", radius).alias("x")).select(*ITEM, "item_k", "item_fp", "x.*")
+    near = windows.select(*PLACE, "fp", blocks("fp", radius).alias("x")).select(*PLACE, "fp", "x.*")
     near = near.join(bounded(index, size["items"] * (radius + 1)), ["block", "value"]).where((F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius) & (F.col("k") == F.col("item_k")))
-    totals = items.select("item_id", F.explode("hs").alias("h")).join(weights, "h").groupBy("item_id").agg(F.sum("w").alias("total"))
-    totals = materialize(totals, "totals")
     # A window can't share more of an item's weight than its document does, and shares ``similarity`` of it if it is a leak.
-    held_weight = seeds.select("doc_id", "item_id", "k", F.explode("hs").alias("h")).distinct().join(bounded(weights, size["words"]), "h").groupBy("doc_id", "item_id", "k").agg(F.sum("w").alias("both"))
-    enough = held_weight.join(bounded(totals, size["items"]), "item_id").where(F.col("both") >= similarity * F.col("total") - 1e-9).select("doc_id", "item_id", "k")
-    beyond = windows.select("doc_id", "start", "n", "k").join(enough.hint("shuffle_hash"), ["doc_id", "k"])
-    near = near.select("doc_id", "start", "n", "k", "item_id").unionByName(beyond.select("doc_id", "start", "n", "k", "item_id"))
-    near = materialize(near.distinct(), "near")
-
-    pairs = near.join(windows.select("doc_id", "start", "n", "k", "window"), ["doc_id", "start", "n", "k"])
-    parts = pairs.select("doc_id", "start", "n", "item_id", F.explode(shingles("window", "k")).alias("h"))
-    own = items.select("item_id", F.explode("hs").alias("h"), F.lit(True).alias("own"))
-    parts = parts.join(bounded(weights, size["words"]), "h", "left").join(bounded(own, size["words"]), ["item_id", "h"], "left").withColumn("w", F.coalesce("w", top))
-    sums = parts.groupBy("doc_id", "start", "n", "item_id").agg(F.sum("w").alias("wide"), F.sum(F.when(F.col("own"), F.col("w")).otherwise(0.0)).alias("both"))
-    scored = sums.join(bounded(totals, size["items"]), "item_id").withColumn("similarity", F.col("both") / (F.col("wide") + F.col("total") - F.col("both")))
+    held_weight = seeds.select(*DOC, *ITEM, F.explode("hs").alias("h")).distinct().join(bounded(weights, size["words"]), "h").groupBy(*DOC, *ITEM).agg(F.sum("w").alias("both"))
+    enough = held_weight.join(bounded(totals, size["items"]), ITEM).where(F.col("both") >= similarity * F.col("total") - 1e-9).select(*DOC, *ITEM)
+    beyond = asked.join(enough.hint("shuffle_hash"), [*DOC, *ITEM], "left_semi")
+    near = materialize(near.select(*PLACE, *ITEM).unionByName(beyond.select(*PLACE, *ITEM)).distinct(), "near")
+
+    pairs = near.join(windows.select(*PLACE, "window"), PLACE)
+    parts = pairs.select(*DOC, "start", "n", *ITEM, F.explode(shingles("window", "k")).alias("h"))
+    own = items.select(*ITEM, F.explode("hs").alias("h"), F.lit(True).alias("own"))
+    parts = parts.join(bounded(weights, size["words"]), "h", "left").join(bounded(own, size["words"]), [*ITEM, "h"], "left").withColumn("w", F.coalesce("w", top))
+    sums = parts.groupBy(*DOC, "start", "n", *ITEM).agg(F.sum("w").alias("wide"), F.sum(F.when(F.col("own"), F.col("w")).otherwise(0.0)).alias("both"))
+    scored = sums.join(bounded(totals, size["items"]), ITEM).withColumn("similarity", F.col("both") / (F.col("wide") + F.col("total") - F.col("both")))
     good = scored.where(F.col("similarity") >= similarity - 1e-9)
-    best = F.max_by(F.struct("start", "n", "similarity"), F.struct("similarity", -F.col("start"))).alias("b")
-    return good.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("b.start").alias("start"), F.col("b.n").alias("n_words"), F.col("b.similarity").alias("similarity"))
+    best = F.max_by(F.struct("start", "n", "similarity"), F.struct("similarity", -F.col("start"), "n")).alias("b")
+    leaks = good.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("b.start").alias("start"), F.col("b.n").alias("n_words"), F.col("b.similarity").alias("similarity"))
+    leaks = materialize(leaks, "leaks")
+    for df in (items, weights, totals, seeds, asked, hit, windows, near):
+        drop_table(df)
+    return leaks

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -533,20 +534,75 @@ def test_leaks_equal_brute_force(spark):
     assert decontam.find_leaks(frame(spark, docs), bench.limit(0)).count() == 0
 
 
-def test_leaks_beyond_the_radius_are_found(spark):
+def edited(rng, words, edit, how):
+    """``words`` with ``edit`` of them new: at the end, at the start, in the middle, or as so many more words in the middle."""
+    new = prose(rng, edit, 10**6).split()
+    if how == "end":
+        return words[: len(words) - edit] + new
+    if how == "start":
+        return new + words[edit:]
+    mid = len(words) // 2
+    return words[:mid] + new + words[mid + (edit if how == "middle" else 0) :]
+
+
+def test_leaks_are_found_at_every_length_and_edit(spark):
+    """Edits that leave a similarity of 0.75 to 0.8, whichever way the SimHash moves: recall is 1 and not that of the radius."""
     rng = random.Random(41)
-    items = [(i, prose(rng, 25 + i % 10, 10**6)) for i in range(300)]
-    docs = []
-    for i, t in items:
-        w = t.split()
-        n = len(w) - 4
-        # The last words change: of n shingles n - edit are left, and (n - edit) / (n + edit) is 0.75 at least.
-        edit = n // 7
-        w[len(w) - edit :] = prose(rng, edit, 10**6).split()
-        docs.append((i, " ".join([prose(rng, 30, 10**6), *w, prose(rng, 30, 10**6)])))
+    items, docs, n = [], [], 0
+    for size in (12, 20, 30, 60, 100):
+        for how in ("end", "start", "middle", "more"):
+            for _ in range(20):
+                w = prose(rng, size, 10**6).split()
+                shingles_in = size - 4
+                # A block of e new words breaks e + 4 shingles inside, e at an end: (N - b) / (N + b) is 0.75 at least for b up to N / 7.
+                edit = shingles_in // 7 - (4 if how in ("middle", "more") else 0)
+                if edit < 1:
+                    continue
+                items.append((n, " ".join(w)))
+                docs.append((n, " ".join([prose(rng, 30, 10**6), *edited(rng, w, edit, how), prose(rng, 30, 10**6)])))
+                n += 1
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.find_leaks(frame(spark, docs), bench).collect()}
+    assert set(got) == {(i, i) for i, _ in items} and min(got.values()) < 0.8
+
+
+def test_windows_between_alignments(spark):
+    """Words more in the middle and others at both ends: the best window is aligned with neither half."""
+    rng = random.Random(43)
+    items, docs = [], []
+    for i in range(40):
+        w = prose(rng, 90, 10**6).split()
+        items.append((i, " ".join(w)))
+        inside = [*prose(rng, 2, 10**6).split(), *w[2:45], *prose(rng, 4, 10**6).split(), *w[45:88]]
+        docs.append((i, " ".join([prose(rng, 30, 10**6), *inside, prose(rng, 30, 10**6)])))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(frame(spark, docs), bench).collect()}
-    assert got == {(i, i) for i, _ in items}
+    got = {(r.doc_id, r.item_id): (r.start, round(r.similarity, 9)) for r in decontam.find_leaks(frame(spark, docs), bench).collect()}
+    plain = lambda t: set(zip(*(t.split()[j:] for j in range(5)), strict=False))
+    for i, t in docs:
+        want = plain(items[i][1])
+        w = t.split()
+        best = max(len(want & plain(" ".join(w[s : s + 90]))) for s in range(len(w) - 40))
+        if best / (2 * len(want) - best) >= 0.75:
+            assert got[i, i][1] == round(best / (2 * len(want) - best), 9)
+
+
+def test_ids_that_repeat_with_other_texts(spark, monkeypatch):
+    rng = random.Random(44)
+    one, two = prose(rng, 30, 10**6), prose(rng, 40, 10**6)
+    bench = spark.createDataFrame([(1, one), (1, two), (2, one)], "item_id long, text string")
+    rows = [(5, one), (5, prose(rng, 80, 10**6)), (6, two), (6, two), (7, prose(rng, 50, 10**6) + " " + two), (7, one)]
+    want = {(5, 1), (5, 2), (6, 1), (7, 1), (7, 2)}
+    first = {tuple(r) for r in decontam.find_leaks(frame(spark, rows), bench).collect()}
+    assert {r[:2] for r in first} == want
+    assert {tuple(r) for r in decontam.find_leaks(frame(spark, rows[::-1]).repartition(3), bench).collect()} == first
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    assert {tuple(r) for r in decontam.find_leaks(frame(spark, rows), bench).collect()} == first
+    texts = frame(spark, rows).select("doc_id", F.lit(1).alias("th"), decontam.words_of(F.col("text")).alias("words"))
+    plan = decontam.alignments(texts, decontam.item_table(bench, "item_id", "text"), [5], 10**9)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    sent = [lines[i + 1] for i, x in enumerate(lines) if "Exchange hashpartitioning(h#" in x]
+    assert sent and "BroadcastExchange" not in plan
+    assert not any("words#" in re.sub(r"xxhash64\(.* AS h#", "", x) for x in sent)  # texts don't travel with their shingles
 
 
 def test_simhash_blocks_find_all_within_the_radius(spark):
