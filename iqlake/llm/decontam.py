@@ -88,7 +88,9 @@ def alignments(texts: DataFrame, items: DataFrame, ks: list[int], n_words: int)
     held = items.select(*ITEM, "n", "k", F.posexplode(F.expr("transform(sequence(0, n - k), i -> xxhash64(slice(words, i + 1, k)))")).alias("at", "h"))
     found = []
     for k in ks:
-        at = texts.where(F.size("words") >= k).select(*DOC, "words", F.explode(F.sequence(F.lit(0), F.size("words") - k)).alias("p"))
+        # A condition instead of a filter: that would be pushed below the words and make them twice.
+        places_of = F.when(F.size("words") >= k, F.sequence(F.lit(0), F.size("words") - k))
+        at = texts.select(*DOC, "words", F.explode(places_of).alias("p"))
         at = at.select(*DOC, "p", F.xxhash64(*(F.col("words")[F.col("p") + j] for j in range(k))).alias("h"))
         found.append(at.join(bounded(held.where(F.col("k") == k), n_words), "h"))
     hits = reduce(DataFrame.unionByName, found).select(*DOC, F.greatest(F.col("p") - F.col("at"), F.lit(0)).alias("start"), "n", "k", *ITEM, "h")
