@@ -65,7 +65,7 @@ def connected(edges: DataFrame, name: str = "cc", most: int = 60) -> DataFrame:
     Alternating large-star and small-star rounds over contracted edges: every node points at the smallest neighbour it knows. A
     node's neighbours are never gathered, only their minimum is. In a large-star round a hub can be a hot key: the minima that
     change anything are written first, so that the join has a table on either side and Spark can split the key. Rounds grow with
-    the logarithm of the longest path; small groups settle in one or two.
+    the logarithm of the longest path; small groups settle in one or two. More than ``most`` rounds raise: no unfinished answer is given.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = materialize(contracted(now).distinct(), name)
@@ -82,4 +82,7 @@ def connected(edges: DataFrame, name: str = "cc", most: int = 60) -> DataFrame:
         for old in (now, lower, large):
             drop_table(old)
         now = small
+    else:
+        if unsettled(now):
+            raise RuntimeError(f"the components didn't settle in {most} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -11,7 +11,12 @@ on full sets (100 * intersection >= 75 * union), and links join rows into groups
 whose signatures agree loosely is compared too. Pairs inside a group can't change the result, so a dense group costs a few
 comparisons a document and not one a pair; no partner is dropped for a count.
 
-Full sets meet by region (a component of the pairs to compare): in one task while a region's texts are small; a larger region is cut
+A region (rows with a common prefix of ``DEPTH``) wider than the window can hold links that the window doesn't reach. So the rows of
+such regions, where more than one group stands in them, are joined exactly: by a prefix filter on their full sets. Shingles of one group alone can't
+join groups, and the others are ordered by how many of these rows have them; two sets similar enough share one among their first few, and at a place that leaves room for
+the others. What the filter proposes is compared on full sets as before.
+
+Full sets meet by region (a component of the pairs to compare): in one task while a region's texts and pairs are few; a larger region is cut
 into cells, and a document goes only to the cells that hold one of its pairs.
 Defined results: a null or word-less text has an empty set and stays alone; fewer words than five are one shingle; equal texts are
 one group; ties go to the smallest id; rows that repeat an id with other texts count as one document per id and set; a row without an
@@ -26,18 +31,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_table, materialize
 from .components import connected
-from .shingles import shingle_set, similar
+from .shingles import overlaps, shingle_set
 
 HASHES, ORDERS, DEPTH, WINDOW = 256, 32, 4, 40
-#: Loose agreement of signatures: 3.5 standard deviations under 0.75.
-LOOSE = 0.655
-#: Bytes of text in a region's task before the region is cut into cells.
-CELL_BYTES = 24 << 20
+#: Loose agreement of signatures: 4.8 standard deviations under 0.75, which a pair at 0.75 misses with less than 1e-6.
+LOOSE = 0.62
+#: Bytes of text, documents and pairs in a region's task before the region is cut into cells.
+CELL_BYTES, CELL_ROWS, CELL_PAIRS = 24 << 20, 500, 20_000
+#: Entries of a group in one posting of the exact join that travel as one row.
+CHUNK = 256
 #: What the scan of a range gives: pairs, and the rows at its ends.
 SCANNED = {"a": pa.int64(), "b": pa.int64(), "number": pa.int64(), "at": pa.int64(), "rows": pa.int64(), "t": pa.int32(), "label": pa.binary(), "doc_id": pa.int64(), "grp": pa.int64()}
 _RNG = np.random.RandomState(20240229)
@@ -81,14 +88,67 @@ def sketched(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, bytes long, key binary, sig binary")
 
 
-def dense_rows(reps: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """The ids that share a prefix with another one in some order; the others have no candidate. Counting prefixes finds them early."""
+def prefixes(depth: int = DEPTH) -> Column:
+    """(t, p): order and hash of the signature's prefix in it."""
     prefix = F.array(*(F.xxhash64(F.concat(*(F.substring("sig", int(i) + 1, 1) for i in p[:depth]))) for p in orders()))
-    keys = reps.select("doc_id", F.posexplode(prefix).alias("t", "p"))
+    return F.posexplode(prefix).alias("t", "p")
+
+
+def dense_rows(reps: DataFrame) -> DataFrame:
+    """The ids that share a prefix with another one in some order; the others have no candidate. Counting prefixes finds them early."""
+    keys = reps.select("doc_id", prefixes())
     shared = keys.groupBy("t", "p").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return keys.join(shared.select("t", "p").hint("shuffle_hash"), ["t", "p"], "left_semi").select("doc_id").distinct()
 
 
+def crowded_rows(grouped: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, grp): the rows of regions wider than the window in which several groups stand. Any other region has been compared whole."""
+    keys = grouped.select("doc_id", "grp", prefixes())
+    wide = keys.groupBy("t", "p").agg(F.count(F.lit(1)).alias("n"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).where((F.col("n") > window + 1) & (F.col("lo") != F.col("hi")))
+    return keys.join(wide.select("t", "p").hint("shuffle_hash"), ["t", "p"], "left_semi").select("doc_id", "grp").distinct()
+
+
+def prefix_joined(texts: DataFrame, crowded: DataFrame, percent: int = 75, n: int = 5) -> DataFrame:
+    """Pairs (a, b), a < b, of ``crowded`` rows of different groups: all that are similar enough, and few others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, grp, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                s = shingle_set(text, n)
+                for i in range(0, len(s), 10_000):
+                    part = s[i : i + 10_000]
+                    full = lambda v: pa.array(np.full(len(part), v, np.int64))  # noqa: E731, B023
+                    yield pa.RecordBatch.from_arrays([full(doc), full(grp), full(len(s)), pa.array(part.view(np.int64))], names=["doc_id", "grp", "size", "h"])
+
+    own = texts.select("doc_id", "text").dropDuplicates(["doc_id"]).join(crowded.hint("shuffle_hash"), "doc_id").select("doc_id", "grp", "text")
+    sets = materialize(own.mapInArrow(run, "doc_id long, grp long, size long, h long"), "sets")
+    counts = sets.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).where(F.col("lo") != F.col("hi"))
+    mixed = materialize(sets.join(counts.select("h", "df").hint("merge"), "h"), "mixed")
+    mine = Window.partitionBy("doc_id")
+    size = F.col("size")
+    # Shingles of one group come first and join nothing. Sets of sizes y <= x with 100 I >= percent U share one of the first
+    # x - ceil(percent x / 100) + 1 of x and of the first y - ceil(2 percent y / (100 + percent)) + 1 of y.
+    placed = mixed.withColumn("pos", size - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("df", "h")))
+    placed = placed.where(F.col("pos") <= size - F.ceil(percent * size / 100) + 1)
+    placed = materialize(placed.withColumn("first", F.col("pos") <= size - F.ceil(2 * percent * size / (100 + percent)) + 1), "placed")
+    entry = F.struct("doc_id", "size", "pos").alias("e")
+    number = F.floor((F.row_number().over(Window.partitionBy("h", "grp").orderBy("doc_id")) - 1) / CHUNK)
+
+    def chunks(rows: DataFrame, group: str, entries: str) -> DataFrame:
+        return rows.select("h", "grp", entry, number.alias("number")).groupBy("h", F.col("grp").alias(group), "number").agg(F.collect_list("e").alias(entries)).drop("number")
+
+    met = chunks(placed.where("first"), "g", "ys").join(chunks(placed, "k", "xs").hint("merge"), "h").where("g <> k")
+    pairs = met.select(F.explode("ys").alias("y"), "xs").select("y", F.explode("xs").alias("x"))
+    y, x = F.struct(F.col("y.size"), F.col("y.doc_id")), F.struct(F.col("x.size"), F.col("x.doc_id"))
+    room = 1 + F.least(F.col("y.size") - F.col("y.pos"), F.col("x.size") - F.col("x.pos"))
+    fits = (100 * F.col("y.size") >= percent * F.col("x.size")) & (room * (100 + percent) >= percent * (F.col("x.size") + F.col("y.size")))
+    pairs = pairs.where((y < x) & fits).select(F.least("y.doc_id", "x.doc_id").alias("a"), F.greatest("y.doc_id", "x.doc_id").alias("b"))
+    found = materialize(pairs.distinct(), "pairs")
+    for df in (sets, mixed, placed):
+        drop_table(df)
+    return found
+
+
 def neighbours(dense: DataFrame, best_only: bool, window: int = WINDOW, depth: int = DEPTH, loose: float = LOOSE) -> DataFrame:
     """Pairs (a, b), a < b, of neighbours in some order of (doc_id, sig, grp): loosely agreeing ones of different groups.
 
@@ -206,7 +266,10 @@ def neighbours(dense: DataFrame, best_only: bool, window: int = WINDOW, depth: i
 def verified(texts: DataFrame, pairs: DataFrame, percent: int = 75, n: int = 5) -> DataFrame:
     """Exact links (a, b) among the pairs, enough to join all that the pairs link; ``texts`` is (doc_id, text, bytes)."""
     regions = materialize(connected(pairs, "regions"), "region")
-    loads = materialize(regions.join(texts.select("doc_id", "bytes"), regions.node == texts.doc_id).groupBy("component").agg(F.greatest(F.ceil(F.sum("bytes") / CELL_BYTES), F.lit(1)).cast("int").alias("cells")), "loads")
+    loads = regions.join(texts.select("doc_id", "bytes").dropDuplicates(["doc_id"]), regions.node == texts.doc_id).groupBy("component").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    asked = pairs.join(regions.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.count(F.lit(1)).alias("pairs"))
+    cells = F.greatest(F.ceil(F.col("bytes") / CELL_BYTES), F.ceil(F.col("rows") / CELL_ROWS), F.ceil(F.sqrt(2 * F.col("pairs") / CELL_PAIRS)), F.lit(1))
+    loads = materialize(loads.join(asked, "component").select("component", cells.cast("int").alias("cells")), "loads")
     placed = materialize(regions.join(loads, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int").alias("c")), "placed")
     one, two = placed.select(F.col("node").alias("a"), F.col("component").alias("region"), F.col("c").alias("ca")), placed.select(F.col("node").alias("b"), F.col("c").alias("cb"))
     celled = materialize(pairs.join(one, "a").join(two, "b").select("a", "b", "region", F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")), "celled")
@@ -234,11 +297,16 @@ def verified(texts: DataFrame, pairs: DataFrame, percent: int = 75, n: int = 5)
 
         out = []
         for a, bs in sorted(todo):
-            for b in sorted(bs):
-                ra, rb = find(a), find(b)
-                if ra != rb and similar(sets[a], sets[b], percent):
-                    root[max(ra, rb)] = min(ra, rb)
-                    out.append((a, b))
+            own = sets[a]
+            bs = sorted(b for b in bs if 100 * min(len(own), len(sets[b])) >= percent * max(len(own), len(sets[b])) > 0)
+            for i in range(0, len(bs), 64):
+                # Links inside a group change nothing, so pairs that are joined already aren't compared.
+                some = [b for b in bs[i : i + 64] if find(b) != find(a)]
+                for b, both in zip(some, overlaps(own, [sets[b] for b in some]) if some else (), strict=True):
+                    ra, rb = find(a), find(b)
+                    if ra != rb and 100 * both >= percent * (len(own) + len(sets[b]) - both):
+                        root[max(ra, rb)] = min(ra, rb)
+                        out.append((a, b))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     found = materialize(rows.groupBy("region", "x", "y").applyInArrow(compare, "a long, b long"), "links")
@@ -256,12 +324,25 @@ def groups(docs: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = materialize(own.join(paired.hint("shuffle_hash"), "doc_id", "left_semi").withColumn("bytes", F.octet_length("text")), "texts")
 
-    links = verified(texts, neighbours(dense.withColumn("grp", F.col("doc_id")), True), percent, n)
-    so_far = materialize(connected(links, "groups"), "groups")
-    grouped = dense.join(so_far, dense.doc_id == so_far.node, "left").select("doc_id", "sig", F.coalesce("component", "doc_id").alias("grp"))
-    more = verified(texts, neighbours(grouped, False), percent, n)
-    merged = connected(so_far.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "groups")
+    def linked(so_far: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Groups (node, component) after the links among ``pairs``; the tables read for it go."""
+        links = verified(texts, pairs, percent, n)
+        merged = materialize(connected(so_far.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links), "groups"), "groups")
+        for df in (pairs, links):
+            drop_table(df)
+        return merged
+
+    def grouped(so_far: DataFrame) -> DataFrame:
+        return dense.join(so_far, dense.doc_id == so_far.node, "left").select("doc_id", "sig", F.coalesce("component", "doc_id").alias("grp"))
+
+    none = docs.sparkSession.createDataFrame([], "node long, component long")
+    first = linked(none, neighbours(dense.withColumn("grp", F.col("doc_id")), True))
+    merged = linked(first, neighbours(grouped(first), False))
+    crowded = materialize(crowded_rows(grouped(merged)), "crowded")
+    if not crowded.isEmpty():
+        merged = linked(merged, prefix_joined(texts, crowded, percent, n))
     named = materialize(classes.select("key", F.col("doc_id").alias("rep")).join(merged, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component_id")), "named")
-    drop_table(texts)
+    for df in (texts, paired, dense, crowded, first, merged):
+        drop_table(df)
     out = sketches.select("doc_id", "n_shingles", "key").join(named, "key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(False)).alias("kept"))

@@ -62,3 +62,11 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = 75) -> bool:
         return False
     both = len(a) + len(b) - len(np.union1d(a, b))
     return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def overlaps(a: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of a sorted set with several non-empty others, in one pass over these."""
+    cat = np.concatenate(others)
+    at = np.searchsorted(a, cat)
+    at[at == len(a)] = 0
+    return np.add.reduceat(a[at] == cat, np.cumsum([0, *(len(x) for x in others[:-1])]))

@@ -428,6 +428,72 @@ def test_neighbours_do_not_depend_on_the_ranges(spark):
     assert all(pairs == found[1, n] for (_, n), pairs in found.items())
 
 
+def template_rows(rng, n, planted):
+    """``n`` documents at 0.68 to 0.71 from each other: each lacks some of the template's words in a place of its own, and has own words. Every
+    ``planted``-th has a partner at 0.75 to 0.8."""
+    rows = []
+    template = prose(rng, 400, 10**9).split()
+    for i in range(n):
+        # 396 shingles of the template, cut at one place; 150 of its own.
+        at = rng.randrange(20, 380)
+        own = prose(rng, 72, 10**9).split()
+        words = [*template[:at], *own, *template[at:]]
+        rows.append((i, " ".join(words)))
+        if i % planted == 0:
+            for _ in range(8):
+                words[rng.randrange(len(words))] = f"y{rng.randrange(10**9)}"
+            rows.append((10**6 + i, " ".join(words)))
+    return rows
+
+
+def test_dense_regions_lose_no_link(spark):
+    """Documents crowd around a template just under the threshold, far more than the window holds."""
+    rng = random.Random(51)
+    rows = template_rows(rng, 1200, 12)
+    sets = {i: shingles.shingle_set(t) for i, t in rows}
+    alike = lambda a, b: len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b]))
+    assert all(alike(i, 10**6 + i) >= 0.75 for i in range(0, 1200, 12)) and 0.66 < alike(1, 2) < 0.75
+    got = {r.doc_id: r.component_id for r in neardup.groups(frame(spark, rows)).collect()}
+    assert got == {i: c for i, (_, c) in brute_sets(sets).items()}
+
+
+def brute_sets(sets):
+    """Groups by comparing every pair."""
+    ids = sorted(sets)
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, a in enumerate(ids):
+        rest = ids[k + 1 :]
+        for b, both in zip(rest, shingles.overlaps(sets[a], [sets[b] for b in rest]) if rest else (), strict=True):
+            if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def test_prefix_join_finds_every_link(spark):
+    """All rows at once and each its own group: the exact join alone, against all pairs."""
+    rng = random.Random(52)
+    rows = near_rows(rng)[:130] + [(2000 + i, t) for i, t in template_rows(rng, 40, 4)[:50]]
+    sets = {i: shingles.shingle_set(t) for i, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a]) and len(sets[b]) and 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
+    texts = frame(spark, rows).select("doc_id", "text")
+    got = {(r.a, r.b) for r in neardup.prefix_joined(texts, texts.select("doc_id", F.col("doc_id").alias("grp"))).collect()}
+    assert want <= got and len(want) > 1000
+
+
+def test_components_that_do_not_settle_raise(spark, monkeypatch):
+    monkeypatch.setattr(components, "unsettled", lambda edges: True)
+    edges = spark.createDataFrame([(1, 2)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components.connected(edges, most=1)
+
+
 def test_groups_of_nothing_and_of_repeated_rows(spark):
     assert neardup.groups(frame(spark, [])).count() == 0
     got = neardup.groups(frame(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")])).collect()
