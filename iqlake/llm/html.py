@@ -1,13 +1,20 @@
 """Main-text extraction from HTML pages by text-to-tag ratios.
 
-The standard library's streaming parser turns a page into blocks (lines): the text between two block-level tags. Each block has a
-text-to-tag ratio, the ratios are smoothed by a Gaussian along the page, and two-means clustering gives the threshold between
-content and the rest. The smoothed ratios choose the content region: among the page's article or main elements the one that
-gathers most content, or without such an element the blocks of the content cluster and what stands between them; blocks of
-links alone don't begin or end it. Elements that
-never hold main text (menus, headers, footers, sidebars, forms, scripts, notices, adverts, reader comments) are left out.
-
-Defined results: null or empty html gives an empty text; text outside tags is a block; very long pages are read whole;
+The standard library's streaming parser turns a page into lines: the visible text between two block-level tags. Each line has a
+text-to-tag ratio, the ratios are smoothed by a Gaussian along the page, and two-means clustering over all lines of the page, menus and
+footers included, gives the threshold: lines over it are content unless they are links alone or stand in an element that
+never holds main text (menus, headers, footers, sidebars, forms, notices, adverts, reader comments).
+
+Content lines choose the regions. An article or main element with a content line is taken whole; where one holds others (a main element with
+articles), its articles are chosen one by one, and of its own lines the content, what stands between chosen lines, and headings right
+before them. Where no such element has a line, the region runs from the first content line to the last, with the headings right before. Where
+such elements have lines but no content (very short articles), the one with most of the smoothed ratio is taken. Elements
+that never hold main text are left out of every region.
+
+Class and id names mark such elements only as whole names: each part must be a mark (``ad``, ``sidebar``) or a word of layout
+(``site``, ``wrapper``), so ``site-header`` is one and ``share-price-analysis`` is not.
+
+Defined results: null or empty html gives an empty text; text outside tags is a line; very long pages are read whole;
 repeated rows give repeated results; an empty table gives none; columns other than id, url and html are ignored.
 """
 
@@ -16,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -25,86 +33,139 @@ from pyspark.sql import functions as F
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("head title script style noscript template svg canvas iframe object nav footer aside form button select textarea menu dialog audio video".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements without visible text, and visible ones that never hold main text.
+UNSEEN = frozenset("head title script style noscript template svg canvas iframe object audio video".split())
+NEVER = frozenset("nav footer aside form button select textarea menu dialog".split())
 REGION = frozenset({"article", "main"})
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
+#: Elements that a new one of the same kind ends, and the elements that such an end doesn't reach beyond.
+ENDED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 #: Words of class and id attributes that mark what is not main text.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs pagination pager"
     " header masthead topbar footer colophon cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social"
     " related recommended comment comments commentlist disqus reply replies respond reaction reactions toolbar widget copyright skip hidden outbrain taboola".split()
 )
-#: Compounds whose parts are not marks on their own.
-HELD = frozenset("article content main post entry story body text page".split())
+#: Words that change nothing about a mark beside them.
+LAYOUT = frozenset(
+    "site global top bottom left right primary secondary wrapper wrap container box area list section block inner outer bar link links item items row col column form message messages policy"
+    " button buttons icons icon group panel slot unit widgets holder module js the is has fixed sticky main mobile desktop small large tag to posts stories more bootstrap accept media reader user".split()
+)
+#: Words of main text: beside them only these marks count.
+HELD = frozenset("article content post entry story body text page".split())
+STRONG = frozenset("comment comments ad ads sidebar footer nav navigation menu related share sharing".split())
 #: A smoothed ratio of so many characters a tag is content, wherever the clusters meet.
 SPARSE = 12.0
 SPACE = re.compile(r"\s+")
 WORDS = re.compile(r"[a-z]+")
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+SHOWN, LEFT_OUT, INVISIBLE = range(3)
+
+
+def is_mark(name: str, in_region: bool) -> bool:
+    """True if a class or id name as a whole says that the element holds no main text."""
+    parts = WORDS.findall(CAMEL.sub(" ", name).lower())
+    marks = MARKS & set(parts)
+    if not marks or any(x not in MARKS and x not in LAYOUT and x not in HELD for x in parts):
+        return False
+    if in_region and parts in (["header"], ["entry", "header"]):
+        return False
+    return not HELD & set(parts) or bool(STRONG & marks)
 
 
 def is_marked(tag: str, attrs: list[tuple[str, str | None]], in_region: bool) -> bool:
     """True if the element holds no main text. A header inside an article is the article's own."""
     if tag in NEVER or (tag == "header" and not in_region):
         return True
-    if tag in ("html", "body", *REGION):
-        return tag in REGION and any(k in ("class", "id") and {"comment", "comments", "reply"} & set(WORDS.findall((v or "").lower())) for k, v in attrs)
+    if tag in ("html", "body"):
+        return False
     for key, value in attrs:
-        value = (value or "").lower()
+        value = value or ""
+        if key in ("class", "id") and any(is_mark(name, in_region) for name in value.split()):
+            return True
+        value = value.lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             return True
         if key == "role" and value.strip() in ROLES:
             return True
-        if key in ("class", "id"):
-            for name in value.split():
-                parts = WORDS.findall(re.sub(r"[_\-\d]+", " ", name))
-                if parts and MARKS & set(parts) and not (HELD & set(parts) and not {"comment", "comments", "ad", "ads", "sidebar", "footer", "nav", "menu", "related", "share"} & set(parts)) and not (in_region and parts in (["header"], ["entry", "header"])):
-                    return True
     return False
 
 
-class Blocks(HTMLParser):
-    """Text blocks with their tag counts and the region element that holds each."""
+@dataclass
+class Line:
+    text: str
+    tags: int
+    shown: bool
+    #: The region elements that hold the line, the outermost first.
+    regions: tuple[int, ...]
+    links: bool
+    heading: bool
+
+
+class Lines(HTMLParser):
+    """Lines of a page with their tag counts and the region elements that hold each."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, left out, region
-        self.rows: list[tuple[str, int, int, bool]] = []  # text, tags, region, links alone
+        self.open: list[tuple[str, int, tuple[int, ...]]] = []  # tag, state, regions
+        self.lines: list[Line] = []
         self.parts: list[str] = []
-        self.tags = self.regions = self.links = 0
+        self.others: list[str] = []
+        self.tags = self.count = self.links = 0
         self.linked = True
 
-    def end_block(self) -> None:
-        text = SPACE.sub(" ", "".join(self.parts)).strip()
-        if text:
-            self.rows.append((text, self.tags, self.open[-1][2] if self.open else 0, self.linked))
+    def end_line(self) -> None:
+        text, other = (SPACE.sub(" ", "".join(x)).strip() for x in (self.parts, self.others))
+        if text or other:
+            tag, _, regions = self.open[-1] if self.open else ("", SHOWN, ())
+            self.lines.append(Line(text or other, self.tags, bool(text), regions, self.linked, tag in HEADINGS))
             self.tags = 0
-        self.parts, self.linked = [], True
+        self.parts, self.others, self.linked = [], [], True
+
+    def imply_ends(self, tag: str) -> None:
+        """The ends that a new element implies: of a paragraph before any block, of an item before the next one."""
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == "p":
+                del self.open[i:]
+                break
+            if self.open[i][0] not in INLINE:
+                break
+        ended, stops = ENDED.get(tag, ((), ()))
+        for i in range(len(self.open) - 1, -1, -1) if ended else ():
+            if self.open[i][0] in ended:
+                del self.open[i:]
+                break
+            if self.open[i][0] in stops:
+                break
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag == "br":
             self.parts.append("\n")
         elif tag not in INLINE:
-            self.end_block()
+            self.end_line()
+            if tag not in VOID:
+                self.imply_ends(tag)
         if tag in VOID:
             return
         self.links += tag == "a"
-        _, out, region = self.open[-1] if self.open else ("", False, 0)
-        if tag == "p" and self.open and any(x[0] == "p" for x in self.open[-4:]):
-            self.shut("p")
-            _, out, region = self.open[-1] if self.open else ("", False, 0)
-        out = out or is_marked(tag, attrs, region > 0)
-        if tag in REGION and not out:
-            self.regions += 1
-            region = self.regions
-        self.open.append((tag, out, region))
+        _, state, regions = self.open[-1] if self.open else ("", SHOWN, ())
+        if tag in UNSEEN:
+            state = INVISIBLE
+        elif state == SHOWN and is_marked(tag, attrs, bool(regions)):
+            state = LEFT_OUT
+        if tag in REGION and state == SHOWN:
+            self.count += 1
+            regions = (*regions, self.count)
+        self.open.append((tag, state, regions))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag == "br":
             self.parts.append("\n")
         elif tag not in INLINE:
-            self.end_block()
+            self.end_line()
 
     def shut(self, tag: str) -> None:
         for i in range(len(self.open) - 1, -1, -1):
@@ -116,15 +177,18 @@ class Blocks(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
-            self.end_block()
+            self.end_line()
         if tag == "a":
             self.links = max(0, self.links - 1)
         self.shut(tag)
 
     def handle_data(self, data: str) -> None:
-        if not (self.open and self.open[-1][1]):
+        state = self.open[-1][1] if self.open else SHOWN
+        if state == SHOWN:
             self.parts.append(data)
             self.linked = self.linked and (self.links > 0 or not data.strip())
+        elif state == LEFT_OUT:
+            self.others.append(data)
 
 
 def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -147,30 +211,57 @@ def threshold(values: np.ndarray) -> float:
     return math.expm1((low + high) / 2)
 
 
+def chosen_lines(lines: list[Line], content: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """Which lines are main text, given the content lines and the smoothed ratios."""
+    shown = np.array([x.shown for x in lines])
+    outer = np.array([x.regions[0] if x.regions else 0 for x in lines]) * shown
+    keep = np.zeros(len(lines), bool)
+    for region in sorted({int(r) for r in outer[content]} - {0}):
+        inside = outer == region
+        inner = np.array([x.regions[1] if len(x.regions) > 1 else 0 for x in lines]) * inside
+        if not inner.any():
+            keep |= inside
+            continue
+        mine = content & inside
+        for nested in {int(r) for r in inner[content]} - {0}:
+            mine |= inner == nested
+        keep |= spanned(lines, mine, inside & ((inner == 0) | mine))
+    if keep.any():
+        return keep
+    if outer.any():
+        weight = np.bincount(outer, weights=ratio * np.array([len(x.text) for x in lines]))
+        weight[0] = -1
+        return outer == int(weight.argmax())
+    return spanned(lines, content, shown)
+
+
+def spanned(lines: list[Line], content: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+    """From the first content line to the last, and the headings right before, of the lines that are allowed."""
+    at = np.flatnonzero(content)
+    keep = np.zeros(len(lines), bool)
+    if len(at):
+        first = int(at.min())
+        while first and allowed[first - 1] and lines[first - 1].heading:
+            first -= 1
+        keep[first : at.max() + 1] = True
+    return keep & allowed
+
+
 def extract(html: str | None) -> str:
     """The main text of one page."""
     if not html:
         return ""
-    p = Blocks()
+    p = Lines()
     p.feed(html)
     p.close()
-    p.end_block()
-    rows = p.rows
-    if not rows:
+    p.end_line()
+    lines = p.lines
+    if not lines:
         return ""
-    ratio = smoothed(np.array([len(t) / max(1, n) for t, n, *_ in rows], float))
-    region = np.array([r for _, _, r, _ in rows])
-    if region.any():
-        weight = np.bincount(region, weights=ratio * np.array([len(t) for t, *_ in rows]))
-        weight[0] = -1
-        chosen = region == int(weight.argmax())
-    else:
-        chosen = np.zeros(len(rows), bool)
-        content = (ratio >= min(threshold(ratio), SPARSE)) & ~np.array([x for *_, x in rows])
-        at = np.flatnonzero(content)
-        if len(at):
-            chosen[at.min() : at.max() + 1] = True
-    return " ".join(t for (t, *_), c in zip(rows, chosen, strict=True) if c)
+    ratio = smoothed(np.array([len(x.text) / max(1, x.tags) for x in lines], float))
+    content = (ratio >= min(threshold(ratio), SPARSE)) & np.array([x.shown and not x.links for x in lines])
+    keep = chosen_lines(lines, content, ratio)
+    return " ".join(x.text for x, k in zip(lines, keep, strict=True) if k)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

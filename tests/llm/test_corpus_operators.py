@@ -213,7 +213,54 @@ def test_html_main_text(spark):
     assert got == [(1, TEXT, len(TEXT))] * 2 + [(2, "", 0)]
 
 
+def sentences(rng, n, least=8, most=25):
+    return " ".join(prose(rng, rng.randrange(least, most)).capitalize() + "." for _ in range(n))
+
+
+@pytest.mark.parametrize("body", ["article", "main", "main+article", "two articles", "div", "role"])
+def test_html_of_composed_pages(body):
+    """Pages put together from parts: the extraction is the article's parts and nothing of the others."""
+    rng = random.Random(body)
+    for _ in range(40):
+        parts = ["<h1>{}</h1>".format(h) for h in [prose(rng, 5)]]
+        parts += ["<p>{}</p>".format(sentences(rng, rng.randrange(2, 6))) for _ in range(rng.randrange(2, 8))]
+        extra = ["<h2>{}</h2>".format(prose(rng, 3)), "<ul><li>{}</li><li>{}</li></ul>".format(prose(rng, 4), prose(rng, 2)), "<blockquote><p>{}</p></blockquote>".format(sentences(rng, 2))]
+        extra += ['<div class="share-price-analysis"><p>{}</p></div>'.format(sentences(rng, 3)), '<section class="notice-board">{}</section>'.format(sentences(rng, 2))]
+        for x in extra:
+            parts.insert(rng.randrange(2, len(parts) + 1) if len(parts) > 2 else 2, x)
+        parts.append("<p>{}</p>".format(sentences(rng, 3)))
+        words = lambda t: re.sub(r"<[^>]*>", " ", t).split()
+        want = words(" ".join(parts))
+        inside = list(parts)
+        for x in ('<div class="ad-banner">Buy this now</div>', '<aside><p>{}</p></aside>'.format(sentences(rng, 2)), '<form><p>{}</p><input></form>'.format(prose(rng, 9))):
+            inside.insert(rng.randrange(len(inside)), x)
+        cut = rng.randrange(3, len(inside) - 2)
+        text = {
+            "article": "<article>" + "".join(inside) + "</article>",
+            "main": "<main id=content>" + "".join(inside) + "</main>",
+            "main+article": "<main>" + "".join(inside[:cut]) + "<article>" + "".join(inside[cut:]) + "</article></main>",
+            "two articles": "<article>" + "".join(inside[:cut]) + "</article><div class=divider></div><article>" + "".join(inside[cut:]) + "<p>" + "</p></article>",
+            "div": "<div class=post-content>" + "".join(inside) + "</div>",
+            "role": "<div id=body><div class=story>" + "".join(inside) + "</div></div>",
+        }[body]
+        links = "".join("<li><a href=/x>{}</a></li>".format(prose(rng, 2)) for _ in range(8))
+        page = "<html><head><title>t</title><script>var x = '<p>';</script></head><body><header><a href=/>{}</a></header><nav><ul>{}</ul></nav><div class='cookieNotice'><p>{}</p></div>".format(prose(rng, 3), links, sentences(rng, 2))
+        page += text + "<div class=related-posts><ul>{}</ul></div><section id=comments-area><article class=comment><p>{}</p></article></section><div class=sidebar-left>{}</div><footer>{}</footer></body></html>".format(links, sentences(rng, 4), sentences(rng, 3), sentences(rng, 1))
+        assert html.extract(page).split() == want
+
+
+def test_html_marks_are_whole_names():
+    assert all(html.is_mark(x, False) for x in ("ad", "site-header", "cookieNotice", "post-comments", "sidebar_2", "share-buttons", "nav-primary", "widget_area"))
+    assert not any(html.is_mark(x, False) for x in ("share-price-analysis", "notice-board", "header-image-caption", "post-header", "article", "alertness", "ad-hoc-report", ""))
+    assert not html.is_mark("entry-header", True) and html.extract_pages
+
+
+def test_html_of_no_pages(spark):
+    assert html.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_html_survives_broken_markup():
+    assert html.extract("<article><p class=ad>Buy<p>one<ul><li class=ad>no<li>two</ul></article>") == "one two"
     assert html.extract("<article><p><b>one<p>two</div></article><p>") == "one two"
     assert "deep" in html.extract("<div>" * 3000 + "deep")
     assert html.extract("<article>" + "<p>x y</p>" * 20_000 + "</article>").count("x y") == 20_000
