@@ -12,9 +12,12 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where the session names none."""
+    """The folder that driver and executors share. Without one a local master takes a local folder; a cluster raises, as its executors couldn't read it."""
     path = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that all executors of {master} share")
         path = "file://" + tempfile.mkdtemp(prefix="iqlake-")
         spark.conf.set(CHECKPOINT_KEY, path)
     return path.rstrip("/")

@@ -5,10 +5,12 @@ are nearest. A text is cut into chunks, each chunk is compressed under every dic
 wins. If the runner-up's total is hardly larger, the margin is too narrow and the text is rejected. Only letters count: case is
 folded and other characters become spaces.
 
-The sample is bounded: ``SAMPLE`` texts over all languages, chosen by a hash of the id. Predictions see the whole text and nothing else.
+The sample is bounded: ``SAMPLE`` texts over all languages (but ``LEAST`` of each), chosen by a hash of the id; of a text longer than ``STRETCH``
+characters, a stretch of that length at a place that the hash gives. Predictions see the whole text and nothing else.
+Every language with labelled rows is learned, however many there are: the model has up to ``DICT_BYTES`` a language, and predicting takes time in proportion.
 Defined results: a null text or one without letters is ``und`` with score 0 and rejected; repeated rows get equal results; without
-training rows every text is ``und``; ties go to the language with more training rows; sizes are whole bytes, so a text of a few words
-isn't rejected for a tie; other columns are ignored.
+training rows every text is ``und``; a language whose sampled texts hold no letter isn't learned; ties go to the language with more training rows;
+sizes are whole bytes, so a text of a few words isn't rejected for a tie; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,13 +21,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Texts sampled over all languages, and bytes of each dictionary: what fitting sees is bounded by them.
-SAMPLE, DICT_BYTES = 2400, 24 << 10
-#: The most languages a model can hold; rarer ones beyond that aren't learned.
-MOST_LANGUAGES = 64
+#: Texts sampled over all languages, the least of one, characters of a text, and bytes of each dictionary: what fitting sees is bounded by them.
+SAMPLE, LEAST, STRETCH, DICT_BYTES = 2400, 20, 20_000, 24 << 10
+#: Languages up to which their counts are broadcast, and the least bytes that zstandard takes as a dictionary.
+BROADCAST_ROWS, LEAST_BYTES = 10_000, 16
 CHUNK = 4096
 #: A margin below this share of the smallest size, less half a byte, is narrow.
 NARROW_SHARE = 0.004
@@ -48,28 +50,41 @@ def folded(text: str | None) -> bytes:
     return text.encode() if regex.search(r"\p{L}", text) else b""
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
+def word_counts(picked: DataFrame) -> DataFrame:
+    """(lang, word, n) of folded sampled texts (lang, text), summed in each task before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, Counter] = {}
+        for b in batches:
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                seen.setdefault(lang, Counter()).update(folded(text).decode().split(" "))
+        for lang, counted in seen.items():
+            counted.pop("", None)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counted), pa.string()), pa.array(list(counted), pa.string()), pa.array(list(counted.values()), pa.int64())], names=["lang", "word", "n"])
+
+    return picked.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: int = LEAST) -> dict[str, bytes]:
     """Dictionary per language, the language with most rows first, from labelled rows; a training filter belongs before this call."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    counts = [(r["n"], r["lang"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()]
-    if not counts:
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    langs = [r["lang"] for r in counts.orderBy(F.desc("rows"), "lang").select("lang").collect()]
+    if not langs:
         return {}
-    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*(x for n, lang in counts for x in (F.lit(lang), F.lit(min(1.0, sample / len(counts) / n)))))
-    picked = rows.where((draw < F.try_element_at(share, F.col("lang"))) & (F.length("text") < 20_000)).select("lang", "text")
-    words: dict[str, Counter] = {lang: Counter() for _, lang in counts}
-    for r in picked.collect():
-        words[r["lang"]].update(folded(r["text"]).split())
-    out = {}
-    for _, lang in counts:
-        kept, size = [], 0
-        for w, _ in sorted(words[lang].items(), key=lambda x: (-x[1], x[0])):
-            size += len(w) + 1
-            if size > DICT_BYTES:
-                break
-            kept.append(w)
-        out[lang] = b" " + b" ".join(reversed(kept)) + b" "
-    return {k: v for k, v in out.items() if len(v) > 8}
+    hashed = F.xxhash64("id")
+    draw = F.pmod(hashed, F.lit(1 << 30)) / float(1 << 30)
+    picked = rows.join(F.broadcast(counts) if len(langs) <= BROADCAST_ROWS else counts.hint("merge"), "lang").where(draw * F.col("rows") < max(least, sample / len(langs)))
+    start = F.pmod(F.shiftright(hashed, 30), F.greatest(F.length("text") - STRETCH, F.lit(0)) + 1) + 1
+    picked = picked.withColumn("text", F.col("text").substr(start.cast("int"), F.lit(STRETCH)))
+    # The commonest words of a language, while they fit into its dictionary; a task sees the sampled words of one.
+    commonest = Window.partitionBy("lang").orderBy(F.desc("n"), "word").rowsBetween(Window.unboundedPreceding, 0)
+    kept = word_counts(picked).withColumn("bytes", F.sum(F.octet_length("word") + 1).over(commonest)).where(F.col("bytes") <= DICT_BYTES)
+    words: dict[str, list[tuple[int, str]]] = {}
+    for r in kept.select("lang", "word", "n").collect():
+        words.setdefault(r["lang"], []).append((-r["n"], r["word"]))
+    out = {lang: (" " + " ".join(w for _, w in sorted(words[lang], reverse=True)) + " ").encode() for lang in langs if lang in words}
+    return {lang: d.rjust(LEAST_BYTES) for lang, d in out.items()}
 
 
 class Classifier:

@@ -1,12 +1,16 @@
 """Line deduplication by pairwise alignment.
 
-A text is cut into units: lines, and sentences inside long lines. Units are hashed, and so is the shortest run of units from each unit
+A text is cut into units: lines, and the sentences of each line. Units are hashed, and so is the shortest run of units from each unit
 on that has ``MIN_WORDS`` words: two texts have a common block to delete only if they share such a run. A run that few documents share
 (up to ``RARE``) pairs each of them with each earlier one; a run that more share pairs them with the earliest document that has it,
 so a hot line costs one pair a document. Pairs are aligned by patience diff over their unit hashes, and aligned common blocks of at
-least ``MIN_WORDS`` words are deleted from the later document (the larger id). A passage that stands several times has no unique unit to
-align by; so runs of ``MIN_WORDS`` words that the rest of the later document still shares with the earlier one, anywhere in it, are
-deleted until none is left. The earliest document with a block keeps it.
+least ``MIN_WORDS`` words are deleted from the later document (the larger id). What patience diff can't align (a passage that stands several times, or
+passages in another order) isn't lost: runs of ``MIN_WORDS`` words that the rest of the later document still shares with the earlier one, anywhere in it, are
+deleted until none is left. The earliest document with a block keeps it. So no document keeps a run of ``MIN_WORDS`` words that an earlier
+one has, whether rare or frequent: for each of its runs it is paired with the earliest document that has the run.
+
+Lines of fewer words stay where they stand alone, however often: a short line that recurs (a heading, a greeting) isn't a copied
+passage, and deleting it harms clean documents. README says how much that leaves.
 
 Only hashes and word counts travel to the alignment. Defined results: a null text stays null, an empty one empty; rows that repeat
 an id and its text are one document; an id with two texts counts as two documents, ordered by a hash; a row without an id has no place in the order and stays as it is; an
@@ -27,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_table, materialize
 from .shingles import mix
 
 RARE, MIN_WORDS = 8, 20
@@ -217,15 +221,18 @@ def removals(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS, id_c
 
     found = both.mapInArrow(align, "id long, th long, cuts array<struct<s:int,e:int>>")
     # Ranges of one document: at most a few for each of its units.
-    return found.select("id", "th", F.explode("cuts").alias("c")).distinct().groupBy("id", "th").agg(F.collect_list("c").alias("cuts"))
+    cuts = materialize(found.select("id", "th", F.explode("cuts").alias("c")).distinct().groupBy("id", "th").agg(F.collect_list("c").alias("cuts")), "cuts")
+    for df in (rows, shared, kept, first, pairs):
+        drop_table(df)
+    return cuts
 
 
 def dedup_lines(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", removed: str = "removed_words") -> DataFrame:
     """All rows and columns of ``docs``, the text without its deleted blocks, and the words deleted in the column ``removed``."""
-    cuts = materialize(removals(docs, rare, min_words, id_col, text_col), "cuts")
+    cuts = removals(docs, rare, min_words, id_col, text_col)
     body = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     names = [*docs.columns]
-    at_id, at_text = names.index(id_col), names.index(text_col)
+    at_text = names.index(text_col)
     marked = body.select("row", F.col(f"row.`{id_col}`").cast("long").alias("id"))
     some = cuts.select("id", F.struct("th", "cuts").alias("c")).groupBy("id").agg(F.collect_list("c").alias("cs"))
     joined = marked.join(some.hint("shuffle_hash"), "id", "left").select("row.*", F.col("cs").alias("__cuts"))
@@ -248,6 +255,5 @@ def dedup_lines(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS, i
             columns[at_text] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.int64())], names=[*names, removed])
 
-    del at_id
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString() if f.name != text_col else 'string'}" for f in docs.schema.fields)
     return joined.mapInArrow(rewrite, f"{schema}, `{removed}` long")

@@ -2,6 +2,9 @@
 
 A record's slot is a hash of its id, modulo a fixed number of slots. Bytes are aggregated per slot, and a versioned table
 maps slots to shards. Rebalancing and growing edit that table: a new version moves a few slots, and no record is hashed anew.
+The first version gives every shard as many slots; each call of :func:`assign` measures the bytes per slot and edits the latest version where its shards aren't even.
+
+The law is ``bytes``: sizes near equal. Equal texts aren't held together, for a group of copies can be larger than a shard.
 
 Defined results: a null text has size 1, an empty text too; repeated rows are placed one by one (equal ids share a slot and
 so a shard); an empty table gives no rows; a null id hashes like any value. Columns other than id and text are ignored.
@@ -9,12 +12,12 @@ so a shard); an empty table gives no rows; a null id hashes like any value. Colu
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 N_SLOTS = 8192
+#: In an assignment a shard may be over the mean by this share before slots move.
+TOLERANCE = 0.001
 
 
 def sized(docs: DataFrame, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -28,15 +31,9 @@ def slot_loads(rows: DataFrame) -> DataFrame:
     return rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
 
 
-def plan_slots(loads: dict[int, int], shards: int, n_slots: int = N_SLOTS) -> dict[int, int]:
-    """Slot to shard, the largest slots first, each to the lightest shard. ``loads`` has at most ``n_slots`` entries."""
-    heap = [(0, s) for s in range(shards)]
-    out = {}
-    for slot in sorted(range(n_slots), key=lambda s: (-loads.get(s, 0), s)):
-        total, shard = heapq.heappop(heap)
-        out[slot] = shard
-        heapq.heappush(heap, (total + loads.get(slot, 0), shard))
-    return out
+def even_slots(shards: int, n_slots: int = N_SLOTS) -> dict[int, int]:
+    """The first version of a map: slots dealt in turn."""
+    return {slot: slot % shards for slot in range(n_slots)}
 
 
 def rebalance(current: dict[int, int], loads: dict[int, int], shards: int, tolerance: float = 0.02) -> dict[int, int]:
@@ -52,15 +49,16 @@ def rebalance(current: dict[int, int], loads: dict[int, int], shards: int, toler
     mean = sum(totals.values()) / shards
     for x in held.values():
         x.sort()
-    for _ in range(len(out)):
+    for _ in range(4 * len(out)):
         high, low = max(totals, key=lambda s: (totals[s], s)), min(totals, key=lambda s: (totals[s], s))
         if totals[high] <= mean * (1 + tolerance):
             break
-        room = min(mean * (1 + tolerance / 2) - totals[low], totals[high] - totals[low] - 1)
-        fit = [i for i, (load, _) in enumerate(held[high]) if 0 < load <= room]
+        # The load nearest to half the difference evens the two out most; one beyond the difference would make it worse.
+        gap = totals[high] - totals[low]
+        fit = [(abs(2 * load - gap), i) for i, (load, _) in enumerate(held[high]) if 0 < load < gap]
         if not fit:
             break
-        load, slot = held[high].pop(fit[-1])
+        load, slot = held[high].pop(min(fit)[1])
         out[slot] = low
         totals[high] -= load
         totals[low] += load
@@ -101,8 +99,13 @@ def assign(docs: DataFrame, map_path: str, shards: int = 16, n_slots: int = N_SL
     spark = docs.sparkSession
     rows = sized(docs, n_slots)
     stats = {r["vslot"]: (r["bytes"], r["n"]) for r in slot_loads(rows).collect()}
-    store_map(spark, map_path, plan_slots({k: v[0] for k, v in stats.items()}, shards, n_slots))
+    if not latest_version(spark, map_path):
+        store_map(spark, map_path, even_slots(shards, n_slots))
     mapping = {r["vslot"]: r["shard"] for r in load_map(spark, map_path).collect()}
+    edited = rebalance(mapping, {k: v[0] for k, v in stats.items()}, shards, TOLERANCE)
+    if edited != mapping:
+        store_map(spark, map_path, edited)
+        mapping = {r["vslot"]: r["shard"] for r in load_map(spark, map_path).collect()}
     bases, filled = [], dict.fromkeys(range(shards), 0)
     for slot in sorted(stats):
         bases.append((slot, mapping[slot], filled[mapping[slot]]))

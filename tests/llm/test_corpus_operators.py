@@ -108,6 +108,10 @@ def test_shards_are_even_and_gapless(spark, tmp_path):
     rows = EDGES[:-1] + [(100 + i, "x" * rng.randrange(3000)) for i in range(3000)]
     got = sharding.assign(clashing(frame(spark, rows)), f"file://{tmp_path}/map", 16).collect()
     assert len(got) == len(rows)
+    assert sharding.latest_version(spark, f"file://{tmp_path}/map") == 2  # dealt in turn, then edited by bytes
+    again = sharding.assign(clashing(frame(spark, rows)), f"file://{tmp_path}/map", 16).collect()
+    assert sorted(again) == sorted(got) and sharding.latest_version(spark, f"file://{tmp_path}/map") == 2
+    assert sharding.assign(frame(spark, []), f"file://{tmp_path}/empty", 16).count() == 0
     load, slots = defaultdict(int), defaultdict(list)
     for r in got:
         load[r.shard] += r.size
@@ -121,7 +125,7 @@ def test_shards_are_even_and_gapless(spark, tmp_path):
 def test_map_versions_and_growth(spark, tmp_path):
     path = f"file://{tmp_path}/map"
     loads = {s: 100 + s % 7 for s in range(200)}
-    first = sharding.plan_slots(loads, 4, 200)
+    first = sharding.rebalance(sharding.even_slots(4, 200), loads, 4)
     grown = sharding.rebalance(first, loads, 5)
     moved = [s for s in first if first[s] != grown[s]]
     assert moved and all(grown[s] == 4 for s in moved)
@@ -278,6 +282,39 @@ def language_rows(rng, n):
     return out
 
 
+def plain_language(model, text):
+    """The language of least size, every chunk compressed by a compressor of its own."""
+    import zstandard as z
+
+    data = b" " + language.folded(text) + b" "
+    if not data.strip():
+        return "und"
+    how = z.ZstdCompressionParameters(window_log=17, chain_log=17, hash_log=17, search_log=4, min_match=4, target_length=16, strategy=z.STRATEGY_BTLAZY2, write_checksum=False, write_content_size=False, write_dict_id=False)
+    size = lambda d, x: len(z.ZstdCompressor(compression_params=how, dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT)).compress(x))
+    sums = [sum(size(d, data[i : i + language.CHUNK]) for i in range(0, len(data), language.CHUNK)) for d in model.values()]
+    return list(model)[sums.index(min(sums))]
+
+
+def test_language_learns_from_long_texts_and_many_languages(spark):
+    rng = random.Random(61)
+    rows = []
+    for i in range(140):
+        own = [f"{'abcdefghijklmnopqrst'[i % 20]}{'aeiou'[i % 5]}{x}" for x in ("la", "rin", "tos", "me", "kul")]
+        rows.append((i, " ".join("".join(rng.choice(own) for _ in range(2)) for _ in range(30)), f"l{i % 70}", "s", 1))
+    rows += [(1000 + i, " ".join(rng.choice(["lange", "texte", "alleine"]) for _ in range(9000)), "long", "s", 1) for i in range(3)]
+    rows += [(2000, "1 2 3", "digits", "s", 1), (2001, "ab", "tiny", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = language.fit(docs)
+    assert set(model) == {f"l{i}" for i in range(70)} | {"long", "tiny"} and all(len(d) >= 16 for d in model.values())
+    texts = [t for _, t, *_ in rows] + ["texte alleine lange"]
+    got = [language.Classifier(model)(t)[0] for t in texts]
+    assert got == [plain_language(model, t) for t in texts]
+    assert got[140:143] == ["long"] * 3 and got[-1] == "long"
+    # The commonest words come last; a stretch may begin or end inside a word.
+    assert set(model["long"].split()[-3:]) == {b"lange", b"texte", b"alleine"}
+    assert language.predict(docs.limit(0), model).count() == 0
+
+
 def test_language_on_held_out_rows(spark):
     rows = language_rows(random.Random(4), 400)
     docs = spark.createDataFrame(rows, DOCS)
@@ -322,6 +359,33 @@ def test_toxicity_folds_and_learns(spark):
     assert len(got) == len(EDGES) and all(0 <= r.score <= 1 for r in got)
 
 
+def plain_signal(model, text):
+    """Every entry looked for at every place."""
+    t = toxicity.folded(text)
+    words = t.count(" ") - 1
+    if words <= 0:
+        return 0.0
+    at = lambda e: [i for i in range(len(t)) if t.startswith(e, i)]
+    free = [(i, i + len(e) - 1) for e in model.exceptions for i in at(e)]
+    best = {}
+    for e, w in model.weights.items():
+        for i in at(e):
+            best[i] = max(best.get(i, 0.0), w)
+    return sum(w for i, w in best.items() if not any(a <= i < b for a, b in free)) / np.sqrt(words + 20)
+
+
+def test_toxicity_equals_plain_search(spark):
+    rng = random.Random(62)
+    entries = [" idiot ", " idio", " bad ", " ba", " scum ", " loser ", " lo"]
+    model = toxicity.Model({e: rng.random() * 5 for e in entries})
+    pieces = ["idiot", "idiots", "1d1ot", "bad", "badge", "pond", "scum", "sore", "loser", "losers", "good", "ІDIOT", "b@d", "!", "x"]
+    scorer = toxicity.Scorer(model)
+    for _ in range(400):
+        text = " ".join(rng.choice(pieces) for _ in range(rng.randrange(25)))
+        assert abs(scorer.signal(text) - plain_signal(model, text)) < 1e-12
+    assert toxicity.score(frame(spark, []), model).count() == 0
+
+
 # line dedup ------------------------------------------------------------------------------------------------------------
 
 
@@ -399,6 +463,44 @@ def test_repeated_passages_leave_later_documents(spark, copies):
     assert linededup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_leaves_no_shared_run_and_no_gap(spark, monkeypatch):
+    """The whole result against brute force: every run of 20 words that an earlier document has goes, and nothing else does."""
+    rng = random.Random(63)
+    pool = [prose(rng, rng.randrange(4, 18), 10**6) + "." for _ in range(30)]
+    passages = [[prose(rng, rng.randrange(5, 12), 10**6) + "." for _ in range(4)] for _ in range(6)]
+    rows = []
+    for i in range(60):
+        parts = [[prose(rng, rng.randrange(3, 15), 10**6) + "."] for _ in range(rng.randrange(1, 6))] + [[rng.choice(pool)] for _ in range(rng.randrange(5))]
+        parts += [rng.choice(passages)[rng.randrange(2) :] for _ in range(rng.randrange(4))]
+        rng.shuffle(parts)
+        rows.append((i, "\n".join(" ".join(p) for p in parts)))
+    got = {r.doc_id: r for r in linededup.dedup_lines(frame(spark, rows)).collect()}
+    stripped = lambda t: [u.strip() for u in linededup.units(t) if u.strip()]
+
+    def long_runs(us):
+        return {tuple(us[i:j]) for i in range(len(us)) for j in range(i + 1, len(us) + 1) if sum(len(u.split()) for u in us[i:j]) >= 20}
+
+    earlier, changed = set(), 0
+    for i, t in rows:
+        before, after = stripped(t), stripped(got[i].text)
+        assert not long_runs(after) & earlier
+        assert got[i].removed_words == sum(len(u.split()) for u in before) - sum(len(u.split()) for u in after)
+        if not long_runs(before) & earlier:
+            assert got[i].text == t
+        else:
+            changed += 1
+            inside = {u for r in long_runs(before) & earlier for u in r}
+            left = list(after)
+            for u in before:  # what is left stands in its order, and what went was in a shared run
+                if left and left[0] == u:
+                    left.pop(0)
+                else:
+                    assert u in inside or any(u in r for r in earlier)
+            assert not left
+        earlier |= long_runs(before)
+    assert changed > 20
+
+
 def test_line_dedup_keeps_columns_and_rows(spark):
     df = clashing(frame(spark, EDGES))
     got = linededup.dedup_lines(df, removed="gone")
