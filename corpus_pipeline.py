@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on every row its predecessor kept. ``run`` writes each stage's result to the shared
 folder and reads it again, so a lost executor never costs more than one stage.
+
+Defined results: a null or empty text, or one without a letter, is rejected by language ID; rows without an id pass line dedup unchanged and leave with
+near-dedup, which keeps one document of each group by its id; rows that repeat an id and a text all stay or all go up to packing; ties go to the smallest id; empty tables give no rows; nulls in lang, source and n_chars
+stay as they are; columns of the input beyond those of ``documents`` are left behind.
 """
 
 from __future__ import annotations
@@ -13,6 +17,8 @@ from iqlake.llm import decontam, language, linededup, neardup, packing
 from iqlake.llm.common import materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document of which line dedup leaves a smaller share of its words goes as well: what is left is the edits of a copy.
+LEAST_LEFT = 0.25
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +30,10 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Aligned common blocks leave the later document; a document of which nothing is left goes."""
+    """Aligned common blocks leave the later document; a document of which less than ``LEAST_LEFT`` is left goes."""
     cleaned = linededup.dedup_lines(docs.select(*COLUMNS), removed="__removed")
-    kept = cleaned.where((F.col("__removed") == 0) | (F.trim(F.col("text")) != ""))
+    left = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    kept = cleaned.where((F.col("__removed") == 0) | (left >= LEAST_LEFT * (left + F.col("__removed"))) & (left > 0))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
