@@ -12,9 +12,10 @@ whose signatures agree loosely is compared too. Pairs inside a group can't chang
 comparisons a document and not one a pair; no partner is dropped for a count.
 
 A region (rows with a common prefix of ``DEPTH``) wider than the window can hold links that the window doesn't reach. So the rows of
-such regions, where more than one group stands in them, are joined exactly: by a prefix filter on their full sets. Shingles of one group alone can't
-join groups, and the others are ordered by how many of these rows have them; two sets similar enough share one among their first few, and at a place that leaves room for
-the others. What the filter proposes is compared on full sets as before.
+such regions, where more than one group stands in them, are compared exactly. A prefix filter on their full sets tells apart which can be linked at all: shingles of one group
+alone can't join groups, and the others are ordered by how many of these rows have them; two sets similar enough share one among their first few. Rows
+that share such a shingle, in chains, are one block. A block is cut into cells, and a task counts the intersections of all sets of two cells by products of
+sparse columns; only links between groups that aren't joined yet leave it.
 
 Full sets meet by region (a component of the pairs to compare): in one task while a region's texts and pairs are few; a larger region is cut
 into cells, and a document goes only to the cells that hold one of its pairs.
@@ -43,8 +44,8 @@ HASHES, ORDERS, DEPTH, WINDOW = 256, 32, 4, 40
 LOOSE = 0.62
 #: Bytes of text, documents and pairs in a region's task before the region is cut into cells.
 CELL_BYTES, CELL_ROWS, CELL_PAIRS = 24 << 20, 500, 20_000
-#: Entries of a group in one posting of the exact join that travel as one row.
-CHUNK = 256
+#: Documents and shingles of a cell in the exact comparison, and columns that it multiplies at a time.
+BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 1_000, 2_000_000, 4_096
 #: What the scan of a range gives: pairs, and the rows at its ends.
 SCANNED = {"a": pa.int64(), "b": pa.int64(), "number": pa.int64(), "at": pa.int64(), "rows": pa.int64(), "t": pa.int32(), "label": pa.binary(), "doc_id": pa.int64(), "grp": pa.int64()}
 _RNG = np.random.RandomState(20240229)
@@ -108,8 +109,8 @@ def crowded_rows(grouped: DataFrame, window: int = WINDOW) -> DataFrame:
     return keys.join(wide.select("t", "p").hint("shuffle_hash"), ["t", "p"], "left_semi").select("doc_id", "grp").distinct()
 
 
-def prefix_joined(texts: DataFrame, crowded: DataFrame, percent: int = 75, n: int = 5) -> DataFrame:
-    """Pairs (a, b), a < b, of ``crowded`` rows of different groups: all that are similar enough, and few others."""
+def prefix_blocks(texts: DataFrame, crowded: DataFrame, percent: int = 75, n: int = 5) -> DataFrame:
+    """(node, component): blocks of ``crowded`` rows (doc_id, grp); rows of different groups that are similar enough stand in one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -120,7 +121,7 @@ def prefix_joined(texts: DataFrame, crowded: DataFrame, percent: int = 75, n: in
                     full = lambda v: pa.array(np.full(len(part), v, np.int64))  # noqa: E731, B023
                     yield pa.RecordBatch.from_arrays([full(doc), full(grp), full(len(s)), pa.array(part.view(np.int64))], names=["doc_id", "grp", "size", "h"])
 
-    own = texts.select("doc_id", "text").dropDuplicates(["doc_id"]).join(crowded.hint("shuffle_hash"), "doc_id").select("doc_id", "grp", "text")
+    own = texts.join(crowded.hint("shuffle_hash"), "doc_id").select("doc_id", "grp", "text")
     sets = materialize(own.mapInArrow(run, "doc_id long, grp long, size long, h long"), "sets")
     counts = sets.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).where(F.col("lo") != F.col("hi"))
     mixed = materialize(sets.join(counts.select("h", "df").hint("merge"), "h"), "mixed")
@@ -128,25 +129,81 @@ def prefix_joined(texts: DataFrame, crowded: DataFrame, percent: int = 75, n: in
     size = F.col("size")
     # Shingles of one group come first and join nothing. Sets of sizes y <= x with 100 I >= percent U share one of the first
     # x - ceil(percent x / 100) + 1 of x and of the first y - ceil(2 percent y / (100 + percent)) + 1 of y.
-    placed = mixed.withColumn("pos", size - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("df", "h")))
-    placed = placed.where(F.col("pos") <= size - F.ceil(percent * size / 100) + 1)
-    placed = materialize(placed.withColumn("first", F.col("pos") <= size - F.ceil(2 * percent * size / (100 + percent)) + 1), "placed")
-    entry = F.struct("doc_id", "size", "pos").alias("e")
-    number = F.floor((F.row_number().over(Window.partitionBy("h", "grp").orderBy("doc_id")) - 1) / CHUNK)
-
-    def chunks(rows: DataFrame, group: str, entries: str) -> DataFrame:
-        return rows.select("h", "grp", entry, number.alias("number")).groupBy("h", F.col("grp").alias(group), "number").agg(F.collect_list("e").alias(entries)).drop("number")
-
-    met = chunks(placed.where("first"), "g", "ys").join(chunks(placed, "k", "xs").hint("merge"), "h").where("g <> k")
-    pairs = met.select(F.explode("ys").alias("y"), "xs").select("y", F.explode("xs").alias("x"))
-    y, x = F.struct(F.col("y.size"), F.col("y.doc_id")), F.struct(F.col("x.size"), F.col("x.doc_id"))
-    room = 1 + F.least(F.col("y.size") - F.col("y.pos"), F.col("x.size") - F.col("x.pos"))
-    fits = (100 * F.col("y.size") >= percent * F.col("x.size")) & (room * (100 + percent) >= percent * (F.col("x.size") + F.col("y.size")))
-    pairs = pairs.where((y < x) & fits).select(F.least("y.doc_id", "x.doc_id").alias("a"), F.greatest("y.doc_id", "x.doc_id").alias("b"))
-    found = materialize(pairs.distinct(), "pairs")
-    for df in (sets, mixed, placed):
+    place = size - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("df", "h"))
+    placed = mixed.withColumn("pos", place).where(F.col("pos") <= size - F.ceil(percent * size / 100) + 1)
+    placed = materialize(placed.select("doc_id", "grp", "h", (F.col("pos") <= size - F.ceil(2 * percent * size / (100 + percent)) + 1).alias("first")), "placed")
+    hubs = placed.groupBy("h").agg(F.min("doc_id").alias("b"), F.max("first").alias("first"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).where(F.col("first") & (F.col("lo") != F.col("hi")))
+    edges = materialize(placed.select("h", F.col("doc_id").alias("a")).join(hubs.select("h", "b").hint("merge"), "h").select("a", "b").distinct(), "edges")
+    blocks = materialize(connected(edges, "blocks"), "blocks")
+    for df in (sets, mixed, placed, edges):
         drop_table(df)
-    return found
+    return blocks
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of all sets on the left with all on the right, some thousand shingles at a time."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    a, b = np.concatenate(left), np.concatenate(right)
+    both = np.intersect1d(a, b)
+    rows = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    at = []
+    for values, row in zip((a, b), rows, strict=True):
+        i = np.searchsorted(both, values)
+        held = np.flatnonzero(both[np.minimum(i, len(both) - 1)] == values) if len(both) else np.zeros(0, int)
+        order = held[np.argsort(i[held], kind="stable")]
+        at.append((row[order], i[order]))
+    for lo in range(0, len(both), COLUMNS):
+        parts = []
+        for (row, column), x in zip(at, (left, right), strict=True):
+            s, e = np.searchsorted(column, [lo, lo + COLUMNS])
+            part = np.zeros((len(x), COLUMNS), np.float32)
+            part[row[s:e], column[s:e] - lo] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
+def block_links(texts: DataFrame, crowded: DataFrame, blocks: DataFrame, percent: int = 75, n: int = 5) -> DataFrame:
+    """Links (a, b) between groups among the rows of each block, enough to join all that are similar enough."""
+    spread = blocks.join(texts.select("doc_id", "bytes"), blocks.node == texts.doc_id).groupBy("component").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    # A shingle takes two bytes of text at least, and six or so as a rule.
+    cells = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("bytes") / (6 * BLOCK_SHINGLES)), F.lit(1)).cast("int")
+    placed = blocks.join(spread.select("component", cells.alias("cells")), "component").join(crowded, F.col("node") == F.col("doc_id"))
+    placed = placed.select("component", "doc_id", "grp", "cells", F.pmod(F.xxhash64("doc_id"), F.col("cells")).cast("int").alias("c"))
+    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    sent = materialize(sent.select("component", "doc_id", "grp", "c", F.least("c", "other").alias("x"), F.greatest("c", "other").alias("y")), "sent")
+    rows = texts.select("doc_id", "text").join(sent.hint("shuffle_hash"), "doc_id").select("component", "x", "y", "c", "doc_id", "grp", "text")
+
+    def compare(keys: tuple, t: pa.Table) -> pa.Table:
+        x, y = keys[1].as_py(), keys[2].as_py()
+        held: dict[int, list[tuple[int, int, np.ndarray]]] = {x: [], y: []}
+        for c, doc, grp, text in zip(*(t[k].to_pylist() for k in ("c", "doc_id", "grp", "text")), strict=True):
+            held[c].append((doc, grp, shingle_set(text, n)))
+        root: dict[int, int] = {}
+
+        def find(g: int) -> int:
+            root.setdefault(g, g)
+            while root[g] != g:
+                root[g] = root[root[g]]
+                g = root[g]
+            return g
+
+        out: list[tuple[int, int]] = []
+        left, right = held[x], held[y]
+        if left and right:
+            (na, ga), (nb, gb) = ([np.array(v) for v in zip(*((len(s), g) for _, g, s in side), strict=True)] for side in (left, right))
+            both = common_counts([s for *_, s in left], [s for *_, s in right])
+            alike = (100 * both >= percent * (na[:, None] + nb[None, :] - both)) & (ga[:, None] != gb[None, :])
+            for i, j in zip(*np.nonzero(alike), strict=True):
+                g, k = find(int(ga[i])), find(int(gb[j]))
+                if g != k:
+                    root[max(g, k)] = min(g, k)
+                    out.append((left[i][0], right[j][0]))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    links = materialize(rows.groupBy("component", "x", "y").applyInArrow(compare, "a long, b long"), "links")
+    drop_table(sent)
+    return links
 
 
 def neighbours(dense: DataFrame, best_only: bool, window: int = WINDOW, depth: int = DEPTH, loose: float = LOOSE) -> DataFrame:
@@ -266,7 +323,7 @@ def neighbours(dense: DataFrame, best_only: bool, window: int = WINDOW, depth: i
 def verified(texts: DataFrame, pairs: DataFrame, percent: int = 75, n: int = 5) -> DataFrame:
     """Exact links (a, b) among the pairs, enough to join all that the pairs link; ``texts`` is (doc_id, text, bytes)."""
     regions = materialize(connected(pairs, "regions"), "region")
-    loads = regions.join(texts.select("doc_id", "bytes").dropDuplicates(["doc_id"]), regions.node == texts.doc_id).groupBy("component").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    loads = regions.join(texts.select("doc_id", "bytes"), regions.node == texts.doc_id).groupBy("component").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("rows"))
     asked = pairs.join(regions.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.count(F.lit(1)).alias("pairs"))
     cells = F.greatest(F.ceil(F.col("bytes") / CELL_BYTES), F.ceil(F.col("rows") / CELL_ROWS), F.ceil(F.sqrt(2 * F.col("pairs") / CELL_PAIRS)), F.lit(1))
     loads = materialize(loads.join(asked, "component").select("component", cells.cast("int").alias("cells")), "loads")
@@ -324,23 +381,27 @@ def groups(docs: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = materialize(own.join(paired.hint("shuffle_hash"), "doc_id", "left_semi").withColumn("bytes", F.octet_length("text")), "texts")
 
-    def linked(so_far: DataFrame, pairs: DataFrame) -> DataFrame:
-        """Groups (node, component) after the links among ``pairs``; the tables read for it go."""
-        links = verified(texts, pairs, percent, n)
+    def linked(so_far: DataFrame, links: DataFrame) -> DataFrame:
+        """Groups (node, component) after the links."""
         merged = materialize(connected(so_far.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links), "groups"), "groups")
-        for df in (pairs, links):
-            drop_table(df)
+        drop_table(links)
+        return merged
+
+    def searched(so_far: DataFrame, pairs: DataFrame) -> DataFrame:
+        merged = linked(so_far, verified(texts, pairs, percent, n))
+        drop_table(pairs)
         return merged
 
     def grouped(so_far: DataFrame) -> DataFrame:
         return dense.join(so_far, dense.doc_id == so_far.node, "left").select("doc_id", "sig", F.coalesce("component", "doc_id").alias("grp"))
 
     none = docs.sparkSession.createDataFrame([], "node long, component long")
-    first = linked(none, neighbours(dense.withColumn("grp", F.col("doc_id")), True))
-    merged = linked(first, neighbours(grouped(first), False))
+    first = searched(none, neighbours(dense.withColumn("grp", F.col("doc_id")), True))
+    merged = searched(first, neighbours(grouped(first), False))
     crowded = materialize(crowded_rows(grouped(merged)), "crowded")
     if not crowded.isEmpty():
-        merged = linked(merged, prefix_joined(texts, crowded, percent, n))
+        blocks = prefix_blocks(texts, crowded, percent, n)
+        merged = linked(merged, block_links(texts, crowded, blocks, percent, n))
     named = materialize(classes.select("key", F.col("doc_id").alias("rep")).join(merged, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component_id")), "named")
     for df in (texts, paired, dense, crowded, first, merged):
         drop_table(df)

@@ -625,15 +625,29 @@ def brute_sets(sets):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-def test_prefix_join_finds_every_link(spark):
-    """All rows at once and each its own group: the exact join alone, against all pairs."""
+@pytest.mark.parametrize("cell", [1_000, 40])
+def test_blocks_join_all_that_are_linked(spark, monkeypatch, cell):
+    """All rows at once and each its own group: the exact way alone, against all pairs."""
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", cell)
+    monkeypatch.setattr(neardup, "COLUMNS", 100)
     rng = random.Random(52)
     rows = near_rows(rng)[:130] + [(2000 + i, t) for i, t in template_rows(rng, 40, 4)[:50]]
     sets = {i: shingles.shingle_set(t) for i, t in rows}
-    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a]) and len(sets[b]) and 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
-    texts = frame(spark, rows).select("doc_id", "text")
-    got = {(r.a, r.b) for r in neardup.prefix_joined(texts, texts.select("doc_id", F.col("doc_id").alias("grp"))).collect()}
-    assert want <= got and len(want) > 1000
+    texts = frame(spark, rows).select("doc_id", "text", F.octet_length("text").alias("bytes"))
+    crowded = texts.select("doc_id", F.col("doc_id").alias("grp"))
+    blocks = neardup.prefix_blocks(texts, crowded).cache()
+    links = neardup.block_links(texts, crowded, blocks)
+    got = {r.node: r.component for r in components.connected(links).collect()}
+    want = brute_sets(sets)
+    assert {i: got.get(i, i) for i in sets} == {i: c for i, (_, c) in want.items()}
+    assert links.count() <= 3 * len(rows)
+
+
+def test_common_counts_are_intersections():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200))).astype(np.uint64) for _ in range(30)]
+    got = neardup.common_counts(sets[:12], sets[12:])
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[12:]] for a in sets[:12]]
 
 
 def test_components_that_do_not_settle_raise(spark, monkeypatch):
