@@ -7,8 +7,19 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-#: Fixed values of 3GPP TS 38.213, 4.1: first symbols of SS/PBCH blocks by case, for 3 GHz and below.
-SSB_CASES = {"a": (2, 8, 16, 22), "b": (4, 8, 16, 20), "c": (2, 8, 16, 22)}
+#: Fixed values of 3GPP TS 38.213, 4.1, by cell search case: first symbols of SS/PBCH blocks, symbols after which they repeat, how often they do up to a
+#: centre frequency and above it (gaps between the runs of cases d and e are left unskipped), that frequency, and how often they do in shared spectrum.
+SSB_CASES = {
+    "a": ((2, 8), 14, 2, 4, 3e9, 5),
+    "b": ((4, 8, 16, 20), 28, 1, 2, 3e9, None),
+    "c": ((2, 8), 14, 2, 4, 1.88e9, 10),
+    "d": ((4, 8, 16, 20), 28, 19, 19, None, None),
+    "e": ((8, 12, 16, 20, 32, 36, 40, 44), 56, 9, 9, None, None),
+    "f": ((2, 9), 14, 32, 32, None, None),
+    "g": ((2, 9), 14, 32, 32, None, None),
+}
+#: Cases that a subcarrier spacing implies; 30 kHz has two outside shared spectrum.
+SPACING_CASES = {15e3: "a", 120e3: "d", 240e3: "e", 480e3: "f", 960e3: "g"}
 NORMAL_SYMBOLS, EXTENDED_SYMBOLS = 14, 12
 
 
@@ -171,6 +182,31 @@ def sequence_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n, i, int(d)) for n in range(3) for i, d in enumerate(pss(n))], "n_id2 int, i int, d int")
 
 
+def ssb_case(spacing: float, shared: bool = False) -> str:
+    """The cell search case of a subcarrier spacing."""
+    if spacing == 30e3 and shared:
+        return "c"
+    if spacing not in SPACING_CASES:
+        raise ValueError("name case b or c at 30 kHz" if spacing == 30e3 else f"no cell search case at a spacing of {spacing:g} Hz")
+    return SPACING_CASES[spacing]
+
+
+def ssb_symbols(case: str, center_frequency: float | None = None, shared: bool = False) -> tuple[int, ...]:
+    """First symbols of the SS/PBCH blocks in a half frame; without a centre frequency those of the higher range."""
+    offsets, period, low, high, limit, in_shared = SSB_CASES[case.lower()]
+    if shared and in_shared is None:
+        raise ValueError(f"case {case} isn't defined in shared spectrum")
+    count = in_shared if shared else (high if limit is None or center_frequency is None or center_frequency > limit else low)
+    return tuple(o + period * i for i in range(count) for o in offsets)
+
+
+def sync_sizes(sample_rate: float, spacing: float, max_lag_symbols: int = 4) -> dict[str, int]:
+    """Samples of a synchronisation symbol with its short prefix, lags searched, and the shift from the primary to the secondary symbol."""
+    phy = Numerology(sample_rate, spacing, "5G" if spacing != 15e3 else "4G")
+    step = phy.nfft + int(phy.prefixes.min())
+    return {"symbol": step, "lags": phy.slot_size // NORMAL_SYMBOLS * max_lag_symbols, "secondary": 2 * step}
+
+
 def tdd_symbols(spacing: float, frame_slots: str, special: str | None = None, flex_as: str | None = None, normal_prefix: bool = True) -> list[str]:
     """Direction of each symbol of a frame: d, u or - ; slot codes d, u, f, s (special) in ``frame_slots``."""
     slots = round(10 * spacing / 15e3)

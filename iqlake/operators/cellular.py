@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ofdm import Numerology, pss, sss, sync_waveform
-from .frames import KEYS
+from ..functions.ofdm import pss, sss, sync_sizes, sync_waveform
+from .filters import chunk_samples
+from .frames import KEYS, chunks
 
 
 def templates(kind: str, sample_rate: float, spacing: float, ids: tuple[int, ...] | None = None) -> dict[int, np.ndarray]:
@@ -20,38 +21,50 @@ def templates(kind: str, sample_rate: float, spacing: float, ids: tuple[int, ...
     return {i: sync_waveform(sss(i // 3, i % 3), sample_rate, spacing) for i in (ids if ids is not None else range(1008))}
 
 
-def correlate(blocks: DataFrame, kind: str, sample_rate: float, spacing: float, symbols: tuple[int, ...], period: float = 0.02, max_lag_symbols: int = 4, ids: tuple[int, ...] | None = None) -> DataFrame:
-    """Correlation of every discovery period of a block with every sequence: one row per id, period, beam and lag.
+def correlate_waves(blocks: DataFrame, waves: dict[int, np.ndarray], starts: tuple[int, ...], lags: int, period: int, mean: bool = False) -> DataFrame:
+    """Correlation of every period of ``period`` samples with every wave, at ``lags`` lags behind each start: a row per id, period, beam and lag.
 
-    A block is a row of samples at the synchronisation rate. The kernel transforms a period once and multiplies it with all
-    transformed sequences in turn, so memory holds one period and one sequence.
+    Periods are numbered from the capture's beginning, however its blocks are cut, and a period that its end cuts short counts if it is the only
+    one. With ``mean`` the power is averaged over ids and beams inside the kernel: a row (p) per period and lag. Memory holds one period and
+    the waves' transforms, whose size follows the lags.
     """
-    phy = Numerology(sample_rate, spacing, "5G" if spacing != 15e3 else "4G")
-    lags = phy.slot_size // 14 * max_lag_symbols
-    step = phy.nfft + int(phy.prefixes.min())
-    size = round(period * sample_rate)
-    waves = templates(kind, sample_rate, spacing, ids)
+    longest = max(len(w) for w in waves.values())
+    n = 1 << (lags + longest - 2).bit_length()
+    ids = list(waves)
+    conj = np.conj(np.stack([np.fft.fft(waves[i], n) for i in ids]))
+    names = [*KEYS, "block", "lag", "p"] if mean else [*KEYS, "cell_id", "block", "beam", "lag", "re", "im"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*KEYS, "cell_id", "block", "beam", "lag", "re", "im"]
         for b in batches:
-            for i in range(b.num_rows):
-                cap, port = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                x = np.asarray(b.column(2)[i].values, float) + 1j * np.asarray(b.column(3)[i].values, float)
-                for block in range(max(1, len(x) // size)):
-                    part = x[block * size : (block + 1) * size]
-                    n = 1 << int(np.ceil(np.log2(len(part) + step)))
-                    spectrum = np.fft.fft(part, n)
-                    for cell, wave in waves.items():
-                        r = np.fft.ifft(spectrum * np.conj(np.fft.fft(wave, n)))[: len(part)]
-                        for beam, s in enumerate(symbols):
-                            y = r[s * step : s * step + lags]
-                            if len(y):
-                                full = lambda v, t: pa.array(np.full(len(y), v), t)  # noqa: E731, B023
-                                yield pa.RecordBatch.from_arrays([full(cap, pa.int64()), full(port, pa.int32()), full(cell, pa.int32()), full(block, pa.int32()), full(beam, pa.int32()), pa.array(np.arange(len(y), dtype=np.int64)), pa.array(y.real), pa.array(y.imag)], names=names)
-
-    rows = blocks.select(F.col("capture_id").cast("long"), F.col("port").cast("int"), "re", "im")
-    return rows.mapInArrow(run, "capture_id long, port int, cell_id int, block int, beam int, lag long, re double, im double")
+            for cap, port, k, pieces in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x, own = chunk_samples(pieces, k * period, period, 0, 0)
+                if own < period and k:
+                    continue
+                power = np.zeros(lags)
+                for beam, s in enumerate(starts):
+                    part = x[s : s + lags + longest - 1]
+                    r = np.fft.ifft(np.fft.fft(part, n) * conj, axis=1)[:, : min(lags, max(0, own - s))]
+                    if mean:
+                        power[: r.shape[1]] += (np.abs(r) ** 2).sum(axis=0)
+                        continue
+                    for cell, y in zip(ids, r, strict=True):
+                        if len(y):
+                            full = lambda v, t: pa.array(np.full(len(y), v), t)  # noqa: E731, B023
+                            yield pa.RecordBatch.from_arrays([full(cap, pa.int64()), full(port, pa.int32()), full(cell, pa.int32()), full(k, pa.int32()), full(beam, pa.int32()), pa.array(np.arange(len(y), dtype=np.int64)), pa.array(y.real), pa.array(y.imag)], names=names)
+                if mean:
+                    full = lambda v, t: pa.array(np.full(lags, v), t)
+                    yield pa.RecordBatch.from_arrays([full(cap, pa.int64()), full(port, pa.int32()), full(k, pa.int32()), pa.array(np.arange(lags, dtype=np.int64)), pa.array(power / (len(ids) * len(starts)))], names=names)
+
+    rows = chunks(blocks, period).select(F.col("capture_id").cast("long"), F.col("port").cast("int"), "chunk", "pieces")
+    return rows.mapInArrow(run, "capture_id long, port int, block int, lag long, p double" if mean else "capture_id long, port int, cell_id int, block int, beam int, lag long, re double, im double")
+
+
+def correlate(blocks: DataFrame, kind: str, sample_rate: float, spacing: float, symbols: tuple[int, ...], period: float = 0.02, max_lag_symbols: int = 4, ids: tuple[int, ...] | None = None, mean: bool = False) -> DataFrame:
+    """Correlation of every discovery period with every PSS or SSS sequence at the synchronisation rate; the SSS stands two symbols later."""
+    size = sync_sizes(sample_rate, spacing, max_lag_symbols)
+    later = size["secondary"] if kind == "sss" else 0
+    starts = tuple(s * size["symbol"] + later for s in symbols)
+    return correlate_waves(blocks, templates(kind, sample_rate, spacing, ids), starts, size["lags"], round(period * sample_rate), mean)
 
 
 def sync(correlation: DataFrame, sample_rate: float, half_width: int = 4, per_port: bool = True, delay: float = 0.0) -> DataFrame:
@@ -61,7 +74,7 @@ def sync(correlation: DataFrame, sample_rate: float, half_width: int = 4, per_po
     triangular window over neighbouring lags weighs the rest; ties go to the lowest lag.
     """
     keys = list(KEYS) if per_port else ["capture_id"]
-    p = correlation.withColumn("p", F.col("re") ** 2 + F.col("im") ** 2)
+    p = correlation if "p" in correlation.columns else correlation.withColumn("p", F.col("re") ** 2 + F.col("im") ** 2)
     mean = p.groupBy(*keys, "block", "lag").agg(F.avg("p").alias("p")).groupBy(*keys, "lag").agg(F.median("p").alias("p"))
     level = mean.groupBy(*keys).agg(F.median("p").alias("m"), F.max("p").alias("x"))
     kept = mean.join(level, keys).withColumn("p", F.when(F.col("p") >= F.greatest(2 * F.col("m"), F.col("x") / 2), F.col("p")).otherwise(0.0))
@@ -72,5 +85,7 @@ def sync(correlation: DataFrame, sample_rate: float, half_width: int = 4, per_po
 
 
 def align(iq: DataFrame, shifts: DataFrame, size: int) -> DataFrame:
-    """Samples from each port's trigger lag on, ``size`` of them, numbered anew."""
-    return iq.join(F.broadcast(shifts.select(*KEYS, F.col("lag").alias("__lag"))), list(KEYS)).where((F.col("n") >= F.col("__lag")) & (F.col("n") < F.col("__lag") + size)).withColumn("n", F.col("n") - F.col("__lag")).drop("__lag")
+    """Samples from each port's trigger lag on, ``size`` of them, numbered anew. The shifts grow with the captures, so Spark picks the join by their size."""
+    lag = F.col("__lag")
+    joined = iq.join(shifts.select(*KEYS, F.col("lag").alias("__lag")), list(KEYS)).where((F.col("n") >= lag) & (F.col("n") < lag + size))
+    return joined.withColumn("n", F.col("n") - lag).drop("__lag")

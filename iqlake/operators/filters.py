@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import KEYS
+from ..functions.windows import noise_bandwidth
+from ..functions.windows import window as make_window
+from .frames import KEYS, chunks
 
 
 def kernel(blocks: DataFrame, func: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
@@ -26,6 +28,44 @@ def kernel(blocks: DataFrame, func: Callable[[np.ndarray], np.ndarray]) -> DataF
     return rows.mapInArrow(run, "capture_id long, port int, n0 long, re array<double>, im array<double>")
 
 
+#: Samples of a chunk where a caller names none.
+CHUNK = 1 << 18
+
+
+def chunk_samples(pieces: list[dict], first: int, size: int, left: int, right: int) -> tuple[np.ndarray, int]:
+    """Samples of a chunk with their context, zeros where the capture has none, and how many of its own it has."""
+    x = np.zeros(left + size + right, complex)
+    end = first
+    for p in pieces:
+        at = p["n0"] - (first - left)
+        x[at : at + len(p["re"])] = np.asarray(p["re"]) + 1j * np.asarray(p["im"])
+        end = max(end, p["n0"] + len(p["re"]))
+    return x, min(size, end - first)
+
+
+def chunk_kernel(blocks: DataFrame, func: Callable[[np.ndarray], np.ndarray], size: int, left: int, right: int, ratio: Fraction = Fraction(1)) -> DataFrame:
+    """A function of samples with their context, applied to chunks: the result doesn't depend on how a capture is cut.
+
+    ``func`` gets ``left`` samples before the chunk, the chunk and ``right`` samples behind it, and returns the chunk's own
+    output, ``ratio`` samples a sample. Beyond the ends of a capture, and in its gaps, samples are zero.
+    """
+    if (size * ratio).denominator != 1:
+        raise ValueError("a chunk must give a whole number of samples")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.float64())
+        for b in batches:
+            for cap, port, k, pieces in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x, own = chunk_samples(pieces, k * size, size, left, right)
+                if own <= 0:  # context alone: the capture ended before
+                    continue
+                y = func(x)[: int(own * ratio)]
+                yield pa.RecordBatch.from_arrays([pa.array([cap], pa.int64()), pa.array([port], pa.int32()), pa.array([int(k * size * ratio)], pa.int64()), pa.array([y.real], kind), pa.array([y.imag], kind)], names=[*KEYS, "n0", "re", "im"])
+
+    rows = chunks(blocks, size, left, right).select(F.col("capture_id").cast("long"), F.col("port").cast("int"), "chunk", "pieces")
+    return rows.mapInArrow(run, "capture_id long, port int, n0 long, re array<double>, im array<double>")
+
+
 def conjugate(blocks: DataFrame, flag: str) -> DataFrame:
     """Blocks with the imaginary part negated where the boolean column ``flag`` holds."""
     return blocks.withColumn("im", F.when(F.col(flag), F.transform("im", lambda x: -x)).otherwise(F.col("im")))
@@ -48,17 +88,83 @@ def fir_lowpass(bandwidth: float, fs: float, taps: int = 4001, transition: float
     return np.concatenate([h[::-1], [lo + hi], h])
 
 
-def convolve_same(x: np.ndarray, h: np.ndarray) -> np.ndarray:
-    size = len(x) + len(h) - 1
-    n = 1 << (size - 1).bit_length()
-    y = np.fft.ifft(np.fft.fft(x, n) * np.fft.fft(h, n))[:size]
-    lead = (len(h) - 1) // 2
-    return y[lead : lead + len(x)]
+def convolve(x: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Samples of the convolution that depend on no sample beyond ``x``."""
+    n = 1 << (len(x) - 1).bit_length()
+    return np.fft.ifft(np.fft.fft(x, n) * np.fft.fft(h, n))[len(h) - 1 : len(x)]
 
 
-def filtered(blocks: DataFrame, bandwidth: float, fs: float, taps: int = 4001, transition: float = 250e3) -> DataFrame:
+def filtered(blocks: DataFrame, bandwidth: float, fs: float, taps: int = 4001, transition: float = 250e3, size: int = CHUNK) -> DataFrame:
+    """Linear-phase low-pass without delay; chunks carry half the taps on either side."""
     h = fir_lowpass(bandwidth, fs, taps, transition)
-    return kernel(blocks, lambda x: convolve_same(x, h))
+    return chunk_kernel(blocks, lambda x: convolve(x, h), size, taps // 2, taps // 2)
+
+
+#: Overlaps at which the shifted copies of a window add up to a constant.
+OVERLAPS = {"rect": Fraction(0), "hamming": Fraction(1, 2), "blackman": Fraction(2, 3), "blackmanharris": Fraction(4, 5)}
+
+
+def oa_filter(blocks: DataFrame, fs: float, nfft: int, passband: tuple[float, float], window: str = "hamming", nfft_out: int | None = None, shift: int = 0, margin: float | None = None, size: int = CHUNK) -> DataFrame:
+    """Band-pass by overlapped transforms: frames are windowed, bins outside the band are zeroed, and the inverse frames are added up.
+
+    With ``nfft_out`` only that many bins around bin ``shift`` are kept (or zeros are added), which resamples by nfft_out / nfft. The band is narrowed by
+    ``margin`` on either side, the window's noise bandwidth if none is given. Chunks carry the frames that reach over their ends, so the
+    result doesn't depend on the cuts; beyond a capture samples are zero.
+    """
+    nfft_out = nfft_out or nfft
+    hop = nfft * (1 - OVERLAPS[window])
+    ratio = Fraction(nfft_out, nfft)
+    if hop.denominator != 1 or (hop * ratio).denominator != 1 or nfft % 2 or nfft_out % 2:
+        raise ValueError(f"{nfft} and {nfft_out} must be even and leave whole hops under a {window} window")
+    hop, hop_out = int(hop), int(hop * ratio)
+    w = np.ones(nfft) if window == "rect" else make_window(window, nfft, normalise=False)
+    w = w / (w.sum() / hop)  # copies a hop apart add up to one
+    edge = (0.0 if window == "rect" else noise_bandwidth(window, nfft_out)) if margin is None else margin
+    f = (np.arange(nfft) - nfft // 2) * fs / nfft
+    held = (f >= passband[0] + edge) & (f <= passband[1] - edge)
+    lead = nfft - hop
+    size = max(1, size // hop) * hop
+
+    def run(x: np.ndarray) -> np.ndarray:
+        frames = np.lib.stride_tricks.sliding_window_view(x, nfft)[::hop]
+        y = np.roll(np.fft.fftshift(np.fft.fft(frames * w, axis=1), axes=1) * held, -shift, axis=1)
+        if nfft_out <= nfft:
+            y = y[:, (nfft - nfft_out) // 2 : (nfft + nfft_out) // 2]
+        else:
+            y = np.pad(y, ((0, 0), ((nfft_out - nfft) // 2,) * 2))
+        y = np.fft.ifft(np.fft.ifftshift(y, axes=1), axis=1) * float(ratio)
+        out = np.zeros(len(frames) * hop_out + nfft_out, complex)
+        for part in range(0, nfft_out, hop_out):  # frames side by side, one part of them at a time
+            out[part : part + len(frames) * hop_out] += y[:, part : part + hop_out].ravel()
+        return out[int(lead * ratio) :]
+
+    return chunk_kernel(blocks, run, size, lead, lead, ratio)
+
+
+def oa_resample(blocks: DataFrame, fs: float, nfft: int, nfft_out: int, window: str = "hamming", bandwidth: float = float("inf"), shift: int = 0, size: int = CHUNK) -> DataFrame:
+    """Rational resampling by nfft_out / nfft through overlapped transforms, with a band-pass of ``bandwidth`` around zero on the way."""
+    half = bandwidth / 2 if bandwidth != float("inf") else float("inf")
+    return oa_filter(blocks, fs, nfft, (-half, half), window, nfft_out, shift, 0.0, size)
+
+
+def fractional_delay(x: np.ndarray, delay: float) -> np.ndarray:
+    """Samples later by a fraction of one, through the spectrum's phase; the ends meet."""
+    n = len(x)
+    return np.fft.ifft(np.fft.fft(x) * np.exp(-2j * np.pi * np.fft.fftfreq(n) * delay))
+
+
+def corrected(blocks: DataFrame, fs: float, scale: float = 1.0, conjugate_column: str | None = None, bandwidth: float = float("inf"), taps: int = 4001, transition: float = 250e3, resample_to: tuple[int, int] | None = None, window: str = "hamming", size: int = CHUNK) -> DataFrame:
+    """The corrections of a capture in their order: voltage scale or resampling (nfft, nfft_out), conjugation by a flag column, FIR low-pass."""
+    out = scaled(blocks, scale)
+    if conjugate_column:
+        out = conjugate(out, conjugate_column)
+    if resample_to:
+        nfft, nfft_out = resample_to
+        out = oa_resample(out, fs, nfft, nfft_out, window, bandwidth, 0, size)
+        fs = fs * nfft_out / nfft
+    if bandwidth != float("inf"):
+        out = filtered(out, bandwidth, fs, taps, transition, size)
+    return out
 
 
 def shaped(spectra: DataFrame, taps: np.ndarray, nfft: int) -> DataFrame:
@@ -130,15 +236,10 @@ def iir_response(passband: float, stopband: float, ripple: float, attenuation: f
     return h[: int(np.flatnonzero(np.abs(h) > floor * np.abs(h).max())[-1]) + 1]
 
 
-def iir_lowpass(blocks: DataFrame, bandwidth: float, fs: float, ripple: float = 0.1, attenuation: float = 60.0, transition: float = 250e3) -> DataFrame:
-    """Causal elliptic low-pass of each block, at rest before it; blocks should overlap by the response's length."""
+def iir_lowpass(blocks: DataFrame, bandwidth: float, fs: float, ripple: float = 0.1, attenuation: float = 60.0, transition: float = 250e3, size: int = CHUNK) -> DataFrame:
+    """Causal elliptic low-pass, at rest before a capture; chunks carry the response's length before them."""
     h = iir_response(bandwidth / 2 / fs, (bandwidth / 2 + transition) / fs, ripple, attenuation)
-
-    def causal(x: np.ndarray) -> np.ndarray:
-        n = 1 << (len(x) + len(h) - 2).bit_length()
-        return np.fft.ifft(np.fft.fft(x, n) * np.fft.fft(h, n))[: len(x)]
-
-    return kernel(blocks, causal)
+    return chunk_kernel(blocks, lambda x: convolve(x, h), size, len(h) - 1, 0)
 
 
 def resample(x: np.ndarray, num: int, shift: int = 0, scale: float = 1.0) -> np.ndarray:
@@ -157,6 +258,7 @@ def resample(x: np.ndarray, num: int, shift: int = 0, scale: float = 1.0) -> np.
 
 
 def resampled(blocks: DataFrame, up: int, down: int, shift: int = 0) -> DataFrame:
+    """Fourier resampling of each block by itself, for captures of one block; :func:`oa_resample` is for longer ones."""
     ratio = Fraction(up, down)
     return kernel(blocks, lambda x: resample(x, int(len(x) * ratio), shift))
 

@@ -16,6 +16,23 @@ def samples(blocks: DataFrame) -> DataFrame:
     return blocks.select(*KEYS, "n0", z).select(*KEYS, (F.col("n0") + F.col("i")).cast("long").alias("n"), F.col("z.re").cast("double").alias("re"), F.col("z.im").cast("double").alias("im"))
 
 
+def chunks(blocks: DataFrame, size: int, left: int = 0, right: int = 0) -> DataFrame:
+    """Blocks of any lengths as chunks of ``size`` samples with their context: capture_id, port, chunk, pieces of (n0, re[], im[]).
+
+    Chunk k holds the samples from k * size - left up to (k + 1) * size + right that the capture has. A sample is sent to each chunk that
+    needs it; a task holds the pieces of one chunk.
+    """
+    end = F.col("n0") + F.size("re")
+    first, last = F.floor((F.col("n0") - right) / size), F.floor((end - 1 + left) / size)
+    k = F.explode(F.sequence(F.greatest(first, F.lit(0)).cast("long"), F.greatest(last, F.lit(0)).cast("long"))).alias("chunk")
+    rows = blocks.where(F.size("re") > 0).select(*KEYS, F.col("n0").cast("long").alias("n0"), "re", "im", k)
+    start = F.greatest(F.col("chunk") * size - left - F.col("n0"), F.lit(0)).cast("int")
+    stop = F.least(F.lit(size + right) + F.col("chunk") * size - F.col("n0"), F.size("re")).cast("int")
+    cut = lambda c: F.slice(c, start + 1, stop - start).cast("array<double>").alias(c)
+    rows = rows.where(stop > start).select(*KEYS, "chunk", F.struct((F.col("n0") + start).alias("n0"), cut("re"), cut("im")).alias("piece"))
+    return rows.groupBy(*KEYS, "chunk").agg(F.collect_list("piece").alias("pieces"))
+
+
 def tumbling(n: Column, size: int) -> Column:
     return F.floor(n / size)
 

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import pow_to_db, whole
@@ -84,19 +84,23 @@ def power_spectral_density(spec: DataFrame, stats: tuple = ("mean", 0.5, 0.9, "m
     return to_long(wide, stats, "time_statistic").withColumn("value", pow_to_db(F.col("value"), EPS))
 
 
-def spectrogram_histogram(spec_db: DataFrame, low: float, high: float, step: float) -> DataFrame:
-    return histogram(spec_db, "power", low, high, step, ("capture_id", "port"), ("capture_id", "port"))
+def spectrogram_histogram(spec_db: DataFrame, low: float, high: float, step: float, normalise_port: int | None = None) -> DataFrame:
+    """Histogram per capture and port. Fractions are of each port's own pixels, or of those of ``normalise_port`` for all ports of a capture."""
+    counts = histogram(spec_db, "power", low, high, step, ("capture_id", "port"), ("capture_id", "port"))
+    if normalise_port is None:
+        return counts
+    total = F.sum(F.when(F.col("port") == normalise_port, F.col("n"))).over(Window.partitionBy("capture_id"))
+    return counts.withColumn("fraction", F.col("n") / total)
 
 
 def ratio_histogram(spec_db: DataFrame, low: float, high: float, step: float) -> DataFrame:
     """Histogram of the dB difference between the two ports of a capture, either way round; other port counts raise."""
-    ports = spec_db.groupBy("capture_id").agg(F.count_distinct("port").alias("c")).where("c <> 2").limit(1).count()
-    if ports:
-        raise ValueError("a ratio needs captures of exactly two ports")
-    a = spec_db.select("capture_id", "port", "frame", "k", F.col("power").alias("p"))
-    b = spec_db.select("capture_id", F.col("port").alias("other"), "frame", "k", F.col("power").alias("q"))
-    both = a.join(b, ["capture_id", "frame", "k"]).where("port <> other").select("capture_id", "port", (F.col("p") - F.col("q")).alias("power"))
-    return histogram(both, "power", low, high, step, ("capture_id", "port"), ("capture_id", "port"))
+    p, q = F.min_by("power", "port").alias("p"), F.max_by("power", "port").alias("q")
+    both = spec_db.groupBy("capture_id", "frame", "k").agg(F.count(F.lit(1)).alias("c"), F.min("port").alias("a"), F.max("port").alias("b"), p, q)
+    two = (F.col("c") == 2) & (F.col("a") != F.col("b"))
+    difference = F.when(two, F.col("p") - F.col("q")).otherwise(F.raise_error(F.lit("a ratio needs captures of exactly two ports")).cast("double"))
+    sides = F.explode(F.array(F.struct(F.col("a").alias("port"), difference.alias("power")), F.struct(F.col("b").alias("port"), (-difference).alias("power")))).alias("s")
+    return histogram(both.select("capture_id", sides).select("capture_id", "s.port", "s.power"), "power", low, high, step, ("capture_id", "port"), ("capture_id", "port"))
 
 
 def resource_histogram(spec: DataFrame, masks: DataFrame, frame_symbols: int, low: float, high: float, step: float) -> DataFrame:

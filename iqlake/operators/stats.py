@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.columns import NEG_INF, env_to_pow, pow_to_db
-from .frames import KEYS, cyclic, tumbling
+from .frames import KEYS, chunks, cyclic, tumbling
 
 NAMED = {"min": F.min, "max": F.max, "peak": F.max, "mean": F.avg, "rms": F.avg, "median": F.median}
 
@@ -34,15 +39,42 @@ def bin_power(iq: DataFrame, size: int, detectors: tuple = ("rms", "peak"), keys
     return to_long(wide, detectors, "power_detector")
 
 
+def block_power(blocks: DataFrame, size: int, detectors: tuple = ("rms", "peak")) -> DataFrame:
+    """:func:`bin_power` from blocks of samples: a kernel leaves one partial row a bin and block, not a row a sample. Detectors are those that partials add up to."""
+    parts = {"min": F.min("lo"), "max": F.max("hi"), "peak": F.max("hi"), "mean": F.sum("s") / F.sum("c"), "rms": F.sum("s") / F.sum("c")}
+    if set(detectors) - set(parts):
+        raise ValueError("medians and quantiles need the samples: use bin_power")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                re, im = (np.asarray(b.column(c)[i].values.to_numpy(zero_copy_only=False), float) for c in (3, 4))
+                if not len(re):
+                    continue
+                p, n0 = re * re + im * im, b.column(2)[i].as_py()
+                bins = (n0 + np.arange(len(p))) // size
+                at = np.flatnonzero(np.diff(bins, prepend=bins[0] - 1))
+                full = lambda v, t: pa.array(np.full(len(at), v), t)  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([full(b.column(0)[i].as_py(), pa.int64()), full(b.column(1)[i].as_py(), pa.int32()), pa.array(bins[at]), pa.array(np.add.reduceat(p, at)), pa.array(np.diff(at, append=len(p))), pa.array(np.minimum.reduceat(p, at)), pa.array(np.maximum.reduceat(p, at))], names=[*KEYS, "bin", "s", "c", "lo", "hi"])
+
+    rows = blocks.select(F.col("capture_id").cast("long"), F.col("port").cast("int"), F.col("n0").cast("long"), "re", "im")
+    partial = rows.mapInArrow(run, "capture_id long, port int, bin long, s double, c long, lo double, hi double")
+    return to_long(partial.groupBy(*KEYS, "bin").agg(*(parts[d].alias(d) for d in detectors)), detectors, "power_detector")
+
+
+def binned(iq: DataFrame, size: int, detectors: tuple, keys: tuple[str, ...]) -> DataFrame:
+    return block_power(iq, size, detectors) if isinstance(iq.schema["re"].dataType, ArrayType) else bin_power(iq, size, detectors, keys)
+
+
 def channel_power_time_series(iq: DataFrame, size: int, period: float, detectors: tuple = ("rms", "peak"), keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Power readings in dB over time."""
-    bins = bin_power(iq, size, detectors, keys)
+    """Power readings in dB over time, from samples (re, im) or blocks of them (re[], im[])."""
+    bins = binned(iq, size, detectors, keys)
     return bins.select(*keys, "power_detector", (F.col("bin") * period).alias("time_elapsed"), pow_to_db(F.col("value")).alias("value"))
 
 
 def cyclic_channel_power(iq: DataFrame, size: int, bins_per_cycle: int, detectors: tuple = ("rms", "peak"), stats: tuple = ("min", "mean", "max"), keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Detector bins folded by a period, a statistic over cycles, in dB."""
-    folded = bin_power(iq, size, detectors, keys).withColumn("cyclic_lag", cyclic(F.col("bin"), bins_per_cycle))
+    folded = binned(iq, size, detectors, keys).withColumn("cyclic_lag", cyclic(F.col("bin"), bins_per_cycle))
     wide = folded.groupBy(*keys, "power_detector", "cyclic_lag").agg(*(statistic(s, F.col("value")).alias(label(s)) for s in stats))
     return to_long(wide, stats, "cyclic_statistic").withColumn("value", pow_to_db(F.col("value")))
 
@@ -105,12 +137,37 @@ def lagged_product(iq: DataFrame, lag: int, indexes: list[int], lags: int, keys:
     return both.groupBy(*keys, "j").agg(F.hypot(F.sum(re), F.sum(im)).alias("s")).select(*keys, "j", (F.col("s") / len(indexes)).alias("r"))
 
 
-def contiguous_segments(df: DataFrame, order: str, by: tuple[str, ...] = (), threshold: float = 7.0, ties: tuple[str, ...] = ()) -> DataFrame:
-    """``segment``: a new one where the step to the row before exceeds ``threshold`` times the median step."""
+def lagged_product_blocks(blocks: DataFrame, lag: int, indexes: list[int], lags: int, size: int = 1 << 18) -> DataFrame:
+    """:func:`lagged_product` from blocks: chunks with ``lag`` samples of context leave one partial row a lag."""
+    from .filters import chunk_samples
+
+    at = np.asarray(sorted(indexes), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for cap, port, k, pieces in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x, _ = chunk_samples(pieces, k * size, size, 0, lag)
+                product = x[:size] * np.conj(x[lag : lag + size])
+                first = k * size
+                # The indexes whose sample at lag j stands in this chunk are one run of the sorted list.
+                lo, hi = np.searchsorted(at, first - np.arange(lags)), np.searchsorted(at, first + size - np.arange(lags))
+                sums = np.array([product[at[s:e] + j - first].sum() for j, (s, e) in enumerate(zip(lo, hi, strict=True))])
+                full = lambda v, t: pa.array(np.full(lags, v), t)
+                yield pa.RecordBatch.from_arrays([full(cap, pa.int64()), full(port, pa.int32()), pa.array(np.arange(lags, dtype=np.int64)), pa.array(sums.real), pa.array(sums.imag)], names=[*KEYS, "j", "re", "im"])
+
+    rows = chunks(blocks, size, 0, lag).select(F.col("capture_id").cast("long"), F.col("port").cast("int"), "chunk", "pieces")
+    partial = rows.where(F.col("chunk") <= (int(at.max()) + lags) // size).mapInArrow(run, "capture_id long, port int, j long, re double, im double")
+    return partial.groupBy(*KEYS, "j").agg((F.hypot(F.sum("re"), F.sum("im")) / len(indexes)).alias("r"))
+
+
+def contiguous_segments(df: DataFrame, order: str, by: tuple[str, ...], threshold: float = 7.0, ties: tuple[str, ...] = ()) -> DataFrame:
+    """``segment``: a new one where the step to the row before exceeds ``threshold`` times the median step of its series ``by``."""
+    if not by:
+        raise ValueError("a series needs a key: without one a single task would sort the whole table")
     w = Window.partitionBy(*by).orderBy(order, *ties)
     stepped = df.withColumn("__step", F.col(order) - F.lag(order).over(w))
     median = stepped.groupBy(*by).agg(F.median("__step").alias("__median"))
-    joined = stepped.join(median, list(by)) if by else stepped.crossJoin(F.broadcast(median))
+    joined = stepped.join(median, list(by))
     new = F.coalesce(F.col("__step") > threshold * F.col("__median"), F.lit(False)).cast("int")
     return joined.withColumn("__new", new).withColumn("segment", F.sum("__new").over(w).cast("long")).drop("__step", "__median", "__new")
 

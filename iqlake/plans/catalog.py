@@ -90,7 +90,7 @@ def env_power(spark: SparkSession, d: str) -> DataFrame:
 SELECT capture_id, port, 'rms' AS power_detector, CAST(bin * 0.25 AS DOUBLE) AS time_elapsed, round(10 * log10(rms), 6) AS value FROM b
 UNION ALL SELECT capture_id, port, 'peak', CAST(bin * 0.25 AS DOUBLE), round(10 * log10(peak), 6) FROM b""")
 def bin_power_rms_peak(spark: SparkSession, d: str) -> DataFrame:
-    return stats.channel_power_time_series(iq(spark, d), 8, 8 / FS).withColumn("value", r6("value"))
+    return stats.channel_power_time_series(blocks(spark, d), 8, 8 / FS).withColumn("value", r6("value"))
 
 
 @register("SELECT l_orderkey % 100 AS grp, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95 FROM lineitem GROUP BY 1")
@@ -105,7 +105,7 @@ s AS (SELECT capture_id, port, power_detector, cyclic_lag, min(v) AS lo, avg(v)
 SELECT capture_id, port, power_detector, cyclic_lag, cyclic_statistic, round(10 * log10(v), 6) AS value
 FROM (SELECT *, unnest(['min', 'mean', 'max']) AS cyclic_statistic, unnest([lo, mid, hi]) AS v FROM s)""")
 def cyclic_power(spark: SparkSession, d: str) -> DataFrame:
-    return stats.cyclic_channel_power(iq(spark, d), 4, 4).withColumn("value", r6("value"))
+    return stats.cyclic_channel_power(blocks(spark, d), 4, 4).withColumn("value", r6("value"))
 
 
 def _hist_sql(rows: str, low: float, high: float, step: float, by: str, norm: str) -> str:
@@ -178,7 +178,7 @@ def ratio_histogram(spark: SparkSession, d: str) -> DataFrame:
 SELECT a.capture_id, a.port, j, round(sqrt(pow(sum(coalesce(a.re * b.re + a.im * b.im, 0)), 2) + pow(sum(coalesce(a.im * b.re - a.re * b.im, 0)), 2)) / 4, 9) AS r
 FROM ij JOIN iq a ON a.n = ij.n LEFT JOIN iq b ON a.capture_id = b.capture_id AND a.port = b.port AND b.n = a.n + 8 GROUP BY ALL""")
 def cyclic_autocorr(spark: SparkSession, d: str) -> DataFrame:
-    return stats.lagged_product(iq(spark, d), 8, [0, 1, 10, 11], 12).withColumn("r", r6("r", 9))
+    return stats.lagged_product_blocks(blocks(spark, d), 8, [0, 1, 10, 11], 12, 16).withColumn("r", r6("r", 9))
 
 
 @register(_hist_sql(f"WITH {STFT_SQL} SELECT port, CASE frame % 3 WHEN 0 THEN 'downlink' ELSE 'uplink' END AS direction, 10 * log10(power + 1e-25) AS x FROM st WHERE frame % 3 <> 1", -60, 0, 3, "port, direction", "port"))
@@ -189,10 +189,10 @@ def tdd_mask_histogram(spark: SparkSession, d: str) -> DataFrame:
     return out.drop("capture_id").withColumn("fraction", r6("fraction", 9))
 
 
-@register("SELECT o_orderkey, gain, center_frequency, CAST(CASE o_orderpriority WHEN '1-URGENT' THEN 20.0 ELSE 10.0 END AS DOUBLE) AS sample_rate FROM orders, (SELECT unnest([-10.0, 0.0, 10.0])::DOUBLE AS gain), (SELECT unnest([100.0, 150.0, 200.0])::DOUBLE AS center_frequency) WHERE o_orderkey % 10 = 1")
+@register("SELECT o_orderkey, gain, center_frequency, CAST(CASE o_orderpriority WHEN '1-URGENT' THEN 20.0 ELSE 10.0 END AS DOUBLE) AS sample_rate FROM orders, (SELECT unnest([-10.0, 0.0, 10.0])::DOUBLE AS gain), (SELECT unnest([100.0, 150.0, 200.0])::DOUBLE AS center_frequency)")
 def loop_expand(spark: SparkSession, d: str) -> DataFrame:
     rate = F.when(F.col("o_orderpriority") == "1-URGENT", 20.0).otherwise(10.0)
-    captures = read_table(spark, d, "orders").where(F.pmod("o_orderkey", F.lit(10)) == 1).select("o_orderkey", "o_orderpriority")
+    captures = read_table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
     loops = [{"kind": "list", "field": "gain", "values": [-10.0, 0.0, 10.0]}, {"kind": "range", "field": "center_frequency", "start": 100.0, "stop": 200.0, "step": 50.0}]
     return sweep.expand(captures, loops, lambda df: df.withColumn("sample_rate", rate)).select("o_orderkey", "gain", "center_frequency", "sample_rate")
 
@@ -332,7 +332,8 @@ def pss_sync(spark: SparkSession, d: str) -> DataFrame:
     x = [0j] * 4000
     for i, v in enumerate(wave):
         x[lag + i] += complex(v)
-    rows = spark.createDataFrame([(0, 0, [v.real for v in x], [v.imag for v in x])], "capture_id long, port int, re array<double>, im array<double>")
+    cut = 1500  # two blocks of one capture
+    rows = spark.createDataFrame([(0, 0, s, [v.real for v in part], [v.imag for v in part]) for s, part in ((0, x[:cut]), (cut, x[cut:]))], "capture_id long, port int, n0 long, re array<double>, im array<double>")
     return cellular.sync(cellular.correlate(rows, "pss", rate, spacing, (0,), period=4000 / rate), rate)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import ofdm, windows
-from ..operators import calibration, filters, frames, spectrum, stats
+from ..operators import calibration, cellular, filters, frames, spectrum, stats
 from ..sources.tables import read_table
 from . import results, sweep
 from .catalog import FS, IQ_SQL, NFFT, STFT_SQL, blocks, iq, r6, register, stft
@@ -108,11 +108,9 @@ def concat_time(spark: SparkSession, d: str) -> DataFrame:
 
 @register(f"WITH {IQ_SQL} SELECT capture_id, port, n - 3 - port AS n, round(re, 9) AS re, round(im, 9) AS im FROM iq WHERE n >= 3 + port AND n < 3 + port + 20")
 def align_by_trigger(spark: SparkSession, d: str) -> DataFrame:
-    from ..operators.cellular import align
-
     samples = iq(spark, d)
     shifts = samples.select("capture_id", "port").distinct().withColumn("lag", F.col("port") + 3)
-    return align(samples, shifts, 20).select("capture_id", "port", "n", r6("re", 9).alias("re"), r6("im", 9).alias("im"))
+    return cellular.align(samples, shifts, 20).select("capture_id", "port", "n", r6("re", 9).alias("re"), r6("im", 9).alias("im"))
 
 
 @register("""WITH c AS (SELECT p_partkey, p_size % 2 AS port, CAST(p_size % 5 AS DOUBLE) AS center_frequency, p_retailprice / 100 AS gain, CAST(p_partkey % 12 AS INTEGER) AS headroom FROM part),
@@ -163,7 +161,7 @@ def iq_waveform(spark: SparkSession, d: str) -> DataFrame:
   SELECT CAST(range - 4 AS BIGINT) AS k, CASE WHEN range = 4 THEN 0.5 ELSE (cos(2 * pi() * 0.1875 * (range - 4)) - cos(2 * pi() * 0.3125 * (range - 4))) / (2 * pi() * pi() * (range - 4) * (range - 4) * 0.125) END AS h FROM range(9))
 SELECT capture_id, port, n + k AS n, round(sum(re * h), 6) AS re, round(sum(im * h), 6) AS im FROM iq, h WHERE n + k >= 0 AND n + k < 32 GROUP BY ALL""")
 def fir_filter(spark: SparkSession, d: str) -> DataFrame:
-    out = frames.samples(filters.filtered(blocks(spark, d), 16.0, FS, 9, 4.0))
+    out = frames.samples(filters.filtered(blocks(spark, d), 16.0, FS, 9, 4.0, 12))
     return out.select("capture_id", "port", "n", r6(F.col("re") + 0.0).alias("re"), r6(F.col("im") + 0.0).alias("im"))
 
 
@@ -179,3 +177,74 @@ GROUP BY i""")
 def window_values(spark: SparkSession, d: str) -> DataFrame:
     rows = [(name, i, float(w)) for name in ("hamming", "blackman", "taylor") for i, w in enumerate(windows.window(name, 64, normalise=False))]
     return spark.createDataFrame(rows, "name string, i int, w double").withColumn("w", r6("w", 9))
+
+
+def _overlap_sql(nfft_out: int, lo: float, hi: float) -> str:
+    """Frames of 16 samples, 8 apart, over a capture with zeros around it: direct transform, bins of the band, direct inverse, sum over frames."""
+    w = windows.window("hamming", NFFT, normalise=False)
+    w = w / (w.sum() / 8)
+    values = ", ".join(f"({i}, CAST({x!r} AS DOUBLE))" for i, x in enumerate(w.tolist()))
+    hop = nfft_out // 2
+    return f"""WITH {IQ_SQL}, w(j, w) AS (VALUES {values}),
+fr AS (SELECT CAST(range AS BIGINT) - 1 AS frame FROM range(5)),
+ks AS (SELECT CAST(range AS BIGINT) - {nfft_out // 2} AS k FROM range({nfft_out}) WHERE (range - {nfft_out // 2}) * {FS / NFFT} BETWEEN {lo!r} AND {hi!r}),
+x AS (SELECT capture_id, port, frame, j, re * w AS re, im * w AS im FROM fr, w JOIN iq ON TRUE WHERE n = frame * 8 + j),
+y AS (SELECT capture_id, port, frame, k, sum(re * cos(a) + im * sin(a)) AS re, sum(im * cos(a) - re * sin(a)) AS im
+      FROM (SELECT *, 2 * pi() * k * j / {NFFT}.0 AS a FROM x, ks) GROUP BY ALL),
+z AS (SELECT capture_id, port, frame * {hop} + i AS n, (re * cos(b) - im * sin(b)) / {NFFT} AS re, (re * sin(b) + im * cos(b)) / {NFFT} AS im
+      FROM (SELECT *, 2 * pi() * k * i / {nfft_out}.0 AS b FROM y, (SELECT CAST(range AS BIGINT) AS i FROM range({nfft_out}))))
+SELECT capture_id, port, n, round(sum(re), 6) + 0.0 AS re, round(sum(im), 6) + 0.0 AS im FROM z WHERE n >= 0 AND n < {32 * nfft_out // NFFT} GROUP BY ALL"""
+
+
+_EDGE = windows.noise_bandwidth("hamming", NFFT)
+
+
+@register(_overlap_sql(NFFT, -8.0 + _EDGE, 10.0 - _EDGE))
+def oa_filter(spark: SparkSession, d: str) -> DataFrame:
+    out = frames.samples(filters.oa_filter(blocks(spark, d), FS, NFFT, (-8.0, 10.0), size=8))
+    return out.select("capture_id", "port", "n", (r6("re") + 0.0).alias("re"), (r6("im") + 0.0).alias("im"))
+
+
+@register(_overlap_sql(8, -6.0, 6.0))
+def oa_resample(spark: SparkSession, d: str) -> DataFrame:
+    out = frames.samples(filters.oa_resample(blocks(spark, d), FS, NFFT, 8, bandwidth=12.0, size=16))
+    return out.select("capture_id", "port", "n", (r6("re") + 0.0).alias("re"), (r6("im") + 0.0).alias("im"))
+
+
+#: Short beginnings of synchronisation sequences as waves, for captures of 32 samples: two periods of 16 with two beams.
+_WAVES = {"pss": {i: ofdm.pss(i)[:8] for i in range(3)}, "sss": {i: ofdm.sss(i, i % 3)[:8] for i in range(4)}}
+
+
+def _correlation_sql(kind: str) -> str:
+    values = ", ".join(f"({i}, {j}, {int(v)})" for i, w in _WAVES[kind].items() for j, v in enumerate(w))
+    return f"""WITH {IQ_SQL}, w(cell_id, j, v) AS (VALUES {values}),
+at AS (SELECT * FROM (SELECT unnest([0, 1]) AS block), (SELECT unnest([0, 1]) AS beam), (SELECT CAST(range AS BIGINT) AS lag FROM range(5))),
+c AS (SELECT capture_id, port, CAST(cell_id AS INTEGER) AS cell_id, CAST(block AS INTEGER) AS block, CAST(beam AS INTEGER) AS beam, lag, sum(re * v) AS re, sum(im * v) AS im
+  FROM at, w, iq WHERE n = block * 16 + beam * 4 + lag + j AND n < block * 16 + 16 GROUP BY ALL)"""
+
+
+@register(_correlation_sql("pss") + " SELECT capture_id, port, cell_id, block, beam, lag, round(re, 9) + 0.0 AS re, round(im, 9) + 0.0 AS im FROM c")
+def pss_correlation(spark: SparkSession, d: str) -> DataFrame:
+    out = cellular.correlate_waves(blocks(spark, d), _WAVES["pss"], (0, 4), 5, 16)
+    return out.withColumn("re", r6("re", 9) + 0.0).withColumn("im", r6("im", 9) + 0.0)
+
+
+@register(_correlation_sql("sss") + """,
+m AS (SELECT capture_id, port, block, lag, avg(re * re + im * im) AS p FROM c GROUP BY ALL),
+q AS (SELECT capture_id, port, lag, median(p) AS p FROM m GROUP BY ALL),
+l AS (SELECT capture_id, port, median(p) AS mid, max(p) AS top FROM q GROUP BY ALL),
+k AS (SELECT q.capture_id, q.port, lag, CASE WHEN p >= greatest(2 * mid, top / 2) THEN p ELSE 0 END AS p FROM q JOIN l ON q.capture_id = l.capture_id AND q.port = l.port),
+s AS (SELECT a.capture_id, a.port, a.lag, sum(b.p * (1 - abs(a.lag - b.lag) / 5.0)) AS s FROM k a JOIN k b ON a.capture_id = b.capture_id AND a.port = b.port GROUP BY ALL),
+r AS (SELECT capture_id, port, lag, row_number() OVER (PARTITION BY capture_id, port ORDER BY round(s, 12) DESC, lag) AS r FROM s)
+SELECT capture_id, port, lag, round(lag / 32.0, 9) AS delay FROM r WHERE r = 1""")
+def sss_sync(spark: SparkSession, d: str) -> DataFrame:
+    out = cellular.sync(cellular.correlate_waves(blocks(spark, d), _WAVES["sss"], (0, 4), 5, 16, mean=True), FS)
+    return out.select("capture_id", "port", "lag", r6("delay", 9).alias("delay"))
+
+
+@register("""WITH c(ssb_case, period, times, offsets) AS (VALUES ('a', 14, 2, [2, 8]), ('a above', 14, 4, [2, 8]), ('a shared', 14, 5, [2, 8]), ('b', 28, 1, [4, 8, 16, 20]), ('b above', 28, 2, [4, 8, 16, 20]),
+  ('c', 14, 2, [2, 8]), ('c above', 14, 4, [2, 8]), ('c shared', 14, 10, [2, 8]), ('d', 28, 19, [4, 8, 16, 20]), ('e', 56, 9, [8, 12, 16, 20, 32, 36, 40, 44]), ('f', 14, 32, [2, 9]), ('g', 14, 32, [2, 9]))
+SELECT ssb_case, CAST(period * i + o AS INTEGER) AS symbol FROM (SELECT ssb_case, period, unnest(range(times)) AS i, offsets FROM c), LATERAL (SELECT unnest(offsets) AS o)""")
+def ssb_cases(spark: SparkSession, d: str) -> DataFrame:
+    asked = [(f"{c}{name}", c, f, shared) for c in ofdm.SSB_CASES for name, f, shared in (("", 1e9, False), (" above", 4e9, False), (" shared", None, True)) if not name or c in ("abc" if name == " above" else "ac")]
+    return spark.createDataFrame([(name, s) for name, c, f, shared in asked for s in ofdm.ssb_symbols(c, f, shared)], "ssb_case string, symbol int")

@@ -82,8 +82,8 @@ def test_empty_table_gives_no_rows(spark):
 def test_ratio_needs_two_ports(spark, count):
     rows = [(0, p, 0, 0, 1.0) for p in range(count)]
     df = spark.createDataFrame(rows, "capture_id long, port int, frame long, k long, power double")
-    with pytest.raises(ValueError):
-        spectrum.ratio_histogram(df, -10, 10, 1)
+    with pytest.raises(Exception, match="exactly two ports"):
+        spectrum.ratio_histogram(df, -10, 10, 1).collect()
 
 
 def test_whole_frames(spark):
@@ -330,3 +330,94 @@ def test_shaped_spectrum_is_that_of_circular_filtering(spark):
     assert got.columns == power.columns and all(abs(r.power - want[r.k]) < 1e-12 for r in got.collect())
     with pytest.raises(ValueError, match="longer"):
         filters.shaped(power, np.ones(65), 64)
+
+
+def capture_rows(spark, x, cuts):
+    """One capture, cut into blocks at ``cuts``."""
+    at = [0, *cuts, len(x)]
+    return spark.createDataFrame([(0, 0, s, x[s:e].real.tolist(), x[s:e].imag.tolist()) for s, e in zip(at, at[1:], strict=False)], "capture_id long, port int, n0 long, re array<double>, im array<double>")
+
+
+def whole_capture(df):
+    rows = sorted(df.collect(), key=lambda r: r.n0)
+    assert [r.n0 for r in rows] == np.cumsum([0, *(len(r.re) for r in rows[:-1])]).tolist()
+    return np.concatenate([np.array(r.re) + 1j * np.array(r.im) for r in rows])
+
+
+def test_filters_do_not_depend_on_the_cuts(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=700) + 1j * rng.normal(size=700)
+    one, many = capture_rows(spark, x, []), capture_rows(spark, x, [3, 90, 91, 350, 512]).repartition(4)
+    fir = filters.fir_lowpass(0.4, 1.0, 31, 0.1)
+    want = np.convolve(x, fir)[15 : 15 + 700]
+    assert np.allclose(whole_capture(filters.filtered(one, 0.4, 1.0, 31, 0.1)), want)
+    assert np.allclose(whole_capture(filters.filtered(many, 0.4, 1.0, 31, 0.1, size=64)), want)
+    iir = [whole_capture(filters.iir_lowpass(b, 0.2, 1.0, 0.1, 40.0, 0.1, size=s)) for b, s in ((one, 1 << 10), (many, 50))]
+    assert np.allclose(*iir) and np.abs(iir[0]).max() > 0.1
+    for kind, n in (("hamming", 32), ("blackman", 30), ("blackmanharris", 40), ("rect", 32)):
+        # With the whole band the frames add up to the samples.
+        assert np.allclose(whole_capture(filters.oa_filter(many, 1.0, n, (-1, 1), kind, margin=0.0, size=100)), x)
+        narrow = [whole_capture(filters.oa_filter(b, 1.0, n, (-0.2, 0.1), kind, margin=0.0, size=s)) for b, s in ((one, 1 << 10), (many, 64))]
+        assert np.allclose(*narrow) and np.linalg.norm(narrow[0]) < 0.8 * np.linalg.norm(x)
+    tone = np.exp(2j * np.pi * np.arange(640) / 32)
+    half = whole_capture(filters.oa_resample(capture_rows(spark, tone, [77]), 1.0, 32, 16, size=96))
+    assert len(half) == 320 and np.allclose(half[16:-16], np.exp(2j * np.pi * np.arange(320) / 16)[16:-16], atol=1e-2)
+    with pytest.raises(ValueError):
+        filters.oa_filter(one, 1.0, 31, (-1, 1))
+    done = whole_capture(filters.corrected(one.withColumn("flip", F.lit(True)), 1.0, 2.0, "flip", 0.4, 31, 0.1))
+    assert np.allclose(done, np.convolve(2 * np.conj(x), fir)[15:715])
+    assert np.allclose(filters.fractional_delay(tone, 1.0), np.roll(tone, 1))
+
+
+def test_kernels_on_blocks_equal_rows(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=200) + 1j * rng.normal(size=200)
+    many = capture_rows(spark, x, [3, 64, 101])
+    rows = frames.samples(many)
+    kinds = ("min", "max", "mean", "rms", "peak")
+    both = [{(r.bin, r.power_detector): round(r.value, 9) for r in df.collect()} for df in (stats.block_power(many, 7, kinds), stats.bin_power(rows, 7, kinds))]
+    assert both[0] == both[1]
+    with pytest.raises(ValueError):
+        stats.block_power(many, 7, (0.5,))
+    lags = [{r.j: round(r.r, 9) for r in df.collect()} for df in (stats.lagged_product_blocks(many, 16, [0, 5, 90, 150], 30, 32), stats.lagged_product(rows, 16, [0, 5, 90, 150], 30))]
+    assert lags[0] == lags[1] and len(lags[0]) == 30
+
+
+def test_correlation_periods_do_not_depend_on_the_blocks(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=330) + 1j * rng.normal(size=330)
+    waves = {0: rng.normal(size=20) + 1j * rng.normal(size=20), 7: rng.normal(size=20) + 0j}
+    found = [sorted(cellular.correlate_waves(capture_rows(spark, x, c), waves, (0, 30), 25, 100).collect()) for c in ([], [50, 133, 260])]
+    assert found[0] == found[1] and {r.block for r in found[0]} == {0, 1, 2}
+    for r in found[0][::37]:
+        part = x[r.block * 100 : r.block * 100 + 100]
+        at = r.beam * 30 + r.lag
+        seg = part[at : at + 20]
+        assert abs(complex(r.re, r.im) - np.vdot(waves[r.cell_id][: len(seg)], seg)) < 1e-9
+    mean = {(r.block, r.lag): r.p for r in cellular.correlate_waves(capture_rows(spark, x, [99]), waves, (0, 30), 25, 100, mean=True).collect()}
+    for key in mean:
+        assert abs(mean[key] - np.mean([r.re**2 + r.im**2 for r in found[0] if (r.block, r.lag) == key])) < 1e-9
+
+
+def test_ssb_symbols():
+    assert ofdm.ssb_symbols("a", 2e9) == (2, 8, 16, 22) and ofdm.ssb_symbols("B") == (4, 8, 16, 20, 32, 36, 44, 48)
+    assert len(ofdm.ssb_symbols("c", shared=True)) == 20 and ofdm.ssb_case(30e3, True) == "c" and ofdm.ssb_case(120e3) == "d"
+    for bad in (lambda: ofdm.ssb_symbols("b", shared=True), lambda: ofdm.ssb_case(30e3), lambda: ofdm.ssb_case(60e3)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_sweep_helpers(spark, tmp_path):
+    (tmp_path / "s.json").write_text('{"defaults": {"gain": 1.0}, "captures": [{"port": 0}, {"port": 1, "gain": 2.0}]}')
+    spec = sweep.read_spec(str(tmp_path / "s.json"))
+    assert {(r.port, r.gain) for r in sweep.captures_of(spark, spec).collect()} == {(0, 1.0), (1, 2.0)}
+    assert sweep.bin_points(0.0, 10.0, 3.0) == [2.0, 5.0, 8.0]
+    with pytest.raises(ValueError):
+        stats.contiguous_segments(spark.range(3), "id", ())
+
+
+def test_histogram_fractions_of_one_port(spark):
+    rows = [(0, 0, 1.0), (0, 0, 1.0), (0, 1, 1.0), (0, 1, 5.0), (0, 1, 5.0), (0, 1, 5.0)]
+    df = spark.createDataFrame(rows, "capture_id long, port int, power double")
+    got = {(r.port, r.n): r.fraction for r in spectrum.spectrogram_histogram(df, 0, 10, 1, normalise_port=0).collect()}
+    assert got == {(0, 2): 1.0, (1, 1): 0.5, (1, 3): 1.5}

@@ -33,6 +33,13 @@ def test_a_gap_restarts_the_frame(spark, tmp_path):
     assert run(spark, tmp_path, [rows]) == [("a", 5, 1.0, 3)]
 
 
+def test_late_and_repeated_samples_are_counted(spark, tmp_path):
+    rows = [("a", n, 1.0) for n in [0, 1, 2, 2, 3, 4]]
+    assert run(spark, tmp_path, [rows, [("a", 1, 9.0), ("a", 5, 1.0), ("a", 6, 1.0), ("a", 7, 1.0)]]) == [("a", 0, 1.0, 0), ("a", 4, 1.0, 0)]
+    late = {r.frame_start: r.late for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert late == {0: 1, 4: 1}
+
+
 def test_a_gap_can_fail_the_query(spark, tmp_path):
     with pytest.raises(Exception, match="lost"):
         run(spark, tmp_path, [[("a", 0, 1.0), ("a", 2, 1.0)]], "except")
