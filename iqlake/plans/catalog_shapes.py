@@ -196,7 +196,7 @@ z AS (SELECT capture_id, port, frame * {hop} + i AS n, (re * cos(b) - im * sin(b
 SELECT capture_id, port, n, round(sum(re), 6) + 0.0 AS re, round(sum(im), 6) + 0.0 AS im FROM z WHERE n >= 0 AND n < {32 * nfft_out // NFFT} GROUP BY ALL"""
 
 
-_EDGE = windows.noise_bandwidth("hamming", NFFT)
+_EDGE = float(windows.noise_bandwidth("hamming", NFFT))
 
 
 @register(_overlap_sql(NFFT, -8.0 + _EDGE, 10.0 - _EDGE))
@@ -218,9 +218,9 @@ _WAVES = {"pss": {i: ofdm.pss(i)[:8] for i in range(3)}, "sss": {i: ofdm.sss(i,
 def _correlation_sql(kind: str) -> str:
     values = ", ".join(f"({i}, {j}, {int(v)})" for i, w in _WAVES[kind].items() for j, v in enumerate(w))
     return f"""WITH {IQ_SQL}, w(cell_id, j, v) AS (VALUES {values}),
-at AS (SELECT * FROM (SELECT unnest([0, 1]) AS block), (SELECT unnest([0, 1]) AS beam), (SELECT CAST(range AS BIGINT) AS lag FROM range(5))),
+spots AS (SELECT * FROM (SELECT unnest([0, 1]) AS block), (SELECT unnest([0, 1]) AS beam), (SELECT CAST(range AS BIGINT) AS lag FROM range(5))),
 c AS (SELECT capture_id, port, CAST(cell_id AS INTEGER) AS cell_id, CAST(block AS INTEGER) AS block, CAST(beam AS INTEGER) AS beam, lag, sum(re * v) AS re, sum(im * v) AS im
-  FROM at, w, iq WHERE n = block * 16 + beam * 4 + lag + j AND n < block * 16 + 16 GROUP BY ALL)"""
+  FROM spots, w, iq WHERE n = block * 16 + beam * 4 + lag + j AND n < block * 16 + 16 GROUP BY ALL)"""
 
 
 @register(_correlation_sql("pss") + " SELECT capture_id, port, cell_id, block, beam, lag, round(re, 9) + 0.0 AS re, round(im, 9) + 0.0 AS im FROM c")
