@@ -223,10 +223,10 @@ c AS (SELECT capture_id, port, CAST(cell_id AS INTEGER) AS cell_id, CAST(block A
   FROM spots, w, iq WHERE n = block * 16 + beam * 4 + lag + j AND n < block * 16 + 16 GROUP BY ALL)"""
 
 
-@register(_correlation_sql("pss") + " SELECT capture_id, port, cell_id, block, beam, lag, round(re, 9) + 0.0 AS re, round(im, 9) + 0.0 AS im FROM c")
+@register(_correlation_sql("pss") + " SELECT capture_id, port, cell_id, block, beam, lag, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM c")
 def pss_correlation(spark: SparkSession, d: str) -> DataFrame:
     out = cellular.correlate_waves(blocks(spark, d), _WAVES["pss"], (0, 4), 5, 16)
-    return out.withColumn("re", r6("re", 9) + 0.0).withColumn("im", r6("im", 9) + 0.0)
+    return out.withColumn("re", r6("re") + 0.0).withColumn("im", r6("im") + 0.0)
 
 
 @register(_correlation_sql("sss") + """,
