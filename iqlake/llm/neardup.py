@@ -324,7 +324,7 @@ def verified(texts: DataFrame, pairs: DataFrame, percent: int = 75, n: int = 5)
     """Exact links (a, b) among the pairs, enough to join all that the pairs link; ``texts`` is (doc_id, text, bytes)."""
     regions = materialize(connected(pairs, "regions"), "region")
     loads = regions.join(texts.select("doc_id", "bytes"), regions.node == texts.doc_id).groupBy("component").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("rows"))
-    asked = pairs.join(regions.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.count(F.lit(1)).alias("pairs"))
+    asked = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("pairs")).join(regions.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.sum("pairs").alias("pairs"))
     cells = F.greatest(F.ceil(F.col("bytes") / CELL_BYTES), F.ceil(F.col("rows") / CELL_ROWS), F.ceil(F.sqrt(2 * F.col("pairs") / CELL_PAIRS)), F.lit(1))
     loads = materialize(loads.join(asked, "component").select("component", cells.cast("int").alias("cells")), "loads")
     placed = materialize(regions.join(loads, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int").alias("c")), "placed")
