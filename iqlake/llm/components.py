@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_table, materialize
 
-#: Edges that a task contracts at a time; what it holds is bounded by them.
+#: Edges that a task contracts at a time; what it holds is bounded by them. Tables of no more edges are settled by one task.
 CHUNK = 200_000
 
 
@@ -62,13 +62,18 @@ def unsettled(edges: DataFrame) -> bool:
 def connected(edges: DataFrame, name: str = "cc", most: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable. ``edges`` has long columns a and b; nodes without edges aren't returned.
 
-    Alternating large-star and small-star rounds over contracted edges: every node points at the smallest neighbour it knows. A
-    node's neighbours are never gathered, only their minimum is. In a large-star round a hub can be a hot key: the minima that
+    Edges are contracted where they lie, without a shuffle, then once more with up to ``CHUNK`` of what is left to a task: few edges
+    are settled by that. More go through alternating large-star and small-star rounds: every node points at the smallest neighbour it
+    knows. A node's neighbours are never gathered, only their minimum is. In a large-star round a hub can be a hot key: the minima that
     change anything are written first, so that the join has a table on either side and Spark can split the key. Rounds grow with
     the logarithm of the longest path; small groups settle in one or two. More than ``most`` rounds raise: no unfinished answer is given.
     """
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = materialize(contracted(now).distinct(), name)
+    given = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    local = materialize(contracted(given), name + "-local")
+    held = local.count()
+    met = contracted(local.coalesce(max(1, -(-held // CHUNK))))
+    now = materialize(met if held <= CHUNK else met.distinct(), name)
+    drop_table(local)
     for _ in range(most):
         if not unsettled(now):
             break
