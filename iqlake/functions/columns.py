@@ -94,3 +94,20 @@ def si_format(x: Column, unit: str, places: int = 3) -> Column:
 def timestamp_suffix(ns: Column) -> Column:
     """File-name part for an epoch in nanoseconds."""
     return F.date_format(F.timestamp_micros((ns / 1000).cast("long")), "yyyyMMdd-HH'h'mm'm'ss")
+
+
+def needs_resample(nfft: Column, nfft_out: Column, host_resample: Column) -> Column:
+    """True where a capture is resampled after its acquisition."""
+    return (nfft != nfft_out) & host_resample
+
+
+def read_count(duration: Column, sample_rate: Column, nfft: Column, nfft_out: Column, host_resample: Column, backend_rate: Column, overlap: int = 0, holdoff: float | None = None, strobe: float = 0.0) -> Column:
+    """Samples to read for a capture: its output at the backend's rate, an even overlap and, with ``holdoff`` seconds, room for transients and two strobes."""
+    if overlap < 0 or overlap % 2:
+        raise ValueError("the overlap must be even and not negative")
+    whole = is_round_mod(duration * sample_rate, F.lit(1.0))
+    out = F.when(whole, F.round(duration * sample_rate)).otherwise(F.raise_error(F.lit("the duration isn't a multiple of the sample period")).cast("double"))
+    count = F.when(needs_resample(nfft, nfft_out, host_resample), F.ceil(out * nfft / nfft_out)).otherwise(out).cast("long") + overlap
+    if holdoff is None:
+        return count
+    return count + F.ceil(F.when(host_resample, backend_rate).otherwise(sample_rate) * (holdoff + 2 * strobe))

@@ -76,3 +76,13 @@ def overload(captures: DataFrame, limit: float = 0.0) -> DataFrame:
     top = captures.groupBy("port", "center_frequency").agg(F.max("gain").alias("gain_max"))
     im3 = F.col("headroom") + 2 / 3 * (F.col("gain") - F.col("gain_max"))
     return captures.join(top, ["port", "center_frequency"]).withColumn("im3_headroom", im3).where((F.col("headroom") < limit) | (F.col("im3_headroom") < limit))
+
+
+def missing_keys(captures: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
+    """Which key fails a look-up: (key, value) for every value of a key that no row of the grid has. Nulls are misses too."""
+    out = None
+    for k in keys:
+        miss = captures.select(k).distinct().join(grid.select(F.col(k).alias("__g")).distinct(), F.col(k).eqNullSafe(F.col("__g")), "left_anti")
+        miss = miss.select(F.lit(k).alias("key"), F.col(k).cast("string").alias("value"))
+        out = miss if out is None else out.unionByName(miss)
+    return out

@@ -273,3 +273,24 @@ def design_resampler(base: float, target: float, divisor: int = 2, bandwidth: fl
         n += 1
     offset = (bandwidth + lo_bandwidth) / 2 if lo_bandwidth else 0.0
     return {"fs_sdr": fs, "nfft": int(n * ratio) * divisor, "nfft_out": n * divisor, "lo_offset": offset}
+
+def upfirdn(blocks: DataFrame, h: np.ndarray, up: int = 1, down: int = 1, size: int = CHUNK) -> DataFrame:
+    """Zero-stuffing by ``up``, filter ``h`` and every ``down``-th sample, by polyphase branches: no stuffed zero is multiplied.
+
+    A capture gives as many samples as its length holds; what rings on behind its end is left out.
+    """
+    h = np.asarray(h, float)
+    h = np.pad(h, (0, max(0, up - len(h))))
+    left = -(-(len(h) - 1) // up)
+
+    def run(x: np.ndarray) -> np.ndarray:
+        at = np.arange((len(x) - left) * up // down) * down + left * up
+        y = np.empty(len(at), complex)
+        for phase in np.unique(at % up):
+            mine = at % up == phase
+            taps = h[phase::up]
+            padded = np.concatenate([np.zeros(len(taps) - 1), x])
+            y[mine] = convolve(padded, taps)[at[mine] // up]
+        return y
+
+    return chunk_kernel(blocks, run, size, left, 0, Fraction(up, down))

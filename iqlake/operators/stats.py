@@ -176,3 +176,24 @@ def trim_histogram(hist: DataFrame, bin_col: str, count_col: str, by: tuple[str,
     """The bins around the mode of a histogram: those with counts, and some more on either side."""
     held = hist.where(F.col(count_col) > 0).groupBy(*by).agg(F.min(bin_col).alias("__lo"), F.max(bin_col).alias("__hi"))
     return hist.join(held, list(by)).where((F.col(bin_col) >= F.col("__lo") - pad_low) & (F.col(bin_col) <= F.col("__hi") + pad_high)).drop("__lo", "__hi")
+
+
+def random_starts(lengths: DataFrame, size: int, seed: int = 0) -> DataFrame:
+    """Starts of whole bins at random places of each capture, as many as would fit side by side: keys, bin, start.
+
+    ``lengths`` has the samples of each capture (n). A start is a hash of seed, keys and bin, so a rerun task draws the same; a capture of one bin starts at 0.
+    """
+    rows = lengths.where(F.col("n") >= size).select(*KEYS, "n", F.posexplode(F.array_repeat(F.lit(0), F.floor(F.col("n") / size).cast("int"))).alias("bin", "__0"))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), *KEYS, "bin")), 1, 8), 16, 10).cast("long")
+    return rows.select(*KEYS, F.col("bin").cast("long").alias("bin"), F.pmod(drawn, F.greatest(F.col("n") - size, F.lit(1))).alias("start"))
+
+
+def random_bin_power(iq: DataFrame, size: int, detectors: tuple = ("rms", "peak"), seed: int = 0) -> DataFrame:
+    """:func:`bin_power` with bins at random starts; they may overlap. A capture's samples are numbered from zero without a gap."""
+    lengths = iq.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
+    starts = random_starts(lengths, size, seed)
+    wanted = starts.select(*KEYS, "bin", F.explode(F.sequence("start", F.col("start") + size - 1)).alias("n"))
+    power = env_to_pow(F.col("re"), F.col("im"))
+    rows = iq.join(wanted, [*KEYS, "n"]).withColumn("__p", power)
+    wide = rows.groupBy(*KEYS, "bin").agg(*(statistic(d, F.col("__p")).alias(label(d)) for d in detectors))
+    return to_long(wide, detectors, "power_detector")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import pow_to_db
+
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that don't name one row, over all groups."""
@@ -38,3 +42,34 @@ def concat_time(df: DataFrame, order: list[str], by: list[str], step: float, nam
 def select(df: DataFrame, query: str | None = None) -> DataFrame:
     """A boolean expression on columns."""
     return df.where(F.expr(query)) if query else df
+
+
+def group_fields(pattern: str, loops: tuple[str, ...] = (), by: tuple[str, ...] = (), exclude: tuple[str, ...] = ("name",)) -> list[str]:
+    """Columns that name a report's groups: those asked for, those in the file name's pattern, and the loops, each once and in this order."""
+    named = [f for _, f, _, _ in Formatter().parse(pattern) if f is not None and f not in exclude]
+    return list(dict.fromkeys([*by, *named, *loops]))
+
+
+def group_rows(df: DataFrame, group: dict) -> DataFrame:
+    """The rows of one group; a null value stands for null."""
+    for name, value in group.items():
+        df = df.where(F.col(name).eqNullSafe(F.lit(value)))
+    return df
+
+
+def strongest(df: DataFrame, by: list[str], label: str, value: str) -> DataFrame:
+    """Of each group, the rows of the label with the largest value; ties go to the smallest label. Nulls and NaN don't count."""
+    peaks = df.where(~F.isnan(value)).groupBy(*by, label).agg(F.max(value).alias("__peak"))
+    best = peaks.groupBy(*by).agg(F.max("__peak").alias("__peak")).join(peaks, [*by, "__peak"])
+    best = best.groupBy(*by).agg(F.min(label).alias(label))
+    return df.join(best, [*by, label])
+
+
+def correlation_report(correlation: DataFrame, hue: str, keys: list[str]) -> DataFrame:
+    """Power in dB of the first period per lag and ``hue`` (cell_id or beam), averaged over the other, and the floor of its axis: a fifth of the least median."""
+    if hue not in ("cell_id", "beam"):
+        raise ValueError("hue is cell_id or beam")
+    power = correlation.where("block = 0").groupBy(*keys, hue, "lag").agg(F.avg(F.col("re") ** 2 + F.col("im") ** 2).alias("p"))
+    each = [*keys, "beam"] if hue == "beam" else keys
+    floor = power.groupBy(*each).agg(F.median("p").alias("m")).groupBy(*keys).agg((F.min("m") / 5).alias("floor"))
+    return power.join(floor, keys).select(*keys, hue, "lag", pow_to_db(F.col("p")).alias("power"), pow_to_db(F.col("floor")).alias("floor"))

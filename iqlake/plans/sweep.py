@@ -108,3 +108,49 @@ def captures_of(spark: SparkSession, spec: dict) -> DataFrame:
 def distinct_values(captures: DataFrame, fields: list[str]) -> DataFrame:
     """Sorted distinct values per field, for a dry run's summary."""
     return captures.agg(*(F.array_sort(F.collect_set(f)).alias(f) for f in fields))
+
+
+def merged(*maps: Column) -> Column:
+    """One map of several, later ones first in precedence; a null map is empty."""
+    out = maps[0]
+    for m in maps[1:]:
+        out = F.when(out.isNull(), m).when(m.isNull(), out).otherwise(F.map_concat(F.map_filter(out, lambda k, _: ~F.map_contains_key(m, k)), m))  # noqa: B023
+    return out
+
+
+def adjust_analysis(captures: DataFrame, spec: str, overrides: str) -> DataFrame:
+    """Parameters of the measurements in ``spec`` (a struct of structs) replaced by a capture's map ``overrides``, wherever the names match.
+
+    ``unused_adjust`` lists the names that match no parameter. A null or empty map changes nothing; a null value sets null.
+    """
+    given = F.col(overrides)
+    col, known = F.col(spec), set()
+    for measurement in captures.schema[spec].dataType:
+        for field in measurement.dataType:
+            known.add(field.name)
+            hit = F.coalesce(F.map_contains_key(given, F.lit(field.name)), F.lit(False))
+            col = col.withField(f"{measurement.name}.{field.name}", F.when(hit, given[field.name].cast(field.dataType)).otherwise(F.col(f"{spec}.{measurement.name}.{field.name}")))
+    unused = F.coalesce(F.array_sort(F.array_except(F.map_keys(given), F.array(*map(F.lit, sorted(known))))), F.array().cast("array<string>"))
+    return captures.withColumns({spec: col, "unused_adjust": unused})
+
+
+def checked_keys(lookup: DataFrame, captures: DataFrame, keys: list[str]) -> DataFrame:
+    """The look-up table with its keys in the captures' types; a key that can't be one raises when it is read."""
+    return lookup.withColumns({k: F.when(F.col(k).isNotNull() & F.col(k).try_cast(captures.schema[k].dataType).isNull(), F.raise_error(F.concat(F.lit(f"not a value of {k}: "), F.col(k).cast("string"))).cast(captures.schema[k].dataType)).otherwise(F.col(k).try_cast(captures.schema[k].dataType)) for k in keys})
+
+
+def reusable(captures: DataFrame, order: str, by: tuple[str, ...], fields: tuple[str, ...]) -> DataFrame:
+    """``reusable``: the samples acquired for the capture before serve this one too, since all ``fields`` that bear on acquisition are equal."""
+    w = Window.partitionBy(*by).orderBy(order)
+    same = F.lag(F.lit(True)).over(w).isNotNull()
+    for f in fields:
+        same = same & F.lag(f).over(w).eqNullSafe(F.col(f))
+    return captures.withColumn("reusable", same)
+
+
+def merge_peripherals(captures: DataFrame, extra: DataFrame, keys: list[str]) -> DataFrame:
+    """Captures with their peripheral readings, null where there are none; works with a stream of captures against a stored table too."""
+    clash = (set(captures.columns) & set(extra.columns)) - set(keys)
+    if clash:
+        raise ValueError(f"peripheral names that captures have: {sorted(clash)}")
+    return captures.join(extra, keys, "left")
