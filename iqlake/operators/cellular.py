@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ofdm import pss, sss, sync_sizes, sync_waveform
-from .filters import chunk_samples
+from .filters import chunk_rows, chunk_samples
 from .frames import KEYS, chunks
 
 
@@ -21,7 +21,7 @@ def templates(kind: str, sample_rate: float, spacing: float, ids: tuple[int, ...
     return {i: sync_waveform(sss(i // 3, i % 3), sample_rate, spacing) for i in (ids if ids is not None else range(1008))}
 
 
-def correlate_waves(blocks: DataFrame, waves: dict[int, np.ndarray], starts: tuple[int, ...], lags: int, period: int, mean: bool = False) -> DataFrame:
+def correlate_waves(blocks: DataFrame, waves: dict[int, np.ndarray], starts: tuple[int, ...], lags: int, period: int, mean: bool = False, one_block: bool = False) -> DataFrame:
     """Correlation of every period of ``period`` samples with every wave, at ``lags`` lags behind each start: a row per id, period, beam and lag.
 
     Periods are numbered from the capture's beginning, however its blocks are cut, and a period that its end cuts short counts if it is the only
@@ -36,8 +36,8 @@ def correlate_waves(blocks: DataFrame, waves: dict[int, np.ndarray], starts: tup
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for cap, port, k, pieces in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                x, own = chunk_samples(pieces, k * period, period, 0, 0)
+            for cap, port, k, pieces in chunk_rows(b):
+                x, own, _ = chunk_samples(pieces, k * period, period, 0, 0)
                 if own < period and k:
                     continue
                 power = np.zeros(lags)
@@ -55,7 +55,7 @@ def correlate_waves(blocks: DataFrame, waves: dict[int, np.ndarray], starts: tup
                     full = lambda v, t: pa.array(np.full(lags, v), t)
                     yield pa.RecordBatch.from_arrays([full(cap, pa.int64()), full(port, pa.int32()), full(k, pa.int32()), pa.array(np.arange(lags, dtype=np.int64)), pa.array(power / (len(ids) * len(starts)))], names=names)
 
-    rows = chunks(blocks, period).select(F.col("capture_id").cast("long"), F.col("port").cast("int"), "chunk", "pieces")
+    rows = chunks(blocks, period, one_block=one_block).select(F.col("capture_id").cast("long"), F.col("port").cast("int"), "chunk", "pieces")
     return rows.mapInArrow(run, "capture_id long, port int, block int, lag long, p double" if mean else "capture_id long, port int, cell_id int, block int, beam int, lag long, re double, im double")
 
 

@@ -32,38 +32,74 @@ def kernel(blocks: DataFrame, func: Callable[[np.ndarray], np.ndarray]) -> DataF
 CHUNK = 1 << 18
 
 
-def chunk_samples(pieces: list[dict], first: int, size: int, left: int, right: int) -> tuple[np.ndarray, int]:
-    """Samples of a chunk with their context, zeros where the capture has none, and how many of its own it has."""
-    x = np.zeros(left + size + right, complex)
-    end = first
-    for p in pieces:
-        at = p["n0"] - (first - left)
-        x[at : at + len(p["re"])] = np.asarray(p["re"]) + 1j * np.asarray(p["im"])
-        end = max(end, p["n0"] + len(p["re"]))
-    return x, min(size, end - first)
-
-
-def chunk_kernel(blocks: DataFrame, func: Callable[[np.ndarray], np.ndarray], size: int, left: int, right: int, ratio: Fraction = Fraction(1)) -> DataFrame:
+def chunk_samples(pieces: list[tuple[int, np.ndarray, np.ndarray]], first: int, size: int, left: int, right: int, unit: int = 1) -> tuple[np.ndarray, int, int]:
+    """Samples of a chunk with their context, zeros where the capture has none; how many of its own it has, and where what is there ends.
+
+    A chunk at a capture's end is as long as its samples, in whole ``unit``s.
+    """
+    end = max((n0 + len(re) for n0, re, _ in pieces), default=first)
+    own = min(size, end - first)
+    x = np.zeros(left + -(-max(0, own) // unit) * unit + right, complex)
+    for n0, re, im in pieces:
+        at = n0 - (first - left)
+        x.real[at : at + len(re)] = re[: len(x) - at]
+        x.imag[at : at + len(re)] = im[: len(x) - at]
+    return x, own, end
+
+
+def chunk_rows(b: pa.RecordBatch) -> Iterator[tuple[int, int, int, list[tuple[int, np.ndarray, np.ndarray]]]]:
+    """capture, port, chunk and pieces of the first four columns, samples as arrays that aren't copied."""
+    pieces = b.column(3)
+    bounds, z = pieces.offsets.to_numpy(), pieces.values
+    starts, lists = z.field("n0").to_numpy(), [z.field(c) for c in ("re", "im")]
+    cuts, flat = [x.offsets.to_numpy() for x in lists], [x.values.to_numpy() for x in lists]
+    for i, (cap, port, k) in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)), strict=True)):
+        yield cap, port, k, [(int(starts[j]), *(f[c[j] : c[j + 1]] for f, c in zip(flat, cuts, strict=True))) for j in range(bounds[i], bounds[i + 1])]
+
+
+def sample_batch(rows: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
+    """One batch of blocks from (capture, port, n0, samples)."""
+    x = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, complex)
+    offsets = pa.array(np.concatenate([[0], np.cumsum([len(r[3]) for r in rows])]), pa.int32())
+    heads = [pa.array([r[c] for r in rows], t) for c, t in ((0, pa.int64()), (1, pa.int32()), (2, pa.int64()))]
+    return pa.RecordBatch.from_arrays([*heads, *(pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(v))) for v in (x.real, x.imag))], names=[*KEYS, "n0", "re", "im"])
+
+
+BLOCKS = "capture_id long, port int, n0 long, re array<double>, im array<double>"
+#: Samples after which a kernel hands a batch on.
+BATCH_SAMPLES = 1 << 20
+
+
+def batched(rows: Iterator[tuple[int, int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for row in rows:
+        held.append(row)
+        n += len(row[3])
+        if n >= BATCH_SAMPLES:
+            yield sample_batch(held)
+            held, n = [], 0
+    if held:
+        yield sample_batch(held)
+
+
+def chunk_kernel(blocks: DataFrame, func: Callable[[np.ndarray], np.ndarray], size: int, left: int, right: int, ratio: Fraction = Fraction(1), one_block: bool = False, unit: int = 1) -> DataFrame:
     """A function of samples with their context, applied to chunks: the result doesn't depend on how a capture is cut.
 
-    ``func`` gets ``left`` samples before the chunk, the chunk and ``right`` samples behind it, and returns the chunk's own
-    output, ``ratio`` samples a sample. Beyond the ends of a capture, and in its gaps, samples are zero.
+    ``func`` gets ``left`` samples before the chunk, the chunk (a capture's last one in whole ``unit``s) and ``right`` samples behind it, and returns the
+    chunk's own output, ``ratio`` samples a sample. Beyond the ends of a capture, and in its gaps, samples are zero.
     """
     if (size * ratio).denominator != 1:
         raise ValueError("a chunk must give a whole number of samples")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.float64())
+    def outputs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, np.ndarray]]:
         for b in batches:
-            for cap, port, k, pieces in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                x, own = chunk_samples(pieces, k * size, size, left, right)
-                if own <= 0:  # context alone: the capture ended before
-                    continue
-                y = func(x)[: int(own * ratio)]
-                yield pa.RecordBatch.from_arrays([pa.array([cap], pa.int64()), pa.array([port], pa.int32()), pa.array([int(k * size * ratio)], pa.int64()), pa.array([y.real], kind), pa.array([y.imag], kind)], names=[*KEYS, "n0", "re", "im"])
-
-    rows = chunks(blocks, size, left, right).select(F.col("capture_id").cast("long"), F.col("port").cast("int"), "chunk", "pieces")
-    return rows.mapInArrow(run, "capture_id long, port int, n0 long, re array<double>, im array<double>")
+            for cap, port, k, pieces in chunk_rows(b):
+                x, own, _ = chunk_samples(pieces, k * size, size, left, right, unit)
+                if own > 0:  # else context alone: the capture ended before
+                    yield cap, port, int(k * size * ratio), func(x)[: int(own * ratio)]
+
+    rows = chunks(blocks, size, left, right, one_block=one_block).select(F.col("capture_id").cast("long"), F.col("port").cast("int"), "chunk", "pieces")
+    return rows.mapInArrow(lambda batches: batched(outputs(batches)), BLOCKS)
 
 
 def conjugate(blocks: DataFrame, flag: str) -> DataFrame:
@@ -94,17 +130,43 @@ def convolve(x: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.fft.ifft(np.fft.fft(x, n) * np.fft.fft(h, n))[len(h) - 1 : len(x)]
 
 
-def filtered(blocks: DataFrame, bandwidth: float, fs: float, taps: int = 4001, transition: float = 250e3, size: int = CHUNK) -> DataFrame:
+def filtered(blocks: DataFrame, bandwidth: float, fs: float, taps: int = 4001, transition: float = 250e3, size: int = CHUNK, one_block: bool = False) -> DataFrame:
     """Linear-phase low-pass without delay; chunks carry half the taps on either side."""
     h = fir_lowpass(bandwidth, fs, taps, transition)
-    return chunk_kernel(blocks, lambda x: convolve(x, h), size, taps // 2, taps // 2)
+    return chunk_kernel(blocks, lambda x: convolve(x, h), size, taps // 2, taps // 2, one_block=one_block)
 
 
 #: Overlaps at which the shifted copies of a window add up to a constant.
 OVERLAPS = {"rect": Fraction(0), "hamming": Fraction(1, 2), "blackman": Fraction(2, 3), "blackmanharris": Fraction(4, 5)}
 
 
-def oa_filter(blocks: DataFrame, fs: float, nfft: int, passband: tuple[float, float], window: str = "hamming", nfft_out: int | None = None, shift: int = 0, margin: float | None = None, size: int = CHUNK) -> DataFrame:
+def oa_window(window: str, nfft: int, nfft_out: int) -> tuple[np.ndarray, int, int]:
+    """The window whose copies a hop apart add up to one, and the hops before and after resampling."""
+    hop = nfft * (1 - OVERLAPS[window])
+    ratio = Fraction(nfft_out, nfft)
+    if hop.denominator != 1 or (hop * ratio).denominator != 1 or nfft % 2 or nfft_out % 2:
+        raise ValueError(f"{nfft} and {nfft_out} must be even and leave whole hops under a {window} window")
+    w = np.ones(nfft) if window == "rect" else make_window(window, nfft, normalise=False)
+    return w / (w.sum() / int(hop)), int(hop), int(hop * ratio)
+
+
+def oa_frames(x: np.ndarray, w: np.ndarray, held: np.ndarray, hop: int, nfft_out: int, hop_out: int, shift: int) -> np.ndarray:
+    """Sum of the inverse transforms of windowed frames of ``x``, whose first begins with it; a sample is whole where all frames over it are there."""
+    nfft = len(w)
+    frames = np.lib.stride_tricks.sliding_window_view(x, nfft)[::hop]
+    y = np.roll(np.fft.fftshift(np.fft.fft(frames * w, axis=1), axes=1) * held, -shift, axis=1)
+    if nfft_out <= nfft:
+        y = y[:, (nfft - nfft_out) // 2 : (nfft + nfft_out) // 2]
+    else:
+        y = np.pad(y, ((0, 0), ((nfft_out - nfft) // 2,) * 2))
+    y = np.fft.ifft(np.fft.ifftshift(y, axes=1), axis=1) * (nfft_out / nfft)
+    out = np.zeros(len(frames) * hop_out + nfft_out, complex)
+    for part in range(0, nfft_out, hop_out):  # frames side by side, one part of them at a time
+        out[part : part + len(frames) * hop_out] += y[:, part : part + hop_out].ravel()
+    return out
+
+
+def oa_filter(blocks: DataFrame, fs: float, nfft: int, passband: tuple[float, float], window: str = "hamming", nfft_out: int | None = None, shift: int = 0, margin: float | None = None, size: int = CHUNK, one_block: bool = False) -> DataFrame:
     """Band-pass by overlapped transforms: frames are windowed, bins outside the band are zeroed, and the inverse frames are added up.
 
     With ``nfft_out`` only that many bins around bin ``shift`` are kept (or zeros are added), which resamples by nfft_out / nfft. The band is narrowed by
@@ -112,39 +174,22 @@ def oa_filter(blocks: DataFrame, fs: float, nfft: int, passband: tuple[float, fl
     result doesn't depend on the cuts; beyond a capture samples are zero.
     """
     nfft_out = nfft_out or nfft
-    hop = nfft * (1 - OVERLAPS[window])
-    ratio = Fraction(nfft_out, nfft)
-    if hop.denominator != 1 or (hop * ratio).denominator != 1 or nfft % 2 or nfft_out % 2:
-        raise ValueError(f"{nfft} and {nfft_out} must be even and leave whole hops under a {window} window")
-    hop, hop_out = int(hop), int(hop * ratio)
-    w = np.ones(nfft) if window == "rect" else make_window(window, nfft, normalise=False)
-    w = w / (w.sum() / hop)  # copies a hop apart add up to one
+    w, hop, hop_out = oa_window(window, nfft, nfft_out)
     edge = (0.0 if window == "rect" else noise_bandwidth(window, nfft_out)) if margin is None else margin
     f = (np.arange(nfft) - nfft // 2) * fs / nfft
     held = (f >= passband[0] + edge) & (f <= passband[1] - edge)
-    lead = nfft - hop
-    size = max(1, size // hop) * hop
+    lead, ratio = nfft - hop, Fraction(nfft_out, nfft)
 
     def run(x: np.ndarray) -> np.ndarray:
-        frames = np.lib.stride_tricks.sliding_window_view(x, nfft)[::hop]
-        y = np.roll(np.fft.fftshift(np.fft.fft(frames * w, axis=1), axes=1) * held, -shift, axis=1)
-        if nfft_out <= nfft:
-            y = y[:, (nfft - nfft_out) // 2 : (nfft + nfft_out) // 2]
-        else:
-            y = np.pad(y, ((0, 0), ((nfft_out - nfft) // 2,) * 2))
-        y = np.fft.ifft(np.fft.ifftshift(y, axes=1), axis=1) * float(ratio)
-        out = np.zeros(len(frames) * hop_out + nfft_out, complex)
-        for part in range(0, nfft_out, hop_out):  # frames side by side, one part of them at a time
-            out[part : part + len(frames) * hop_out] += y[:, part : part + hop_out].ravel()
-        return out[int(lead * ratio) :]
-
-    return chunk_kernel(blocks, run, size, lead, lead, ratio)
-
-
-def oa_resample(blocks: DataFrame, fs: float, nfft: int, nfft_out: int, window: str = "hamming", bandwidth: float = float("inf"), shift: int = 0, size: int = CHUNK) -> DataFrame:
+        return oa_frames(x, w, held, hop, nfft_out, hop_out, shift)[int(lead * ratio) :]
+
+    return chunk_kernel(blocks, run, max(1, size // hop) * hop, lead, lead, ratio, one_block, hop)
+
+
+def oa_resample(blocks: DataFrame, fs: float, nfft: int, nfft_out: int, window: str = "hamming", bandwidth: float = float("inf"), shift: int = 0, size: int = CHUNK, one_block: bool = False) -> DataFrame:
     """Rational resampling by nfft_out / nfft through overlapped transforms, with a band-pass of ``bandwidth`` around zero on the way."""
     half = bandwidth / 2 if bandwidth != float("inf") else float("inf")
-    return oa_filter(blocks, fs, nfft, (-half, half), window, nfft_out, shift, 0.0, size)
+    return oa_filter(blocks, fs, nfft, (-half, half), window, nfft_out, shift, 0.0, size, one_block)
 
 
 def fractional_delay(x: np.ndarray, delay: float) -> np.ndarray:
@@ -274,7 +319,8 @@ def design_resampler(base: float, target: float, divisor: int = 2, bandwidth: fl
     offset = (bandwidth + lo_bandwidth) / 2 if lo_bandwidth else 0.0
     return {"fs_sdr": fs, "nfft": int(n * ratio) * divisor, "nfft_out": n * divisor, "lo_offset": offset}
 
-def upfirdn(blocks: DataFrame, h: np.ndarray, up: int = 1, down: int = 1, size: int = CHUNK) -> DataFrame:
+
+def upfirdn(blocks: DataFrame, h: np.ndarray, up: int = 1, down: int = 1, size: int = CHUNK, one_block: bool = False) -> DataFrame:
     """Zero-stuffing by ``up``, filter ``h`` and every ``down``-th sample, by polyphase branches: no stuffed zero is multiplied.
 
     A capture gives as many samples as its length holds; what rings on behind its end is left out.
@@ -293,4 +339,4 @@ def upfirdn(blocks: DataFrame, h: np.ndarray, up: int = 1, down: int = 1, size:
             y[mine] = convolve(padded, taps)[at[mine] // up]
         return y
 
-    return chunk_kernel(blocks, run, size, left, 0, Fraction(up, down))
+    return chunk_kernel(blocks, run, size, left, 0, Fraction(up, down), one_block)

@@ -16,21 +16,27 @@ def samples(blocks: DataFrame) -> DataFrame:
     return blocks.select(*KEYS, "n0", z).select(*KEYS, (F.col("n0") + F.col("i")).cast("long").alias("n"), F.col("z.re").cast("double").alias("re"), F.col("z.im").cast("double").alias("im"))
 
 
-def chunks(blocks: DataFrame, size: int, left: int = 0, right: int = 0) -> DataFrame:
+def chunks(blocks: DataFrame, size: int | Column, left: int | Column = 0, right: int | Column = 0, keep: tuple[str, ...] = (), one_block: bool = False) -> DataFrame:
     """Blocks of any lengths as chunks of ``size`` samples with their context: capture_id, port, chunk, pieces of (n0, re[], im[]).
 
     Chunk k holds the samples from k * size - left up to (k + 1) * size + right that the capture has. A sample is sent to each chunk that
-    needs it; a task holds the pieces of one chunk.
+    needs it; a task holds the pieces of one chunk. ``size``, ``left`` and ``right`` may be columns, equal in all blocks of a capture, and the columns ``keep``,
+    equal as well, come along. With ``one_block`` every capture is one block: its chunks are cut where it lies, and nothing is shuffled; a block that begins later than at 0 raises.
     """
-    end = F.col("n0") + F.size("re")
-    first, last = F.floor((F.col("n0") - right) / size), F.floor((end - 1 + left) / size)
-    k = F.explode(F.sequence(F.greatest(first, F.lit(0)).cast("long"), F.greatest(last, F.lit(0)).cast("long"))).alias("chunk")
-    rows = blocks.where(F.size("re") > 0).select(*KEYS, F.col("n0").cast("long").alias("n0"), "re", "im", k)
-    start = F.greatest(F.col("chunk") * size - left - F.col("n0"), F.lit(0)).cast("int")
-    stop = F.least(F.lit(size + right) + F.col("chunk") * size - F.col("n0"), F.size("re")).cast("int")
+    size, left, right = (F.lit(x) if isinstance(x, int) else x for x in (size, left, right))
+    n0 = F.col("n0").cast("long")
+    if one_block:
+        n0 = F.when(n0 == 0, n0).otherwise(F.raise_error(F.lit("a capture has several blocks")).cast("long"))
+    rows = blocks.where(F.size("re") > 0).select(*KEYS, *keep, n0.alias("n0"), "re", "im", size.cast("long").alias("__size"), left.cast("long").alias("__left"), right.cast("long").alias("__right"))
+    first, last = F.floor((F.col("n0") - F.col("__right")) / F.col("__size")), F.floor((F.col("n0") + F.size("re") - 1 + F.col("__left")) / F.col("__size"))
+    rows = rows.withColumn("chunk", F.explode(F.sequence(F.greatest(first, F.lit(0)).cast("long"), F.greatest(last, F.lit(0)).cast("long"))))
+    start = F.greatest(F.col("chunk") * F.col("__size") - F.col("__left") - F.col("n0"), F.lit(0)).cast("int")
+    stop = F.least((F.col("chunk") + 1) * F.col("__size") + F.col("__right") - F.col("n0"), F.size("re").cast("long")).cast("int")
     cut = lambda c: F.slice(c, start + 1, stop - start).cast("array<double>").alias(c)
-    rows = rows.where(stop > start).select(*KEYS, "chunk", F.struct((F.col("n0") + start).alias("n0"), cut("re"), cut("im")).alias("piece"))
-    return rows.groupBy(*KEYS, "chunk").agg(F.collect_list("piece").alias("pieces"))
+    rows = rows.where(stop > start).select(*KEYS, *keep, "chunk", F.struct((F.col("n0") + start).alias("n0"), cut("re"), cut("im")).alias("piece"))
+    if one_block:
+        return rows.select(*KEYS, "chunk", F.array("piece").alias("pieces"), *keep)
+    return rows.groupBy(*KEYS, "chunk").agg(F.collect_list("piece").alias("pieces"), *(F.any_value(c).alias(c) for c in keep))
 
 
 def tumbling(n: Column, size: int) -> Column:

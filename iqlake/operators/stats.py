@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
@@ -47,15 +48,18 @@ def block_power(blocks: DataFrame, size: int, detectors: tuple = ("rms", "peak")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                re, im = (np.asarray(b.column(c)[i].values.to_numpy(zero_copy_only=False), float) for c in (3, 4))
-                if not len(re):
-                    continue
-                p, n0 = re * re + im * im, b.column(2)[i].as_py()
-                bins = (n0 + np.arange(len(p))) // size
-                at = np.flatnonzero(np.diff(bins, prepend=bins[0] - 1))
-                full = lambda v, t: pa.array(np.full(len(at), v), t)  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([full(b.column(0)[i].as_py(), pa.int64()), full(b.column(1)[i].as_py(), pa.int32()), pa.array(bins[at]), pa.array(np.add.reduceat(p, at)), pa.array(np.diff(at, append=len(p))), pa.array(np.minimum.reduceat(p, at)), pa.array(np.maximum.reduceat(p, at))], names=[*KEYS, "bin", "s", "c", "lo", "hi"])
+            re, im = (np.asarray(b.column(c).flatten().to_numpy(zero_copy_only=False), float) for c in (3, 4))
+            if not len(re):
+                continue
+            p = re * re + im * im
+            # All blocks of the batch side by side: a run is what one of them has of one bin.
+            sizes = pc.fill_null(pc.list_value_length(b.column(3)), 0).to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(b.num_rows), sizes)
+            begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            bins = (b.column(2).to_numpy()[row] + np.arange(len(p)) - begins[row]) // size
+            at = np.flatnonzero((np.diff(bins, prepend=bins[0] - 1) != 0) | (np.diff(row, prepend=-1) != 0))
+            mine = row[at]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(mine)), b.column(1).take(pa.array(mine)), pa.array(bins[at]), pa.array(np.add.reduceat(p, at)), pa.array(np.diff(at, append=len(p))), pa.array(np.minimum.reduceat(p, at)), pa.array(np.maximum.reduceat(p, at))], names=[*KEYS, "bin", "s", "c", "lo", "hi"])
 
     rows = blocks.select(F.col("capture_id").cast("long"), F.col("port").cast("int"), F.col("n0").cast("long"), "re", "im")
     partial = rows.mapInArrow(run, "capture_id long, port int, bin long, s double, c long, lo double, hi double")
@@ -137,25 +141,29 @@ def lagged_product(iq: DataFrame, lag: int, indexes: list[int], lags: int, keys:
     return both.groupBy(*keys, "j").agg(F.hypot(F.sum(re), F.sum(im)).alias("s")).select(*keys, "j", (F.col("s") / len(indexes)).alias("r"))
 
 
-def lagged_product_blocks(blocks: DataFrame, lag: int, indexes: list[int], lags: int, size: int = 1 << 18) -> DataFrame:
+def lagged_product_blocks(blocks: DataFrame, lag: int, indexes: list[int], lags: int, size: int = 1 << 18, one_block: bool = False) -> DataFrame:
     """:func:`lagged_product` from blocks: chunks with ``lag`` samples of context leave one partial row a lag."""
-    from .filters import chunk_samples
+    from .filters import chunk_rows, chunk_samples
 
     at = np.asarray(sorted(indexes), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for cap, port, k, pieces in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                x, _ = chunk_samples(pieces, k * size, size, 0, lag)
-                product = x[:size] * np.conj(x[lag : lag + size])
+            keys, parts = [], []
+            for cap, port, k, pieces in chunk_rows(b):
+                x, own, _ = chunk_samples(pieces, k * size, size, 0, lag)
+                own = max(own, 0)
+                product = x[:own] * np.conj(x[lag : lag + own])
                 first = k * size
                 # The indexes whose sample at lag j stands in this chunk are one run of the sorted list.
-                lo, hi = np.searchsorted(at, first - np.arange(lags)), np.searchsorted(at, first + size - np.arange(lags))
-                sums = np.array([product[at[s:e] + j - first].sum() for j, (s, e) in enumerate(zip(lo, hi, strict=True))])
-                full = lambda v, t: pa.array(np.full(lags, v), t)
-                yield pa.RecordBatch.from_arrays([full(cap, pa.int64()), full(port, pa.int32()), pa.array(np.arange(lags, dtype=np.int64)), pa.array(sums.real), pa.array(sums.imag)], names=[*KEYS, "j", "re", "im"])
-
-    rows = chunks(blocks, size, 0, lag).select(F.col("capture_id").cast("long"), F.col("port").cast("int"), "chunk", "pieces")
+                lo, hi = np.searchsorted(at, first - np.arange(lags)), np.searchsorted(at, first + own - np.arange(lags))
+                parts.append([product[at[s:e] + j - first].sum() for j, (s, e) in enumerate(zip(lo, hi, strict=True))])
+                keys.append((cap, port))
+            sums = np.array(parts, complex).ravel()
+            full = lambda c, t: pa.array(np.repeat(np.array([x[c] for x in keys], np.int64), lags), t)  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([full(0, pa.int64()), full(1, pa.int64()).cast(pa.int32()), pa.array(np.tile(np.arange(lags, dtype=np.int64), len(keys))), pa.array(np.ascontiguousarray(sums.real)), pa.array(np.ascontiguousarray(sums.imag))], names=[*KEYS, "j", "re", "im"])
+
+    rows = chunks(blocks, size, 0, lag, one_block=one_block).select(F.col("capture_id").cast("long"), F.col("port").cast("int"), "chunk", "pieces")
     partial = rows.where(F.col("chunk") <= (int(at.max()) + lags) // size).mapInArrow(run, "capture_id long, port int, j long, re double, im double")
     return partial.groupBy(*KEYS, "j").agg((F.hypot(F.sum("re"), F.sum("im")) / len(indexes)).alias("r"))
 

@@ -178,7 +178,7 @@ def ratio_histogram(spark: SparkSession, d: str) -> DataFrame:
 SELECT a.capture_id, a.port, j, round(sqrt(pow(sum(coalesce(a.re * b.re + a.im * b.im, 0)), 2) + pow(sum(coalesce(a.im * b.re - a.re * b.im, 0)), 2)) / 4, 9) AS r
 FROM ij JOIN iq a ON a.n = ij.n LEFT JOIN iq b ON a.capture_id = b.capture_id AND a.port = b.port AND b.n = a.n + 8 GROUP BY ALL""")
 def cyclic_autocorr(spark: SparkSession, d: str) -> DataFrame:
-    return stats.lagged_product_blocks(blocks(spark, d), 8, [0, 1, 10, 11], 12, 16).withColumn("r", r6("r", 9))
+    return stats.lagged_product_blocks(blocks(spark, d), 8, [0, 1, 10, 11], 12, 16, one_block=True).withColumn("r", r6("r", 9))
 
 
 @register(_hist_sql(f"WITH {STFT_SQL} SELECT port, CASE frame % 3 WHEN 0 THEN 'downlink' ELSE 'uplink' END AS direction, 10 * log10(power + 1e-25) AS x FROM st WHERE frame % 3 <> 1", -60, 0, 3, "port, direction", "port"))

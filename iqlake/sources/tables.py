@@ -18,6 +18,13 @@ def interleaved_blocks(vectors: DataFrame, ports: int = 2, id_col: str = "vec_id
     return vectors.where(e.isNotNull() & (F.size(e) >= 2)).select(F.floor(F.col(id_col) / ports).cast("long").alias("capture_id"), F.pmod(F.col(id_col), F.lit(ports)).cast("int").alias("port"), F.lit(0).cast("long").alias("n0"), part(0).alias("re"), part(1).alias("im"))
 
 
+def chained_blocks(vectors: DataFrame, per_capture: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """Vectors of interleaved I and Q, ``per_capture`` consecutive ids of which are the blocks of one capture of one port; they have equal lengths."""
+    one = interleaved_blocks(vectors, 1, id_col, vec_col)
+    at = F.pmod("capture_id", F.lit(per_capture)) * F.size("re")
+    return one.select(F.floor(F.col("capture_id") / per_capture).cast("long").alias("capture_id"), "port", at.cast("long").alias("n0"), "re", "im")
+
+
 def write_results(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), mode: str = "append") -> None:
     """Results as zstd Parquet."""
     writer = df.write.mode(mode).option("compression", "zstd")
