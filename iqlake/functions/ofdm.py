@@ -163,6 +163,20 @@ def sss(n_id1: int, n_id2: int) -> np.ndarray:
     return (1 - 2 * x0[(n + 15 * (n_id1 // 112) + 5 * n_id2) % 127]) * (1 - 2 * x1[(n + n_id1 % 112) % 127])
 
 
+def sss_parts() -> tuple[np.ndarray, np.ndarray]:
+    """The two sequences of plus and minus one whose shifted product every SSS is: the first by one of nine shifts, the second by up to 111."""
+    return 1 - 2 * lfsr([1, 0, 0, 0, 0, 0, 0], (3, 7)), 1 - 2 * lfsr([1, 0, 0, 0, 0, 0, 0], (6, 7))
+
+
+def sync_bins(sample_rate: float, subcarrier_spacing: float) -> tuple[int, int, np.ndarray]:
+    """Samples before a synchronisation symbol's own (its prefix), its transform size, and the transform's bins of the 127 subcarriers."""
+    phy = Numerology(sample_rate, subcarrier_spacing, "5G" if subcarrier_spacing != 15e3 else "4G")
+    low = phy.nfft // 2 - 120 + 56
+    if low < 0 or low + 127 > phy.nfft:
+        raise ValueError("the sample rate is too small for the synchronisation band")
+    return int(phy.prefixes.min()), phy.nfft, (low + np.arange(127) + phy.nfft // 2) % phy.nfft
+
+
 def sync_waveform(sequence: np.ndarray, sample_rate: float, subcarrier_spacing: float, offset: float = 0.0) -> np.ndarray:
     """Time-domain symbol of a synchronisation sequence, with zeros for its cyclic prefix."""
     phy = Numerology(sample_rate, subcarrier_spacing, "5G" if subcarrier_spacing != 15e3 else "4G")
@@ -226,3 +240,23 @@ def mask_table(spark: SparkSession, spacing: float, frame_slots: str, special: s
     """(symbol, direction): the symbols of a frame that belong to a link direction."""
     names = {"d": "downlink", "u": "uplink"}
     return spark.createDataFrame([(i, names[c]) for i, c in enumerate(tdd_symbols(spacing, frame_slots, special, flex_as)) if c in names], "symbol int, direction string")
+
+
+def prefix_sets(sample_rate: float, spacings: tuple[float, ...], frame_slots: str | dict[float, str] | None = None, generation: str = "5G", frames: tuple[int, ...] = (0,), symbols: tuple[int, ...] | None = None) -> list[dict]:
+    """Cyclic prefixes by link direction and subcarrier spacing: direction, spacing, nfft, lags, indexes (none where the frame has no slot of the direction).
+
+    ``frame_slots`` has a code a slot (or one for all), by spacing where they differ; none is all downlink. A spacing's lags end after a symbol with its short prefix.
+    """
+    out = []
+    for spacing in spacings:
+        phy = Numerology(sample_rate, spacing, generation)
+        codes = frame_slots.get(spacing) if isinstance(frame_slots, dict) else frame_slots
+        codes = (codes or "d").lower()
+        codes = codes * phy.slots_per_frame if len(codes) == 1 else codes
+        if len(codes) != phy.slots_per_frame or set(codes) - set("dus"):
+            raise ValueError(f"a frame has {phy.slots_per_frame} slots of d, u or s at {spacing:g} Hz; got {codes}")
+        for direction, code in (("downlink", "d"), ("uplink", "u")):
+            slots = tuple(i for i, c in enumerate(codes) if c == code)
+            indexes = phy.prefix_indexes(frames, slots, symbols) if slots else np.zeros(0, np.int64)
+            out.append({"direction": direction, "spacing": float(spacing), "nfft": phy.nfft, "lags": phy.nfft + int(phy.prefixes[1]), "indexes": indexes})
+    return out

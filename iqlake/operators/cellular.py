@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ofdm import pss, sss, sync_sizes, sync_waveform
+from ..functions.ofdm import pss, sss, sss_parts, sync_bins, sync_sizes, sync_waveform
+from .corrections import corrected, cut, spec_column
 from .filters import chunk_rows, chunk_samples
 from .frames import KEYS, chunks
 
@@ -67,6 +68,90 @@ def correlate(blocks: DataFrame, kind: str, sample_rate: float, spacing: float,
     return correlate_waves(blocks, templates(kind, sample_rate, spacing, ids), starts, size["lags"], round(period * sample_rate), mean)
 
 
+def correlate_sss(blocks: DataFrame, sample_rate: float, spacing: float, starts: tuple[int, ...], lags: int, period: int, mean: bool = False, one_block: bool = False) -> DataFrame:
+    """:func:`correlate_waves` with all 1008 secondary sequences, by their structure.
+
+    An SSS is the product of two sequences of 127 values, each turned by a shift of its own. So a lag needs the transform of its symbol once, a multiplication for each of
+    the first sequence's nine shifts, and then one transform of length 127 that gives the correlations with all shifts of the second at once. Memory
+    holds ``SSS_LAGS`` lags at a time.
+    """
+    prefix, nfft, bins = sync_bins(sample_rate, spacing)
+    first, second = sss_parts()
+    turned = np.stack([np.roll(first, -(15 * a + 5 * b)) for a in range(3) for b in range(3)]) / np.sqrt(127)
+    spectrum = np.fft.fft(second)
+    # (a, b, shift of the second) to the cell id 3 (112 a + shift) + b.
+    ids = (3 * (112 * np.arange(3)[:, None, None] + np.arange(112)) + np.arange(3)[None, :, None]).reshape(-1)
+    order = np.argsort(ids)
+    names = [*KEYS, "block", "lag", "p"] if mean else [*KEYS, "cell_id", "block", "beam", "lag", "re", "im"]
+
+    def correlations(symbols: np.ndarray) -> np.ndarray:
+        """(lags, 1008): all ids for each row of samples."""
+        y = np.fft.fft(symbols, axis=1)[:, bins]
+        z = y[:, None, :] * turned
+        r = np.fft.ifft(np.conj(np.fft.fft(np.conj(z), axis=2)) * spectrum, axis=2)[:, :, :112]
+        return r.reshape(len(symbols), -1)[:, order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for cap, port, k, pieces in chunk_rows(b):
+                x, own, _ = chunk_samples(pieces, k * period, period, 0, 0)
+                if own < period and k:
+                    continue
+                power = np.zeros(lags)
+                for beam, s in enumerate(starts):
+                    part = x[s + prefix : s + prefix + lags + nfft - 1]
+                    windows = np.lib.stride_tricks.sliding_window_view(np.pad(part, (0, lags + nfft - 1 - len(part))), nfft)
+                    for lo in range(0, min(lags, max(0, own - s)), SSS_LAGS):
+                        r = correlations(windows[lo : min(lo + SSS_LAGS, lags, own - s)])
+                        if mean:
+                            power[lo : lo + len(r)] += (np.abs(r) ** 2).sum(axis=1)
+                            continue
+                        n = r.size
+                        full = lambda v, t: pa.array(np.full(n, v), t)  # noqa: E731, B023
+                        cell, lag = np.tile(np.arange(1008, dtype=np.int32), len(r)), np.repeat(np.arange(lo, lo + len(r)), 1008)
+                        flat = r.reshape(-1)
+                        yield pa.RecordBatch.from_arrays([full(cap, pa.int64()), full(port, pa.int32()), pa.array(cell), full(k, pa.int32()), full(beam, pa.int32()), pa.array(lag), pa.array(np.ascontiguousarray(flat.real)), pa.array(np.ascontiguousarray(flat.imag))], names=names)
+                if mean:
+                    full = lambda v, t: pa.array(np.full(lags, v), t)
+                    yield pa.RecordBatch.from_arrays([full(cap, pa.int64()), full(port, pa.int32()), full(k, pa.int32()), pa.array(np.arange(lags, dtype=np.int64)), pa.array(power / (1008 * len(starts)))], names=names)
+
+    rows = chunks(blocks, period, one_block=one_block).select(F.col("capture_id").cast("long"), F.col("port").cast("int"), "chunk", "pieces")
+    return rows.mapInArrow(run, "capture_id long, port int, block int, lag long, p double" if mean else "capture_id long, port int, cell_id int, block int, beam int, lag long, re double, im double")
+
+
+#: Lags whose correlations with all secondary sequences are held at a time.
+SSS_LAGS = 256
+
+
+def ssb_sizes(fs_in: float, fs_out: float, spacing: float) -> tuple[int, int]:
+    """Transform sizes (before, after) by which a capture comes to the synchronisation rate: an eighth of a symbol, in thirds for the overlap."""
+    down = round(fs_in / spacing / 8)
+    up = round(down * fs_out / fs_in)
+    return (3 * down, 3 * up) if up % 3 else (down, up)
+
+
+def ssb_iq(blocks: DataFrame, fs_in: float, fs_out: float, spacing: float, frequency_offset: float = 0.0, delay: float = 0.0, max_blocks: int | None = None, discovery: float = 0.02, sizes: tuple[int, int] | None = None, one_block: bool = False) -> DataFrame:
+    """The synchronisation blocks' band: ``frequency_offset`` (any frequency) moved to zero and resampled to ``fs_out``, from ``delay`` on, for ``max_blocks`` discovery periods."""
+    from_ = round(delay * fs_in)
+    wanted = F.lit(round(max_blocks * discovery * fs_in)) if max_blocks is not None else F.lit((1 << 62) - from_)
+    late = cut(blocks, F.lit(from_), wanted) if from_ or max_blocks is not None else blocks
+    down, up = sizes or ssb_sizes(fs_in, fs_out, spacing)
+    if abs(up / down - fs_out / fs_in) > 1e-9:
+        raise ValueError(f"{down} and {up} don't hold the ratio of {fs_in:g} and {fs_out:g}")
+    # A block that the delay cut stands at the capture's new beginning.
+    return corrected(late.withColumn("spec", spec_column(fs=fs_in, nfft=down, nfft_out=up, shift=frequency_offset, window="blackman")), one_block=one_block)
+
+
+def completed(correlation: DataFrame, captures: DataFrame, cells: tuple[int, ...], blocks: int, beams: int, lags: int) -> DataFrame:
+    """A dense grid of correlations: zeros for the captures (capture_id, port) in which nothing was measured, and for what is missing in others."""
+    axis = lambda values, kind, name: F.explode((values if isinstance(values, Column) else F.array(*map(F.lit, values))).cast(f"array<{kind}>")).alias(name)
+    grid = captures.select(F.col("capture_id").cast("long"), F.col("port").cast("int")).distinct()
+    for values, kind, name in ((cells, "int", "cell_id"), (range(blocks), "int", "block"), (range(beams), "int", "beam"), (F.sequence(F.lit(0), F.lit(lags - 1)), "long", "lag")):
+        grid = grid.select("*", axis(values, kind, name))
+    keys = [*KEYS, "cell_id", "block", "beam", "lag"]
+    return grid.join(correlation, keys, "left").select(*keys, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("re", "im")))
+
+
 def sync(correlation: DataFrame, sample_rate: float, half_width: int = 4, per_port: bool = True, delay: float = 0.0) -> DataFrame:
     """Delay in seconds of the best lag.
 

@@ -168,6 +168,53 @@ def lagged_product_blocks(blocks: DataFrame, lag: int, indexes: list[int], lags:
     return partial.groupBy(*KEYS, "j").agg((F.hypot(F.sum("re"), F.sum("im")) / len(indexes)).alias("r"))
 
 
+def cyclic_autocorrelation(blocks: DataFrame, sets: list[dict], size: int = 1 << 18, one_block: bool = False) -> DataFrame:
+    """|mean of x[i + j] conj(x[i + j + nfft])| over the prefixes of each link direction and subcarrier spacing (``ofdm.prefix_sets``): keys, link_direction, subcarrier_spacing, j, r.
+
+    All sets are taken in one pass over chunks. A set's prefixes are runs of samples, so a lag is a difference of running sums per run. The rows make a
+    dense grid: r is null for the lags that a spacing hasn't and where a direction has no prefix.
+    """
+    from .filters import chunk_rows, chunk_samples
+
+    used = [(k, s) for k, s in enumerate(sets) if len(s["indexes"])]
+    most = max((s["nfft"] for _, s in used), default=0)
+    plans = []
+    for k, s in used:
+        at = np.sort(np.asarray(s["indexes"], np.int64))
+        begin = np.flatnonzero(np.diff(at, prepend=at[0] - 2) != 1)
+        plans.append((k, s["nfft"], s["lags"], at[begin], at[np.append(begin[1:], len(at)) - 1] + 1))
+    last = max((int(end.max()) + lags for _, _, lags, _, end in plans), default=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for cap, port, chunk, pieces in chunk_rows(b):
+                x, own, _ = chunk_samples(pieces, chunk * size, size, 0, most)
+                if own <= 0:
+                    continue
+                first, sums = chunk * size, {}
+                for k, nfft, lags, begin, end in plans:
+                    if nfft not in sums:
+                        sums[nfft] = np.concatenate([[0], np.cumsum(x[:own] * np.conj(x[nfft : nfft + own]))])
+                    near = (end + lags > first) & (begin < first + own)
+                    if not near.any():
+                        continue
+                    j = np.arange(lags)
+                    place = lambda a: np.clip(a[near][:, None] - first + j, 0, own)  # noqa: E731, B023
+                    r = (sums[nfft][place(end)] - sums[nfft][place(begin)]).sum(axis=0)
+                    full = lambda v, t: pa.array(np.full(lags, v), t)  # noqa: E731, B023
+                    yield pa.RecordBatch.from_arrays([full(cap, pa.int64()), full(port, pa.int32()), full(k, pa.int32()), pa.array(j), pa.array(np.ascontiguousarray(r.real)), pa.array(np.ascontiguousarray(r.imag))], names=[*KEYS, "set", "j", "re", "im"])
+
+    rows = chunks(blocks, size, 0, most, one_block=one_block).select(F.col("capture_id").cast("long"), F.col("port").cast("int"), "chunk", "pieces")
+    partial = rows.where(F.col("chunk") <= last // size).mapInArrow(run, "capture_id long, port int, set int, j long, re double, im double")
+    count = F.element_at(F.array(*(F.lit(max(1, len(s["indexes"]))) for s in sets)), F.col("set") + 1)
+    found = partial.groupBy(*KEYS, "set", "j").agg((F.hypot(F.sum("re"), F.sum("im"))).alias("r")).withColumn("r", F.col("r") / count)
+    lags = max(s["lags"] for s in sets)
+    grid = F.explode(F.array(*(F.struct(F.lit(k).alias("set"), F.lit(s["direction"]).alias("link_direction"), F.lit(s["spacing"]).alias("subcarrier_spacing")) for k, s in enumerate(sets)))).alias("g")
+    captures = blocks.select(F.col("capture_id").cast("long"), F.col("port").cast("int")).distinct()
+    dense = captures.select(*KEYS, grid).select(*KEYS, "g.*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lags - 1).cast("long"))).alias("j"))
+    return dense.join(found, [*KEYS, "set", "j"], "left").select(*KEYS, "link_direction", "subcarrier_spacing", "j", "r")
+
+
 def contiguous_segments(df: DataFrame, order: str, by: tuple[str, ...], threshold: float = 7.0, ties: tuple[str, ...] = ()) -> DataFrame:
     """``segment``: a new one where the step to the row before exceeds ``threshold`` times the median step of its series ``by``."""
     if not by:
