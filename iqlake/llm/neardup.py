@@ -1,7 +1,7 @@
 """Near-duplicate groups by a MinHash LSH forest.
 
-A document's set is its distinct 5-word shingles. Equal sets form one class; the class representative (smallest id) has a MinHash
-signature. The forest holds the signatures in several sorted orders, each starting at other hash functions. In an order, a row's
+A document's set is its distinct 5-word shingles. Equal sets form one class, which has a number of its own and a MinHash signature; forest, texts and groups
+are keyed by that number, so an id with several texts stands for several classes, and ids come in again at the end. The forest holds the signatures in several sorted orders, each starting at other hash functions. In an order, a row's
 candidates are its neighbours: those in a window before it that share a prefix of the order of at least ``DEPTH`` values. Where a
 region is dense, the window spans only the longest common prefixes, so the prefix depth adapts to the region and no bucket grows.
 Orders are cut into ranges, a task each; rows within the window on either side of a cut are compared after that.
@@ -20,7 +20,7 @@ sparse columns; only links between groups that aren't joined yet leave it.
 Full sets meet by region (a component of the pairs to compare): in one task while a region's texts and pairs are few; a larger region is cut
 into cells, and a document goes only to the cells that hold one of its pairs.
 Defined results: a null or word-less text has an empty set and stays alone; fewer words than five are one shingle; equal texts are
-one group; ties go to the smallest id; rows that repeat an id with other texts count as one document per id and set; a row without an
+one group; ties go to the smallest id; rows that repeat an id with other texts are documents of their own, each with the group of its text; a row without an
 id takes the group of an equal text, else null, and isn't kept; an empty table gives no rows; columns other than id and text are ignored.
 """
 
@@ -73,20 +73,27 @@ def signature(shingles: np.ndarray) -> bytes:
 
 
 def sketched(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, bytes, key, sig): set size, text size, a 128-bit digest of the set and its signature."""
+    """(doc_id, th, n_shingles, bytes, key, sig): hash of the text, set size, text size, a 128-bit digest of the set and its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, last, made = [], None, None
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for text in b.column(2).to_pylist():
                 if made is None or text != last:
                     s = shingle_set(text, n)
                     last, made = text, (len(s), len(text or ""), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, signature(s) if len(s) else None)
-                rows.append((doc, *made))
+                rows.append(made)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["doc_id", "n_shingles", "bytes", "key", "sig"])
+                made_of = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made_of], names=["doc_id", "th", "n_shingles", "bytes", "key", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, bytes long, key binary, sig binary")
+    return named_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, th long, n_shingles long, bytes long, key binary, sig binary")
+
+
+def named_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, th, text): id, hash of the text, text."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
 def prefixes(depth: int = DEPTH) -> Column:
@@ -375,11 +382,15 @@ def verified(texts: DataFrame, pairs: DataFrame, percent: int = 75, n: int = 5)
 def groups(docs: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id of the group), kept (that id is the document's own)."""
     sketches = materialize(sketched(docs, n, id_col, text_col), "sketches")
-    classes = materialize(sketches.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "classes")
+    # From here on doc_id is a class's number, written once with the table; rep_id and th name a row that has its text.
+    rep = F.min(F.struct("doc_id", "th")).alias("rep")
+    classes = sketches.where("key is not null and doc_id is not null").groupBy("key").agg(rep, F.first("sig").alias("sig"))
+    classes = materialize(classes.select("key", F.monotonically_increasing_id().alias("doc_id"), F.col("rep.doc_id").alias("rep_id"), "rep.th", "sig"), "classes")
     paired = materialize(dense_rows(classes), "paired")
-    dense = materialize(classes.select("doc_id", "sig").join(paired.hint("shuffle_hash"), "doc_id", "left_semi"), "dense")
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    texts = materialize(own.join(paired.hint("shuffle_hash"), "doc_id", "left_semi").withColumn("bytes", F.octet_length("text")), "texts")
+    dense = materialize(classes.drop("key").join(paired.hint("shuffle_hash"), "doc_id", "left_semi"), "dense")
+    own = named_texts(docs, id_col, text_col).withColumnRenamed("doc_id", "rep_id")
+    once = own.join(dense.select("rep_id", "th", "doc_id").hint("shuffle_hash"), ["rep_id", "th"]).dropDuplicates(["rep_id", "th"])
+    texts = materialize(once.select("doc_id", "text", F.octet_length("text").alias("bytes")), "texts")
 
     def linked(so_far: DataFrame, links: DataFrame) -> DataFrame:
         """Groups (node, component) after the links."""
@@ -402,8 +413,11 @@ def groups(docs: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id
     if not crowded.isEmpty():
         blocks = prefix_blocks(texts, crowded, percent, n)
         merged = linked(merged, block_links(texts, crowded, blocks, percent, n))
-    named = materialize(classes.select("key", F.col("doc_id").alias("rep")).join(merged, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component_id")), "named")
-    for df in (texts, paired, dense, crowded, first, merged):
+    ids = classes.select(F.col("doc_id").alias("node"), "rep_id")
+    lows = materialize(merged.join(ids, "node").groupBy("component").agg(F.min("rep_id").alias("low")), "lows")
+    joined = materialize(merged.join(lows, "component").select(F.col("node").alias("doc_id"), "low"), "joined")
+    named = materialize(classes.select("key", "doc_id", "rep_id").join(joined, "doc_id", "left").select("key", F.coalesce("low", "rep_id").alias("component_id")), "named")
+    for df in (texts, paired, dense, crowded, first, merged, lows, joined, classes):
         drop_table(df)
     out = sketches.select("doc_id", "n_shingles", "key").join(named, "key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(False)).alias("kept"))

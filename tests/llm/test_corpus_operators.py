@@ -1,8 +1,10 @@
 """Edge cases and brute force for the corpus operators."""
 
 import hashlib
+import itertools
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -259,6 +261,38 @@ def test_html_marks_are_whole_names():
     assert not html.is_mark("entry-header", True) and html.extract_pages
 
 
+def test_html_keeps_lists_and_endings_without_regions():
+    long = "long words here " * 40
+    items = "".join(f"<li>item {c}</li>" for c in "abcdefg")
+    got = html.extract(f"<div><h1>T</h1><p>{long}</p><ul>{items}</ul><p>The end.</p></div>")
+    assert got == f"T {long.strip()} item a item b item c item d item e item f item g The end."
+    # What stands in other blocks doesn't come along, nor do links behind the last line.
+    page = "<div><a href=x>Home</a> | <a href=y>News</a></div>" + "<div>x</div>" * 4 + f"<div><p>By me</p><p>on a day</p><p>in a place</p><p>{long}</p><p>Bye.</p><p><a href=z>More</a></p></div><div>About us</div>"
+    assert html.extract(page) == f"By me on a day in a place {long.strip()} Bye."
+
+
+def test_html_threshold_decides_inside_a_region(monkeypatch):
+    long = "many words of an article that goes on " * 20
+    page = f"<main><h1>T</h1><p>{long}</p><p>{long}</p><p>Short.</p><div>" + "".join(f"<ul><li><a href={i}>tag {i}</a></li></ul>" for i in range(9)) + "</div></main>"
+    want = " ".join(["T", long.strip(), long.strip(), "Short."])
+    assert html.extract(page) == want
+    # Links of many words aren't a menu: nothing of an article is dropped for being a link.
+    cited = "".join(f"<p><a href={i}>{'the title of a cited work ' * 4}</a></p>" for i in range(3))
+    assert html.extract(f"<main><p>{long}</p>{cited}</main>").count("cited work") == 12
+    monkeypatch.setattr(html, "threshold", lambda x: 0.0)
+    assert html.extract(page) != want
+
+
+def test_html_of_many_articles_is_linear():
+    page = lambda n: "<article><h2>t</h2><p>some words of text that are long enough to count</p></article>" * n
+    times = []
+    for n in (1000, 8000):
+        began = time.perf_counter()
+        assert html.extract(page(n)).count("some words") == n
+        times.append(time.perf_counter() - began)
+    assert times[1] < 24 * times[0]
+
+
 def test_html_of_no_pages(spark):
     assert html.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -386,6 +420,18 @@ def test_toxicity_equals_plain_search(spark):
     assert toxicity.score(frame(spark, []), model).count() == 0
 
 
+def test_toxicity_of_a_megabyte_of_exceptions_is_quick():
+    model = toxicity.Model({" scum ": 2.0, " trash ": 1.0, " can ": 0.5})
+    scorer = toxicity.Scorer(model)
+    text = "scum trash can pond scum " * 40_000
+    began = time.perf_counter()
+    got = scorer.signal(text)
+    assert time.perf_counter() - began < 5
+    # The first word and each one behind "pond scum" stand alone; what follows is in an exception, or shares its blank.
+    small = "scum trash can pond scum " * 40
+    assert abs(scorer.signal(small) - plain_signal(model, small)) < 1e-9 and got > 0
+
+
 # line dedup ------------------------------------------------------------------------------------------------------------
 
 
@@ -663,6 +709,27 @@ def test_groups_of_nothing_and_of_repeated_rows(spark):
     assert len(got) == 3 and {r.component_id for r in got} == {1}
 
 
+@pytest.mark.parametrize("order", list(itertools.permutations(range(4)))[::5])
+def test_an_id_with_two_texts_loses_no_link(spark, order):
+    a, b = prose(random.Random(1), 300, 10**6), prose(random.Random(2), 300, 10**6)
+    rows = [(5, a), (5, b), (7, a + " more"), (8, "less " + b)]
+    got = neardup.groups(frame(spark, [rows[i] for i in order]).coalesce(1)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(5, 5), (5, 5), (7, 5), (8, 5)]
+
+
+def test_groups_with_repeated_ids_equal_brute_force(spark):
+    rng = random.Random(31)
+    texts = [t for _, t in near_rows(rng)]
+    rng.shuffle(texts)
+    rows = [(rng.randrange(70), t) for t in texts] + [(3, texts[0])] * 50
+    plain = brute_groups(list(enumerate(t for _, t in rows)))  # by row
+    low = {}
+    for k, (i, _) in enumerate(rows):
+        low[plain[k][1]] = min(low.get(plain[k][1], i), i)
+    want = sorted((i, plain[k][0], low[plain[k][1]], low[plain[k][1]] == i) for k, (i, _) in enumerate(rows))
+    assert sorted(map(tuple, neardup.groups(frame(spark, rows).repartition(5)).collect())) == want
+
+
 def test_rows_without_an_id(spark):
     text = prose(random.Random(21), 60) + ". " + prose(random.Random(22), 40) + "."
     rows = [(None, text), (None, prose(random.Random(23), 50)), *((i, text) for i in range(3, 15))]
