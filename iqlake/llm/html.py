@@ -7,9 +7,9 @@ never holds main text (menus, headers, footers, sidebars, forms, notices, advert
 
 Content lines choose the regions. An article or main element with a content line is taken whole; where one holds others (a main element with
 articles), its articles are chosen one by one, and of its own lines the content, what stands between chosen lines, and headings right
-before them. Where no such element has a line, the region runs from the first content line to the last, with the headings right before. Where
-such elements have lines but no content (very short articles), the one with most of the smoothed ratio is taken. Elements
-that never hold main text are left out of every region.
+before them. Where no such element has a line, the region runs from the first content line to the last, with the headings right before and what else stands
+in the blocks of its content lines. Where such elements have lines but no content (very short articles), the one with most of the smoothed ratio is taken. Elements
+that never hold main text are left out of every region, and so are runs of lines that are links alone whose smoothed ratios lie under the threshold: menus that no name marks.
 
 Class and id names mark such elements only as whole names: each part must be a mark (``ad``, ``sidebar``) or a word of layout
 (``site``, ``wrapper``), so ``site-header`` is one and ``share-price-analysis`` is not.
@@ -39,6 +39,8 @@ UNSEEN = frozenset("head title script style noscript template svg canvas iframe
 NEVER = frozenset("nav footer aside form button select textarea menu dialog".split())
 REGION = frozenset({"article", "main"})
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
+#: Blocks of a page; lists, tables and paragraphs are lines of the block around them.
+BOXES = frozenset("html body div section article main center fieldset details td th".split())
 #: Elements that a new one of the same kind ends, and the elements that such an end doesn't reach beyond.
 ENDED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 #: Words of class and id attributes that mark what is not main text.
@@ -101,6 +103,8 @@ class Line:
     regions: tuple[int, ...]
     links: bool
     heading: bool
+    #: The block that holds the line.
+    box: int
 
 
 class Lines(HTMLParser):
@@ -108,18 +112,18 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, tuple[int, ...]]] = []  # tag, state, regions
+        self.open: list[tuple[str, int, tuple[int, ...], int]] = []  # tag, state, regions, block
         self.lines: list[Line] = []
         self.parts: list[str] = []
         self.others: list[str] = []
-        self.tags = self.count = self.links = 0
+        self.tags = self.count = self.links = self.boxes = 0
         self.linked = True
 
     def end_line(self) -> None:
         text, other = (SPACE.sub(" ", "".join(x)).strip() for x in (self.parts, self.others))
         if text or other:
-            tag, _, regions = self.open[-1] if self.open else ("", SHOWN, ())
-            self.lines.append(Line(text or other, self.tags, bool(text), regions, self.linked, tag in HEADINGS))
+            tag, _, regions, box = self.open[-1] if self.open else ("", SHOWN, (), 0)
+            self.lines.append(Line(text or other, self.tags, bool(text), regions, self.linked, tag in HEADINGS, box))
             self.tags = 0
         self.parts, self.others, self.linked = [], [], True
 
@@ -150,7 +154,10 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         self.links += tag == "a"
-        _, state, regions = self.open[-1] if self.open else ("", SHOWN, ())
+        _, state, regions, box = self.open[-1] if self.open else ("", SHOWN, (), 0)
+        if tag in BOXES:
+            self.boxes += 1
+            box = self.boxes
         if tag in UNSEEN:
             state = INVISIBLE
         elif state == SHOWN and is_marked(tag, attrs, bool(regions)):
@@ -158,7 +165,7 @@ class Lines(HTMLParser):
         if tag in REGION and state == SHOWN:
             self.count += 1
             regions = (*regions, self.count)
-        self.open.append((tag, state, regions))
+        self.open.append((tag, state, regions, box))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -211,39 +218,68 @@ def threshold(values: np.ndarray) -> float:
     return math.expm1((low + high) / 2)
 
 
-def chosen_lines(lines: list[Line], content: np.ndarray, ratio: np.ndarray) -> np.ndarray:
-    """Which lines are main text, given the content lines and the smoothed ratios."""
+def menus(lines: list[Line], ratio: np.ndarray, limit: float) -> np.ndarray:
+    """Runs of two lines or more of one block that are links alone, with a median of smoothed ratios under ``limit``."""
+    out = np.zeros(len(lines), bool)
+    first = 0
+    for i in range(len(lines) + 1):
+        if i < len(lines) and lines[i].shown and lines[i].links and (i == first or lines[i].box == lines[first].box):
+            continue
+        if i - first > 1 and np.median(ratio[first:i]) < limit:
+            out[first:i] = True
+        first = i if i < len(lines) and lines[i].shown and lines[i].links else i + 1
+    return out
+
+
+def chosen_lines(lines: list[Line], content: np.ndarray, ratio: np.ndarray, limit: float) -> np.ndarray:
+    """Which lines are main text, given the content lines, the smoothed ratios and the ratio from which a line is content."""
     shown = np.array([x.shown for x in lines])
     outer = np.array([x.regions[0] if x.regions else 0 for x in lines]) * shown
+    inner = np.array([x.regions[1] if len(x.regions) > 1 else 0 for x in lines]) * shown
     keep = np.zeros(len(lines), bool)
-    for region in sorted({int(r) for r in outer[content]} - {0}):
-        inside = outer == region
-        inner = np.array([x.regions[1] if len(x.regions) > 1 else 0 for x in lines]) * inside
-        if not inner.any():
-            keep |= inside
+    order = np.argsort(outer, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(outer[order])) + 1):  # the lines of one region, in page order
+        if not outer[at[0]] or not content[at].any():
+            continue
+        if not inner[at].any():
+            keep[at] = True
             continue
-        mine = content & inside
-        for nested in {int(r) for r in inner[content]} - {0}:
-            mine |= inner == nested
-        keep |= spanned(lines, mine, inside & ((inner == 0) | mine))
-    if keep.any():
-        return keep
-    if outer.any():
-        weight = np.bincount(outer, weights=ratio * np.array([len(x.text) for x in lines]))
-        weight[0] = -1
-        return outer == int(weight.argmax())
-    return spanned(lines, content, shown)
-
-
-def spanned(lines: list[Line], content: np.ndarray, allowed: np.ndarray) -> np.ndarray:
-    """From the first content line to the last, and the headings right before, of the lines that are allowed."""
+        nested = inner[at]
+        mine = content[at] | np.isin(nested, np.setdiff1d(nested[content[at]], [0]))
+        keep[at] = spanned([lines[i] for i in at.tolist()], mine, (nested == 0) | mine)
+    if not keep.any():
+        if outer.any():
+            weight = np.bincount(outer, weights=ratio * np.array([len(x.text) for x in lines]))
+            weight[0] = -1
+            keep = outer == int(weight.argmax())
+        else:
+            keep = spanned(lines, content, shown, widen=True)
+    return keep & ~menus(lines, ratio, limit)
+
+
+def spanned(lines: list[Line], content: np.ndarray, allowed: np.ndarray, widen: bool = False) -> np.ndarray:
+    """From the first content line to the last, and the headings right before, of the lines that are allowed.
+
+    With ``widen`` the span grows on either side over the lines that stand in a block of a content line, up to the last that isn't links alone.
+    """
     at = np.flatnonzero(content)
     keep = np.zeros(len(lines), bool)
     if len(at):
-        first = int(at.min())
+        first, last = int(at.min()), int(at.max())
+        if widen:
+            boxes = {lines[i].box for i in at.tolist()}
+            for step, end in ((-1, -1), (1, len(lines))):
+                i = first if step < 0 else last
+                for j in range(i + step, end, step):
+                    if allowed[j]:
+                        if lines[j].box not in boxes:
+                            break
+                        if not lines[j].links:
+                            i = j
+                first, last = (i, last) if step < 0 else (first, i)
         while first and allowed[first - 1] and lines[first - 1].heading:
             first -= 1
-        keep[first : at.max() + 1] = True
+        keep[first : last + 1] = True
     return keep & allowed
 
 
@@ -259,8 +295,9 @@ def extract(html: str | None) -> str:
     if not lines:
         return ""
     ratio = smoothed(np.array([len(x.text) / max(1, x.tags) for x in lines], float))
-    content = (ratio >= min(threshold(ratio), SPARSE)) & np.array([x.shown and not x.links for x in lines])
-    keep = chosen_lines(lines, content, ratio)
+    limit = min(threshold(ratio), SPARSE)
+    content = (ratio >= limit) & np.array([x.shown and not x.links for x in lines])
+    keep = chosen_lines(lines, content, ratio, limit)
     return " ".join(x.text for x, k in zip(lines, keep, strict=True) if k)
 
 
