@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -64,6 +65,12 @@ class Model:
     exceptions: tuple[str, ...] = EXCEPTIONS
 
 
+def within(at: int, stretches: list[list[int]]) -> bool:
+    """True if one of the sorted, separate stretches [from, to) holds ``at``."""
+    i = bisect_right(stretches, at, key=lambda x: x[0]) - 1
+    return i >= 0 and at < stretches[i][1]
+
+
 class Scorer:
     def __init__(self, model: Model):
         import ahocorasick
@@ -84,15 +91,16 @@ class Scorer:
         if words <= 0 or not len(self.auto):
             return 0.0
         best: dict[int, float] = {}
-        free: list[tuple[int, int]] = []
+        free: list[list[int]] = []  # stretches of exception phrases, in order and apart: matches come in the order of their ends
         for end, (n, w) in self.auto.iter(t):
             start = end - n + 1
             if w is None:
-                free.append((start, end))
+                while free and free[-1][1] >= start:
+                    start = min(start, free.pop()[0])
+                free.append([start, end])
             elif w > best.get(start, 0.0):
                 best[start] = w
-        total = sum(w for s, w in best.items() if not any(a <= s < b for a, b in free))
-        return total / math.sqrt(words + 20)
+        return sum(w for s, w in best.items() if not within(s, free)) / math.sqrt(words + 20)
 
     def score(self, text: str | None) -> float:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.model.bias + self.model.slope * math.log1p(self.signal(text))))))
