@@ -30,7 +30,7 @@ p AS (SELECT s.capture_id, s.port, bin, avg(re * re + im * im) AS rms, max(re *
   FROM s JOIN iq ON s.capture_id = iq.capture_id AND s.port = iq.port AND n >= start AND n < start + 8 GROUP BY ALL)
 SELECT capture_id, port, bin, unnest(['rms', 'peak']) AS power_detector, round(unnest([rms, peak]), 9) AS value FROM p""")
 def random_bin_power(spark: SparkSession, d: str) -> DataFrame:
-    return stats.random_bin_power(iq(spark, d), 8, seed=7).withColumn("value", r6("value", 9))
+    return stats.random_bin_power_blocks(blocks(spark, d), 8, seed=7).withColumn("value", r6("value", 9))
 
 
 @register("""SELECT p_partkey, CAST(CASE WHEN p_size % 2 = 0 THEN ceil(p_size * 4 * 15 / 8.0) ELSE p_size * 4 END AS BIGINT) + 6 AS samples,

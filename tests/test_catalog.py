@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from iqlake.plans import catalog, catalog_cellular, catalog_corrections, catalog_measurements, catalog_reports, catalog_shapes  # noqa: F401
+from iqlake.plans import catalog, catalog_acquisition, catalog_cellular, catalog_corrections, catalog_measurements, catalog_reports, catalog_shapes  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
