@@ -5,18 +5,19 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Fixed values of 3GPP TS 38.213, 4.1, by cell search case: first symbols of SS/PBCH blocks, symbols after which they repeat, how often they do up to a
-#: centre frequency and above it (gaps between the runs of cases d and e are left unskipped), that frequency, and how often they do in shared spectrum.
+#: Fixed values of 3GPP TS 38.213, 4.1, by cell search case: first symbols of SS/PBCH blocks, symbols after which they repeat, the repetitions n up to a
+#: centre frequency and above it, that frequency, and the repetitions in shared spectrum.
 SSB_CASES = {
-    "a": ((2, 8), 14, 2, 4, 3e9, 5),
-    "b": ((4, 8, 16, 20), 28, 1, 2, 3e9, None),
-    "c": ((2, 8), 14, 2, 4, 1.88e9, 10),
-    "d": ((4, 8, 16, 20), 28, 19, 19, None, None),
-    "e": ((8, 12, 16, 20, 32, 36, 40, 44), 56, 9, 9, None, None),
-    "f": ((2, 9), 14, 32, 32, None, None),
-    "g": ((2, 9), 14, 32, 32, None, None),
+    "a": ((2, 8), 14, (0, 1), (0, 1, 2, 3), 3e9, (0, 1, 2, 3, 4)),
+    "b": ((4, 8, 16, 20), 28, (0,), (0, 1), 3e9, None),
+    "c": ((2, 8), 14, (0, 1), (0, 1, 2, 3), 1.88e9, (0, 1, 2, 3, 4, 5, 6, 7, 8, 9)),
+    "d": ((4, 8, 16, 20), 28, *2 * ((0, 1, 2, 3, 5, 6, 7, 8, 10, 11, 12, 13, 15, 16, 17, 18),), None, None),
+    "e": ((8, 12, 16, 20, 32, 36, 40, 44), 56, *2 * ((0, 1, 2, 3, 5, 6, 7, 8),), None, None),
+    "f": ((2, 9), 14, *2 * (tuple(range(32)),), None, None),
+    "g": ((2, 9), 14, *2 * (tuple(range(32)),), None, None),
 }
 #: Cases that a subcarrier spacing implies; 30 kHz has two outside shared spectrum.
 SPACING_CASES = {15e3: "a", 120e3: "d", 240e3: "e", 480e3: "f", 960e3: "g"}
@@ -210,8 +211,19 @@ def ssb_symbols(case: str, center_frequency: float | None = None, shared: bool =
     offsets, period, low, high, limit, in_shared = SSB_CASES[case.lower()]
     if shared and in_shared is None:
         raise ValueError(f"case {case} isn't defined in shared spectrum")
-    count = in_shared if shared else (high if limit is None or center_frequency is None or center_frequency > limit else low)
-    return tuple(o + period * i for i in range(count) for o in offsets)
+    times = in_shared if shared else (high if limit is None or center_frequency is None or center_frequency > limit else low)
+    return tuple(o + period * n for n in times for o in offsets)
+
+
+def ssb_symbols_of(case: Column, center_frequency: Column, shared: Column) -> Column:
+    """:func:`ssb_symbols` of every row, an array; null where a case isn't known or isn't defined in shared spectrum. A null frequency stands for the higher range."""
+    out = F.lit(None).cast("array<int>")
+    for name, (_, _, _, _, limit, in_shared) in SSB_CASES.items():
+        of = lambda *args: F.array(*map(F.lit, ssb_symbols(name, *args)))  # noqa: E731, B023
+        own = of(None) if limit is None else F.when(center_frequency <= limit, of(limit)).otherwise(of(None))
+        own = F.when(shared, of(None, True) if in_shared else F.lit(None)).otherwise(own)
+        out = F.when(F.lower(case) == name, own).otherwise(out)
+    return out
 
 
 def sync_sizes(sample_rate: float, spacing: float, max_lag_symbols: int = 4) -> dict[str, int]:

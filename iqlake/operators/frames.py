@@ -120,6 +120,9 @@ def null_band(df: DataFrame, nfft: int, fs: float, bandwidth: float, offset: flo
     return df.withColumn(value, F.when(inside, F.lit(NAN)).otherwise(F.col(value)))
 
 
-def frequency(k: Column, nfft: int, fs: float) -> Column:
-    """Baseband frequency of a centred bin."""
+def frequency(k: Column, nfft: int | Column, fs: float | Column) -> Column:
+    """Baseband frequency of a centred bin; size and rate may be columns."""
+    if isinstance(nfft, Column) or isinstance(fs, Column):
+        nfft, fs = (x if isinstance(x, Column) else F.lit(x) for x in (nfft, fs))
+        return (k - F.floor(nfft / 2)) * fs / nfft
     return (k - nfft // 2) * F.lit(fs / nfft)

@@ -100,6 +100,11 @@ def bin_index(x: Column, low: float, high: float, step: float) -> Column:
     return F.when(x < low - step / 2, F.lit(0)).when(x >= high + step / 2, F.lit(last)).otherwise(F.least(inner, F.lit(last - 1))).cast("long")
 
 
+def bin_center(bin_: Column, low: float, high: float, step: float) -> Column:
+    """Centre of a bin by its index; the catch-alls on either side are infinite."""
+    return F.element_at(F.array(*map(F.lit, power_centers(low, high, step))), bin_.cast("int") + 1)
+
+
 def histogram(df: DataFrame, value: str, low: float, high: float, step: float, by: tuple[str, ...] = (), normalise_by: tuple[str, ...] = (), drop_inf: bool = False) -> DataFrame:
     """Counts and fractions per bin; fractions are of the rows with equal ``normalise_by``. NaN is dropped."""
     ok = ~F.isnan(value)

@@ -12,7 +12,7 @@ from ..functions import columns as C
 from ..functions import ofdm
 from ..functions.windows import window as make_window
 from ..operators import calibration, cellular, frames, spectrum, stats
-from ..sources.synthetic import noise as noise_source
+from ..sources.synthetic import noise_of, placed
 from ..sources.tables import interleaved_blocks, read_table
 from . import results, sweep
 
@@ -312,29 +312,34 @@ def anti_missing_cal(spark: SparkSession, d: str) -> DataFrame:
     return calibration.missing_calibration(read_table(spark, d, "lineitem"), grid, ("l_partkey",)).select("l_orderkey", "l_linenumber")
 
 
-@register("SELECT * FROM (VALUES " + ", ".join(f"({n}, {i}, {int(v)})" for n in range(3) for i, v in enumerate(ofdm.pss(n))) + ") t(n_id2, i, d)")
+@register("WITH p(n_id2, i, d) AS (VALUES " + ", ".join(f"({n}, {i}, {int(v)})" for n in range(3) for i, v in enumerate(ofdm.pss(n)[:64])) + """)
+SELECT vec_id, n_id2, round(sum(CAST(embedding[i + 1] AS DOUBLE) * d), 6) + 0.0 AS r FROM embeddings, p GROUP BY ALL""")
 def pss_sequence(spark: SparkSession, d: str) -> DataFrame:
-    return ofdm.sequence_table(spark)
+    """Every vector against the beginnings of the three primary sequences."""
+    rows = read_table(spark, d, "embeddings")
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("n_id2"), F.array(*(F.lit(float(v)) for v in ofdm.pss(n)[:64])).alias("d")) for n in range(3)))).alias("p")
+    product = F.aggregate(F.zip_with("embedding", "p.d", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    return rows.select("vec_id", "embedding", each).select("vec_id", "p.n_id2", (r6(product) + 0.0).alias("r"))
 
 
-@register(None)
+@register("SELECT s_suppkey AS capture_id, TRUE AS near FROM supplier")
 def noise_power(spark: SparkSession, d: str) -> DataFrame:
-    made = noise_source(spark, 200_000, 1e6, 1e-3)
+    """Noise of a density by capture has that density times the rate as its power, within seven deviations of 4096 samples."""
+    captures = read_table(spark, d, "supplier").select(F.col("s_suppkey").alias("capture_id"), ((F.col("s_suppkey") % 100 + 1) * 1e-3).alias("psd"))
+    made = noise_of(captures, 4096, 1e6)
     power = F.aggregate(F.zip_with("re", "im", lambda a, b: a * a + b * b), F.lit(0.0), lambda s, x: s + x)
-    return made.agg((F.sum(power) / F.sum(F.size("re"))).alias("power"))
+    mean = made.groupBy("capture_id").agg((F.sum(power) / F.sum(F.size("re"))).alias("power"))
+    return mean.select("capture_id", (F.abs(F.col("power") / ((F.col("capture_id") % 100 + 1) * 1e-3 * 1e6) - 1) < 7 / 64).alias("near"))
 
 
-@register(None)
+@register("SELECT s_suppkey AS capture_id, CAST(0 AS INTEGER) AS port, CAST(s_suppkey * 7 % 500 AS BIGINT) AS lag, round(s_suppkey * 7 % 500 / 3.84e6, 12) AS delay FROM supplier")
 def pss_sync(spark: SparkSession, d: str) -> DataFrame:
-    """Delay of a sequence placed at a known lag in noise."""
-    rate, spacing, lag = 3.84e6, 30e3, 57
-    wave = ofdm.sync_waveform(ofdm.pss(1), rate, spacing)
-    x = [0j] * 4000
-    for i, v in enumerate(wave):
-        x[lag + i] += complex(v)
-    cut = 1500  # two blocks of one capture
-    rows = spark.createDataFrame([(0, 0, s, [v.real for v in part], [v.imag for v in part]) for s, part in ((0, x[:cut]), (cut, x[cut:]))], "capture_id long, port int, n0 long, re array<double>, im array<double>")
-    return cellular.sync(cellular.correlate(rows, "pss", rate, spacing, (0,), period=4000 / rate), rate)
+    """Delays of whole sequences placed in noise, a delay by capture, cut into blocks."""
+    rate, spacing = 3.84e6, 30e3
+    captures = read_table(spark, d, "supplier").select(F.col("s_suppkey").alias("capture_id"), (F.col("s_suppkey") * 7 % 500).alias("delay"))
+    made = placed(captures, ofdm.sync_waveform(ofdm.pss(1), rate, spacing), 2000, noise=0.05, block=700)
+    found = cellular.sync(cellular.correlate(made, "pss", rate, spacing, (0,), period=2000 / rate, mean=True), rate)
+    return found.withColumn("delay", r6("delay", 12))
 
 
 @register("""SELECT capture_id, port, n // 8 AS bin, round(avg(re), 9) AS mean_re FROM (WITH """ + IQ_SQL + """ SELECT * FROM iq) GROUP BY ALL""")

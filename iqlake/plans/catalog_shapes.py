@@ -48,9 +48,13 @@ def numeric_labels(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "orders").select("o_orderkey", ok(F.substring("o_orderpriority", 1, 1)).alias("numeric_head"), ok(F.col("o_orderpriority")).alias("numeric_all"))
 
 
-@register(f"SELECT CAST(range AS BIGINT) AS k, round((range - {NFFT // 2}) * {FS / NFFT}, 6)::DOUBLE AS frequency FROM range({NFFT})")
+@register("""WITH c AS (SELECT p_partkey, 8 + p_size % 9 AS nfft, CAST(p_size AS DOUBLE) AS fs FROM part)
+SELECT p_partkey, CAST(k AS BIGINT) AS k, round((k - nfft // 2) * fs / nfft, 6) + 0.0 AS frequency FROM (SELECT *, unnest(range(nfft)) AS k FROM c)""")
 def frequency_axis(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(NFFT).select(F.col("id").alias("k"), r6(frames.frequency(F.col("id"), NFFT, FS)).alias("frequency"))
+    """The frequency axis of every capture, whose transform size and rate are its own."""
+    c = read_table(spark, d, "part").select("p_partkey", (8 + F.col("p_size") % 9).alias("nfft"), F.col("p_size").cast("double").alias("fs"))
+    rows = c.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nfft").cast("long") - 1)).alias("k"))
+    return rows.select("p_partkey", "k", (r6(frames.frequency(F.col("k"), F.col("nfft"), F.col("fs"))) + 0.0).alias("frequency"))
 
 
 @register(f"WITH {IQ_SQL} SELECT capture_id, port, n, CASE WHEN n % 2 = 1 THEN -re ELSE re END AS re, -im AS im FROM iq")
@@ -135,14 +139,21 @@ def ssb_spectrogram(spark: SparkSession, d: str) -> DataFrame:
     return spectrum.ssb_spectrogram(stft(spark, d), 2, 15e3, 4, 8)
 
 
-@register("SELECT CAST(range AS INTEGER) AS symbol, CASE WHEN range % 140 < 42 THEN 'downlink' ELSE 'uplink' END AS direction FROM range(140) WHERE range < 42 OR range >= 98")
+@register("SELECT event_id, CAST(event_id % 140 AS INTEGER) AS symbol, CASE WHEN event_id % 140 < 42 THEN 'downlink' ELSE 'uplink' END AS direction FROM events WHERE event_id % 140 < 42 OR event_id % 140 >= 98")
 def tdd_masks(spark: SparkSession, d: str) -> DataFrame:
-    return ofdm.mask_table(spark, 15e3, "dddffffuuu")
+    """Readings by the link direction of their symbol; those of flexible slots belong to none."""
+    events = read_table(spark, d, "events").select("event_id", (F.col("event_id") % 140).cast("int").alias("symbol"))
+    return events.join(F.broadcast(ofdm.mask_table(spark, 15e3, "dddffffuuu")), "symbol").select("event_id", "symbol", "direction")
 
 
-@register("SELECT CAST(row_number() OVER (ORDER BY c) - 1 AS BIGINT) AS bin, c AS center FROM (SELECT CAST('-inf' AS DOUBLE) AS c UNION ALL SELECT CAST(-10 + 0.5 * range AS DOUBLE) FROM range(41) UNION ALL SELECT CAST('inf' AS DOUBLE))")
+@register("""WITH x AS (SELECT event_id, 10 * log10(value) AS x FROM events),
+b AS (SELECT event_id, CAST(CASE WHEN x < -10.25 THEN 0 WHEN x >= 10.25 THEN 42 ELSE least(floor((x + 10.25) / 0.5) + 1, 41) END AS BIGINT) AS bin FROM x)
+SELECT event_id, bin, CASE bin WHEN 0 THEN CAST('-inf' AS DOUBLE) WHEN 42 THEN CAST('inf' AS DOUBLE) ELSE CAST(-10 + 0.5 * (bin - 1) AS DOUBLE) END AS center FROM b""")
 def power_bins(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(stats.power_centers(-10.0, 10.0, 0.5))), "bin long, center double")
+    """The bin of every reading and its centre."""
+    bins = (-10.0, 10.0, 0.5)
+    rows = read_table(spark, d, "events").select("event_id", stats.bin_index(C.pow_to_db(F.col("value")), *bins).alias("bin"))
+    return rows.withColumn("center", stats.bin_center(F.col("bin"), *bins))
 
 
 @register("""WITH r AS (SELECT CAST(floor(min(value)) AS BIGINT) AS lo, CAST(ceil(max(value)) AS BIGINT) AS hi FROM events) SELECT CAST(unnest(range(lo, hi + 1, 10)) AS BIGINT) AS edge FROM r""")
@@ -165,7 +176,7 @@ def fir_filter(spark: SparkSession, d: str) -> DataFrame:
     return out.select("capture_id", "port", "n", r6(F.col("re") + 0.0).alias("re"), r6(F.col("im") + 0.0).alias("im"))
 
 
-@register("""SELECT 'hamming' AS name, CAST(range AS INTEGER) AS i, round(0.54 - 0.46 * cos(2 * pi() * range / 64), 9) AS w FROM range(64)
+@register("""WITH w AS (SELECT 'hamming' AS name, CAST(range AS INTEGER) AS i, round(0.54 - 0.46 * cos(2 * pi() * range / 64), 9) AS w FROM range(64)
 UNION ALL SELECT 'blackman', CAST(range AS INTEGER), round(0.42 - 0.5 * cos(2 * pi() * range / 64) + 0.08 * cos(4 * pi() * range / 64), 9) FROM range(64)
 UNION ALL SELECT 'taylor', CAST(i AS INTEGER), round((1 + 2 * sum(f * cos(2 * pi() * m * (i - 32) / 65.0))) / any_value(1 + 2 * total), 9)
 FROM (SELECT range AS i FROM range(64)) AS i,
@@ -173,10 +184,13 @@ FROM (SELECT range AS i FROM range(64)) AS i,
         SELECT m, -pow(-1, m) * (SELECT product(1 - m * m / s / (a * a + (j - 0.5) * (j - 0.5))) FROM range(1, 4) AS t(j))
                   / (2 * (SELECT product(1 - m * m / CAST(j * j AS DOUBLE)) FROM range(1, 4) AS t(j) WHERE j <> m)) AS f
         FROM (SELECT a, 16 / (a * a + 12.25) AS s FROM (SELECT acosh(pow(10, 30 / 20.0)) / pi() AS a)), (SELECT range AS m FROM range(1, 4)))) AS f
-GROUP BY i""")
+GROUP BY i)
+SELECT vec_id, name, round(sum(CAST(embedding[i + 1] AS DOUBLE) * w), 6) + 0.0 AS total FROM embeddings, w GROUP BY ALL""")
 def window_values(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(name, i, float(w)) for name in ("hamming", "blackman", "taylor") for i, w in enumerate(windows.window(name, 64, normalise=False))]
-    return spark.createDataFrame(rows, "name string, i int, w double").withColumn("w", r6("w", 9))
+    """Every vector under three windows, summed."""
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, windows.window(name, 64, normalise=False).tolist())).alias("w")) for name in ("hamming", "blackman", "taylor")))).alias("w")
+    total = F.aggregate(F.zip_with("embedding", "w.w", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    return read_table(spark, d, "embeddings").select("vec_id", "embedding", each).select("vec_id", "w.name", (r6(total) + 0.0).alias("total"))
 
 
 def _overlap_sql(nfft_out: int, lo: float, hi: float) -> str:
@@ -242,9 +256,15 @@ def sss_sync(spark: SparkSession, d: str) -> DataFrame:
     return out.select("capture_id", "port", "lag", r6("delay", 9).alias("delay"))
 
 
-@register("""WITH c(ssb_case, period, times, offsets) AS (VALUES ('a', 14, 2, [2, 8]), ('a above', 14, 4, [2, 8]), ('a shared', 14, 5, [2, 8]), ('b', 28, 1, [4, 8, 16, 20]), ('b above', 28, 2, [4, 8, 16, 20]),
-  ('c', 14, 2, [2, 8]), ('c above', 14, 4, [2, 8]), ('c shared', 14, 10, [2, 8]), ('d', 28, 19, [4, 8, 16, 20]), ('e', 56, 9, [8, 12, 16, 20, 32, 36, 40, 44]), ('f', 14, 32, [2, 9]), ('g', 14, 32, [2, 9]))
-SELECT ssb_case, CAST(period * i + o AS INTEGER) AS symbol FROM (SELECT ssb_case, period, unnest(range(times)) AS i, offsets FROM c), LATERAL (SELECT unnest(offsets) AS o)""")
+@register("""WITH c(ssb_case, period, low, high, bound, in_shared, offsets) AS (VALUES
+  ('a', 14, [0, 1], [0, 1, 2, 3], 3e9::DOUBLE, [0, 1, 2, 3, 4], [2, 8]), ('b', 28, [0], [0, 1], 3e9, NULL, [4, 8, 16, 20]), ('c', 14, [0, 1], [0, 1, 2, 3], 1.88e9, [0, 1, 2, 3, 4, 5, 6, 7, 8, 9], [2, 8]),
+  ('d', 28, [0, 1, 2, 3, 5, 6, 7, 8, 10, 11, 12, 13, 15, 16, 17, 18], [0, 1, 2, 3, 5, 6, 7, 8, 10, 11, 12, 13, 15, 16, 17, 18], 0, NULL, [4, 8, 16, 20]),
+  ('e', 56, [0, 1, 2, 3, 5, 6, 7, 8], [0, 1, 2, 3, 5, 6, 7, 8], 0, NULL, [8, 12, 16, 20, 32, 36, 40, 44]), ('f', 14, range(32), range(32), 0, NULL, [2, 9]), ('g', 14, range(32), range(32), 0, NULL, [2, 9])),
+s AS (SELECT s_suppkey, substr('abcdefg', CAST(s_suppkey % 7 + 1 AS INTEGER), 1) AS ssb_case, s_nationkey * 2.5e8 AS frequency, s_suppkey % 2 = 0 AND s_suppkey % 7 IN (0, 2) AS shared FROM supplier),
+n AS (SELECT s_suppkey, s.ssb_case, period, offsets, unnest(CASE WHEN shared THEN in_shared WHEN frequency <= bound THEN low ELSE high END) AS n FROM s JOIN c USING (ssb_case))
+SELECT s_suppkey, ssb_case, CAST(period * n + o AS INTEGER) AS symbol FROM n, LATERAL (SELECT unnest(offsets) AS o)""")
 def ssb_cases(spark: SparkSession, d: str) -> DataFrame:
-    asked = [(f"{c}{name}", c, f, shared) for c in ofdm.SSB_CASES for name, f, shared in (("", 1e9, False), (" above", 4e9, False), (" shared", None, True)) if not name or c in ("abc" if name == " above" else "ac")]
-    return spark.createDataFrame([(name, s) for name, c, f, shared in asked for s in ofdm.ssb_symbols(c, f, shared)], "ssb_case string, symbol int")
+    """First symbols of the synchronisation blocks of every capture, by its case, frequency and kind of spectrum."""
+    key = F.col("s_suppkey")
+    rows = read_table(spark, d, "supplier").select("s_suppkey", F.element_at(F.array(*map(F.lit, "abcdefg")), (key % 7 + 1).cast("int")).alias("ssb_case"), (F.col("s_nationkey") * 2.5e8).alias("frequency"), ((key % 2 == 0) & (key % 7).isin(0, 2)).alias("shared"))
+    return rows.select("s_suppkey", "ssb_case", F.explode(ofdm.ssb_symbols_of(F.col("ssb_case"), F.col("frequency"), F.col("shared"))).alias("symbol"))

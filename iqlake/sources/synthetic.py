@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,44 @@ def noise(spark: SparkSession, count: int, fs: float, psd: float, block: int = 1
     return spark.range(-(-count // block)).mapInArrow(run, "capture_id long, port int, n0 long, re array<double>, im array<double>")
 
 
+def made_blocks(captures: DataFrame, make: Callable[[int, float], np.ndarray], value: str, block: int = 1 << 16) -> DataFrame:
+    """Blocks of a waveform per capture: ``make(capture_id, value)`` gives its samples from the capture's own number, so a task that is run again makes the same."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.float64())
+        for b in batches:
+            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x = make(i, v)
+                for s in range(0, len(x), block):
+                    y = x[s : s + block]
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([0], pa.int32()), pa.array([s], pa.int64()), pa.array([y.real], kind), pa.array([y.imag], kind)], names=["capture_id", "port", "n0", "re", "im"])
+
+    rows = captures.select(F.col("capture_id").cast("long"), F.col(value).cast("double"))
+    return rows.mapInArrow(run, "capture_id long, port int, n0 long, re array<double>, im array<double>")
+
+
+def noise_of(captures: DataFrame, count: int, fs: float, psd: str = "psd", seed: int = 0) -> DataFrame:
+    """White Gaussian noise of each capture's own power spectral density."""
+
+    def make(i: int, density: float) -> np.ndarray:
+        rng = np.random.default_rng([seed, i])
+        return (rng.normal(size=count) + 1j * rng.normal(size=count)) * math.sqrt(density * fs / 2)
+
+    return made_blocks(captures, make, psd)
+
+
+def placed(captures: DataFrame, wave: np.ndarray, count: int, delay: str = "delay", noise: float = 0.0, seed: int = 0, block: int = 1 << 16) -> DataFrame:
+    """A wave at each capture's own delay (in samples), in noise of that amplitude."""
+
+    def make(i: int, at: float) -> np.ndarray:
+        rng = np.random.default_rng([seed, i])
+        x = noise * (rng.normal(size=count) + 1j * rng.normal(size=count))
+        x[int(at) : int(at) + len(wave)] += wave[: max(0, count - int(at))]
+        return x
+
+    return made_blocks(captures, make, delay, block)
+
+
 def blocks_of(samples: DataFrame, size: int) -> DataFrame:
     """Sample rows gathered into blocks of ``size``."""
     parts = samples.groupBy("capture_id", "port", (F.floor(F.col("n") / size) * size).cast("long").alias("n0")).agg(F.array_sort(F.collect_list(F.struct("n", "re", "im"))).alias("z"))
