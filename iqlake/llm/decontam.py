@@ -1,8 +1,9 @@
 """Benchmark decontamination with SimHash windows, in DataFrame functions only.
 
-Words are lower-cased runs of letters and digits. Windows have the size of a benchmark item. They stand where a document shares a
-5-word shingle with an item, at the offset (alignment) that the shingle has there, and at every offset between two alignments of an
-item that lie close together. No other window of the document can be more similar to the item: one whose first shared shingle is aligned at or behind its
+Words are lower-cased runs of letters and digits. A document meets an item only if it holds one of the item's seeds: its rarest 5-word shingles, as many as
+hold more than a quarter of its weight. A leak misses a quarter at most, so it holds one; a phrase that many items share is a seed of none that has rarer ones.
+Windows have the size of a benchmark item. They stand where the document shares a shingle with the item, at the offset (alignment) that the shingle has there, and
+at every offset between two alignments of an item that lie close together. No other window of the document can be more similar to the item: one whose first shared shingle is aligned at or behind its
 start holds only foreign words before it, so the window at that alignment shares as much or more; so it is at the end, with the
 last shared shingle; and one between the two alignments is in the set, since a gap of more than a seventh of the item's shingles
 leaves less than ``SIMILAR``.
@@ -10,7 +11,8 @@ leaves less than ``SIMILAR``.
 Each window and each item has a 64-bit SimHash of its words. Two fingerprints within ``RADIUS`` bits agree in at least one
 of ``RADIUS + 1`` blocks, so an equality join on blocks returns all items within the radius of a window. An edit can leave a similarity
 of ``SIMILAR`` and yet move more bits than the radius; so all windows at an item's own alignments are candidates too if the document holds
-``SIMILAR`` or more of the item's shingle weight, which no leak falls short of. Candidates are verified by the exact
+``SIMILAR`` or more of the item's shingle weight, which no leak falls short of. This bound alone determines the result: the Hamming index finds a part of the same
+candidates (three quarters of those edited down to 0.75, all near exact ones), and none beside them can pass. Candidates are verified by the exact
 weighted Jaccard similarity of their shingles; a shingle that many items share weighs less.
 
 Documents and items are keyed by id and a hash of their words up to the last aggregation, and only keys, offsets and hashes travel; texts
@@ -83,17 +85,35 @@ def item_table(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     return items.withColumn("k", F.least("n", F.lit(SHINGLE))).withColumn("hs", shingles("words", "k"))
 
 
-def alignments(texts: DataFrame, items: DataFrame, ks: list[int], n_words: int) -> DataFrame:
-    """doc, start, n, k, item, hs: the offsets that shared shingles give an item in a document, and the shingles' hashes."""
+def rare_shingles(items: DataFrame, weights: DataFrame, similarity: float) -> DataFrame:
+    """item, k, h: the rarest shingles of each item, as many as hold more than 1 - ``similarity`` of its weight."""
+    rows = items.select(*ITEM, "k", F.explode("hs").alias("h")).join(weights, "h")
+    mine = Window.partitionBy(*ITEM)
+    before = F.coalesce(F.sum("w").over(mine.orderBy(F.desc("w"), "h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    return rows.withColumns({"before": before, "total": F.sum("w").over(mine)}).where(F.col("before") <= (1 - similarity) * F.col("total") + 1e-9).select(*ITEM, "k", "h")
+
+
+def shingle_places(texts: DataFrame, k: int) -> DataFrame:
+    """doc, p, h: the hash of every shingle of ``k`` words of (doc, words) and its place."""
+    # A condition instead of a filter: that would be pushed below the words and make them twice.
+    places_of = F.when(F.size("words") >= k, F.sequence(F.lit(0), F.size("words") - k))
+    at = texts.select(*DOC, "words", F.explode(places_of).alias("p"))
+    return at.select(*DOC, "p", F.xxhash64(*(F.col("words")[F.col("p") + j] for j in range(k))).alias("h"))
+
+
+def seeded(texts: DataFrame, rare: DataFrame, ks: list[int], n_words: int) -> DataFrame:
+    """doc, item: the documents that hold a seed of the item."""
+    found = [shingle_places(texts, k).join(bounded(rare.where(F.col("k") == k).select(*ITEM, "h"), n_words), "h").select(*DOC, *ITEM) for k in ks]
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def alignments(texts: DataFrame, items: DataFrame, ks: list[int], n_words: int, pairs: DataFrame | None = None) -> DataFrame:
+    """doc, start, n, k, item, hs: the offsets that shared shingles give an item in a document (of one of the ``pairs``), and the shingles' hashes."""
     held = items.select(*ITEM, "n", "k", F.posexplode(F.expr("transform(sequence(0, n - k), i -> xxhash64(slice(words, i + 1, k)))")).alias("at", "h"))
-    found = []
-    for k in ks:
-        # A condition instead of a filter: that would be pushed below the words and make them twice.
-        places_of = F.when(F.size("words") >= k, F.sequence(F.lit(0), F.size("words") - k))
-        at = texts.select(*DOC, "words", F.explode(places_of).alias("p"))
-        at = at.select(*DOC, "p", F.xxhash64(*(F.col("words")[F.col("p") + j] for j in range(k))).alias("h"))
-        found.append(at.join(bounded(held.where(F.col("k") == k), n_words), "h"))
+    found = [shingle_places(texts, k).join(bounded(held.where(F.col("k") == k), n_words), "h") for k in ks]
     hits = reduce(DataFrame.unionByName, found).select(*DOC, F.greatest(F.col("p") - F.col("at"), F.lit(0)).alias("start"), "n", "k", *ITEM, "h")
+    if pairs is not None:
+        hits = hits.join(pairs.hint("shuffle_hash"), [*DOC, *ITEM], "left_semi")
     # Hashes of one item at one place: at most its shingles.
     return hits.groupBy(*PLACE, *ITEM).agg(F.collect_set("h").alias("hs"))
 
@@ -120,13 +140,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, simi
 
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), words_of(F.col(text_col)).alias("words"))
     texts = texts.select("doc_id", F.xxhash64("words").alias("th"), "words")
-    seeds = materialize(alignments(texts, items, sorted(size["ks"]) or [SHINGLE], size["words"]), "seeds")
+    ks = sorted(size["ks"]) or [SHINGLE]
+    rare = materialize(rare_shingles(items, weights, similarity), "rare")
+    pairs_of = materialize(seeded(texts, rare, ks, size["words"]), "pairs")
+    # Only documents with a seed are looked at more closely: they are read again, once.
+    hit = materialize(pairs_of.select(*DOC).distinct(), "hit")
+    again = materialize(texts.join(bounded(hit, hit.count()), DOC, "left_semi").dropDuplicates(DOC), "hit-texts")
+    seeds = materialize(alignments(again, items, ks, size["words"], pairs_of), "seeds")
     asked = materialize(places(seeds), "places")
-
-    # The windows' words: texts with a window are read again, and cut where they stand.
     where = asked.select(*PLACE).distinct()
-    hit = materialize(seeds.select("doc_id").distinct(), "hit")
-    again = texts.join(bounded(hit, hit.count()), "doc_id", "left_semi").dropDuplicates(DOC)
     windows = again.join(where.hint("merge"), DOC).select(*PLACE, F.expr("slice(words, start + 1, n)").alias("window"))
     windows = materialize(windows.withColumn("fp", simhash("window", width)), "windows")
 
@@ -149,6 +171,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, simi
     best = F.max_by(F.struct("start", "n", "similarity"), F.struct("similarity", -F.col("start"), "n")).alias("b")
     leaks = good.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("b.start").alias("start"), F.col("b.n").alias("n_words"), F.col("b.similarity").alias("similarity"))
     leaks = materialize(leaks, "leaks")
-    for df in (items, weights, totals, seeds, asked, hit, windows, near):
+    for df in (items, weights, totals, rare, pairs_of, again, seeds, asked, hit, windows, near):
         drop_table(df)
     return leaks

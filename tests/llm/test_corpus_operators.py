@@ -862,6 +862,32 @@ def test_leaks_are_found_at_every_length_and_edit(spark):
     assert set(got) == {(i, i) for i, _ in items} and min(got.values()) < 0.8
 
 
+def test_a_phrase_that_all_items_share_seeds_nothing(spark):
+    rng = random.Random(77)
+    phrase = "which of the following is the best answer to it"
+    items = [(i, phrase + " " + prose(rng, 30, 10**6)) for i in range(40)] + [(100, phrase), (101, "only four words here")]
+    rows = [(i, prose(rng, 40, 10**6) + " " + phrase + " " + prose(rng, 40, 10**6)) for i in range(60)]
+    rows.append((900, prose(rng, 30, 10**6) + " " + items[7][1] + " " + prose(rng, 30, 10**6)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    table = decontam.item_table(bench, "item_id", "text")
+    n = len(items)
+    weights = table.select(F.explode("hs").alias("h")).groupBy("h").agg(F.log(1 + n / F.count(F.lit(1))).alias("w"))
+    rare = decontam.rare_shingles(table, weights, 0.75)
+    common = {r.h for r in table.where("item_id = 100").select(F.explode("hs").alias("h")).collect()}
+    held = rare.collect()
+    assert {r.item_id for r in held} == {i for i, _ in items} and not any(r.h in common for r in held if r.item_id < 100)
+    # More than a quarter of every item's weight is in its seeds.
+    w = {r.h: r.w for r in weights.collect()}
+    total = {r.item_id: sum(w[h] for h in r.hs) for r in table.collect()}
+    for i, _ in items:
+        assert sum(w[r.h] for r in held if r.item_id == i) > 0.25 * total[i]
+    texts = frame(spark, rows).select("doc_id", decontam.words_of(F.col("text")).alias("words")).select("doc_id", F.xxhash64("words").alias("th"), "words")
+    pairs = {(r.doc_id, r.item_id) for r in decontam.seeded(texts, rare, [4, 5], 1000).collect()}
+    assert pairs == {(900, 7)} | {(i, 100) for i in [*range(60), 900]}
+    leaks = {(r.doc_id, r.item_id) for r in decontam.find_leaks(frame(spark, rows), bench).collect()}
+    assert leaks == pairs
+
+
 def test_windows_between_alignments(spark):
     """Words more in the middle and others at both ends: the best window is aligned with neither half."""
     rng = random.Random(43)
