@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from string import Formatter
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -111,3 +112,35 @@ def read_count(duration: Column, sample_rate: Column, nfft: Column, nfft_out: Co
     if holdoff is None:
         return count
     return count + F.ceil(F.when(host_resample, backend_rate).otherwise(sample_rate) * (holdoff + 2 * strobe))
+
+
+def to_half(x: Column) -> Column:
+    """The nearest number that half precision holds, ties to even; beyond its range infinite, under it subnormal or zero."""
+    a = F.abs(x).cast("double")
+    e = F.floor(F.log2(a))
+    # The logarithm can be off by one beside a power of two.
+    e = F.when(F.pow(F.lit(2.0), e) > a, e - 1).when(F.pow(F.lit(2.0), e + 1) <= a, e + 1).otherwise(e)
+    step = F.pow(F.lit(2.0), F.greatest(e, F.lit(-14)) - 10)
+    near = F.rint(a / step) * step
+    near = F.when(F.isnan(a) | (a == -NEG_INF) | (a == 0), a).when(near >= 65520, F.lit(-NEG_INF)).otherwise(near)
+    return F.when(x < 0, -near).otherwise(near)
+
+
+def path_of(template: str, fields: dict[str, Column], exact: bool = True) -> Column:
+    """A path from a template with ``{field}`` parts: names from the fields, timestamps as in :func:`timestamp_suffix`; null if a field is.
+
+    A field that isn't known raises, or stays as it stands without ``exact``.
+    """
+    parts = []
+    for text, name, form, _ in Formatter().parse(template):
+        if text:
+            parts.append(F.lit(text))
+        if name is None:
+            continue
+        if name not in fields:
+            if exact:
+                raise ValueError(f"no field {name} for the path; there are {sorted(fields)}")
+            parts.append(F.lit("{" + name + (f":{form}" if form else "") + "}"))
+        else:
+            parts.append(F.format_string(f"%{form}", fields[name]) if form else fields[name].cast("string"))
+    return F.concat(*parts) if parts else F.lit("")

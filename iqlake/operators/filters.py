@@ -320,12 +320,24 @@ def design_resampler(base: float, target: float, divisor: int = 2, bandwidth: fl
     return {"fs_sdr": fs, "nfft": int(n * ratio) * divisor, "nfft_out": n * divisor, "lo_offset": offset}
 
 
-def upfirdn(blocks: DataFrame, h: np.ndarray, up: int = 1, down: int = 1, size: int = CHUNK, one_block: bool = False) -> DataFrame:
+def upfirdn(blocks: DataFrame, h: np.ndarray, up: int = 1, down: int = 1, size: int = CHUNK, one_block: bool = False, full: bool = False) -> DataFrame:
     """Zero-stuffing by ``up``, filter ``h`` and every ``down``-th sample, by polyphase branches: no stuffed zero is multiplied.
 
-    A capture gives as many samples as its length holds; what rings on behind its end is left out.
+    A capture gives as many samples as its length holds, or with ``full`` also those that ring on behind its end: all ``ceil(((n - 1) up + len(h)) / down)``. For these
+    only the captures' lengths are aggregated; a block of zeros is put behind each.
     """
     h = np.asarray(h, float)
+    if full:
+        most = -(-len(h) // up)
+        ends = blocks.groupBy(*KEYS).agg(F.max(F.col("n0") + F.size("re")).cast("long").alias("n0"))
+        zeros = F.array_repeat(F.lit(0.0), most + size)  # up to the next chunk's end, so that it is whole
+        tail = ends.select(*KEYS, "n0", zeros.alias("re"), zeros.alias("im"))
+        own = blocks.select(*KEYS, F.col("n0").cast("long").alias("n0"), F.col("re").cast("array<double>").alias("re"), F.col("im").cast("array<double>").alias("im"))
+        out = upfirdn(own.unionByName(tail), h, up, down, size)
+        wanted = F.ceil(((F.col("__end") - 1) * up + len(h)) / down).cast("long")
+        held = out.join(ends.withColumnRenamed("n0", "__end"), list(KEYS)).withColumn("__keep", F.greatest(F.least(wanted - F.col("n0"), F.size("re").cast("long")), F.lit(0)).cast("int"))
+        part = lambda c: F.slice(c, F.lit(1), F.col("__keep")).alias(c)
+        return held.where("__keep > 0").select(*KEYS, "n0", part("re"), part("im"))
     h = np.pad(h, (0, max(0, up - len(h))))
     left = -(-(len(h) - 1) // up)
 

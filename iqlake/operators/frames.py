@@ -16,6 +16,13 @@ def samples(blocks: DataFrame) -> DataFrame:
     return blocks.select(*KEYS, "n0", z).select(*KEYS, (F.col("n0") + F.col("i")).cast("long").alias("n"), F.col("z.re").cast("double").alias("re"), F.col("z.im").cast("double").alias("im"))
 
 
+def with_time(blocks: DataFrame, start_ns: Column, fs: float | Column, name: str = "time_ns") -> DataFrame:
+    """Blocks with the time of their first sample in nanoseconds: the capture's own start and the sample's number, by a whole and a fractional part so that no nanosecond is lost."""
+    fs = fs if isinstance(fs, Column) else F.lit(float(fs))
+    seconds = F.floor(F.col("n0") / fs)
+    return blocks.withColumn(name, (start_ns + seconds.cast("long") * 1_000_000_000 + F.rint((F.col("n0") - seconds * fs) / fs * 1e9).cast("long")).cast("long"))
+
+
 def chunks(blocks: DataFrame, size: int | Column, left: int | Column = 0, right: int | Column = 0, keep: tuple[str, ...] = (), one_block: bool = False) -> DataFrame:
     """Blocks of any lengths as chunks of ``size`` samples with their context: capture_id, port, chunk, pieces of (n0, re[], im[]).
 

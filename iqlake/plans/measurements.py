@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, LongType, StringType, StructField, StructType
 
 from ..functions import ofdm
-from ..functions.columns import pow_to_db, whole
+from ..functions.columns import pow_to_db, to_half, whole
 from ..operators import cellular, spectrum, stats
 from ..operators.frames import KEYS, band_slice, binned_layout, samples
 
@@ -437,17 +437,26 @@ def cellular_resource_power_bin(capture: dict, spec: dict) -> Column:
 TO_DB = {"spectrogram": 2, "ssb": 3}
 
 
-@measurement(SPECTROGRAM, ("spectrogram_time", "baseband_frequency"), _per_bandwidth("dBm"), "Power spectral density", "spectrogram")
+HALF = {"half_precision": Param(FLAG, False)}
+
+
+def _stored(spec: dict) -> Callable[[Column], Column]:
+    """Values in the precision that a spec asks for."""
+    return to_half if spec["half_precision"] else lambda v: v
+
+
+@measurement(SPECTROGRAM | HALF, ("spectrogram_time", "baseband_frequency"), _per_bandwidth("dBm"), "Power spectral density", "spectrogram")
 def spectrogram(capture: dict, spec: dict) -> Reduction:
     """Every pixel in decibels."""
-    return Reduction({"frame": F.col("frame"), "k": F.col("k")}, {"value": F.max}, finish=lambda v: F.bround(pow_to_db(v, spectrum.EPS), TO_DB["spectrogram"]))
+    stored = _stored(spec)
+    return Reduction({"frame": F.col("frame"), "k": F.col("k")}, {"value": F.max}, finish=lambda v: stored(F.bround(pow_to_db(v, spectrum.EPS), TO_DB["spectrogram"])))
 
 
-@measurement(SPECTROGRAM | {"time_statistic": Param(LABELS, ("mean",))}, ("time_statistic", "baseband_frequency"), _per_bandwidth("dBm"), "Power spectral density", "spectrogram")
+@measurement(SPECTROGRAM | HALF | {"time_statistic": Param(LABELS, ("mean",))}, ("time_statistic", "baseband_frequency"), _per_bandwidth("dBm"), "Power spectral density", "spectrogram")
 def power_spectral_density(capture: dict, spec: dict) -> Reduction:
     """Statistics over time of every frequency's pixels."""
     kinds = [k if not isinstance(k, str) or k in stats.NAMED else float(k) for k in spec["time_statistic"]]
-    return Reduction({"k": F.col("k")}, {stats.label(k): (lambda x, k=k: stats.statistic(k, x)) for k in kinds}, "time_statistic", finish=lambda v: pow_to_db(v, spectrum.EPS))
+    return Reduction({"k": F.col("k")}, {stats.label(k): (lambda x, k=k: stats.statistic(k, x)) for k in kinds}, "time_statistic", finish=lambda v: _stored(spec)(pow_to_db(v, spectrum.EPS)))
 
 
 def _decibels() -> Column:

@@ -73,3 +73,25 @@ def correlation_report(correlation: DataFrame, hue: str, keys: list[str]) -> Dat
     each = [*keys, "beam"] if hue == "beam" else keys
     floor = power.groupBy(*each).agg(F.median("p").alias("m")).groupBy(*keys).agg((F.min("m") / 5).alias("floor"))
     return power.join(floor, keys).select(*keys, hue, "lag", pow_to_db(F.col("p")).alias("power"), pow_to_db(F.col("floor")).alias("floor"))
+
+
+def nearest_slice(df: DataFrame, at: dict[str, float], by: list[str]) -> DataFrame:
+    """Of each group, the rows at the values of the coordinates ``at`` that lie nearest to those asked for; ties go to the smaller value, null coordinates don't count."""
+    for name, value in at.items():
+        distance = F.abs(F.col(name) - F.lit(value))
+        nearest = df.where(F.col(name).isNotNull() & ~F.isnan(F.col(name).cast("double"))).groupBy(*by).agg(F.min_by(name, F.struct(distance, name)).alias("__at"))
+        df = df.join(nearest, by).where(F.col(name) == F.col("__at")).drop("__at")
+    return df
+
+
+def drop_incomplete(df: DataFrame, coordinate: str, by: list[str], value: str = "value") -> DataFrame:
+    """Without the coordinates at which a value of the group is missing or NaN, as trimmed frequencies are."""
+    gone = df.where(F.col(value).isNull() | F.isnan(value)).select(*by, coordinate).distinct()
+    return df.join(gone, [*by, coordinate], "left_anti")
+
+
+def axis_label(df: DataFrame, column: str) -> str:
+    """What an axis is called: the column's standard name (else its own) and its units, from its metadata."""
+    about = df.schema[column].metadata
+    name = about.get("standard_name") or column.replace("_", " ").capitalize()
+    return f"{name} ({about['units']})" if about.get("units") else name

@@ -87,16 +87,55 @@ def sweep_index(captures: DataFrame, order: str, per_sweep: int) -> DataFrame:
     return captures.withColumn("sweep_index", F.floor(F.col(order) / per_sweep).cast("long")).withColumn("capture_index", F.pmod(order, F.lit(per_sweep)).cast("long"))
 
 
+INCLUDE = "$include"
+
+
 def read_spec(path: str) -> dict:
-    """A sweep in JSON, or in YAML where a YAML reader is installed."""
-    text = Path(path).read_text()
-    if path.endswith(".json"):
-        return json.loads(text)
+    """A sweep in JSON, or in YAML where a YAML reader is installed.
+
+    ``{"$include": "other.json"}`` (in YAML also ``!include other.yaml``) stands for what the other file holds, relative to the file that names it; keys beside
+    it are laid over a mapping. A file that includes itself, through others too, raises.
+    """
+    return _read_spec(Path(path), ())
+
+
+def _read_spec(path: Path, above: tuple[Path, ...]) -> object:
+    path = path.resolve()
+    if path in above:
+        raise ValueError(f"{path} includes itself")
+    text = path.read_text()
+    if path.suffix == ".json":
+        return _included(json.loads(text), path, above)
     try:
         import yaml
     except ImportError as e:
         raise ValueError("reading YAML needs PyYAML; JSON works without it") from e
-    return yaml.safe_load(text)
+
+    class Loader(yaml.SafeLoader):
+        pass
+
+    Loader.add_constructor("!include", lambda loader, node: {INCLUDE: loader.construct_scalar(node)})
+    return _included(yaml.load(text, Loader), path, above)  # noqa: S506
+
+
+def _included(node: object, path: Path, above: tuple[Path, ...]) -> object:
+    if isinstance(node, list):
+        return [_included(x, path, above) for x in node]
+    if not isinstance(node, dict):
+        return node
+    own = {k: _included(v, path, above) for k, v in node.items() if k != INCLUDE}
+    if INCLUDE not in node:
+        return own
+    names = node[INCLUDE] if isinstance(node[INCLUDE], list) else [node[INCLUDE]]
+    found = [_read_spec(path.parent / n, (*above, path)) for n in names]
+    if len(found) == 1 and not own:
+        return found[0]
+    if not all(isinstance(x, dict) for x in found):
+        raise ValueError(f"{path}: only mappings can be laid over each other")
+    out: dict = {}
+    for x in (*found, own):
+        out |= x
+    return out
 
 
 def captures_of(spark: SparkSession, spec: dict) -> DataFrame:
