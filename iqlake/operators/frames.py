@@ -29,8 +29,22 @@ def chunks(blocks: DataFrame, size: int | Column, left: int | Column = 0, right:
     Chunk k holds the samples from k * size - left up to (k + 1) * size + right that the capture has. A sample is sent to each chunk that
     needs it; a task holds the pieces of one chunk. ``size``, ``left`` and ``right`` may be columns, equal in all blocks of a capture, and the columns ``keep``,
     equal as well, come along. With ``one_block`` every capture is one block: its chunks are cut where it lies, and nothing is shuffled; a block that begins later than at 0 raises.
+
+    ``blocks`` may be chunks already (``ranges.read_iq_chunks``): a source that read the context with the samples has nothing to be shuffled either. They must be as long as asked for, with
+    as much context at least.
     """
     size, left, right = (F.lit(x) if isinstance(x, int) else x for x in (size, left, right))
+    if "pieces" in blocks.columns:
+        fits = (F.col("size") == size) & (F.col("left") >= left) & (F.col("right") >= right)
+        chunk = F.when(fits, F.col("chunk")).otherwise(F.raise_error(F.lit("chunks of another length, or with too little context")).cast("long"))
+        begin, end = F.col("chunk") * size - left, (F.col("chunk") + 1) * size + right
+
+        def trimmed(p: Column) -> Column:
+            lo = F.greatest(begin - p["n0"], F.lit(0)).cast("int")
+            count = F.greatest(F.least(end - p["n0"], F.size(p["re"]).cast("long")) - lo, F.lit(0)).cast("int")
+            return F.struct((p["n0"] + lo).cast("long").alias("n0"), F.slice(p["re"], lo + 1, count).alias("re"), F.slice(p["im"], lo + 1, count).alias("im"))
+
+        return blocks.select(*KEYS, chunk.alias("chunk"), F.transform("pieces", trimmed).alias("pieces"), *keep)
     n0 = F.col("n0").cast("long")
     if one_block:
         n0 = F.when(n0 == 0, n0).otherwise(F.raise_error(F.lit("a capture has several blocks")).cast("long"))

@@ -5,7 +5,7 @@ array in C order as ports), interleaved int16 (``.int16``, ``.bin``, ``.dat``),
 (a compressed one has no ranges; ``files.read_iq_files`` reads it whole). Ranges begin at multiples of ``block``, so rows are the same for every ``range``.
 
 Options: the path (a file or a folder, in any store that ``pyarrow.fs`` reaches), ``form`` (npy, int16, tdms, mat, or auto for the suffix), ``key`` (variable of a .mat
-file), ``block`` (samples a row), ``range`` (samples a partition), ``skip`` and ``count`` (samples left out first, and read at most), ``loop`` (true: a file that is shorter than
+file), ``block`` (samples a row), ``left`` and ``right`` (samples before and behind a row's own that it holds too, as far as there are any), ``range`` (samples a partition), ``skip`` and ``count`` (samples left out first, and read at most), ``loop`` (true: a file that is shorter than
 ``count`` begins again), ``frame`` (samples: the end that doesn't fill a frame is left out).
 """
 
@@ -24,9 +24,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .files import MAT_NUMBERS, MAT_TYPES, TDMS_BIG, TDMS_INTERLEAVED, TDMS_NEW_LIST, TDMS_RAW, TDMS_TYPES, npy_header
 
-SCHEMA = "path string, port int, n0 long, re array<double>, im array<double>"
+#: ``own`` is a row's first sample, ``n0`` the first of its context.
+SCHEMA = "path string, port int, own long, n0 long, re array<double>, im array<double>"
 SUFFIXES = {"npy": "npy", "tdms": "tdms", "mat": "mat", "int16": "int16", "bin": "int16", "dat": "int16"}
-NAMES = ["path", "port", "n0", "re", "im"]
+NAMES = ["path", "port", "own", "n0", "re", "im"]
 
 
 @dataclass(frozen=True)
@@ -243,13 +244,14 @@ LAYOUTS: dict[str, Callable[..., Layout]] = {"npy": npy_layout, "int16": int16_l
 
 @dataclass
 class Range(InputPartition):
-    """Samples ``first`` to ``end`` of a file, numbered from ``skip`` on and, in a loop, through its ``length`` again and again."""
+    """Samples ``first`` to ``end`` of ``total``, numbered from ``skip`` on in the file and, in a loop, through its length again and again."""
 
     path: str
     layout: Layout
     first: int
     end: int
     skip: int
+    total: int
 
 
 @dataclass(frozen=True)
@@ -263,14 +265,16 @@ class Options:
     count: int = -1
     loop: bool = False
     frame: int = 1
+    left: int = 0
+    right: int = 0
 
     @classmethod
     def of(cls, options: dict[str, str]) -> Options:
         given = {k.lower(): v for k, v in options.items()}
         kinds = {"path": str, "form": str, "key": str, "loop": lambda x: str(x).lower() == "true"}
         made = cls(**{k: kinds.get(k, int)(given[k]) for k in cls.__dataclass_fields__ if k in given})
-        if min(made.block, made.range, made.frame) < 1 or made.skip < 0 or made.form not in ("auto", *LAYOUTS):
-            raise ValueError(f"form must be auto or one of {sorted(LAYOUTS)}; block, range and frame positive, skip not negative")
+        if min(made.block, made.range, made.frame) < 1 or min(made.skip, made.left, made.right) < 0 or made.form not in ("auto", *LAYOUTS):
+            raise ValueError(f"form must be auto or one of {sorted(LAYOUTS)}; block, range and frame positive, skip, left and right not negative")
         if made.loop and made.count < 0:
             raise ValueError("a loop needs a count")
         return made
@@ -307,15 +311,16 @@ def ranges(o: Options) -> list[Range]:
             else:
                 have = o.count
         have = have // o.frame * o.frame
-        out += [Range(full, layout, a, min(a + step, have), o.skip) for a in range(0, have, step)]
+        out += [Range(full, layout, a, min(a + step, have), o.skip, have) for a in range(0, have, step)]
     return out
 
 
-def read_range(r: Range, block: int) -> Iterator[pa.RecordBatch]:
+def read_range(r: Range, block: int, left: int = 0, right: int = 0) -> Iterator[pa.RecordBatch]:
+    """Rows of a range; those with context begin before their own samples, which begin at multiples of ``block``."""
     (store, name, _), length, kind = files_of(r.path)[0], r.layout.length, pa.list_(pa.float64())
     with store.open_input_file(name) as f:
-        for a in range(r.first, r.end, block):
-            b = min(a + block, r.end)
+        for begin in range(r.first, r.end, block):
+            a, b = max(0, begin - left), min(begin + block + right, r.total)
             for port, pieces in enumerate(r.layout.ports):
                 x, at = [], a + r.skip
                 while at < b + r.skip:
@@ -324,7 +329,7 @@ def read_range(r: Range, block: int) -> Iterator[pa.RecordBatch]:
                     x.append(read_samples(f, pieces, lo, hi))
                     at += hi - lo
                 y = np.concatenate(x)
-                yield pa.RecordBatch.from_arrays([pa.array([r.path]), pa.array([port], pa.int32()), pa.array([a], pa.int64()), pa.array([y.real], kind), pa.array([y.imag], kind)], names=NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array([r.path]), pa.array([port], pa.int32()), pa.array([begin], pa.int64()), pa.array([a], pa.int64()), pa.array([y.real], kind), pa.array([y.imag], kind)], names=NAMES)
 
 
 class RangeReader(DataSourceReader):
@@ -333,11 +338,11 @@ class RangeReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         # Spark asks for a partition at least; an empty one has nothing to read.
-        return ranges(self.options) or [Range("", Layout(0, ()), 0, 0, 0)]
+        return ranges(self.options) or [Range("", Layout(0, ()), 0, 0, 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if partition.end > partition.first:
-            yield from read_range(partition, self.options.block)
+            yield from read_range(partition, self.options.block, self.options.left, self.options.right)
 
 
 class RangeSource(DataSource):
@@ -357,3 +362,15 @@ def read_iq_ranges(spark: SparkSession, path: str, **options: object) -> DataFra
     spark.dataSource.register(RangeSource)
     found = spark.read.format("iq_file").options(**{k: str(v) for k, v in options.items()}).load(path)
     return found.select(F.xxhash64("path").alias("capture_id"), "port", "n0", "re", "im", "path")
+
+
+def read_iq_chunks(spark: SparkSession, path: str, size: int, left: int = 0, right: int = 0, **options: object) -> DataFrame:
+    """Files as chunks of ``size`` samples that hold their context: what filters, resamplers, correlations and corrections take in place of blocks, without any shuffle.
+
+    Each task reads the context with its own samples, from the neighbouring range if need be.
+    """
+    spark.dataSource.register(RangeSource)
+    found = spark.read.format("iq_file").options(**{k: str(v) for k, v in options.items()}, block=str(size), left=str(left), right=str(right)).load(path)
+    chunk = F.floor(F.col("own") / size).cast("long")
+    piece = F.struct("n0", "re", "im")
+    return found.select(F.xxhash64("path").alias("capture_id"), "port", chunk.alias("chunk"), F.array(piece).alias("pieces"), *(F.lit(v).cast("long").alias(n) for n, v in (("size", size), ("left", left), ("right", right))), "path")

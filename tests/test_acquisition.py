@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from iqlake.operators import frames, stats
+from iqlake.operators import corrections, filters, frames, stats
 from iqlake.plans import acquisition
 from iqlake.sources import files, ranges
 from iqlake.streaming import capture, sensors
@@ -307,3 +307,35 @@ def test_random_bins_of_blocks_equal_those_of_samples(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
     with pytest.raises(ValueError):
         stats.random_bin_power_blocks(df, 8, ("median",))
+
+
+# context from the source ------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("size", "left", "right", "step"), [(48, 20, 20, 48), (64, 64, 50, 128), (20, 100, 100, 20), (5000, 20, 20, 7000)])
+def test_filters_of_chunks_with_context_shuffle_nothing(spark, folder, size, left, right, step):
+    path, x, _ = folder
+    rows = [(7, 0, a, x.real[a : a + 130].tolist(), x.imag[a : a + 130].tolist()) for a in range(0, 1000, 130)]
+    whole = spark.createDataFrame(rows, BLOCK)
+    ready = ranges.read_iq_chunks(spark, f"{path}/e.mat", size, left, right, range=step)
+    of = lambda df: as_array({(r.port, r.n0 + i): complex(a, b) for r in df.collect() for i, (a, b) in enumerate(zip(r.re, r.im, strict=True))})
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for make in (lambda b: filters.filtered(b, 16.0, 64.0, 31, 4.0, size), lambda b: filters.oa_filter(b, 64.0, 8, (-20.0, 20.0), size=size, nfft_out=4), lambda b: filters.upfirdn(b, np.arange(1.0, 8.0), 2, 1, size)):
+        if size % 4:
+            continue
+        assert np.allclose(of(make(ready)), of(make(whole)), atol=1e-9) and "Exchange" not in plan(make(ready)) and "Exchange" in plan(make(whole))
+    spec = corrections.spec_column(fs=64.0, nfft=8, nfft_out=4, bandwidth=20.0, taps=9, transition=4.0, conjugate=True)
+    if left >= 20 and size % 4 == 0:
+        fixed = lambda b: corrections.corrected(b.withColumn("spec", spec), size)
+        assert np.allclose(of(fixed(ready)), of(fixed(whole)), atol=1e-9) and "Exchange" not in plan(fixed(ready))
+    got = stats.lagged_product_blocks(ready, 16, [0, 5, 300], 12, size).orderBy("j").collect()
+    want = stats.lagged_product_blocks(whole, 16, [0, 5, 300], 12, size).orderBy("j").collect()
+    assert np.allclose([r.r for r in got], [r.r for r in want])
+
+
+def test_chunks_with_too_little_context_raise(spark, folder):
+    path, *_ = folder
+    ready = ranges.read_iq_chunks(spark, f"{path}/e.mat", 100, 5, 5)
+    for df in (filters.filtered(ready, 16.0, 64.0, 31, 4.0, 100), filters.filtered(ready, 16.0, 64.0, 5, 4.0, 50)):
+        with pytest.raises(Exception, match="too little context"):
+            df.collect()
