@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -272,3 +274,29 @@ def prefix_sets(sample_rate: float, spacings: tuple[float, ...], frame_slots: st
             indexes = phy.prefix_indexes(frames, slots, symbols) if slots else np.zeros(0, np.int64)
             out.append({"direction": direction, "spacing": float(spacing), "nfft": phy.nfft, "lags": phy.nfft + int(phy.prefixes[1]), "indexes": indexes})
     return out
+
+
+def numerologies(captures: DataFrame) -> DataFrame:
+    """Captures (sample_rate, subcarrier_spacing, generation) with nfft, slot_size, slots_per_frame and the ``prefixes`` and ``starts`` of a slot's symbols.
+
+    A rate that the spacing doesn't divide, or that leaves a prefix with part of a sample, gives nulls. Each distinct numerology is worked out once per batch.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            rows = []
+            for rate, spacing, generation in f.itertuples(index=False):
+                try:
+                    phy = Numerology(rate, spacing, generation)
+                    rows.append((rate, spacing, generation, phy.nfft, phy.slot_size, phy.slots_per_frame, phy.prefixes.tolist(), phy.starts.tolist()))
+                except ValueError:
+                    rows.append((rate, spacing, generation, None, None, None, None, None))
+            yield pd.DataFrame(rows, columns=["__rate", "__spacing", "__generation", *FACTS]).astype({c: "Int64" for c in FACTS[:3]})
+
+    keys = ("sample_rate", "subcarrier_spacing", "generation")
+    found = captures.select(*keys).distinct().mapInPandas(run, "__rate double, __spacing double, __generation string, nfft long, slot_size long, slots_per_frame long, prefixes array<long>, starts array<long>")
+    on = [F.col(a) == F.col(b) for a, b in zip(keys, ("__rate", "__spacing", "__generation"), strict=True)]
+    return captures.join(found, on).drop("__rate", "__spacing", "__generation")
+
+
+FACTS = ["nfft", "slot_size", "slots_per_frame", "prefixes", "starts"]

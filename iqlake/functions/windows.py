@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def _cosine_sum(n: int, *terms: float) -> np.ndarray:
@@ -167,3 +172,14 @@ def parameter_for_bandwidth(name: str, target: float, n: int = 4096, low: float
             break
         low, high = (mid, high) if (have < target) == rising else (low, mid)
     return mid
+
+
+def bandwidths(sizes: DataFrame, name: str | tuple, size: str = "nfft") -> DataFrame:
+    """Rows with ``noise_bandwidth`` (in bins) of the window at their size; each distinct size is worked out once per batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            yield pd.DataFrame({"__size": f[size], "noise_bandwidth": [float(noise_bandwidth(name, int(n))) for n in f[size]]})
+
+    found = sizes.select(F.col(size).cast("long")).distinct().mapInPandas(run, "__size long, noise_bandwidth double")
+    return sizes.join(found, F.col(size) == F.col("__size")).drop("__size")

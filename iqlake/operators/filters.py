@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.windows import noise_bandwidth
@@ -198,6 +199,26 @@ def fractional_delay(x: np.ndarray, delay: float) -> np.ndarray:
     return np.fft.ifft(np.fft.fft(x) * np.exp(-2j * np.pi * np.fft.fftfreq(n) * delay))
 
 
+def delayed(blocks: DataFrame, delay: Column) -> DataFrame:
+    """Each block later by its own fraction of samples (``delay``, a column), through its spectrum's phase; for captures of one block, whose ends meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            samples = [np.asarray(b.column(3)[i].values, float) + 1j * np.asarray(b.column(4)[i].values, float) for i in range(b.num_rows)]
+            heads = [b.column(c).to_pylist() for c in range(3)]
+            yield sample_batch([(*h, fractional_delay(x, d)) for *h, x, d in zip(*heads, samples, b.column(5).to_pylist(), strict=True)])
+
+    rows = blocks.select(F.col("capture_id").cast("long"), F.col("port").cast("int"), F.col("n0").cast("long"), "re", "im", delay.cast("double").alias("__delay"))
+    return rows.mapInArrow(run, BLOCKS)
+
+
+def turned(blocks: DataFrame, frequency: Column, fs: Column) -> DataFrame:
+    """Blocks moved by a frequency (a column, as the rate is), by the capture's own clock: blocks fit together. Expressions only."""
+    cycles = lambda i: F.pmod(frequency / fs * (F.col("n0") + i), F.lit(1.0)) * (2 * math.pi)
+    z = F.transform(F.arrays_zip("re", "im"), lambda x, i: F.struct((x["re"] * F.cos(cycles(i)) - x["im"] * F.sin(cycles(i))).alias("re"), (x["re"] * F.sin(cycles(i)) + x["im"] * F.cos(cycles(i))).alias("im")))
+    return blocks.withColumn("__z", z).withColumns({c: F.col(f"__z.{c}") for c in ("re", "im")}).drop("__z")
+
+
 def corrected(blocks: DataFrame, fs: float, scale: float = 1.0, conjugate_column: str | None = None, bandwidth: float = float("inf"), taps: int = 4001, transition: float = 250e3, resample_to: tuple[int, int] | None = None, window: str = "hamming", size: int = CHUNK) -> DataFrame:
     """The corrections of a capture in their order: voltage scale or resampling (nfft, nfft_out), conjugation by a flag column, FIR low-pass."""
     out = scaled(blocks, scale)

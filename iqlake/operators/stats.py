@@ -178,7 +178,7 @@ def cyclic_autocorrelation(blocks: DataFrame, sets: list[dict], size: int = 1 <<
     """|mean of x[i + j] conj(x[i + j + nfft])| over the prefixes of each link direction and subcarrier spacing (``ofdm.prefix_sets``): keys, link_direction, subcarrier_spacing, j, r.
 
     All sets are taken in one pass over chunks. A set's prefixes are runs of samples, so a lag is a difference of running sums per run. The rows make a
-    dense grid: r is null for the lags that a spacing hasn't and where a direction has no prefix.
+    dense grid: r is null for the lags that a spacing hasn't and where a direction has no prefix; samples behind a capture's end count as zero.
     """
     from .filters import chunk_rows, chunk_samples
 
@@ -218,7 +218,9 @@ def cyclic_autocorrelation(blocks: DataFrame, sets: list[dict], size: int = 1 <<
     grid = F.explode(F.array(*(F.struct(F.lit(k).alias("set"), F.lit(s["direction"]).alias("link_direction"), F.lit(s["spacing"]).alias("subcarrier_spacing")) for k, s in enumerate(sets)))).alias("g")
     captures = blocks.select(F.col("capture_id").cast("long"), F.col("port").cast("int")).distinct()
     dense = captures.select(*KEYS, grid).select(*KEYS, "g.*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lags - 1).cast("long"))).alias("j"))
-    return dense.join(found, [*KEYS, "set", "j"], "left").select(*KEYS, "link_direction", "subcarrier_spacing", "j", "r")
+    held = F.element_at(F.array(*(F.lit(s["lags"] if len(s["indexes"]) else 0) for s in sets)), F.col("set") + 1)  # lags that the set has
+    r = F.when(F.col("j") < held, F.coalesce("r", F.lit(0.0))).alias("r")
+    return dense.join(found, [*KEYS, "set", "j"], "left").select(*KEYS, "link_direction", "subcarrier_spacing", "j", r)
 
 
 def contiguous_segments(df: DataFrame, order: str, by: tuple[str, ...], threshold: float = 7.0, ties: tuple[str, ...] = ()) -> DataFrame:

@@ -1,14 +1,15 @@
-"""Registered queries of cellular measurements: all secondary sequences, prefixes by link direction, the synchronisation band and dense results."""
+"""Registered queries of cellular measurements (all secondary sequences, prefixes by link direction, the synchronisation band, dense results) and of whole-capture transforms."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ofdm, windows
-from ..operators import cellular, frames, stats
+from ..operators import cellular, filters, frames, stats
 from ..sources.tables import chained_blocks, read_table
-from .catalog import FS, IQ_SQL, blocks, r6, register
+from .catalog import FS, IQ_SQL, NFFT, STFT_SQL, blocks, r6, register, stft
 from .catalog_shapes import _WAVES, _correlation_sql
 
 
@@ -81,3 +82,58 @@ def ssb_dense_correlation(spark: SparkSession, d: str) -> DataFrame:
     found = cellular.correlate_waves(with_band, _WAVES["pss"], (0, 4), 5, 16, one_block=True)
     out = cellular.completed(found, raw, tuple(_WAVES["pss"]), 2, 2, 5)
     return out.withColumn("re", r6("re") + 0.0).withColumn("im", r6("im") + 0.0)
+
+
+@register(f"WITH {IQ_SQL} SELECT capture_id, port, n, round(re * cos(a) - im * sin(a), 6) + 0.0 AS re, round(re * sin(a) + im * cos(a), 6) + 0.0 AS im FROM (SELECT *, 2 * pi() * (capture_id % 9 - 4) * 0.7 / 32 * n AS a FROM iq)")
+def lo_offset(spark: SparkSession, d: str) -> DataFrame:
+    out = frames.samples(filters.turned(blocks(spark, d), (F.pmod("capture_id", F.lit(9)) - 4) * 0.7, F.lit(FS)))
+    return out.select("capture_id", "port", "n", (r6("re") + 0.0).alias("re"), (r6("im") + 0.0).alias("im"))
+
+
+#: The transform of a whole capture; bins from -16 to 15.
+_DFT_SQL = f"""WITH {IQ_SQL}, y AS (SELECT capture_id, port, k, sum(re * cos(a) + im * sin(a)) AS re, sum(im * cos(a) - re * sin(a)) AS im
+  FROM (SELECT iq.*, k, 2 * pi() * k * n / 32.0 AS a FROM iq, (SELECT CAST(range AS BIGINT) - 16 AS k FROM range(32))) GROUP BY ALL)"""
+
+
+@register(_DFT_SQL + """ SELECT capture_id, port, n, round(sum(re * cos(b) - im * sin(b)) / 32, 6) + 0.0 AS re, round(sum(re * sin(b) + im * cos(b)) / 32, 6) + 0.0 AS im
+FROM (SELECT y.*, n, 2 * pi() * k * n / 24.0 AS b FROM y, (SELECT CAST(range AS BIGINT) AS n FROM range(24)) WHERE k >= -12 AND k < 12) GROUP BY ALL""")
+def fft_resample(spark: SparkSession, d: str) -> DataFrame:
+    out = frames.samples(filters.resampled(blocks(spark, d), 3, 4))
+    return out.select("capture_id", "port", "n", (r6("re") + 0.0).alias("re"), (r6("im") + 0.0).alias("im"))
+
+
+@register(_DFT_SQL + """ SELECT capture_id, port, n, round(sum(re * cos(b) - im * sin(b)) / 32, 6) + 0.0 AS re, round(sum(re * sin(b) + im * cos(b)) / 32, 6) + 0.0 AS im
+FROM (SELECT y.*, n, 2 * pi() * k * (n - (capture_id % 5) / 4.0) / 32.0 AS b FROM y, (SELECT CAST(range AS BIGINT) AS n FROM range(32))) GROUP BY ALL""")
+def fractional_delay(spark: SparkSession, d: str) -> DataFrame:
+    out = frames.samples(filters.delayed(blocks(spark, d), F.pmod("capture_id", F.lit(5)) / 4))
+    return out.select("capture_id", "port", "n", (r6("re") + 0.0).alias("re"), (r6("im") + 0.0).alias("im"))
+
+
+_SHAPE = [0.25, 0.5, 1.0, 0.5, 0.25]
+
+
+@register(f"WITH {STFT_SQL}, h(j, h) AS (VALUES {', '.join(f'({j}, {h})' for j, h in enumerate(_SHAPE))}), g AS (SELECT k, pow(sum(h * cos(2 * pi() * (k - 8) * j / 16.0)), 2) + pow(sum(h * sin(2 * pi() * (k - 8) * j / 16.0)), 2) AS g FROM h, ks GROUP BY k) SELECT capture_id, port, frame, k, round(power * g, 12) AS power FROM st JOIN g USING (k)")
+def shaped_spectrum(spark: SparkSession, d: str) -> DataFrame:
+    out = filters.shaped(stft(spark, d), np.array(_SHAPE), NFFT)
+    return out.select("capture_id", "port", "frame", "k", r6("power", 12).alias("power"))
+
+
+@register("""WITH n AS (SELECT p_partkey, CAST(8 + p_size AS BIGINT) AS nfft FROM part), w AS (SELECT nfft, 0.54 - 0.46 * cos(2 * pi() * i / nfft) AS w FROM (SELECT nfft, unnest(range(nfft)) AS i FROM (SELECT DISTINCT nfft FROM n))),
+b AS (SELECT nfft, nfft * sum(w * w) / pow(sum(w), 2) AS b FROM w GROUP BY 1) SELECT p_partkey, nfft, round(b, 9) AS noise_bandwidth FROM n JOIN b USING (nfft)""")
+def window_bandwidth(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "part").select("p_partkey", (8 + F.col("p_size")).cast("long").alias("nfft"))
+    return windows.bandwidths(rows, "hamming").withColumn("noise_bandwidth", r6("noise_bandwidth", 9))
+
+
+@register("""WITH c AS (SELECT s_suppkey, 1.92e6 * pow(2, s_suppkey % 5) AS rate, CASE WHEN s_suppkey % 3 = 0 THEN 30e3 ELSE 15e3 END AS spacing FROM supplier),
+n AS (SELECT s_suppkey, CAST(rate / spacing AS BIGINT) AS nfft, CAST(round(10 * spacing / 15e3) AS BIGINT) AS slots FROM c),
+s AS (SELECT *, unnest(range(CAST(0 AS BIGINT), CAST(14 AS BIGINT))) AS symbol FROM n),
+p AS (SELECT *, CASE WHEN symbol % 7 = 0 THEN 10 * nfft // 128 ELSE 9 * nfft // 128 END AS prefix FROM s)
+SELECT s_suppkey, symbol, nfft, slots AS slots_per_frame, CAST(prefix AS BIGINT) AS prefix, CAST(sum(prefix + nfft) OVER w - prefix - nfft AS BIGINT) AS start, CAST(sum(prefix + nfft) OVER (PARTITION BY s_suppkey) AS BIGINT) AS slot_size
+FROM p WINDOW w AS (PARTITION BY s_suppkey ORDER BY symbol)""")
+def ofdm_numerology(spark: SparkSession, d: str) -> DataFrame:
+    """Prefixes and starts of a slot's symbols for every capture's rate and spacing."""
+    key = F.col("s_suppkey")
+    captures = read_table(spark, d, "supplier").select("s_suppkey", (F.lit(1.92e6) * F.pow(F.lit(2.0), key % 5)).alias("sample_rate"), F.when(key % 3 == 0, 30e3).otherwise(15e3).alias("subcarrier_spacing"), F.lit("4G").alias("generation"))
+    rows = ofdm.numerologies(captures).select("s_suppkey", "nfft", "slot_size", "slots_per_frame", F.posexplode(F.arrays_zip("prefixes", "starts")).alias("symbol", "z"))
+    return rows.select("s_suppkey", F.col("symbol").cast("long").alias("symbol"), "nfft", "slots_per_frame", F.col("z.prefixes").alias("prefix"), F.col("z.starts").alias("start"), "slot_size")

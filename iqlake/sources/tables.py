@@ -25,9 +25,11 @@ def chained_blocks(vectors: DataFrame, per_capture: int, id_col: str = "vec_id",
     return one.select(F.floor(F.col("capture_id") / per_capture).cast("long").alias("capture_id"), "port", at.cast("long").alias("n0"), "re", "im")
 
 
-def write_results(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), mode: str = "append") -> None:
-    """Results as zstd Parquet."""
+def write_results(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), mode: str = "append", batch_rows: int | None = None, chunk_bytes: int | None = None) -> None:
+    """Results as zstd Parquet, files of at most ``batch_rows`` rows, in row groups of about ``chunk_bytes``."""
     writer = df.write.mode(mode).option("compression", "zstd")
+    for name, value in (("maxRecordsPerFile", batch_rows), ("parquet.block.size", chunk_bytes)):
+        writer = writer if value is None else writer.option(name, value)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 

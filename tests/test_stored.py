@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from iqlake.functions import columns as C
+from iqlake.functions import ofdm
 from iqlake.operators import filters, frames
 from iqlake.plans import measurements, results, sweep
+from iqlake.sources import tables
 
 BLOCK = "capture_id long, port int, n0 long, re array<double>, im array<double>"
 
@@ -101,3 +103,30 @@ def test_blocks_have_times(spark):
     df = spark.createDataFrame([(0, 0, n0, [0.0], [0.0]) for n0 in (0, 1, 15_360_000 * 86_400 * 30 + 1)], BLOCK)
     got = {r.n0: r.time_ns for r in frames.with_time(df, F.lit(start), 15.36e6).collect()}
     assert got == {0: start, 1: start + 65, 15_360_000 * 86_400 * 30 + 1: start + 86_400 * 30 * 10**9 + 65}
+
+
+def test_turned_blocks_fit_together(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=50) + 1j * rng.normal(size=50)
+    df = spark.createDataFrame([(0, 0, a, x.real[a:b].tolist(), x.imag[a:b].tolist()) for a, b in ((0, 7), (7, 31), (31, 50))], BLOCK)
+    out = {r.n0 + i: complex(a, b) for r in filters.turned(df, F.lit(3.3), F.lit(16.0)).collect() for i, (a, b) in enumerate(zip(r.re, r.im, strict=True))}
+    assert np.allclose([out[n] for n in range(50)], x * np.exp(2j * np.pi * 3.3 / 16 * np.arange(50)))
+
+
+def test_delays_of_whole_samples_turn_a_block_around(spark):
+    x = np.arange(8.0)
+    df = spark.createDataFrame([(c, 0, 0, x.tolist(), (-x).tolist()) for c in range(3)], BLOCK)
+    got = {r.capture_id: np.array(r.re) + 1j * np.array(r.im) for r in filters.delayed(df, F.col("capture_id") * 2).collect()}
+    assert all(np.allclose(got[c], np.roll(x - 1j * x, 2 * c)) for c in range(3))
+
+
+def test_numerologies_of_captures(spark):
+    df = spark.createDataFrame([(1, 1.92e6, 15e3, "4G"), (2, 7.68e6, 30e3, "5G"), (3, 1e6, 15e3, "4G"), (4, 1.92e6, 15e3, "4G")], "id int, sample_rate double, subcarrier_spacing double, generation string")
+    got = {r.id: r for r in ofdm.numerologies(df).collect()}
+    assert got[1].prefixes == got[4].prefixes == [10, 9, 9, 9, 9, 9, 9] * 2 and got[1].slot_size == 1920 and got[2].nfft == 256 and got[2].slots_per_frame == 20
+    assert got[3].nfft is None and got[3].starts is None and len(got) == 4
+
+
+def test_batches_bound_files(spark, tmp_path):
+    tables.write_results(spark.range(100).coalesce(1), f"file://{tmp_path}/r", batch_rows=30, chunk_bytes=1 << 20)
+    assert len([f for f in (tmp_path / "r").iterdir() if f.suffix == ".parquet"]) == 4 and spark.read.parquet(f"file://{tmp_path}/r").count() == 100
