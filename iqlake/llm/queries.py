@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,7 +43,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.assign(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/tables/slot-map-{uuid.uuid4().hex}", 16)
+    # The map lasts, one for each folder of tables: the next run edits the version that this one leaves.
+    placed = sharding.assign(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/slot-maps/{zlib.crc32(sf_dir.encode()):08x}", 16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
