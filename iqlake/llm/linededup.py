@@ -1,4 +1,4 @@
-"""Line deduplication by pairwise alignment.
+"""Line deduplication by pairwise alignment; it pairs by runs of ``MIN_WORDS`` words, not by single lines, frequent runs included, and also deletes what patience diff leaves.
 
 A text is cut into units: lines, and the sentences of each line. Units are hashed, and so is the shortest run of units from each unit
 on that has ``MIN_WORDS`` words: two texts have a common block to delete only if they share such a run. A run that few documents share
