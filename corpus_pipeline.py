@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from iqlake.llm import decontam, language, linededup, neardup, packing
-from iqlake.llm.common import materialize, table
+from iqlake.llm.common import drop_table, materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document of which line dedup leaves a smaller share of its words goes as well: what is left is the edits of a copy.
@@ -67,7 +67,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs = given = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        if before is not given:
+            drop_table(before)
     return STAGES[-1][1](spark, docs, sf_dir)
