@@ -6,7 +6,7 @@ expressions. A block is one row with its samples as arrays; long captures are cu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,33 @@ def overlapping_blocks(blocks: DataFrame, size: int, nfft: int, hop: int) -> Dat
     return blocks.select(*KEYS, "n0", "re", "im", part).select(*KEYS, (F.col("n0") + F.col("part") * per * hop).cast("long").alias("n0"), cut("re"), cut("im"))
 
 
+#: Numbers of one transform in a kernel.
+TRANSFORM = 1 << 21
+
+
+def equal_runs(b: pa.RecordBatch, per_row: Callable[[int], int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, samples by row) of runs of rows with as many samples each; runs are cut where they hold over ``TRANSFORM`` numbers, ``per_row`` of a row's samples."""
+    re, im = b.column(3), b.column(4)
+    bounds, other = re.offsets.to_numpy(), im.offsets.to_numpy()
+    flat = [c.values.to_numpy(zero_copy_only=False) for c in (re, im)]
+    sizes = np.diff(bounds)
+    starts = np.flatnonzero(np.diff(sizes, prepend=-1)).tolist()
+    for first, end in zip(starts, [*starts[1:], len(sizes)], strict=True):
+        n = int(sizes[first])
+        step = max(1, TRANSFORM // max(1, per_row(n)))
+        for lo in range(first, end, step) if n else ():
+            hi = min(lo + step, end)
+            yield lo, (flat[0][bounds[lo] : bounds[hi]].astype(float) + 1j * flat[1][other[lo] : other[hi]]).reshape(hi - lo, n)
+
+
+def framed_power(x: np.ndarray, w: np.ndarray, hop: int) -> np.ndarray:
+    """(rows, frames, bins): squared transforms of the windowed frames of each row, frequency zero in the middle."""
+    y = np.fft.fft(np.lib.stride_tricks.sliding_window_view(x, len(w), axis=1)[:, ::hop] * w, axis=2)
+    if len(w) % 2:
+        y = np.fft.fftshift(y, axes=2)
+    return y.real**2 + y.imag**2
+
+
 def stft_power(blocks: DataFrame, nfft: int, overlap: int = 0, window: str | tuple = "hamming", zeros: int = 0) -> DataFrame:
     """capture_id, port, frame, k, power: |FFT(frame * window / nfft)|^2 with frequency zero at k = nfft // 2."""
     hop = nfft - overlap
@@ -38,23 +65,50 @@ def stft_power(blocks: DataFrame, nfft: int, overlap: int = 0, window: str | tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [*KEYS, "frame", "k", "power"]
         for b in batches:
-            for i in range(b.num_rows):
-                x = np.asarray(b.column(3)[i].values.to_numpy(zero_copy_only=False), float) + 1j * np.asarray(b.column(4)[i].values.to_numpy(zero_copy_only=False), float)
-                if len(x) < nfft:
+            for first, x in equal_runs(b, lambda n: n // hop * nfft):
+                if x.shape[1] < nfft:
                     continue
-                frames = np.lib.stride_tricks.sliding_window_view(x, nfft)[::hop]
-                y = np.fft.fft(frames * w, axis=1)
-                if nfft % 2:
-                    y = np.fft.fftshift(y, axes=1)
-                p = (y.real**2 + y.imag**2).ravel()
-                m = len(frames)
-                first = b.column(2)[i].as_py() // hop
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), b.column(0)[i].as_py(), np.int64)), pa.array(np.full(len(p), b.column(1)[i].as_py(), np.int32)), pa.array(np.repeat(np.arange(first, first + m), nfft)), pa.array(np.tile(np.arange(nfft), m)), pa.array(p)], names=names)
+                p = framed_power(x, w, hop)
+                rows, m, _ = p.shape
+                at = np.repeat(np.arange(first, first + rows), m * nfft)
+                frame = (b.column(2).to_numpy()[first : first + rows] // hop)[:, None] + np.arange(m)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(np.repeat(frame.ravel(), nfft)), pa.array(np.tile(np.arange(nfft), rows * m)), pa.array(p.ravel())], names=names)
 
     rows = blocks.select(F.col("capture_id").cast("long"), F.col("port").cast("int"), F.col("n0").cast("long"), "re", "im")
     return rows.mapInArrow(run, "capture_id long, port int, frame long, k long, power double")
 
 
+def block_psd(blocks: DataFrame, nfft: int, overlap: int = 0, window: str | tuple = "hamming", zeros: int = 0, stats: tuple = ("mean", 0.5, 0.9, "max")) -> DataFrame:
+    """:func:`power_spectral_density` of captures that are one block: statistics over the frames are taken where the block lies, no pixel leaves it and nothing is shuffled.
+
+    A block that begins later than at 0 raises; one without a whole frame gives no rows.
+    """
+    hop = nfft - overlap
+    w = make_window(window, nfft, zeros, center=nfft % 2 == 0) / nfft
+    named = {"mean": np.mean, "rms": np.mean, "max": np.max, "peak": np.max, "min": np.min, "median": np.median}
+    over = [named[s] if isinstance(s, str) else (lambda p, axis, q=s: np.quantile(p, q, axis=axis)) for s in stats]
+    labels = [label(s) for s in stats]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*KEYS, "k", "time_statistic", "value"]
+        for b in batches:
+            if np.any(b.column(2).to_numpy()):
+                raise ValueError("a capture has several blocks")
+            for first, x in equal_runs(b, lambda n: n // hop * nfft):
+                if x.shape[1] < nfft:
+                    continue
+                p = framed_power(x, w, hop)
+                with np.errstate(divide="ignore"):
+                    value = 10 * np.log10(np.stack([f(p, axis=1) for f in over], axis=2) + EPS)
+                n = len(x)
+                at = pa.array(np.repeat(np.arange(first, first + n), nfft * len(over)))
+                kind = pa.DictionaryArray.from_arrays(pa.array(np.tile(np.arange(len(over), dtype=np.int32), n * nfft)), pa.array(labels)).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.tile(np.repeat(np.arange(nfft), len(over)), n)), kind, pa.array(value.ravel())], names=names)
+
+    rows = blocks.select(F.col("capture_id").cast("long"), F.col("port").cast("int"), F.col("n0").cast("long"), "re", "im")
+    return rows.mapInArrow(run, "capture_id long, port int, k long, time_statistic string, value double")
+
+
 def spectrogram(blocks: DataFrame, fs: float, resolution: float, overlap: float = 0.0, fill: float = 1.0, window: str | tuple = "hamming", bandwidth: float = float("inf"), integrate: float | None = None, aperture: int | None = None, lo_stop: float | None = None) -> DataFrame:
     """Linear spectrogram: framed power, local-oscillator band as NaN, trimmed band, frequency bins summed, time bins averaged."""
     nfft = whole(fs / resolution, "fs / resolution")

@@ -145,7 +145,7 @@ def stft_power(spark: SparkSession, d: str) -> DataFrame:
 @register(f"""WITH {STFT_SQL}, s AS (SELECT capture_id, port, k, avg(power) AS a, quantile_cont(power, 0.5) AS b, quantile_cont(power, 0.9) AS c, max(power) AS d FROM st GROUP BY ALL)
 SELECT capture_id, port, k, unnest(['mean', '0.5', '0.9', 'max']) AS time_statistic, unnest([round(10 * log10(a + 1e-25), 6), round(10 * log10(b + 1e-25), 6), round(10 * log10(c + 1e-25), 6), round(10 * log10(d + 1e-25), 6)]) AS value FROM s""")
 def psd_mean_quantile(spark: SparkSession, d: str) -> DataFrame:
-    return spectrum.power_spectral_density(stft(spark, d)).withColumn("value", r6("value"))
+    return spectrum.block_psd(blocks(spark, d), NFFT, OVERLAP).withColumn("value", r6("value"))
 
 
 @register(f"WITH {STFT_SQL} SELECT capture_id, port, frame, (k - 2) // 4 AS k, round(sum(power), 12) AS power FROM st WHERE k >= 2 AND k < 14 GROUP BY ALL")

@@ -20,7 +20,7 @@ _TAPS = [1.0, 2.0, 3.0, 2.0, 1.0]
 SELECT capture_id, port, (i + 3 * n) // 2 AS n, round(sum(re * v), 6) + 0.0 AS re, round(sum(im * v), 6) + 0.0 AS im
 FROM iq, h WHERE (i + 3 * n) % 2 = 0 AND (i + 3 * n) // 2 < 48 GROUP BY ALL""")
 def upfirdn(spark: SparkSession, d: str) -> DataFrame:
-    out = frames.samples(filters.upfirdn(blocks(spark, d), np.array(_TAPS), 3, 2, size=8))
+    out = frames.samples(filters.upfirdn(blocks(spark, d), np.array(_TAPS), 3, 2, size=8, one_block=True))
     return out.select("capture_id", "port", "n", (r6("re") + 0.0).alias("re"), (r6("im") + 0.0).alias("im"))
 
 
@@ -99,7 +99,7 @@ m AS (SELECT capture_id, port, beam, median(p) AS m FROM p GROUP BY ALL),
 f AS (SELECT capture_id, port, min(m) / 5 AS f FROM m GROUP BY ALL)
 SELECT p.capture_id, p.port, beam, lag, round(10 * log10(p), 6) AS power, round(10 * log10(f), 6) AS floor FROM p JOIN f ON p.capture_id = f.capture_id AND p.port = f.port""")
 def pss_report(spark: SparkSession, d: str) -> DataFrame:
-    out = results.correlation_report(cellular.correlate_waves(blocks(spark, d), _WAVES["pss"], (0, 4), 5, 16), "beam", ["capture_id", "port"])
+    out = results.correlation_report(cellular.correlate_waves(blocks(spark, d), _WAVES["pss"], (0, 4), 5, 16, one_block=True), "beam", ["capture_id", "port"])
     return out.withColumn("power", r6("power")).withColumn("floor", r6("floor"))
 
 

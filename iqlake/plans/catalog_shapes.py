@@ -172,7 +172,7 @@ def iq_waveform(spark: SparkSession, d: str) -> DataFrame:
   SELECT CAST(range - 4 AS BIGINT) AS k, CASE WHEN range = 4 THEN 0.5 ELSE (cos(2 * pi() * 0.1875 * (range - 4)) - cos(2 * pi() * 0.3125 * (range - 4))) / (2 * pi() * pi() * (range - 4) * (range - 4) * 0.125) END AS h FROM range(9))
 SELECT capture_id, port, n + k AS n, round(sum(re * h), 6) AS re, round(sum(im * h), 6) AS im FROM iq, h WHERE n + k >= 0 AND n + k < 32 GROUP BY ALL""")
 def fir_filter(spark: SparkSession, d: str) -> DataFrame:
-    out = frames.samples(filters.filtered(blocks(spark, d), 16.0, FS, 9, 4.0, 12))
+    out = frames.samples(filters.filtered(blocks(spark, d), 16.0, FS, 9, 4.0, 12, one_block=True))
     return out.select("capture_id", "port", "n", r6(F.col("re") + 0.0).alias("re"), r6(F.col("im") + 0.0).alias("im"))
 
 
@@ -215,13 +215,13 @@ _EDGE = float(windows.noise_bandwidth("hamming", NFFT))
 
 @register(_overlap_sql(NFFT, -8.0 + _EDGE, 10.0 - _EDGE))
 def oa_filter(spark: SparkSession, d: str) -> DataFrame:
-    out = frames.samples(filters.oa_filter(blocks(spark, d), FS, NFFT, (-8.0, 10.0), size=8))
+    out = frames.samples(filters.oa_filter(blocks(spark, d), FS, NFFT, (-8.0, 10.0), size=8, one_block=True))
     return out.select("capture_id", "port", "n", (r6("re") + 0.0).alias("re"), (r6("im") + 0.0).alias("im"))
 
 
 @register(_overlap_sql(8, -6.0, 6.0))
 def oa_resample(spark: SparkSession, d: str) -> DataFrame:
-    out = frames.samples(filters.oa_resample(blocks(spark, d), FS, NFFT, 8, bandwidth=12.0, size=16))
+    out = frames.samples(filters.oa_resample(blocks(spark, d), FS, NFFT, 8, bandwidth=12.0, size=16, one_block=True))
     return out.select("capture_id", "port", "n", (r6("re") + 0.0).alias("re"), (r6("im") + 0.0).alias("im"))
 
 
@@ -239,7 +239,7 @@ c AS (SELECT capture_id, port, CAST(cell_id AS INTEGER) AS cell_id, CAST(block A
 
 @register(_correlation_sql("pss") + " SELECT capture_id, port, cell_id, block, beam, lag, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM c")
 def pss_correlation(spark: SparkSession, d: str) -> DataFrame:
-    out = cellular.correlate_waves(blocks(spark, d), _WAVES["pss"], (0, 4), 5, 16)
+    out = cellular.correlate_waves(blocks(spark, d), _WAVES["pss"], (0, 4), 5, 16, one_block=True)
     return out.withColumn("re", r6("re") + 0.0).withColumn("im", r6("im") + 0.0)
 
 
@@ -252,7 +252,7 @@ s AS (SELECT a.capture_id, a.port, a.lag, sum(b.p * (1 - abs(a.lag - b.lag) / 5.
 r AS (SELECT capture_id, port, lag, row_number() OVER (PARTITION BY capture_id, port ORDER BY round(s, 12) DESC, lag) AS r FROM s)
 SELECT capture_id, port, lag, round(lag / 32.0, 9) AS delay FROM r WHERE r = 1""")
 def sss_sync(spark: SparkSession, d: str) -> DataFrame:
-    out = cellular.sync(cellular.correlate_waves(blocks(spark, d), _WAVES["sss"], (0, 4), 5, 16, mean=True), FS)
+    out = cellular.sync(cellular.correlate_waves(blocks(spark, d), _WAVES["sss"], (0, 4), 5, 16, mean=True, one_block=True), FS)
     return out.select("capture_id", "port", "lag", r6("delay", 9).alias("delay"))
 
 

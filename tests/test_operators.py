@@ -421,3 +421,31 @@ def test_histogram_fractions_of_one_port(spark):
     df = spark.createDataFrame(rows, "capture_id long, port int, power double")
     got = {(r.port, r.n): r.fraction for r in spectrum.spectrogram_histogram(df, 0, 10, 1, normalise_port=0).collect()}
     assert got == {(0, 2): 1.0, (1, 1): 0.5, (1, 3): 1.5}
+
+
+def test_statistics_in_the_kernel_equal_those_of_pixels(spark):
+    rng = np.random.default_rng(3)
+    rows = [(c, p, 0, *(rng.normal(size=n).tolist() for _ in range(2))) for c, n in ((0, 64), (1, 64), (2, 100), (3, 10), (4, 64), (5, 0)) for p in range(2)]
+    df = spark.createDataFrame(rows, "capture_id long, port int, n0 long, re array<double>, im array<double>")
+    kinds = ("mean", 0.25, "max", "min", "median")
+    for nfft, overlap in ((16, 8), (15, 5), (16, 0)):
+        want = {(r.capture_id, r.port, r.k, r.time_statistic): r.value for r in spectrum.power_spectral_density(spectrum.stft_power(df, nfft, overlap), kinds).collect()}
+        got = {(r.capture_id, r.port, r.k, r.time_statistic): r.value for r in spectrum.block_psd(df, nfft, overlap, stats=kinds).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert "Exchange" not in spectrum.block_psd(df, 16)._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="several blocks"):
+        spectrum.block_psd(df.withColumn("n0", F.lit(1).cast("long")), 16).collect()
+
+
+def test_transforms_of_many_rows_equal_those_of_one(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(c, 0, 8 * c, *(rng.normal(size=n).tolist() for _ in range(2))) for c, n in enumerate((32, 32, 40, 7, 32, 32, 32))]
+    df = spark.createDataFrame(rows, "capture_id long, port int, n0 long, re array<double>, im array<double>").coalesce(1)
+    got = {(r.capture_id, r.frame, r.k): r.power for r in spectrum.stft_power(df, 8, 4, "hamming").collect()}
+    w = windows.window("hamming", 8, center=True) / 8
+    want = {}
+    for c, _, n0, re, im in rows:
+        x = np.array(re) + 1j * np.array(im)
+        for f in range((len(x) - 8) // 4 + 1):
+            want |= {(c, n0 // 4 + f, k): v for k, v in enumerate(np.abs(np.fft.fft(x[4 * f : 4 * f + 8] * w)) ** 2)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
