@@ -6,8 +6,9 @@ a constant per query restores the score. Per query, terms are ordered by their b
 vector over the current k-th score are non-essential. The essential postings of a step are traversed, and the other terms are probed,
 largest bound first, only for vectors that can still compete. Shards return k rows a query, and a window merges them.
 
-The first shard is searched before the others: its k-th scores are the floors from which these start. Shards have a bounded number of rows,
-queries stand in blocks, and a task has one shard and one group of blocks.
+The first shard is searched before the others: its k-th scores are the floors from which these start. Shards have a bounded number of rows and queries stand in blocks. A task
+has one shard and streams the blocks of queries from their table in the shared folder, a few at a time, so neither shards nor blocks are multiplied by a shuffle. Only while there are
+fewer shards than tasks at a time are the blocks divided into groups, each with a copy of the shard. The folder is reached through ``pyarrow.fs`` (file, hdfs, s3, gs, abfs).
 
 Vectors of any finite size take part. A shard holds vectors of one magnitude. Where sums in doubles could round (``EXACT`` and more), bounds
 and thresholds are widened by the largest possible rounding, and the vectors that still compete are scored in whole numbers without limit.
@@ -26,14 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_table, materialize
 
 SHARD_ROWS, BLOCK_ROWS = 16_384, 512
-#: Query blocks that a task meets with one shard, whose postings it builds once.
-GROUP_BLOCKS = 4
+#: Tasks wanted for each core, from which the groups of query blocks follow; blocks that a task reads at a time.
+TASKS_EACH, READ_BLOCKS = 4, 4
 #: A shard is traversed in steps; each has bounds of its own, and its scores raise the threshold of the next.
 STEP = 4_096
 #: Non-essential terms are probed so many at a time, the largest bounds first.
@@ -173,6 +176,16 @@ def scaled_down(score: int, bits: int) -> float:
 SCHEMA = "query_id long, vec_id long, score long, beyond binary"
 
 
+def query_blocks(files: list[str], grp: int) -> Iterator[tuple[bytes, bytes, list[dict] | None]]:
+    """(ids, matrix, floors) of a group's blocks, read where the task runs."""
+    if not files:
+        return
+    stores = [fs.FileSystem.from_uri(f) for f in files]
+    table = ds.dataset([name for _, name in stores], filesystem=stores[0][0], format="parquet")
+    for b in table.to_batches(columns=["q_ids", "q_m", "floors"], filter=ds.field("grp") == grp, batch_size=READ_BLOCKS, batch_readahead=1, fragment_readahead=1):
+        yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 20, dim: int = 64, scale: float = 64.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k best candidates of every row that ``is_query`` (over vec_id) picks."""
     rows = materialize(quantised(vectors, dim, scale, id_col, vec_col), "vectors")
@@ -185,32 +198,31 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, dim: int = 64, sca
     for c, p in parts:
         shard = F.when(F.col("cls") == c, F.pmod(F.xxhash64("vec_id"), F.lit(p)) + first).otherwise(shard)
         first += p
-    groups = -(-blocks // GROUP_BLOCKS)
+    # As many groups as keep all cores busy where shards are few; with more shards than that, one.
+    groups = max(1, min(blocks, -(-TASKS_EACH * vectors.sparkSession.sparkContext.defaultParallelism // shards)))
     held = materialize(packed(rows.withColumn("shard", shard.cast("long")), "shard"), "shards")
     asked = packed(rows.where(is_query).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("long")), "block").withColumnsRenamed({"ids": "q_ids", "m": "q_m"})
-    asked = materialize(asked.withColumn("grp", F.floor(F.col("block") / GROUP_BLOCKS).cast("long")), "asked")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, postings = None, None
-        for b in batches:
-            for number, ids, m, q_ids, q_m, floors in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if number != last:
-                    last, postings = number, Postings(np.frombuffer(ids, "<i8"), np.frombuffer(m, "<f8").reshape(-1, dim))
-                start = {f["query_id"]: f["floor"] for f in floors or ()}
-                out: list[tuple] = []
-                for qid, q in zip(np.frombuffer(q_ids, "<i8").tolist(), np.frombuffer(q_m, "<f8").reshape(-1, dim), strict=True):
-                    found, score = postings.search(qid, q, k, start.get(qid))
-                    out += [(qid, i, max(-LONG - 1, min(LONG, s)), order_key(s)) for i, s in zip(found, score, strict=True)]
-                columns = list(zip(*out, strict=True)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["query_id", "vec_id", "score", "beyond"])
+    asked = materialize(asked.withColumn("grp", F.pmod("block", F.lit(groups)).cast("long")), "asked")
 
     def searched(numbers: range, with_floor: DataFrame) -> DataFrame:
         """Every block against the shards of these numbers, a task for a shard and a group of blocks."""
-        tasks = max(1, min(len(numbers) * groups, 20_000))
-        left = held.where(F.col("shard").between(numbers[0], numbers[-1])).withColumn("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-        right = with_floor.withColumn("shard", F.explode(F.sequence(F.lit(numbers[0]).cast("long"), F.lit(numbers[-1]).cast("long"))))
-        pairs = left.repartition(tasks, "shard", "grp").join(right.repartition(tasks, "shard", "grp").hint("merge"), ["shard", "grp"])
-        return pairs.select("shard", "ids", "m", "q_ids", "q_m", "floors").mapInArrow(run, SCHEMA)
+        files = [f for f in with_floor.inputFiles() if f.endswith(".parquet")]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for ids, m, grp in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    postings = Postings(np.frombuffer(ids, "<i8"), np.frombuffer(m, "<f8").reshape(-1, dim))
+                    for q_ids, q_m, floors in query_blocks(files, grp):
+                        start = {f["query_id"]: f["floor"] for f in floors or ()}
+                        out: list[tuple] = []
+                        for qid, q in zip(np.frombuffer(q_ids, "<i8").tolist(), np.frombuffer(q_m, "<f8").reshape(-1, dim), strict=True):
+                            found, score = postings.search(qid, q, k, start.get(qid))
+                            out += [(qid, i, max(-LONG - 1, min(LONG, s)), order_key(s)) for i, s in zip(found, score, strict=True)]
+                        columns = list(zip(*out, strict=True)) or [()] * 4
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["query_id", "vec_id", "score", "beyond"])
+
+        here = held.where(F.col("shard").between(numbers[0], numbers[-1])).select("ids", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("grp"))
+        return here.repartition(max(1, len(numbers) * groups)).mapInArrow(run, SCHEMA)
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
 
@@ -218,14 +230,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, dim: int = 64, sca
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
     none = F.lit(None).cast("array<struct<query_id:long,floor:long>>")
-    found = early = materialize(merged(searched(range(1), asked.withColumn("floors", none))).drop("rank"), "first")
+    plain = materialize(asked.withColumn("floors", none), "asked-first")
+    found = early = materialize(merged(searched(range(1), plain)).drop("rank"), "first")
     if shards > 1:
         # A k-th score that isn't a 64-bit number is left out where it is below, and a floor as well where it is above.
         kth = found.groupBy("query_id").agg(F.min_by("score", F.struct("score", "beyond")).alias("floor"), F.count(F.lit(1)).alias("n")).where((F.col("n") >= k) & (F.col("floor") > -LONG - 1))
         mine = kth.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)).cast("long"))
         floors = mine.groupBy("block").agg(F.collect_list(F.struct("query_id", "floor")).alias("floors"))  # the queries of a block
-        found = found.unionByName(searched(range(1, shards), asked.join(floors, "block", "left")))
+        informed = materialize(asked.join(floors, "block", "left"), "asked-then")
+        found = found.unionByName(searched(range(1, shards), informed))
     out = materialize(merged(found).select("query_id", "rank", "vec_id", "score"), "topk")
-    for df in (rows, held, asked, early):
+    for df in (rows, held, asked, plain, early, *([informed] if shards > 1 else [])):
         drop_table(df)
     return out
