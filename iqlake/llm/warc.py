@@ -59,13 +59,14 @@ def uri_text(target: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", target)
 
 
-def marked(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least: int) -> DataFrame:
-    """(id, target, payload, refers_to): ``refers_to`` is the id of the response with the same payload, null for responses."""
+def marked(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least: int) -> tuple[DataFrame, DataFrame]:
+    """(id, target, payload, refers_to): ``refers_to`` is the id of the response with the same payload, null for responses; and the table of repeated payloads behind it."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("target"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumns({"key": F.sha2("payload", 256), "size": F.octet_length("payload")})
     copies = rows.where(F.col("size") >= least).groupBy("key", "size").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     refers = F.when(F.col("id").isNull() | (F.col("id") < F.col("first")), F.col("first"))
-    return rows.join(materialize(copies, "payload-copies"), ["key", "size"], "left").select("id", "target", "payload", refers.alias("refers_to"))
+    copies = materialize(copies, "payload-copies")
+    return rows.join(copies, ["key", "size"], "left").select("id", "target", "payload", refers.alias("refers_to")), copies
 
 
 def record(number: int | None, target: str | None, payload: bytes, refers_to: int | None, date: str = EPOCH) -> bytes:
@@ -115,8 +116,10 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
         if out is not None:
             yield closed()
 
-    rows = marked(pages, id_col, url_col, payload_col, least)
-    return materialize(rows.mapInArrow(run, MANIFEST), "manifest")
+    rows, copies = marked(pages, id_col, url_col, payload_col, least)
+    manifest = materialize(rows.mapInArrow(run, MANIFEST), "manifest")
+    drop_table(copies)
+    return manifest
 
 
 class Damaged(Exception):
