@@ -65,6 +65,8 @@ def correlate(blocks: DataFrame, kind: str, sample_rate: float, spacing: float,
     size = sync_sizes(sample_rate, spacing, max_lag_symbols)
     later = size["secondary"] if kind == "sss" else 0
     starts = tuple(s * size["symbol"] + later for s in symbols)
+    if kind == "sss" and ids is None:
+        return correlate_sss(blocks, sample_rate, spacing, starts, size["lags"], round(period * sample_rate), mean)
     return correlate_waves(blocks, templates(kind, sample_rate, spacing, ids), starts, size["lags"], round(period * sample_rate), mean)
 
 

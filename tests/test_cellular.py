@@ -43,6 +43,14 @@ def test_all_sequences_equal_direct_correlation(spark, rate, spacing):
     assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-8 * max(b.values())
 
 
+def test_all_secondary_identities_go_by_their_structure(spark):
+    df = spark.createDataFrame(pieces(noise(900, 5)), BLOCK)
+    args = ("sss", 1.92e6, 15e3, (0,), 900 / 1.92e6, 1)
+    some = {tuple(r)[:6]: complex(r.re, r.im) for r in cellular.correlate(df, *args, ids=(0, 500, 1007)).collect()}
+    every = {tuple(r)[:6]: complex(r.re, r.im) for r in cellular.correlate(df, *args).where("cell_id in (0, 500, 1007)").collect()}
+    assert some.keys() == every.keys() and max(abs(some[k] - every[k]) for k in some) < 1e-8
+
+
 def plain_cyclic(x, sets):
     most = max(s["lags"] for s in sets)
     get = lambda i: x[i] if i < len(x) else 0.0
