@@ -174,11 +174,12 @@ def lagged_product_blocks(blocks: DataFrame, lag: int, indexes: list[int], lags:
     return partial.groupBy(*KEYS, "j").agg((F.hypot(F.sum("re"), F.sum("im")) / len(indexes)).alias("r"))
 
 
-def cyclic_autocorrelation(blocks: DataFrame, sets: list[dict], size: int = 1 << 18, one_block: bool = False) -> DataFrame:
+def cyclic_autocorrelation(blocks: DataFrame, sets: list[dict], size: int = 1 << 18, one_block: bool = False, measured_only: bool = False) -> DataFrame:
     """|mean of x[i + j] conj(x[i + j + nfft])| over the prefixes of each link direction and subcarrier spacing (``ofdm.prefix_sets``): keys, link_direction, subcarrier_spacing, j, r.
 
     All sets are taken in one pass over chunks. A set's prefixes are runs of samples, so a lag is a difference of running sums per run. The rows make a
     dense grid: r is null for the lags that a spacing hasn't and where a direction has no prefix; samples behind a capture's end count as zero.
+    With ``measured_only`` r is null too where the capture has both samples of no product at all, as it ends before a direction's first slot.
     """
     from .filters import chunk_rows, chunk_samples
 
@@ -197,17 +198,24 @@ def cyclic_autocorrelation(blocks: DataFrame, sets: list[dict], size: int = 1 <<
                 x, own, _ = chunk_samples(pieces, chunk * size, size, 0, most)
                 if own <= 0:
                     continue
-                first, sums = chunk * size, {}
+                first, sums, pairs = chunk * size, {}, {}
+                has = np.zeros(len(x), bool)
+                for n0, re, _ in pieces:
+                    has[max(0, n0 - first) : max(0, n0 - first + len(re))] = True
                 for k, nfft, lags, begin, end in plans:
                     if nfft not in sums:
                         sums[nfft] = np.concatenate([[0], np.cumsum(x[:own] * np.conj(x[nfft : nfft + own]))])
+                        pairs[nfft] = np.concatenate([[0], np.cumsum(has[:own] & has[nfft : nfft + own])])
                     near = (end + lags > first) & (begin < first + own)
                     if not near.any():
                         continue
                     j = np.arange(lags)
                     place = lambda a: np.clip(a[near][:, None] - first + j, 0, own)  # noqa: E731, B023
                     r = (sums[nfft][place(end)] - sums[nfft][place(begin)]).sum(axis=0)
-                    full = lambda v, t: pa.array(np.full(lags, v), t)  # noqa: E731, B023
+                    if measured_only:
+                        j = np.flatnonzero((pairs[nfft][place(end)] - pairs[nfft][place(begin)]).sum(axis=0))
+                        r = r[j]
+                    full = lambda v, t: pa.array(np.full(len(j), v), t)  # noqa: E731, B023
                     yield pa.RecordBatch.from_arrays([full(cap, pa.int64()), full(port, pa.int32()), full(k, pa.int32()), pa.array(j), pa.array(np.ascontiguousarray(r.real)), pa.array(np.ascontiguousarray(r.imag))], names=[*KEYS, "set", "j", "re", "im"])
 
     rows = chunks(blocks, size, 0, most, one_block=one_block).select(F.col("capture_id").cast("long"), F.col("port").cast("int"), "chunk", "pieces")
@@ -219,7 +227,7 @@ def cyclic_autocorrelation(blocks: DataFrame, sets: list[dict], size: int = 1 <<
     captures = blocks.select(F.col("capture_id").cast("long"), F.col("port").cast("int")).distinct()
     dense = captures.select(*KEYS, grid).select(*KEYS, "g.*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lags - 1).cast("long"))).alias("j"))
     held = F.element_at(F.array(*(F.lit(s["lags"] if len(s["indexes"]) else 0) for s in sets)), F.col("set") + 1)  # lags that the set has
-    r = F.when(F.col("j") < held, F.coalesce("r", F.lit(0.0))).alias("r")
+    r = F.col("r") if measured_only else F.when(F.col("j") < held, F.coalesce("r", F.lit(0.0))).alias("r")
     return dense.join(found, [*KEYS, "set", "j"], "left").select(*KEYS, "link_direction", "subcarrier_spacing", "j", r)
 
 

@@ -78,6 +78,38 @@ def test_prefixes_by_direction_equal_plain_sums(spark, size):
     assert stats.cyclic_autocorrelation(df.limit(0), sets, size).count() == 0
 
 
+def test_lags_without_a_product_are_null_on_request(spark):
+    """A capture that ends before a set's prefixes, one that ends among them, and one with a gap."""
+    sets = [{"direction": "downlink", "spacing": 1.0, "nfft": 16, "lags": 20, "indexes": np.array([0, 1, 2, 40, 41])}, {"direction": "uplink", "spacing": 1.0, "nfft": 16, "lags": 20, "indexes": np.array([80, 81])}]
+    x = {0: noise(70), 1: noise(100, 1), 2: noise(130, 2)}
+    rows = [*pieces(x[0], 0), *pieces(x[1], 1, 0, (30,)), *(p for p in pieces(x[2], 2, 0, (88, 92)) if p[2] != 88)]
+    has = {c: np.ones(len(v), bool) for c, v in x.items()}
+    has[2][88:92] = False
+    for size in (7, 50, 1000):
+        got = {(r.capture_id, r.link_direction, r.j): r.r for r in stats.cyclic_autocorrelation(spark.createDataFrame(rows, BLOCK), sets, size, measured_only=True).collect()}
+        for c, s, j in itertools.product(x, sets, range(20)):
+            at = [i + j for i in s["indexes"].tolist() if i + j + 16 < len(x[c]) and has[c][i + j] and has[c][i + j + 16]]
+            r = got.pop((c, s["direction"], j))
+            assert (r is None) == (not at)
+            if at:
+                assert abs(r - abs(sum(x[c][n] * np.conj(x[c][n + 16]) for n in at)) / len(s["indexes"])) < 1e-9
+        assert not got
+
+
+def test_directions_of_a_short_last_capture_equal_the_sql(spark, tmp_path):
+    import duckdb
+
+    from iqlake.plans import catalog, catalog_cellular
+
+    rng = np.random.default_rng(3)
+    spark.createDataFrame([(i, rng.normal(size=64).tolist()) for i in range(253)], "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = {r[:5]: r[5] for r in con.execute(catalog.SQL["cyclic_autocorr_directions"]).fetchall()}
+    got = {tuple(r)[:5]: r.r for r in catalog_cellular.cyclic_autocorr_directions(spark, str(tmp_path)).collect()}
+    assert got == want and want[1, 0, "uplink", 15e3, 0] is None
+
+
 def test_prefix_sets():
     sets = ofdm.prefix_sets(3.84e6, (15e3, 30e3), {15e3: "dddddduuss", 30e3: "u"}, "4G", frames=(0, 1))
     assert [(s["direction"], s["spacing"], s["nfft"], s["lags"], len(s["indexes"])) for s in sets] == [("downlink", 15e3, 256, 274, 2 * 6 * 14 * 18), ("uplink", 15e3, 256, 274, 2 * 2 * 14 * 18), ("downlink", 30e3, 128, 137, 0), ("uplink", 30e3, 128, 137, 2 * 20 * 14 * 9)]
