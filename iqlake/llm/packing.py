@@ -11,9 +11,11 @@ ignored, so their names can't clash. Only the last sequence of the corpus can be
 
 from __future__ import annotations
 
+import itertools
+import json
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,9 @@ from .common import materialize
 
 #: The pre-tokeniser's pattern in word_bpe_49k.json (a fixed value of that public file).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: How a tokeniser must normalise and split for its texts to be encoded word by word.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": PRE_TOKEN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 #: Texts of other characters than these go through the tokeniser whole: normalisation may change them.
 PLAIN = "[^\\x00-\\x84\\x86-\\u024f\\u2010-\\u2027\\u20ac]"
 #: So do texts with separators that only some libraries count as white space.
@@ -34,75 +39,147 @@ BROADCAST_ROWS = 1_000_000
 _ENCODERS: dict[str, Callable] = {}
 
 
+class Numbers(dict):
+    """A number for each string, in the order in which strings are first asked for; new ones are listed until they are taken."""
+
+    def __init__(self, strings: Iterable[str] = ()):
+        super().__init__(zip(strings, itertools.count()))
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        self.new.append(key)
+        return n
+
+    def of(self, strings: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, strings), np.int64, len(strings))
+
+    def taken(self) -> list[str]:
+        new, self.new = self.new, []
+        return new
+
+
+class Lists:
+    """Lists of ids by number, in one array that grows."""
+
+    def __init__(self):
+        self.starts, self.flat, self.count = np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
+
+    def append(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        used = int(self.starts[self.count])
+        while len(self.starts) < self.count + len(lengths) + 1:
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        while len(self.flat) < used + len(ids):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[used : used + len(ids)] = ids
+        self.starts[self.count + 1 : self.count + 1 + len(lengths)] = used + np.cumsum(lengths)
+        self.count += len(lengths)
+
+    def joined(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the lists ``at`` in a row, and the length of each."""
+        lo = self.starts[at]
+        n = self.starts[at + 1] - lo
+        ends = np.cumsum(n)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(lo - ends + n, n)], n
+
+
 class CachedEncoder:
-    """Ids of texts under a word-level BPE tokeniser, each distinct word (a run without white space) being encoded once.
+    """Ids of texts under a word-level BPE tokeniser; each distinct pre-token is encoded once, and put together once for each distinct word (a run without white space).
 
-    The tokeniser lower-cases, drops white space and never merges over pre-tokens, so a text's ids are its words' ids in a row. The
-    last id of each pre-token is one whose string ends in ``</w>``: with the number of pre-tokens in each new word that splits the
-    ids of a joined string of new words.
+    The tokeniser lower-cases, drops white space and never merges over pre-tokens, so a text's ids are its words' ids in a row, and these are their pre-tokens'. The
+    last id of each pre-token is one whose string ends in ``</w>``, which splits the ids of a joined string of new ones. What is held is bounded: beyond
+    ``most`` words or pre-tokens the words that were met again stay, half of ``most`` at the most. A tokeniser that splits or normalises in another way gets every text whole.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 200_000):
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tok, self.most = Tokenizer.from_file(path), most
-        self.find, self.odd = regex.compile(PRE_TOKEN).findall, re.compile(PLAIN).search
+        self.path, self.most = path, most
+        self.tok = Tokenizer.from_file(path)
+        self.find, self.odd = regex.compile(PRE_TOKEN + "|\n").findall, re.compile(PLAIN).search
         self.ends = np.zeros(self.tok.get_vocab_size(), bool)
         for word, i in self.tok.get_vocab().items():
             self.ends[i] = word.endswith("</w>")
         self.whole = [*SEPARATORS, *(x.content for x in self.tok.get_added_tokens_decoder().values())]
+        made = json.loads(self.tok.to_str(pretty=False))
+        self.by_word = made["normalizer"] == NORMALIZER and made["pre_tokenizer"] == PRE_TOKENIZER
+        # Words come in lower case and pre-tokens one by one: neither is done again. Texts that go whole have a tokeniser as it was, from the first one on.
+        self.plain = None if self.by_word else self.tok
+        if self.by_word:
+            self.tok.normalizer = None
+            self.tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.starts, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
+        """Number 0 is the end of a text; no word holds white space."""
+        self.words, self.word_ids, self.used = Numbers(["\n"]), Lists(), np.zeros(1024, np.int64)
+        self.word_ids.append(np.array([END_ID], np.uint32), np.array([1]))
+        self.parts, self.part_ids = Numbers(), Lists()
+
+    def shrink(self) -> None:
+        """Keeps the words that were met again, the most frequent ones."""
+        used, names = self.used[: len(self.words)], list(self.words)
+        used[0] = 0
+        again = np.flatnonzero(used > 1)
+        kept = np.sort(again[np.argsort(-used[again], kind="stable")][: self.most // 2])
+        ids, n = self.word_ids.joined(kept)
+        self.forget()
+        self.words = Numbers(["\n", *(names[i] for i in kept.tolist())])
+        self.word_ids.append(ids, n)
 
-    def learn(self, words: list[str]) -> None:
-        ids = np.array(self.tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+    def encode_parts(self, new: list[str]) -> None:
+        ids = np.array(self.tok.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
         stops = np.flatnonzero(self.ends[ids]) + 1
-        upto = np.cumsum([len(self.find(w)) for w in words])
-        if len(stops) != upto[-1]:
+        if len(stops) != len(new) or len(ids) != stops[-1]:
             raise ValueError("pre-tokens and word ends don't match; the tokeniser isn't a word-end BPE")
-        cuts = np.concatenate([[0], stops])[upto]
-        n, total = len(self.place), self.used + len(ids)
-        while len(self.starts) < n + len(words) + 1:
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        while len(self.flat) < total:
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : total] = ids
-        self.starts[n + 1 : n + 1 + len(words)] = cuts + self.used
-        self.place.update(zip(words, range(n, n + len(words)), strict=True))
-        self.used = total
+        self.part_ids.append(ids, np.diff(stops, prepend=0))
+
+    def learn(self, new: list[str]) -> None:
+        found = self.find("\n".join(new))
+        breaks = np.flatnonzero(np.fromiter(map("\n".__eq__, found), bool, len(found)))
+        counts = np.diff(np.concatenate([[-1], breaks, [len(found)]])) - 1
+        at = self.parts.of([x for x in found if x != "\n"])
+        if self.parts.new:
+            self.encode_parts(self.parts.taken())
+        ids, n = self.part_ids.joined(at)
+        upto = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])]
+        self.word_ids.append(ids, np.diff(upto))
+
+    def encode_whole(self, text: str) -> np.ndarray:
+        if self.plain is None:
+            from tokenizers import Tokenizer
+
+            self.plain = Tokenizer.from_file(self.path)
+        return np.array([*self.plain.encode(text, add_special_tokens=False).ids, END_ID], np.uint32)
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, with the end id."""
-        if len(self.place) > self.most:
-            self.forget()
-        split: list = []
+        if max(len(self.words), len(self.parts)) > self.most:
+            self.shrink()
+        out: list[np.ndarray | None] = []
+        rows: list[np.ndarray] = []
         for t in texts:
-            if t and (not t.isascii() and self.odd(t) or any(s in t for s in self.whole)):
-                split.append(np.array([*self.tok.encode(t, add_special_tokens=False).ids, END_ID], np.uint32))
-            else:
-                split.append(t.lower().split() if t else [])
-        known = self.place
-        new = {w for ws in split if isinstance(ws, list) for w in ws if w not in known}
-        if new:
-            self.learn(list(new))
-        out, get = [], known.__getitem__
-        for ws in split:
-            if isinstance(ws, np.ndarray):
-                out.append(ws)
+            if t and (not self.by_word or not t.isascii() and self.odd(t) or any(s in t for s in self.whole)):
+                out.append(self.encode_whole(t))
                 continue
-            at = np.fromiter(map(get, ws), np.int64, len(ws))
-            lo = self.starts[at]
-            n = self.starts[at + 1] - lo
-            ends = np.cumsum(n)
-            ids = np.full((int(ends[-1]) if len(ends) else 0) + 1, END_ID, np.uint32)
-            if len(ends):
-                ids[:-1] = self.flat[np.arange(ends[-1]) + np.repeat(lo - ends + n, n)]
-            out.append(ids)
-        return out
+            ws = t.lower().split() if t else []
+            ws.append("\n")
+            rows.append(self.words.of(ws))
+            out.append(None)
+        if self.words.new:
+            self.learn(self.words.taken())
+        if not rows:
+            return out
+        at = np.concatenate(rows)
+        while len(self.used) < len(self.words):
+            self.used = np.concatenate([self.used, np.zeros_like(self.used)])
+        met = np.bincount(at)
+        self.used[: len(met)] += met
+        ids, n = self.word_ids.joined(at)
+        upto = np.cumsum(n)[np.cumsum([len(r) for r in rows]) - 1]
+        made = iter(np.split(ids, upto[:-1]))
+        return [next(made) if x is None else x for x in out]
 
 
 def encoder(path: str) -> Callable[[list[str | None]], list[np.ndarray]]:

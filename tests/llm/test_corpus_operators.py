@@ -72,6 +72,25 @@ def test_packing_of_nothing(spark):
     assert packing.pieces(frame(spark, [])).count() == 0
 
 
+def test_the_encoder_encodes_each_pre_token_once_and_keeps_what_is_met_again():
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path(None)
+    e, plain, asked = packing.CachedEncoder(path, most=60), Tokenizer.from_file(path), []
+    inner = e.encode_parts
+    e.encode_parts = lambda new: (asked.extend(new), inner(new))
+    texts = ["lyinon lyinon, lyinon. (LYINON) it's lyinon's 4597 'tis", "", None, "äöü Größe, größe. naïve", "x\x0by\u00a0z <|endoftext|> İstanbul 漢字"]
+    want = lambda t: [*plain.encode(t or "", add_special_tokens=False).ids, packing.END_ID]
+    assert [x.tolist() for x in e(texts)] == [want(t) for t in texts]
+    assert len(asked) == len(set(asked)) and asked.count("lyinon") == 1
+    for i in range(20):
+        some = [f"often {' '.join(f'w{i}q{j},' for j in range(40))} often", "often again"]
+        assert [x.tolist() for x in e(some)] == [want(t) for t in some]
+        assert "often" in e.words and len(e.words) <= 60 + 50
+    e.by_word = False
+    assert [x.tolist() for x in e(texts)] == [want(t) for t in texts]
+
+
 def test_encoder_forgets_within_its_bound():
     e = packing.CachedEncoder(packing.tokenizer_path(None), most=5)
     for t in ("alpha beta gamma delta epsilon zeta", "eta theta alpha", ""):
