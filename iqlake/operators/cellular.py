@@ -154,6 +154,13 @@ def completed(correlation: DataFrame, captures: DataFrame, cells: tuple[int, ...
     return grid.join(correlation, keys, "left").select(*keys, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("re", "im")))
 
 
+def _middle(keys: list[str]) -> Column:
+    """``__middle``: whether a row's p is one of the one or two whose mean is the median of its group. Sorting takes no map of values for each group."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("p").asc_nulls_last()))
+    count = F.count("p").over(Window.partitionBy(*keys))
+    return ((place == F.floor((count + 1) / 2)) | (place == F.floor(count / 2) + 1)).alias("__middle")
+
+
 def sync(correlation: DataFrame, sample_rate: float, half_width: int = 4, per_port: bool = True, delay: float = 0.0) -> DataFrame:
     """Delay in seconds of the best lag.
 
@@ -162,10 +169,15 @@ def sync(correlation: DataFrame, sample_rate: float, half_width: int = 4, per_po
     """
     keys = list(KEYS) if per_port else ["capture_id"]
     p = correlation if "p" in correlation.columns else correlation.withColumn("p", F.col("re") ** 2 + F.col("im") ** 2)
-    mean = p.groupBy(*keys, "block", "lag").agg(F.avg("p").alias("p")).groupBy(*keys, "lag").agg(F.median("p").alias("p"))
-    level = mean.groupBy(*keys).agg(F.median("p").alias("m"), F.max("p").alias("x"))
-    kept = mean.join(level, keys).withColumn("p", F.when(F.col("p") >= F.greatest(2 * F.col("m"), F.col("x") / 2), F.col("p")).otherwise(0.0))
-    w = Window.partitionBy(*keys).orderBy("lag")
+    # Averaged rows are dealt by capture once, and all steps below stay where they lie; others are averaged before that.
+    p = p.repartition(*keys) if "p" in correlation.columns else p
+    mean = p.groupBy(*keys, "block", "lag").agg(F.avg("p").alias("p"))
+    mean = mean if "p" in correlation.columns else mean.repartition(*keys)
+    mean = mean.select(*keys, "lag", "p", _middle([*keys, "lag"])).where(F.col("__middle")).groupBy(*keys, "lag").agg(F.avg("p").alias("p"))
+    each = Window.partitionBy(*keys)
+    level = mean.select(*keys, "lag", "p", _middle(keys)).select(*keys, "lag", "p", F.avg(F.when(F.col("__middle"), F.col("p"))).over(each).alias("m"), F.max("p").over(each).alias("x"))
+    kept = level.withColumn("p", F.when(F.col("p") >= F.greatest(2 * F.col("m"), F.col("x") / 2), F.col("p")).otherwise(0.0))
+    w = each.orderBy("lag")
     smooth = sum((F.coalesce(F.lag("p", k).over(w) if k > 0 else F.lead("p", -k).over(w), F.lit(0.0)) if k else F.col("p")) * (1 - abs(k) / (half_width + 1)) for k in range(-half_width, half_width + 1))
     best = kept.withColumn("s", smooth).groupBy(*keys).agg(F.max_by("lag", F.struct("s", -F.col("lag"))).alias("lag"))
     return best.select(*keys, "lag", (F.lit(delay) + F.col("lag") / sample_rate).alias("delay"))

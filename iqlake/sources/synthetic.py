@@ -45,6 +45,10 @@ def noise(spark: SparkSession, count: int, fs: float, psd: float, block: int = 1
     return spark.range(-(-count // block)).mapInArrow(run, "capture_id long, port int, n0 long, re array<double>, im array<double>")
 
 
+#: Tasks a core that make waveforms.
+TASKS_A_CORE = 3
+
+
 def made_blocks(captures: DataFrame, make: Callable[[int, float], np.ndarray], value: str, block: int = 1 << 16) -> DataFrame:
     """Blocks of a waveform per capture: ``make(capture_id, value)`` gives its samples from the capture's own number, so a task that is run again makes the same."""
 
@@ -57,7 +61,8 @@ def made_blocks(captures: DataFrame, make: Callable[[int, float], np.ndarray], v
                     y = x[s : s + block]
                     yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([0], pa.int32()), pa.array([s], pa.int64()), pa.array([y.real], kind), pa.array([y.imag], kind)], names=["capture_id", "port", "n0", "re", "im"])
 
-    rows = captures.select(F.col("capture_id").cast("long"), F.col(value).cast("double"))
+    # A row makes a waveform many times its size, so a table of few bytes is dealt to all cores before that.
+    rows = captures.select(F.col("capture_id").cast("long"), F.col(value).cast("double")).repartition(TASKS_A_CORE * captures.sparkSession.sparkContext.defaultParallelism)
     return rows.mapInArrow(run, "capture_id long, port int, n0 long, re array<double>, im array<double>")
 
 

@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from iqlake.functions import ofdm
 from iqlake.operators import cellular, stats
@@ -155,3 +156,22 @@ def test_dense_grid_has_zeros_where_nothing_was_measured(spark):
     assert len(grid) == 2 * 2 * 2 * 2 * 4
     held = {tuple(r)[:6]: (r.re, r.im) for r in found.collect()}
     assert all((r.re, r.im) == held.get(tuple(r)[:6], (0.0, 0.0)) for r in grid) and all(r.re == 0 for r in grid if r.capture_id == 1)
+
+
+def test_the_best_lag_goes_by_sorted_medians_and_waveforms_by_all_cores(spark):
+    """Against the plain form, with odd and even numbers of periods; no step keeps a map of values for each lag, and few rows don't stay in one task."""
+    from iqlake.sources.synthetic import placed
+
+    rng = np.random.default_rng(8)
+    power = {(c, k): rng.exponential(size=30) + 40 * (np.arange(30) == 3 * c) for c, n in ((1, 1), (2, 4), (3, 5)) for k in range(n)}
+    rows = [(c, 0, k, lag, float(v)) for (c, k), p in power.items() for lag, v in enumerate(p)]
+    found = cellular.sync(spark.createDataFrame(rows, "capture_id long, port int, block int, lag long, p double"), 2.0)
+    assert "percentile" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.capture_id: (r.lag, r.delay) for r in found.collect()}
+    for c in (1, 2, 3):
+        p = np.median([v for (d, _), v in power.items() if d == c], axis=0)
+        p = np.pad(np.where(p >= max(2 * np.median(p), p.max() / 2), p, 0), 4)
+        s = sum(p[4 + k : 34 + k] * (1 - abs(k) / 5) for k in range(-4, 5))
+        assert got[c] == (int(s.argmax()), int(s.argmax()) / 2.0)
+    made = placed(spark.range(40).select(F.col("id").alias("capture_id"), F.col("id").alias("delay")).coalesce(1), np.ones(4, complex), 20)
+    assert made.select(F.spark_partition_id()).distinct().count() > 1
